@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesmith.llm import benchmark_clean, language_id, mixing, token_counts, token_store, topk_search, url_filter
+from cuesmith.llm import benchmark_clean, jaccard_join, language_id, line_dedup, mixing, substring_dedup, token_counts, token_store, topk_search, url_filter
 
 #: (action, host, path) of the URL query.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -34,6 +34,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(docs, tokenizer("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "action string, host string, path string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -43,6 +48,10 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(token_store.write_store(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), END_ID))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), 100)
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk_search.quantised(F.col("embedding")).alias("v"))
     return topk_search.top_k(rows, rows.filter(F.col("id") % 50 == 0), 5)
@@ -54,14 +63,51 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op10_benchmark_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = benchmark_clean.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_token_counts, op4_url_filter, op5_token_store, op7_topk_search, op8_language_id, op10_benchmark_clean)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_token_counts, op3_line_dedup, op4_url_filter, op5_token_store, op6_substring_dedup, op7_topk_search, op8_language_id, op9_jaccard_join, op10_benchmark_clean)}
 
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (
+  SELECT doc_id, i, ls[i] AS line, CASE WHEN i < len(ls) THEN ls[i] || chr(10) || ls[i + 1] END AS pair,
+    len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) >= 50 AS long
+  FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM d)),
+m AS (
+  SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AND long AS by_line,
+    pair IS NOT NULL AND row_number() OVER (PARTITION BY pair ORDER BY doc_id, i) > 1 AS by_pair
+  FROM l),
+g AS (SELECT *, by_line OR by_pair OR coalesce(lag(by_pair) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM m),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM g)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed, CAST(count(*) FILTER (starts) AS BIGINT) AS n_runs,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+""",
+    "op9_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + least(len(w), 4) - 1], ' ')) AS sh
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - least(len(w), 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * common >= 85 * (p.n + q.n - common)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach(node, root) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION
+  SELECT y, root FROM reach JOIN both_ways ON x = node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.root AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) m ON m.node = d.doc_id
+""",
     "op4_url_filter": r"""
 WITH p AS (
   SELECT page_id,
