@@ -42,13 +42,14 @@ def _grams(words: Column, g: int, step: int) -> Column:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", inline_limit: int = INLINE) -> tuple[DataFrame, DataFrame]:
-    """(docs with words and hits: array of (start, len, window) in word positions; windows of the items)."""
+    """(docs with row, words and hits: array of (start, len, window) in word positions; windows of the items)."""
     windows = cut(item_windows(benchmark, size), "windows")
     facts = windows.agg(F.min("len"), F.count_distinct("window")).first()
     shortest, n_windows = facts[0] or size, facts[1]
     g = max(1, min(5, (shortest + 1) // 2))
     lens = sorted(x.len for x in windows.select("len").distinct().collect())  # at most `size` values
-    docs = docs.withColumn("words", words_of(F.col(text)))
+    # the condition on the row number keeps the planner from moving the split into words into the windows' expressions
+    docs = docs.withColumns({"words": words_of(F.col(text)), "row": F.monotonically_increasing_id()}).filter("row >= 0")
     grams = windows.select(F.explode(_grams(F.split("window", " "), g, 1)).alias("gram")).distinct()
     empty = F.array().cast("array<struct<start:int,len:int,window:string>>")
     if not n_windows:
@@ -64,11 +65,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str =
         hits = F.flatten(F.array(*[F.filter(candidates(n), lambda c: c["window"].isin(texts)) for n in lens]))
         return docs.withColumn("hits", F.when(near, hits).otherwise(empty)), windows
     # more windows than an expression should hold: the same two lookups as joins
-    docs = cut(docs.withColumn("row", F.monotonically_increasing_id()), "words")
+    docs = cut(docs, "words")
     near = docs.select("row", F.explode(_grams(F.col("words"), g, g)).alias("gram")).join(grams, "gram", "left_semi").select("row").distinct()
     every = docs.join(near, "row", "left_semi").select("row", F.explode(F.flatten(F.array(*[candidates(n) for n in lens]))).alias("hit"))
     hits = every.join(windows.select(F.col("window").alias("w")).distinct(), F.col("hit.window") == F.col("w"), "left_semi").groupBy("row").agg(F.collect_list("hit").alias("hits"))
-    return docs.join(hits, "row", "left").withColumn("hits", F.coalesce("hits", empty)).drop("row"), windows
+    return docs.join(hits, "row", "left").withColumn("hits", F.coalesce("hits", empty)), windows
 
 
 def covered(hits: Column) -> Column:
@@ -95,7 +96,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: s
     found, windows = find_hits(docs.drop(*[c for c in RESULTS if c != text]), benchmark, size, text, inline_limit)
     keep = [c for c in (carry or docs.columns) if c not in RESULTS or c == text]
     none = F.array().cast("array<string>")
-    found = cut(found.select(*keep, F.size("words").cast("long").alias("n_words"), F.when(F.size("hits") > 0, F.col("hits")).alias("hits"), F.monotonically_increasing_id().alias("row")), "found")
+    found = cut(found.select(*keep, F.size("words").cast("long").alias("n_words"), F.when(F.size("hits") > 0, F.col("hits")).alias("hits"), "row"), "found")
     clean = found.filter(F.col("hits").isNull()).select(*keep, "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("item_ids"), F.lit(False).alias("contaminated"))
     dirty = found.filter(F.col("hits").isNotNull())
     items = windows.groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
@@ -119,4 +120,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, text:
         parts = F.regexp_extract_all(F.col(text), F.lit(f"{NOT_WORD[:-1]}*{word}|{NOT_WORD}"), F.lit(0))
         inside = lambda i: F.exists("hits", lambda h: (i >= h["start"]) & (i < h["start"] + h["len"]))
         found = found.withColumn(text, F.when(F.size("hits") == 0, F.col(text)).otherwise(F.array_join(F.filter(parts, lambda _, i: ~inside(i)), "")))
-    return found.drop("words", "hits").withColumnsRenamed({v: k for k, v in hide.items()}).select(*docs.columns)
+    return found.drop("words", "hits", "row").withColumnsRenamed({v: k for k, v in hide.items()}).select(*docs.columns)

@@ -189,6 +189,23 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, key: str
     return nodes.join(least, F.col("label") == F.col("of")).select("doc_id", "n_shingles", "component_id")
 
 
+def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without near duplicates: of each component of jaccard_components the row of the least key stays.
+
+    Rows that are equal in key and text are one document and leave one row; of different texts under one key in a
+    component the one with the smaller hash stays. Rows without words link with nothing and stay, as do all
+    columns. Null keys count as the greatest.
+    """
+    mark = {"_id": F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("th"))}
+    ids = docs.select(mark["_id"].alias("_id"), F.col(text).alias("_text"))
+    ends = jaccard_components(ids, k, percent, "_id", "_text")
+    winners = cut(ends.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c")), "winners")
+    left = docs.withColumns(mark).join(winners.select(F.col("doc_id.none").alias("_n"), F.col("doc_id.id").alias("_i"), F.col("doc_id.th").alias("_t")), F.col("_id.id").eqNullSafe(F.col("_i")) & F.col("_id.th").eqNullSafe(F.col("_t")), "left_semi")
+    if winners.filter("c > 1").limit(1).count():
+        left = left.dropDuplicates(["_id"])
+    return left.select(*docs.columns)
+
+
 def _grouped(reps: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified links of classes with the least class of each of their minhash pairs."""
     banded = reps.select("rep", "n", F.explode("bands").alias("band"))

@@ -9,11 +9,13 @@ gives is exact and the draws decide where it goes.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +23,7 @@ from pyspark.sql.window import Window
 from cuesmith.llm.scratch import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
+WORDS = re.compile(WORD)
 BLOCK_WORDS, SHARD_BLOCKS = 256, 4096
 ROUNDS = 6
 STEPS = np.arange(ROUNDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -160,6 +163,24 @@ def draw_slots(targets: DataFrame, block_words: int, shard_blocks: int, seed: in
     return rows.mapInPandas(fill, "shard long, slot long, place int, turn long, block long, take long").filter("take > 0")
 
 
+def words_at(text: pa.Array, start: pa.Array, words: pa.Array) -> pa.Array:
+    """The parts of texts that span `words` words from word `start` on, joined by blanks; touching parts are one."""
+    out = []
+    for t, starts, counts in zip(text.to_pylist(), start.to_pylist(), words.to_pylist(), strict=True):
+        if t is None:
+            out.append(None)
+            continue
+        at = [m.span() for m in WORDS.finditer(t)]
+        runs: list[list[int]] = []
+        for a, n in zip(starts, counts, strict=True):
+            if runs and runs[-1][1] == a:
+                runs[-1][1] = a + n
+            else:
+                runs.append([a, a + n])
+        out.append(" ".join(t[at[a][0] : at[b - 1][1]] for a, b in runs))
+    return pa.array(out, pa.string())
+
+
 def mix_documents(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, text: str = "text", **how) -> DataFrame:
     """docs as the mix takes them: a row for each document and pass, its text cut to the words taken in that pass
     (whole texts stay as they are, with their white space); n_chars follows the text where docs have it.
@@ -171,9 +192,9 @@ def mix_documents(docs: DataFrame, weights: list[float], share: float = 1.5, mos
     spans, _ = mix(rows.select(F.col("_row").alias("row"), "source", F.col("_size").alias("size")), weights, share, most, **how)
     taken = spans.groupBy("row", "turn").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("spans"), F.sum("words").alias("n"))
     out = rows.join(taken, F.col("_row") == F.col("row"))
-    word = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    inside = F.transform("spans", lambda s: F.array_join(F.slice(word, s["start"].cast("int") + 1, s["words"].cast("int")), ""))
-    out = out.withColumn(text, F.when(F.col("n") == F.col("_size"), F.col(text)).otherwise(F.trim(F.array_join(inside, " "))))
+    part = F.col("n") != F.col("_size")
+    some = F.arrow_udf(words_at, "string")(F.when(part, F.col(text)), F.col("spans.start"), F.col("spans.words"))
+    out = out.withColumn("_some", some).withColumn(text, F.when(part, F.col("_some")).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*docs.columns)
