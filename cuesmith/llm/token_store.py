@@ -193,14 +193,48 @@ def _worker(path: str) -> tuple:
         t.no_truncation()
         t.no_padding()
         white = any("\\s+" in str(n) for n in [t.normalizer]) if t.normalizer else False
-        _workers[path] = (t, {}, 2 if t.get_vocab_size() <= 1 << 16 else 4, white)
+        ends = np.zeros(t.get_vocab_size(), bool)
+        ends[[i for w, i in t.get_vocab().items() if w.endswith("</w>")]] = True
+        _workers[path] = (t, {}, 2 if t.get_vocab_size() <= 1 << 16 else 4, white, ends)
     return _workers[path]
 
 
+def _plain(word: str) -> bool:
+    """Letters only, below U+0130 (where no normal form or lower case changes their number): one word of the
+    tokenizer's own pattern, whose last token and no other ends a word."""
+    return word.isalpha() and max(word) < "\u0130"
+
+
+def _encode_words(words: list[str], worker: tuple) -> dict[str, bytes]:
+    """Ids of words, as bytes. Plain words go in one text and are told apart by their ends; punctuation after a
+    plain word is a word of its own to the tokenizer."""
+    t, known, width, _, ends = worker
+    kind, out = "<u2" if width == 2 else "<u4", {}
+    stems = {w: (w[:-1], w[-1]) for w in words if len(w) > 1 and w[-1] in ".,:;!?" and _plain(w[:-1])}
+    need = list(dict.fromkeys(x for w in words for x in stems.get(w, (w,)) if x not in known))
+    plain = [w for w in need if _plain(w)] if ends.any() else []
+    other = [w for w in need if not _plain(w)] if ends.any() else need
+    for i in range(0, len(plain), 512):
+        chunk = plain[i : i + 512]
+        ids = np.array(t.encode_batch_fast([" ".join(chunk)], add_special_tokens=False)[0].ids, kind)
+        at = np.flatnonzero(ends[ids]) + 1
+        if len(at) != len(chunk):
+            other += chunk
+            continue
+        data, size = ids.tobytes(), ids.itemsize
+        out.update((w, data[a * size : b * size]) for w, a, b in zip(chunk, [0, *at[:-1].tolist()], at.tolist(), strict=True))
+    for i in range(0, len(other), 4096):
+        chunk = other[i : i + 4096]
+        out.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(chunk, t.encode_batch_fast(chunk, add_special_tokens=False), strict=True))
+    whole = lambda w: out[w] if w in out else known[w]
+    out.update((w, whole(a) + whole(b)) for w, (a, b) in stems.items())
+    return out
+
+
 def encode_batch(texts: list[str | None], path: str, batch_chars: int = 1 << 20) -> list[np.ndarray]:
     """Ids of whole texts. Where the tokenizer drops white space, words between blanks and line ends are encoded
     apart (white space ends a token there) and a word seen before is not encoded again."""
-    t, known, width, words_apart = _worker(path)
+    worker = t, known, width, words_apart, _ = _worker(path)
     kind = "<u2" if width == 2 else "<u4"
     out: list[np.ndarray] = []
     for a, b in by_bytes(texts, batch_chars):
@@ -213,9 +247,7 @@ def encode_batch(texts: list[str | None], path: str, batch_chars: int = 1 << 20)
         if len(known) + len(new) > CACHE:
             known.clear()
             new = list({w for ws in cuts for w in ws})
-        for i in range(0, len(new), 4096):
-            chunk = new[i : i + 4096]
-            known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(chunk, t.encode_batch_fast(chunk, add_special_tokens=False), strict=True))
+        known.update(_encode_words(new, worker))
         get = known.__getitem__
         out += [np.frombuffer(b"".join(map(get, ws)), kind) for ws in cuts]
     return out
