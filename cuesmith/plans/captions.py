@@ -188,8 +188,8 @@ FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.tu
     "glossary_match": rf"""
 WITH g(pos, source) AS (VALUES {_TERM_ROWS}),
 h AS (
-  SELECT doc_id, source, upper(source) AS target, pos FROM documents, g
-  WHERE contains(text, source) AND regexp_matches(text, '(^|[^A-Za-z0-9_])\Q' || source || '\E($|[^A-Za-z0-9_])'))
+  SELECT doc_id, g.source, upper(g.source) AS target, pos FROM documents, g
+  WHERE contains(text, g.source) AND regexp_matches(text, '(^|[^A-Za-z0-9_])\Q' || g.source || '\E($|[^A-Za-z0-9_])'))
 SELECT doc_id, source, target, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY length(source) DESC, pos) AS INTEGER) AS place FROM h QUALIFY place <= 20""",
     "work_routing": r"""
 WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'auto' ELSE lang END AS code FROM documents),
