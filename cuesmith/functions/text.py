@@ -114,9 +114,18 @@ def sentence_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[\s\p{Z}\p{P}]+", "")
 
 
+# Units that belong to the number before them.
+UNITS = "[%％元块塊秒年月日个個台倍万萬亿億]|美元|日元|人民币|人民幣|分钟|分鐘|小时|小時|公里|公斤|毫秒|원|달러|초|분|시간|개"
+
+
 def numeric_split(left: Column, right: Column) -> Column:
-    """True where a cut between left and right would part a number, or a product name from its number."""
-    return (left.rlike(r"[0-9][.,，．]?$") & right.rlike(r"^[.,，．]?[0-9]")) | (left.rlike(r"[A-Za-z0-9][-_]?$") & right.rlike(r"^[-_]?[0-9]"))
+    """True where a cut between left and right would part a number, a name with digits, or a number and its unit."""
+    left, right = F.rtrim(left), F.ltrim(right)
+    number = left.rlike(r"\d[.,:，]$") & right.rlike(r"^\d")
+    ends, starts = F.regexp_extract(left, "[A-Za-z0-9]+$", 0), F.regexp_extract(right, "^[A-Za-z0-9]+", 0)
+    name = (ends != "") & (starts != "") & F.concat(ends, starts).rlike("[0-9]")
+    unit = left.rlike(r"\d$") & right.rlike(f"^(?:{UNITS})")
+    return F.coalesce(number | name | unit, F.lit(False))
 
 
 def extends_draft(older: Column, newer: Column) -> Column:
