@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from cuesmith.llm.scratch import cut
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words in a text whose A-Z still stand.
+APART = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many grams and windows stand in the expression itself (about 100 bytes each).
 INLINE = 20_000
@@ -116,8 +118,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, text:
     if remove == "documents":
         found = found.filter(F.size("hits") == 0)
     else:
-        word = "[^" + NOT_WORD[1:-2] + "]+"
-        parts = F.regexp_extract_all(F.col(text), F.lit(f"{NOT_WORD[:-1]}*{word}|{NOT_WORD}"), F.lit(0))
+        parts = F.regexp_extract_all(F.col(text), F.lit(f"[{APART}]*[^{APART}]+|[{APART}]+"), F.lit(0))
         inside = lambda i: F.exists("hits", lambda h: (i >= h["start"]) & (i < h["start"] + h["len"]))
         found = found.withColumn(text, F.when(F.size("hits") == 0, F.col(text)).otherwise(F.array_join(F.filter(parts, lambda _, i: ~inside(i)), "")))
     return found.drop("words", "hits", "row").withColumnsRenamed({v: k for k, v in hide.items()}).select(*docs.columns)

@@ -90,12 +90,12 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50, key: s
     and text are one document and treated alike; of different texts under one key the smaller hash is first; a
     null key comes last. Other columns are carried.
     """
-    runs = repeated_runs(docs, min_lines, min_words, key, text)
+    runs = repeated_runs(docs, min_lines, min_words, key, text).withColumnsRenamed({"doc": "_rd", "th": "_rt", "runs": "_runs"})
     plain = docs.drop("n_lines", "n_removed", "n_runs").withColumns({"_doc": F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)), "_th": F.xxhash64(F.col(text))})
-    out = plain.join(runs, (F.col("_doc") == F.col("doc")) & (F.col("_th") == F.col("th")), "left")
+    out = plain.join(runs, (F.col("_doc") == F.col("_rd")) & (F.col("_th") == F.col("_rt")), "left")
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    inside = lambda i: F.exists("runs", lambda r: (i >= r["first"]) & (i <= r["last"]))
-    gone = F.coalesce(F.aggregate("runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1), F.lit(0)).cast("long")
-    out = out.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": gone, "n_runs": F.when(F.col("runs").isNull(), 0).otherwise(F.size("runs")).cast("long")})
-    left = F.when(F.col("runs").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda _, i: ~inside(i)), "\n"))
-    return out.withColumn(text, left).drop("_doc", "_th", "doc", "th", "runs")
+    inside = lambda i: F.exists("_runs", lambda r: (i >= r["first"]) & (i <= r["last"]))
+    gone = F.coalesce(F.aggregate("_runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1), F.lit(0)).cast("long")
+    out = out.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": gone, "n_runs": F.when(F.col("_runs").isNull(), 0).otherwise(F.size("_runs")).cast("long")})
+    left = F.when(F.col("_runs").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda _, i: ~inside(i)), "\n"))
+    return out.withColumn(text, left).drop("_doc", "_th", "_rd", "_rt", "_runs")

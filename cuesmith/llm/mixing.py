@@ -190,10 +190,10 @@ def mix_documents(docs: DataFrame, weights: list[float], share: float = 1.5, mos
     """
     rows = cut(docs.withColumns({"_row": F.monotonically_increasing_id(), "_size": word_count(F.col(text))}), "rows")
     spans, _ = mix(rows.select(F.col("_row").alias("row"), "source", F.col("_size").alias("size")), weights, share, most, **how)
-    taken = spans.groupBy("row", "turn").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("spans"), F.sum("words").alias("n"))
-    out = rows.join(taken, F.col("_row") == F.col("row"))
-    part = F.col("n") != F.col("_size")
-    some = F.arrow_udf(words_at, "string")(F.when(part, F.col(text)), F.col("spans.start"), F.col("spans.words"))
+    taken = spans.groupBy(F.col("row").alias("_of"), F.col("turn").alias("_turn")).agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("_spans"), F.sum("words").alias("_n"))
+    out = rows.join(taken, F.col("_row") == F.col("_of"))
+    part = F.col("_n") != F.col("_size")
+    some = F.arrow_udf(words_at, "string")(F.when(part, F.col(text)), F.col("_spans.start"), F.col("_spans.words"))
     out = out.withColumn("_some", some).withColumn(text, F.when(part, F.col("_some")).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(dict(docs.dtypes)["n_chars"]))
