@@ -121,10 +121,10 @@ UNITS = "[%％元块塊秒年月日个個台倍万萬亿億]|美元|日元|人
 def numeric_split(left: Column, right: Column) -> Column:
     """True where a cut between left and right would part a number, a name with digits, or a number and its unit."""
     left, right = F.rtrim(left), F.ltrim(right)
-    number = left.rlike(r"\d[.,:，]$") & right.rlike(r"^\d")
-    ends, starts = F.regexp_extract(left, "[A-Za-z0-9]+$", 0), F.regexp_extract(right, "^[A-Za-z0-9]+", 0)
+    number = left.rlike(r"\d[.,:，]\z") & right.rlike(r"^\d")
+    ends, starts = F.regexp_extract(left, r"[A-Za-z0-9]+\z", 0), F.regexp_extract(right, "^[A-Za-z0-9]+", 0)
     name = (ends != "") & (starts != "") & F.concat(ends, starts).rlike("[0-9]")
-    unit = left.rlike(r"\d$") & right.rlike(f"^(?:{UNITS})")
+    unit = left.rlike(r"\d\z") & right.rlike(f"^(?:{UNITS})")
     return F.coalesce(number | name | unit, F.lit(False))
 
 
@@ -134,14 +134,14 @@ def extends_draft(older: Column, newer: Column) -> Column:
     following = F.substr(newer, F.length(older) + 1, F.lit(1))
     second = F.substr(newer, F.length(older) + 2, F.lit(1))
     joint = r"['’_\-‐‑]"
-    space = following.rlike(SPACE) & ~older.rlike(joint + "$")
-    joined = older.rlike(joint + "$") | following.rlike("^" + joint) | following.rlike(r"^\p{M}")
-    number = older.rlike(r"\p{Nd}$") & (following.rlike(r"^[\p{L}\p{N}]") | (following.rlike("^[.,，．]") & second.rlike(r"^\p{Nd}")))
-    number = number | (older.rlike(r"\p{Nd}[.,，．]$") & following.rlike(r"^\p{Nd}"))
-    word = older.rlike(r"[\p{L}\p{N}]\p{M}*$") & following.rlike(r"^[\p{L}\p{N}]")
+    space = following.rlike(SPACE) & ~older.rlike(joint + r"\z")
+    joined = older.rlike(joint + r"\z") | following.rlike("^" + joint) | following.rlike(r"^\p{M}")
+    number = older.rlike(r"\p{Nd}\z") & (following.rlike(r"^[\p{L}\p{N}]") | (following.rlike("^[.,，．]") & second.rlike(r"^\p{Nd}")))
+    number = number | (older.rlike(r"\p{Nd}[.,，．]\z") & following.rlike(r"^\p{Nd}"))
+    word = older.rlike(r"[\p{L}\p{N}]\p{M}*\z") & following.rlike(r"^[\p{L}\p{N}]")
     cjk = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]"
-    inside = word & ~(older.rlike(cjk + r"\p{M}*$") | following.rlike("^" + cjk))
-    marks_only = older.rlike(r"^\p{M}*$")
+    inside = word & ~(older.rlike(cjk + r"\p{M}*\z") | following.rlike("^" + cjk))
+    marks_only = older.rlike(r"^\p{M}*\z")
     return F.coalesce(head & (space | (~following.rlike(SPACE) & ~joined & ~marks_only & ~number & ~inside)), F.lit(False))
 
 

@@ -137,6 +137,19 @@ def _formatted(form: str, *args: str) -> str:
 _CLEAN = r"regexp_replace(trim(text), '<(\|?[A-Za-z_][A-Za-z0-9_./:|+-]*\|?)>', '＜\1＞', 'g')"
 
 ORACLES = {
+    "draft_extension": rf"""
+WITH d AS (SELECT doc_id, left(text, 200) AS t, unnest(generate_series(1, 60)) AS n FROM documents),
+e AS (SELECT doc_id, n, t, left(t, n) AS a, substr(t, n + 1, 1) AS b, substr(t, n + 2, 1) AS c, rtrim(left(t, n), ' ') AS l, ltrim(substr(t, n + 1), ' ') AS r FROM d),
+m AS (
+  SELECT *, regexp_matches(a, '[''’_\-‐‑]\z') AS tied, regexp_matches(b, '[\s\p{{Z}}]') AS space,
+    regexp_matches(b, '^[''’_\-‐‑\p{{M}}]') AS tie_next, regexp_matches(a, '^\p{{M}}*\z') AS bare,
+    (regexp_matches(a, '\p{{Nd}}\z') AND (regexp_matches(b, '^[\p{{L}}\p{{N}}]') OR (regexp_matches(b, '^[.,，．]') AND regexp_matches(c, '^\p{{Nd}}')))) OR (regexp_matches(a, '\p{{Nd}}[.,，．]\z') AND regexp_matches(b, '^\p{{Nd}}')) AS num,
+    regexp_matches(a, '[\p{{L}}\p{{N}}]\p{{M}}*\z') AND regexp_matches(b, '^[\p{{L}}\p{{N}}]') AS inside,
+    regexp_extract(l, '[A-Za-z0-9]+\z') AS ends, regexp_extract(r, '^[A-Za-z0-9]+') AS starts
+  FROM e)
+SELECT doc_id, n, coalesce(length(a) < length(t) AND ((space AND NOT tied) OR (NOT space AND NOT tied AND NOT tie_next AND NOT bare AND NOT num AND NOT inside)), false) AS extends,
+  coalesce((regexp_matches(l, '\d[.,:，]\z') AND regexp_matches(r, '^\d')) OR (ends <> '' AND starts <> '' AND regexp_matches(ends || starts, '[0-9]')) OR (regexp_matches(l, '\d\z') AND regexp_matches(r, '^(?:{X.UNITS})')), false) AS number
+FROM m""",
     "prompts": rf"""
 WITH ok AS (SELECT conv_id, turn, trim(text) AS t FROM conversations WHERE role = 'user'),
 p AS (SELECT c.conv_id, c.turn, ok.t, row_number() OVER (PARTITION BY c.conv_id, c.turn ORDER BY ok.turn DESC) AS r FROM conversations c LEFT JOIN ok ON ok.conv_id = c.conv_id AND ok.turn < c.turn),

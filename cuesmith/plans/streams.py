@@ -217,6 +217,12 @@ r AS (SELECT stream_id, min(i) AS a, max(i) AS z, count(*) AS n_voiced FROM g GR
 SELECT r.stream_id, greatest(0, a - 20) AS first_frame, z + 25 AS last_frame, n_voiced
 FROM r JOIN (SELECT stream_id, max(i) AS e FROM f GROUP BY 1) m ON m.stream_id = r.stream_id
 WHERE z + 25 <= e AND n_voiced >= 10 AND z + 25 - greatest(0, a - 20) + 1 <= 200""",
+    "frame_energy": """
+WITH p AS (SELECT user_id AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS r, CAST(floor(value * 10) AS BIGINT) AS a FROM events),
+f AS (SELECT s, r, a, unnest(generate_series(480 * r // 320, (480 * r + 479) // 320)) AS i FROM p),
+o AS (SELECT s, i, r, a, least(320 * i + 320, 480 * r + 480) - greatest(320 * i, 480 * r) AS n FROM f),
+e AS (SELECT s, i, sum(n * a * a)::DOUBLE AS e, sum(n) AS n FROM o GROUP BY 1, 2)
+SELECT s AS stream_id, i AS frame_idx, sqrt(e / 320) / 32768 AS rms, sqrt(e / 320) / 32768 >= 0.002 AS voiced FROM e WHERE n = 320""",
     "stable_turns": f"""
 WITH c AS (SELECT conv_id AS turn, string_split(text, ' ')[1:12] AS w FROM conversations WHERE turn = 0),
 x AS (SELECT turn, w[j + 1] AS text, j AS pos FROM (SELECT turn, w, unnest(generate_series(0, len(w) - 1)) AS j FROM c)),
