@@ -2,7 +2,8 @@
 
 1. Documents of equal sets are one class; only a class's first row goes on.
 2. Similar classes are partitioned into groups: classes that agree on a pair of minhashes are compared with
-   the least class of that pair, and verified links are contracted.
+   the least class of that pair, those that share an index token with one class that has it, and verified links
+   are contracted.
 3. The token-group matrix holds, for each token, the groups whose union of index tokens has it. A query (a
    class) meets the groups by its own index tokens; the overlap with a group's union bounds the overlap with
    every member, and only groups that reach the bound are opened and their members verified.
@@ -21,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cuesmith.llm.components import components
 from cuesmith.llm.scratch import cut
@@ -88,7 +90,7 @@ def frequent_tokens(texts: DataFrame, k: int, n_docs: int) -> np.ndarray:
         for _, sets in _batches(batches, k):
             held += sets
             size += sum(map(len, sets))
-            if size > 1 << 22:
+            if size > 1 << 21:
                 yield out()
                 held, size = [], 0
         if held:
@@ -179,8 +181,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, key: str
     classes = cut(found.filter("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("rep"), F.min_by("doc_id", "row").alias("rep_doc")), "classes")
     reps = found.join(classes.select("rep"), F.col("row") == F.col("rep")).select("rep", "n", "least", "bands", "tokens")
     links = _grouped(reps, classes, texts, k, percent)
-    groups = components(links)
-    links = links.unionByName(_opened(reps, groups, classes, texts, k, percent))
+    queries = _between(reps, components(links))
+    links = cut(links.unionByName(_starred(queries, classes, texts, k, percent)), "links")
+    links = cut(links.unionByName(_opened(_regrouped(queries, components(links)), classes, texts, k, percent)), "links")
     ends = components(links)
     nodes = found.select("row", "doc_id", "n", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left")
     nodes = nodes.join(ends, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("row")).alias("label"))
@@ -214,17 +217,71 @@ def _grouped(reps: DataFrame, classes: DataFrame, texts: DataFrame, k: int, perc
     return verified(pairs.select("a", F.col("rep").alias("b")), classes, texts, k, percent)
 
 
-def _opened(reps: DataFrame, groups: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links between classes of different groups, found through the token-group matrix."""
+def _reachable(rest_x: Column, rest_y: Column, n_x: Column, n_y: Column, percent: int) -> Column:
+    """Whether a pair can link that meets in a token with rest_x and rest_y tokens from it on in either order: an
+    overlap is at most the common tokens before it and the lesser rest, and among the first LEAST_COMMON common
+    tokens at most LEAST_COMMON - 1 stand before."""
+    return (100 + percent) * (F.least(rest_x, rest_y) + LEAST_COMMON - 1) >= percent * (n_x + n_y)
+
+
+def _between(reps: DataFrame, groups: DataFrame) -> DataFrame:
+    """rep, n, least, group, token, rest, own: index tokens that classes of more than one group have; own is the number
+    of a class's index tokens that no other group has. An approximate set of those tokens thins the index before it
+    is moved again."""
     rows = reps.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "n", "least", F.coalesce("label", "rep").alias("group"), "tokens")
-    queries = rows.select("rep", "n", "least", "group", F.explode("tokens").alias("token"))
-    between = queries.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 <> g1").select("token")
-    queries = cut(queries.join(between, "token", "left_semi"), "queries")
-    matrix = queries.groupBy("token", F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    meets = queries.join(matrix, "token").filter((F.col("group") < F.col("other")) & _sizes_fit(F.col("n"), F.col("low"), F.col("high"), percent))
+    between = rows.select("group", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 <> g1").select("token")
+    between = cut(between, "between")
+    shared = reps.sparkSession.sparkContext.broadcast(bit_filter(between))
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(4)
+            token, size = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            at = np.flatnonzero(maybe_in(shared.value, token.view(np.uint64)))
+            take = pa.array(row[at])
+            rest = batch.column(1).to_numpy()[row[at]] - pos[at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(4)), pa.array(token[at]), pa.array(rest.astype(np.int32)), pa.array(size[row[at]].astype(np.int32))], ["rep", "n", "least", "group", "token", "rest", "size"])
+
+    queries = rows.mapInArrow(thinned, "rep long, n int, least int, group long, token long, rest int, size int").join(between, "token", "left_semi")
+    return cut(queries.withColumn("own", F.col("size") - F.count("*").over(Window.partitionBy("rep"))).drop("size"), "queries")
+
+
+def _regrouped(queries: DataFrame, groups: DataFrame) -> DataFrame:
+    """queries with the groups as they are now, without tokens that are inside one group."""
+    rows = queries.drop("group").join(groups, F.col("rep") == F.col("node"), "left").withColumn("group", F.coalesce("label", "rep")).drop("node", "label")
+    between = rows.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 <> g1").select("token")
+    return cut(rows.join(between, "token", "left_semi"), "queries")
+
+
+def _starred(queries: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Verified links of classes with one class of another group for each of their tokens: one with the
+    fewest tokens of its own, as the original of a group of copies has. Large clusters grow together here, so that their members need not meet each other."""
+    # sets link only within one size class (a factor of 100 / percent) or with the next
+    level = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    hubs = queries.groupBy("token", level.alias("level")).agg(F.min(F.struct("own", "n", "rep", "group", "rest")).alias("hub"))
+    asked = queries.withColumn("level", F.explode(F.array(level, level - 1)))
+    both = asked.join(hubs, ["token", "level"]).filter((F.col("group") != F.col("hub.group")) & _sizes_fit(F.col("n"), F.col("hub.n"), F.col("hub.n"), percent) & _reachable(F.col("rest"), F.col("hub.rest"), F.col("n"), F.col("hub.n"), percent))
+    pairs = both.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), "n", F.col("hub.n").alias("b_n"), "rest", F.col("hub.rest").alias("b_rest"), "least")
+    return verified(_possible(pairs, percent), classes, texts, k, percent)
+
+
+def _possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), of a row for each common index token, with enough of them, whose first one leaves enough tokens."""
+    both = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("least").alias("least"), F.max(F.least("rest", "b_rest")).alias("rest"), F.first("n").alias("n"), F.first("b_n").alias("b_n"))
+    return both.filter((F.col("common") >= F.col("least")) & ((100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("b_n")))).select("a", "b")
+
+
+def _opened(queries: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Verified links between classes of different groups, found through the token-group matrix."""
+    matrix = queries.groupBy("token", F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("most"))
+    # token-group rows in which a member could still link
+    near = (F.col("group") < F.col("other")) & _sizes_fit(F.col("n"), F.col("low"), F.col("high"), percent) & _reachable(F.col("rest"), F.col("most"), F.col("n"), F.col("low"), percent)
+    meets = queries.join(matrix, "token").filter(near)
     opened = meets.groupBy("rep", "other").agg(F.count("*").alias("common"), F.first("least").alias("least"), F.first("n").alias("n")).filter(F.col("common") >= F.col("least"))
     # members of an opened group must share as many index tokens themselves
-    members = queries.select(F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("group").alias("other"), "token")
-    pairs = opened.select("rep", "n", "least", "other").join(queries.select("rep", "token"), "rep").join(members, ["other", "token"])
-    pairs = pairs.filter(_sizes_fit(F.col("n"), F.col("b_n"), F.col("b_n"), percent)).groupBy("rep", "b").agg(F.count("*").alias("common"), F.first("least").alias("least")).filter(F.col("common") >= F.col("least"))
-    return verified(pairs.select(F.col("rep").alias("a"), "b"), classes, texts, k, percent)
+    members = queries.select(F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("rest").alias("b_rest"), F.col("group").alias("other"), "token")
+    fits = _sizes_fit(F.col("n"), F.col("b_n"), F.col("b_n"), percent) & _reachable(F.col("rest"), F.col("b_rest"), F.col("n"), F.col("b_n"), percent)
+    pairs = opened.select("rep", "n", "least", "other").join(queries.select("rep", "token", "rest"), "rep").join(members, ["other", "token"]).filter(fits)
+    return verified(_possible(pairs.withColumnRenamed("rep", "a"), percent), classes, texts, k, percent)
