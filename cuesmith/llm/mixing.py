@@ -115,7 +115,8 @@ def mix(rows: DataFrame, weights: list[float], share: float = 1.5, most: float =
     blocks = blocks.withColumns({"in_block": F.greatest(F.lit(0), F.col("begin") - F.col("block") * block_words), "start": F.greatest(F.lit(0), F.col("block") * block_words - F.col("begin"))})
     blocks = blocks.withColumn("words", F.least(F.col("size") - F.col("start"), F.lit(block_words) - F.col("in_block"))).select("place", "block", "row", "in_block", "start", "words")
     slots = draw_slots(targets, block_words, shard_blocks, seed)
-    spans = slots.join(blocks, ["place", "block"]).withColumn("words", F.least("words", F.col("take") - F.col("in_block"))).filter("words > 0")
+    # slots come from a table of a row a source, so their size is underrated: without the hint they would be broadcast
+    spans = slots.hint("merge").join(blocks, ["place", "block"]).withColumn("words", F.least("words", F.col("take") - F.col("in_block"))).filter("words > 0")
     return spans.select("shard", "slot", "place", "turn", "block", "row", "start", "words"), targets
 
 
