@@ -12,7 +12,7 @@ from cuesmith.operators import commit as K
 from cuesmith.operators import context as C
 from cuesmith.operators import stability as B
 from cuesmith.plans.captions import table
-from cuesmith.plans.streams import observations
+from cuesmith.plans.streams import cut_short, heard_documents, shown
 
 UPDATES = "seq long, segment_id long, text string, is_final boolean, removed boolean"
 
@@ -58,11 +58,12 @@ def commit_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cumulative texts of a document's first sentences with a final: turn, seq, t, is_final, text."""
-    o = observations(spark, sf_dir).groupBy("turn", "obs", "t").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"))
-    last = o.groupBy("turn").agg(F.max("obs").alias("m"), F.max_by("text", "obs").alias("text"))
-    final = last.select("turn", (F.col("m") + 1).alias("seq"), ((F.col("m") + 1) * 0.4).alias("t"), F.lit(True).alias("is_final"), "text")
-    return o.select("turn", F.col("obs").alias("seq"), "t", F.lit(False).alias("is_final"), "text").unionByName(final)
+    """The texts of observations(), with a final of the whole document: turn, seq, t, is_final, text."""
+    d = heard_documents(spark, sf_dir).withColumn("seq", F.explode(F.sequence(F.lit(1).cast("long"), F.col("observed") + 1)))
+    k = F.least(shown(F.col("seq")), F.col("n")).cast("int")
+    last = cut_short(F.element_at("sentences", k), F.col("seq"), F.col("whole"))
+    text = F.array_join(F.concat(F.slice("sentences", F.lit(1), k - 1), F.array(last)), " ")
+    return d.select("turn", "seq", (F.col("seq") * 0.4).alias("t"), (F.col("seq") > F.col("observed")).alias("is_final"), text.alias("text"))
 
 
 def cumulative_commit(spark: SparkSession, sf_dir: str) -> DataFrame:

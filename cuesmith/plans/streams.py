@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -79,13 +80,43 @@ def frame_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.frame_energy(A.checked_packets(packets)[0])
 
 
+def shown(obs: Column) -> Column:
+    """Sentences that an observation shows at most: one more each time up to 6, then twice as many each time."""
+    return F.when(obs <= 6, obs).otherwise(F.lit(6).cast("long") * F.pow(F.lit(2.0), obs - 6).cast("long"))
+
+
+def first_shown(pos: Column) -> Column:
+    """The first observation that shows the sentence at pos."""
+    return F.when(pos < 6, pos + 1).otherwise(6 + F.length(F.bin(F.floor(pos / 6)))).cast("long")
+
+
+def _sentence_texts(texts: pd.Series) -> pd.Series:
+    return pd.Series([[s for s, _ in S.split(t)] for t in texts], dtype=object)
+
+
+def heard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """turn, sentences, n, whole (the first observation with all sentences) and observed (the last one: three later,
+    so that the last sentences can become stable too). All of a turn stays in one partition."""
+    # not deterministic for the planner, which would split every text once more in a filter below the shuffle
+    split = F.pandas_udf(_sentence_texts, "array<string>").asNondeterministic()
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("turn"), split("text").alias("sentences"))
+    d = d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "turn").withColumn("n", F.size("sentences").cast("long")).filter("n > 0")
+    d = d.withColumn("whole", first_shown(F.col("n") - 1))
+    return d.withColumn("observed", F.greatest(F.lit(6).cast("long"), F.col("whole") + 3))
+
+
+def cut_short(last: Column, obs: Column, whole: Column) -> Column:
+    """The last sentence of an observation, cut short at odd observations that show it for the first time."""
+    return F.when((obs % 2 == 1) & (obs <= whole), F.left(last, F.greatest(F.lit(1), F.length(last) - 3))).otherwise(last)
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Growing hypotheses: the first 1 .. 6 sentences of a document, 0.4 s apart; at odd observations the last one is
-    cut short."""
-    s = S.sentence_corpus(table(spark, sf_dir, "documents"), "doc_id").filter("pos < 6").select(F.col("doc_id").alias("turn"), F.col("pos").cast("long").alias("pos"), F.col("sentence").alias("text"))
-    grown = s.withColumn("obs", F.explode(F.sequence(F.col("pos") + 1, F.lit(6).cast("long")))).withColumn("t", F.col("obs") * 0.4)
-    last = (F.col("pos") == F.col("obs") - 1) & (F.col("obs") % 2 == 1)
-    return grown.withColumn("text", F.when(last, F.left("text", F.greatest(F.lit(1), F.length("text") - 3))).otherwise(F.col("text")))
+    """Growing hypotheses over all sentences of a document, 0.4 s apart; at odd observations the last one is cut
+    short. The steps grow, so a document of n sentences gives a number of rows in proportion to n."""
+    d = heard_documents(spark, sf_dir).select("turn", "n", "whole", "observed", F.posexplode("sentences").alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
+    grown = d.withColumn("obs", F.explode(F.sequence(first_shown(F.col("pos")), F.col("observed")))).withColumn("t", F.col("obs") * 0.4)
+    last = F.col("pos") == F.least(shown(F.col("obs")), F.col("n")) - 1
+    return grown.select("turn", "pos", F.when(last, cut_short(F.col("text"), F.col("obs"), F.col("whole"))).otherwise(F.col("text")).alias("text"), "obs", "t")
 
 
 def stable_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
