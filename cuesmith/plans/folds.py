@@ -25,7 +25,7 @@ def timed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of a turn, 0.3 s each with a pause of 0.5 s after every seventh: conv_id, turn, words."""
     t = table(spark, sf_dir, "conversations")
     start = lambda i: i * 0.3 + F.floor(i / 7) * 0.5
-    words = F.transform(F.slice(F.split(F.trim("text"), r"\s+"), 1, 60), lambda w, i: F.struct(start(i).alias("s"), (start(i) + 0.25).alias("e"), F.when(i > 0, F.concat(F.lit(" "), w)).otherwise(w).alias("w")))
+    words = F.transform(F.split(F.trim("text"), r"\s+"), lambda w, i: F.struct(start(i).alias("s"), (start(i) + 0.25).alias("e"), F.when(i > 0, F.concat(F.lit(" "), w)).otherwise(w).alias("w")))
     return t.select("conv_id", "turn", words.alias("words")).filter(F.size("words") > 0)
 
 
@@ -41,7 +41,8 @@ def phrase_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commit_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn heard second by second: words that began so far, the last one in doubt at odd seconds, then a final."""
-    t = timed_words(spark, sf_dir)
+    # dealt by turn before the seconds multiply the words: the fold then needs no other shuffle
+    t = timed_words(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
     end = F.element_at("words", -1)["e"]
     obs = t.withColumn("seq", F.explode(F.sequence(F.lit(1), F.ceil(end).cast("int") + 1))).withColumn("last", F.col("seq") == F.ceil(end) + 1)
     heard = F.filter("words", lambda w: w["e"] <= F.col("seq") - 0.1)
@@ -88,7 +89,7 @@ def preview_publisher(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Previews over what the timed-word fold leaves pending; a conversation is a session, a turn a window."""
     rows = commit_hypotheses(spark, sf_dir)
     last = F.size("warnings") < 0
-    rows = rows.select("conv_id", F.col("turn").alias("window_id"), (F.col("turn") * 1000 + F.col("seq")).alias("seq"), F.col("seq").cast("double").alias("audio"), (F.col("turn") * 100.0 + F.col("seq")).alias("t"), "pending", "segments", last.alias("is_final"))
+    rows = rows.select("conv_id", F.col("turn").alias("window_id"), (F.col("turn").cast("long") * 1_000_000 + F.col("seq")).alias("seq"), F.col("seq").cast("double").alias("audio"), (F.col("turn") * 1_000_000.0 + F.col("seq")).alias("t"), "pending", "segments", last.alias("is_final"))
     return K.folded_rows(rows, ["conv_id"], "seq", K.PreviewPublisher, UPDATES, updates_of)
 
 

@@ -70,3 +70,15 @@ def test_documents_to_their_last_sentence(spark, tmp_path):
     for query in (folds.draft_publisher, folds.revised_publisher):
         final = {(r.turn, r.segment_id): r.text for r in query(spark, folder).filter("is_final and not removed").collect()}
         assert all(sorted(x for (t, _), x in final.items() if t == n) == sorted(d) for n, d in docs.items())
+
+
+def test_turns_to_their_last_word(spark, tmp_path):
+    """phrase_islands, commit_hypotheses, preview_publisher."""
+    texts = {0: " ".join(f"word{i}" for i in range(150)), 1: " ".join(f"late{i}" for i in range(400)), 2: "The end."}
+    folder = saved(spark, tmp_path, "conversations", [(7, t, "user", x) for t, x in texts.items()], "conv_id long, turn int, role string, text string")
+    phrases = folds.phrase_islands(spark, folder).orderBy("turn", "pos").collect()
+    assert {t: " ".join(r.text for r in phrases if r.turn == t) for t in texts} == texts
+    commits = folds.commit_hypotheses(spark, folder).orderBy("turn", "seq").collect()
+    assert {t: " ".join(s for r in commits if r.turn == t for s in r.segments) for t in texts} == texts
+    shown = folds.preview_publisher(spark, folder).filter("is_final and not removed").orderBy("seq", "segment_id").collect()
+    assert " ".join(r.text for r in shown) == " ".join(texts.values())
