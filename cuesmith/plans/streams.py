@@ -133,6 +133,19 @@ def stable_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.stable_prefixes(grown)
 
 
+def stable_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule of stable_turns over all turns and all words: conv_id, turn, pos, obs, t, text. Observation o shows
+    words 1 .. 3o up to 18, then twice as many each time; as in observations(), three follow the last word."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("words"))
+    c = c.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
+    first = lambda pos: first_shown(F.floor(pos / 3))
+    words = c.select(F.struct("conv_id", "turn").alias("turn"), F.size("words").cast("long").alias("n"), F.posexplode("words").alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
+    grown = words.withColumn("obs", F.explode(F.sequence(first(F.col("pos")), F.greatest(F.lit(5).cast("long"), first(F.col("n") - 1) + 3)))).withColumn("t", F.col("obs") * 0.4)
+    odd = (F.col("pos") % 5 == 3) & (F.col("obs") % 2 == 1) & (F.col("obs") <= first(F.col("n") - 1))
+    out = B.stable_prefixes(grown.withColumn("text", F.when(odd, F.upper("text")).otherwise(F.col("text"))))
+    return out.select("turn.conv_id", "turn.turn", "pos", "obs", "t", "text")
+
+
 def local_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").withColumn("key", F.lower(F.regexp_replace("text", r"[^A-Za-z]+", "")))
     return B.local_agreement(c, ["conv_id"], "turn", "key").select("conv_id", "turn", "agreed")
@@ -148,10 +161,12 @@ def overlap_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reconcile_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = S.sentence_corpus(table(spark, sf_dir, "documents"), "doc_id").filter("pos < 40")
-    finals = s.select("doc_id", F.col("pos").alias("place"), F.col("sentence").alias("text"))
-    drafts = finals.filter(F.col("place") % 4 != 2).select("doc_id", (F.col("place") + 1).cast("long").alias("segment_id"), "place", F.when(F.col("place") % 5 == 3, F.concat("text", F.lit(" x"))).otherwise(F.col("text")).alias("text"))
-    return B.reconcile(drafts, finals, ["doc_id"])
+    """All sentences of a document, in turns of 40 that are aligned each for itself; a turn has 100 ids of its own."""
+    s = S.sentence_corpus(table(spark, sf_dir, "documents"), "doc_id")
+    finals = s.select("doc_id", F.floor(F.col("pos") / 40).alias("block"), (F.col("pos") % 40).alias("place"), F.col("sentence").alias("text"))
+    drafts = finals.filter(F.col("place") % 4 != 2).select("doc_id", "block", (F.col("block") * 100 + F.col("place") + 1).alias("segment_id"), "place", F.when(F.col("place") % 5 == 3, F.concat("text", F.lit(" x"))).otherwise(F.col("text")).alias("text"))
+    out = B.reconcile(drafts, finals, ["doc_id", "block"])
+    return out.select("doc_id", F.when(F.col("removed"), F.col("place")).otherwise(F.col("block") * 40 + F.col("place")).cast("int").alias("place"), "segment_id", "text", "removed")
 
 
 def throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +221,7 @@ def hint_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("owner", "ok", F.coalesce(F.array_join("terms", "|"), F.lit("")).alias("terms"))
 
 
-QUERIES = {f.__name__: f for f in (packet_gaps, gap_totals, interval_coverage, lost_samples, vad_hysteresis, utterances_short, utterances, utterances_fast, frame_energy, stable_prefix, stable_turns, local_agreement, overlap_trim, reconcile_ids, throttle, overload_rollup, endpoint_counters, cer_rollup, adequacy_rollup, retention_bytes, log_scrub, log_scrub_chunks, first_entries, hint_lists)}
+QUERIES = {f.__name__: f for f in (packet_gaps, gap_totals, interval_coverage, lost_samples, vad_hysteresis, utterances_short, utterances, utterances_fast, frame_energy, stable_prefix, stable_turns, stable_words, local_agreement, overlap_trim, reconcile_ids, throttle, overload_rollup, endpoint_counters, cer_rollup, adequacy_rollup, retention_bytes, log_scrub, log_scrub_chunks, first_entries, hint_lists)}
 
 GAPS = """
 p AS (SELECT user_id AS stream_id, event_id, event_id * 10 + CAST(floor(value) AS BIGINT) AS a FROM events),

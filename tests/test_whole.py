@@ -82,3 +82,33 @@ def test_turns_to_their_last_word(spark, tmp_path):
     assert {t: " ".join(s for r in commits if r.turn == t for s in r.segments) for t in texts} == texts
     shown = folds.preview_publisher(spark, folder).filter("is_final and not removed").orderBy("seq", "segment_id").collect()
     assert " ".join(r.text for r in shown) == " ".join(texts.values())
+
+
+def test_words_of_all_turns(spark, tmp_path):
+    """stable_words: every word of every turn; stable_turns keeps the cuts of its SQL."""
+    texts = {t: " ".join(f"w{i}" for i in range(n)) for t, n in enumerate((3, 70, 13, 1))}
+    folder = saved(spark, tmp_path, "conversations", [(7, t, "user", x) for t, x in texts.items()], "conv_id long, turn int, role string, text string")
+    got = streams.stable_words(spark, folder).orderBy("obs").collect()
+    last = {(r.turn, r.pos): r.text for r in got}
+    assert last == {(t, i): w for t, x in texts.items() for i, w in enumerate(x.split(" "))}
+    again = {}
+    for r in got:
+        again.setdefault((r.turn, r.pos), []).append(r.text)
+    assert all(a != b for texts in again.values() for a, b in zip(texts, texts[1:]))
+
+
+def test_ids_of_all_sentences(spark, tmp_path):
+    """reconcile_ids, behind the fortieth sentence too; ids stay apart."""
+    docs = {n: [f"Line number {i} of text {n} ends here." for i in range(n)] for n in (1, 40, 43, 130)}
+    folder = saved(spark, tmp_path, "documents", [(n, " ".join(s)) for n, s in docs.items()], "doc_id long, text string")
+    rows = streams.reconcile_ids(spark, folder).collect()
+    for n, want in docs.items():
+        kept = sorted((r.place, r.text, r.segment_id) for r in rows if r.doc_id == n and not r.removed)
+        assert [k[:2] for k in kept] == list(enumerate(want)) and len({k[2] for k in kept}) == n
+        assert all(i // 100 == p // 40 for p, _, i in kept)
+
+
+def test_reconcile_one_side(spark):
+    drafts = spark.createDataFrame([(1, 5, 0, "a")], "k int, segment_id long, place int, text string")
+    finals = spark.createDataFrame([(2, 0, "b")], "k int, place int, text string")
+    assert {tuple(r) for r in B.reconcile(drafts, finals, ["k"]).collect()} == {(1, -1, 5, "a", True), (2, 0, 1, "b", False)}
