@@ -115,7 +115,7 @@ def draft_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recheck_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(80)).alias("draft"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("draft"))
     re = F.when(F.col("item_id") % 5 == 0, "").when(F.col("item_id") % 5 == 1, F.reverse("draft")).otherwise(F.concat("draft", F.lit(" more")))
     return B.recheck_choice(b.withColumn("recheck", re)).select("item_id", "give_back", "differs", F.length("chosen").cast("long").alias("n"))
 

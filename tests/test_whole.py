@@ -112,3 +112,11 @@ def test_reconcile_one_side(spark):
     drafts = spark.createDataFrame([(1, 5, 0, "a")], "k int, segment_id long, place int, text string")
     finals = spark.createDataFrame([(2, 0, "b")], "k int, place int, text string")
     assert {tuple(r) for r in B.reconcile(drafts, finals, ["k"]).collect()} == {(1, -1, 5, "a", True), (2, 0, 1, "b", False)}
+
+
+def test_recheck_of_whole_items(spark, tmp_path):
+    """recheck_choice: texts that differ from their reverse only behind the 80th character."""
+    text = "a" * 80 + "bcdefghij" * 40
+    folder = saved(spark, tmp_path, "benchmark", [(i, text) for i in range(3)], "item_id long, text string")
+    got = {r.item_id: (r.give_back, r.differs, r.n) for r in folds.recheck_choice(spark, folder).collect()}
+    assert got == {0: (True, False, 440), 1: (False, True, 440), 2: (False, False, 445)}
