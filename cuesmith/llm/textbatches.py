@@ -4,26 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
-def by_bytes(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of texts whose characters sum to about limit; a longer text is a range of its own."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if held and held + n > limit:
-            yield start, i
-            start, held = i, 0
-        held += n
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def binary_views(column: pa.Array) -> list[memoryview | None]:
-    """The UTF-8 bytes of a string column without decoding."""
-    if pa.types.is_string(column.type):
-        column = column.cast(pa.binary())
-    elif pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_binary())
-    return [None if x is None else x for x in column.to_pylist()]
+def by_bytes(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of rows whose UTF-8 bytes sum to limit at most; a longer text is a range of its own."""
+    ends = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + limit, "right")) - 1)
+        yield a, b
+        a = b

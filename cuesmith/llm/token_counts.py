@@ -54,12 +54,12 @@ def _worker(path: str) -> tuple:
     return _workers[path]
 
 
-def count_batch(texts: list[str | None], path: str, batch_chars: int = 1 << 20) -> list[int]:
+def count_column(texts: pa.Array, path: str, batch_bytes: int = 1 << 20) -> list[int]:
     """Token counts of texts; null counts as empty."""
     encode, known = _worker(path)
     out: list[int] = []
-    for a, b in by_bytes(texts, batch_chars):
-        part = [t or "" for t in texts[a:b]]
+    for a, b in by_bytes(texts, batch_bytes):
+        part = texts.slice(a, b - a).fill_null("").to_pylist()
         if known is None:  # sentencepiece: no cut is safe in every model, so whole texts
             out += encode(part)
             continue
@@ -75,13 +75,13 @@ def count_batch(texts: list[str | None], path: str, batch_chars: int = 1 << 20)
     return out
 
 
-def token_count(text: Column | str, tokenizer_path: str, batch_chars: int = 1 << 20) -> Column:
+def token_count(text: Column | str, tokenizer_path: str, batch_bytes: int = 1 << 20) -> Column:
     """Number of tokens of a text column (long). The file must exist at tokenizer_path on every executor."""
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            yield pa.array(count_batch(column.to_pylist(), tokenizer_path, batch_chars), pa.int64())
+            yield pa.array(count_column(column, tokenizer_path, batch_bytes), pa.int64())
 
     return count(text)
 

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,9 +39,9 @@ MAGIC = b"CUESST01"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
 BLOCK_BYTES = 1 << 17
 BLOOM_BITS, BLOOM_PROBES = 10, 7
-#: Words whose ids a worker keeps.
-CACHE = 500_000
-_workers: dict[str, tuple] = {}
+#: Words of a generation of those whose ids a worker keeps.
+CACHE = 400_000
+_encoders: dict[str, _Encoder] = {}
 
 
 def key_bytes(doc_id: int | None) -> bytes:
@@ -184,72 +185,131 @@ class ShardReader:
         return out
 
 
-def _worker(path: str) -> tuple:
-    if path not in _workers:
+class _Encoder:
+    """A tokenizer and the ids of words that it was asked for, as bytes. Words live in two generations: when the young
+    one is full it becomes the old one, and a word that is met again moves over, so frequent words stay."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+        t = self.tokenizer = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        white = any("\\s+" in str(n) for n in [t.normalizer]) if t.normalizer else False
-        ends = np.zeros(t.get_vocab_size(), bool)
-        ends[[i for w, i in t.get_vocab().items() if w.endswith("</w>")]] = True
-        _workers[path] = (t, {}, 2 if t.get_vocab_size() <= 1 << 16 else 4, white, ends)
-    return _workers[path]
-
-
-def _plain(word: str) -> bool:
-    """Letters only, below U+0130 (where no normal form or lower case changes their number): one word of the
-    tokenizer's own pattern, whose last token and no other ends a word."""
-    return word.isalpha() and max(word) < "\u0130"
-
-
-def _encode_words(words: list[str], worker: tuple) -> dict[str, bytes]:
-    """Ids of words, as bytes. Plain words go in one text and are told apart by their ends; punctuation after a
-    plain word is a word of its own to the tokenizer."""
-    t, known, width, _, ends = worker
-    kind, out = "<u2" if width == 2 else "<u4", {}
-    stems = {w: (w[:-1], w[-1]) for w in words if len(w) > 1 and w[-1] in ".,:;!?" and _plain(w[:-1])}
-    need = list(dict.fromkeys(x for w in words for x in stems.get(w, (w,)) if x not in known))
-    plain = [w for w in need if _plain(w)] if ends.any() else []
-    other = [w for w in need if not _plain(w)] if ends.any() else need
-    for i in range(0, len(plain), 512):
-        chunk = plain[i : i + 512]
-        ids = np.array(t.encode_batch_fast([" ".join(chunk)], add_special_tokens=False)[0].ids, kind)
-        at = np.flatnonzero(ends[ids]) + 1
-        if len(at) != len(chunk):
-            other += chunk
-            continue
-        data, size = ids.tobytes(), ids.itemsize
-        out.update((w, data[a * size : b * size]) for w, a, b in zip(chunk, [0, *at[:-1].tolist()], at.tolist(), strict=True))
-    for i in range(0, len(other), 4096):
-        chunk = other[i : i + 4096]
-        out.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(chunk, t.encode_batch_fast(chunk, add_special_tokens=False), strict=True))
-    whole = lambda w: out[w] if w in out else known[w]
-    out.update((w, whole(a) + whole(b)) for w, (a, b) in stems.items())
-    return out
+        #: Whether the tokenizer drops white space, so that words between it can be encoded apart.
+        self.words_apart = bool(t.normalizer) and "\\s+" in str(t.normalizer)
+        #: Whether letters and punctuation are words of their own to it, in lower case.
+        self.letters_apart = self.words_apart and "[\\\\p{L}]+|" in repr(str(t.pre_tokenizer)) and "Lowercase" in str(t.normalizer)
+        self.ends = np.zeros(t.get_vocab_size(), bool)
+        self.ends[[i for w, i in t.get_vocab().items() if w.endswith("</w>")]] = True
+        self.width = 2 if t.get_vocab_size() <= 1 << 16 else 4
+        self.kind = "<u2" if self.width == 2 else "<u4"
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids_of(self, pieces: pa.Array) -> list[bytes]:
+        """Ids of distinct pieces."""
+        words = pieces.to_pylist()
+        got = list(map(self.young.get, words))
+        need = []
+        for i in [i for i, x in enumerate(got) if x is None]:
+            x = got[i] = self.old.get(words[i])
+            if x is None:
+                need.append(i)
+            else:
+                self.young[words[i]] = x
+        if need:
+            plain = pc.match_substring_regex(pieces.take(pa.array(need)), PLAIN).to_numpy(zero_copy_only=False) & self.ends.any()
+            need = np.array(need)
+            for i, x in zip(need[plain].tolist(), self._plain([words[i] for i in need[plain].tolist()]), strict=True):
+                got[i] = self.young[words[i]] = x
+            for i, x in zip(need[~plain].tolist(), self._apart([words[i] for i in need[~plain].tolist()]), strict=True):
+                got[i] = self.young[words[i]] = x
+            if len(self.young) > CACHE:
+                self.old, self.young = self.young, {}
+        return got
+
+    def _apart(self, words: list[str]) -> list[bytes]:
+        return [ids.tobytes() for i in range(0, len(words), 4096) for ids in self.batch(words[i : i + 4096])]
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Many words in one text, told apart by their last tokens."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 512):
+            chunk = words[i : i + 512]
+            ids = self.batch([" ".join(chunk)])[0]
+            at = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+            if len(at) == len(chunk):
+                data, at = ids.tobytes(), at.tolist()
+                out += [data[a:z] for a, z in zip([0, *at], at)]
+            else:
+                out += self._apart(chunk)
+        return out
 
 
-def encode_batch(texts: list[str | None], path: str, batch_chars: int = 1 << 20) -> list[np.ndarray]:
-    """Ids of whole texts. Where the tokenizer drops white space, words between blanks and line ends are encoded
-    apart (white space ends a token there) and a word seen before is not encoded again."""
-    worker = t, known, width, words_apart, _ = _worker(path)
-    kind = "<u2" if width == 2 else "<u4"
-    out: list[np.ndarray] = []
-    for a, b in by_bytes(texts, batch_chars):
-        part = [x or "" for x in texts[a:b]]
-        if not words_apart:
-            out += [np.array(e.ids, kind) for e in t.encode_batch_fast(part, add_special_tokens=False)]
+#: Letters below U+0130: no normal form or lower case changes their number or leaves a mark at an end. A plain word is one
+#: word of the tokenizer's own pattern, whose last token and no other ends a word.
+LETTER = r"[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}]"
+PLAIN = f"^{LETTER}+$"
+EDGES = (f"({LETTER})([.,:;!?])", f"([.,:;!?])({LETTER})")
+
+
+def _encoder(path: str) -> _Encoder:
+    if path not in _encoders:
+        _encoders[path] = _Encoder(path)
+    return _encoders[path]
+
+
+def _cut(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words between ASCII white space, dictionary-encoded, and the offsets of each text's words."""
+    cut = pc.ascii_split_whitespace(texts)
+    return cut.flatten().dictionary_encode(), cut.offsets.to_numpy()
+
+
+def _lists(lists: pa.ListArray, words: pa.DictionaryArray, of: np.ndarray) -> pa.ListArray:
+    """For each text the items of its words one after the other."""
+    each = lists.take(words.indices)
+    return pa.ListArray.from_arrays(pa.array(each.offsets.to_numpy()[of]), each.values)
+
+
+def encode_column(texts: pa.Array, path: str, run_bytes: int = 16 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, ids a text) of runs of whole texts.
+
+    Where the tokenizer drops white space, Arrow finds the distinct words of a run and the distinct pieces of these
+    words: letters and common punctuation are parted, as the tokenizer parts them, and ASCII letters lower-cased where it
+    lower-cases, but for words with a special string in them. Only pieces are encoded, and ids are taken by index.
+    Other tokenizers get the texts as they are."""
+    encoder = _encoder(path)
+    for a, b in by_bytes(texts, run_bytes):
+        part = texts.slice(a, b - a).fill_null("")
+        if not encoder.words_apart:
+            each = encoder.batch(part.to_pylist())
+            yield np.concatenate(each), np.array([len(x) for x in each])
             continue
-        cuts = [x.replace("\n", " ").split(" ") for x in part]
-        new = list({w for ws in cuts for w in ws if w not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({w for ws in cuts for w in ws})
-        known.update(_encode_words(new, worker))
-        get = known.__getitem__
-        out += [np.frombuffer(b"".join(map(get, ws)), kind) for ws in cuts]
+        words, of_text = _cut(part)
+        parted = words.dictionary
+        if encoder.letters_apart:
+            special = pc.match_substring(parted, "<|")
+            lower = pc.ascii_lower(parted)
+            for edge in EDGES:
+                lower = pc.replace_substring_regex(lower, edge, r"\1 \2")
+            parted = pc.if_else(special, parted, lower)
+        pieces, of_word = _cut(parted)
+        made = encoder.ids_of(pieces.dictionary)
+        size = np.fromiter(map(len, made), np.int64, len(made)) // encoder.width
+        ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(np.frombuffer(b"".join(made), encoder.kind)))
+        out = _lists(_lists(ids, pieces, of_word), words, of_text)
+        yield out.values.to_numpy(), np.diff(out.offsets.to_numpy())
+
+
+def encode_batch(texts: list[str | None], path: str) -> list[np.ndarray]:
+    """Ids of whole texts; null is empty."""
+    out: list[np.ndarray] = []
+    for ids, n in encode_column(pa.array(texts, pa.string()), path):
+        out += np.split(ids, np.cumsum(n)[:-1])
     return out
 
 
@@ -280,11 +340,13 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int | None = None,
             if writer is None:
                 where.create_dir(top, recursive=True)
                 sink = where.open_output_stream(f"{top}/.{name}")
-                writer = ShardWriter(sink, _worker(tokenizer_path)[2])
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in by_bytes(texts, 1 << 20):
-                for k, ids in zip(keys[a:b], encode_batch(texts[a:b], tokenizer_path), strict=True):
-                    writer.add(key_bytes(k), ids if end_id is None else np.append(ids, np.array([end_id], ids.dtype)))
+                writer = ShardWriter(sink, _encoder(tokenizer_path).width)
+            keys = batch.column(0).to_pylist()
+            row = 0
+            for ids, n in encode_column(batch.column(1), tokenizer_path):
+                for part in np.split(ids, np.cumsum(n)[:-1]):
+                    writer.add(key_bytes(keys[row]), part if end_id is None else np.append(part, part.dtype.type(end_id)))
+                    row += 1
             seen = [k for k in keys if k is not None]
             least, most = min([*seen, *([] if least is None else [least])], default=None), max([*seen, *([] if most is None else [most])], default=None)
         if writer is not None:
