@@ -11,6 +11,12 @@
 Index tokens of a set are its first n - ceil(t n) + l tokens in one order for all sets, frequent tokens last;
 two sets of similarity t and more have l of them in common, whatever the order, so nothing is lost. Pairs
 inside a group are not looked at again: they cannot change the components.
+
+Bounds. Let x and y share index tokens; all common tokens before one of these are shared index tokens too. So at
+each of their first l common tokens, the overlap is at most what stands from there on in either set and the shared
+tokens before it, l - 1 at most (`reach`). A set whose reach at a token is under ceil(t n) links through it with
+nobody: the row goes before any join. So a near copy with too many words of its own meets nobody, however large
+the group around it is.
 """
 
 from __future__ import annotations
@@ -20,61 +26,32 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cuesmith.llm.bits import maybe_in, shared_bloom
 from cuesmith.llm.components import components
-from cuesmith.llm.scratch import cut
-from cuesmith.llm.shingles import shingle_set, spread
+from cuesmith.llm.scratch import Tables
+from cuesmith.llm.shingles import shingle_sets, spread
 
 #: Common index tokens that a link must have (fewer for sets that small).
 LEAST_COMMON = 3
 BANDS = 4
-SEEDS = spread(np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+SEEDS = spread(np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Bits of the approximate sets that executors get: a fixed size, whatever they hold.
 FILTER_BITS = 25
 #: A token is frequent from 16 sets or one in so many on; at most this many times the mean set size can be.
 FREQUENT_SHARE = 20_000
 
 
-def needed(n: int, percent: int) -> int:
-    """Least intersection of a set of n with any set that it links with."""
-    return -(-percent * n // 100)
-
-
-def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return hashes >> np.uint64(64 - FILTER_BITS), spread(hashes) >> np.uint64(64 - FILTER_BITS)
-
-
-def bit_filter(hashes: DataFrame) -> np.ndarray:
-    """The packed bits (2**FILTER_BITS) of a one-column table of well spread longs: a Bloom filter of two probes."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.concatenate(_bits(batch.column(0).to_numpy().view(np.uint64))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], ["word", "bits"])
-
-    words = hashes.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), "<i8")
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(np.uint8)
-
-
-def maybe_in(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    a, b = (x.astype(np.int64) for x in _bits(hashes))
-    return ((packed[a >> 3] >> (a & 7)) & (packed[b >> 3] >> (b & 7)) & 1).astype(bool)
-
+def needed(n, percent: int):
+    """Least intersection of a set of n with any set that it links with (n: numbers or a column)."""
+    return -(-percent * n // 100) if not isinstance(n, Column) else F.ceil(n * percent / 100)
 
-def _batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Batches of few rows with the sets of their last column."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            yield part, [shingle_set(t, k) for t in part.column(part.num_columns - 1).to_pylist()]
 
-
-def frequent_tokens(texts: DataFrame, k: int, n_docs: int) -> np.ndarray:
+def frequent_tokens(texts: DataFrame, k: int, n_docs: int) -> Broadcast:
     """An approximate set of the tokens that many sets hold. Tasks count their own sets' tokens and pass on
     those they met at least 4 times; which tokens are marked affects speed only."""
 
@@ -87,107 +64,272 @@ def frequent_tokens(texts: DataFrame, k: int, n_docs: int) -> np.ndarray:
             many = n >= 4
             return pa.RecordBatch.from_arrays([pa.array(t[many].view(np.int64)), pa.array(n[many])], ["token", "n"])
 
-        for _, sets in _batches(batches, k):
-            held += sets
-            size += sum(map(len, sets))
-            if size > 1 << 21:
-                yield out()
-                held, size = [], 0
+        for batch in batches:
+            for _, tokens, _ in shingle_sets(batch.column(0), k):
+                held.append(tokens)
+                size += len(tokens)
+                if size > 1 << 21:
+                    yield out()
+                    held, size = [], 0
         if held:
             yield out()
 
     many = texts.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(16, n_docs // FREQUENT_SHARE))
-
-    return bit_filter(many.select("token"))
-
-
-def features(texts: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """texts(doc_id, text) as row, doc_id, n, s1, s2 (hash of the set), bands, least, tokens (index tokens)."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    return shared_bloom(many.select("token"), FILTER_BITS)
+
+
+def _digests(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two longs a set."""
+    ends = np.cumsum(sizes).tolist()
+    d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(tokens[a:z]) for a, z in zip([0, *ends[:-1]], ends, strict=True)), "<i8").reshape(-1, 2)
+    return d[:, 0], d[:, 1]
+
+
+def _index(tokens: np.ndarray, sizes: np.ndarray, take: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first `take` tokens of each set, the rare ones before the frequent ones, each in the order of hashes."""
+    ends = np.cumsum(sizes)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    rare = np.append(0, np.cumsum(~often))
+    before = rare[:-1] - rare[ends - sizes][of]  # rare tokens of the set before each token
+    place = np.where(often, (rare[ends] - rare[ends - sizes])[of] + np.arange(len(tokens)) - (ends - sizes)[of] - before, before)
+    keep = np.flatnonzero(place < take[of])
+    out = np.empty(int(take.sum()), np.int64)
+    out[(np.cumsum(take) - take)[of[keep]] + place[keep]] = tokens[keep].view(np.int64)
+    return out
+
+
+def _sketches(tokens: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """For each set the parities of its tokens in 2n .. 4n buckets (a power of two, 64 at least), as bits."""
+    out = []
+    ends = np.cumsum(sizes).tolist()
+    for a, z in zip([0, *ends[:-1]], ends, strict=True):
+        bits = max(6, int(2 * (z - a) - 1).bit_length())
+        odd = np.bincount((tokens[a:z] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+        out.append(np.packbits(odd.astype(bool)).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def differences(x: np.ndarray, y: np.ndarray) -> int:
+    """Tokens at least that are in one of two sets only, from their sketches (arrays of bytes): buckets whose parities
+    differ, of the coarser sketch (neighbouring buckets of the finer one fall together there)."""
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):  # fold pairs of neighbouring bits
+        bits = np.unpackbits(y)
+        y = np.packbits(bits[::2] ^ bits[1::2])
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def features(texts: DataFrame, k: int, percent: int, frequent: Broadcast) -> DataFrame:
+    """texts(doc_id, text) as row, doc_id, n, s1, s2 (hash of the set), bands, least, tokens (index tokens), sketch."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _batches(batches, k):
-            s1, s2, bands, least, tokens = [], [], [], [], []
-            for s in sets:
-                a = xxhash.xxh3_128_intdigest(s.tobytes())
-                s1.append((a >> 64) - (1 << 63))
-                s2.append((a & (1 << 64) - 1) - (1 << 63))
-                low = np.array([(spread(s ^ x)).min() for x in SEEDS], np.uint64) if len(s) else np.zeros(0, np.uint64)
-                bands.append(spread(low[::2] * np.uint64(3) + spread(low[1::2] + np.arange(BANDS, dtype=np.uint64)[: len(low) // 2])).view(np.int64).tolist())
-                common = min(LEAST_COMMON, needed(len(s), percent))
-                order = (s >> np.uint64(1)) | (maybe_in(shared.value, s).astype(np.uint64) << np.uint64(63))
-                least.append(common)
-                tokens.append(s[np.argsort(order, kind="stable")[: len(s) - needed(len(s), percent) + common]].view(np.int64))
-            at = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
-            cols = [part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(least, pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "s1", "s2", "bands", "least", "tokens"])
-
-    out = texts.mapInArrow(of, f"doc_id {dict(texts.dtypes)['doc_id']}, n int, s1 long, s2 long, bands array<long>, least int, tokens array<long>")
-    return cut(out.withColumn("row", F.monotonically_increasing_id()), "features")
-
-
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs(a, b: classes) those whose sets link. Sets are made anew from the texts of the classes' first rows."""
-    pairs = cut(pairs.select("a", "b").distinct(), "pairs")
-    if not pairs.limit(1).count():
-        return pairs
-    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct().join(classes, "rep").select("rep", F.col("rep_doc").alias("of_doc"), F.col("s1").alias("of_1"), F.col("s2").alias("of_2"))
-    wanted = cut(wanted, "wanted")
-    shared = texts.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.xxhash64("of_doc"))))
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(maybe_in(shared.value, batch.column(1).to_numpy().view(np.uint64))))
-            for part, sets in _batches([batch], k):
-                d = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-                cols = [part.column(0), pa.array([(x >> 64) - (1 << 63) for x in d], pa.int64()), pa.array([(x & (1 << 64) - 1) - (1 << 63) for x in d], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "s1", "s2", "items"])
-
-    sets = texts.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(sets_of, f"doc_id {dict(texts.dtypes)['doc_id']}, s1 long, s2 long, items binary")
-    on = (F.col("s1") == F.col("of_1")) & (F.col("s2") == F.col("of_2")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))
-    sets = cut(sets.join(wanted, on).select("rep", "items"), "sets")
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return cut(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct(), "links")
-
-
-def _sizes_fit(n: Column, low: Column, high: Column, percent: int) -> Column:
-    return (100 * high >= percent * n) & (100 * n >= percent * low)
+            for row, tokens, n in shingle_sets(batch.column(1), k):
+                some = n > 0
+                begin = (np.cumsum(n) - n)[some]
+                low = [np.minimum.reduceat(tokens * x, begin) if len(begin) else np.zeros(0, np.uint64) for x in SEEDS]
+                bands = np.stack([spread(low[2 * i] * np.uint64(3) + spread(low[2 * i + 1] + np.uint64(i))) for i in range(BANDS)], axis=1)
+                common = np.minimum(LEAST_COMMON, needed(n, percent))
+                take = n - needed(n, percent) + common
+                index = _index(tokens, n, take, maybe_in(frequent.value, tokens))
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(flat)) for size, flat in ((BANDS * some, bands.ravel().view(np.int64)), (take, index))]
+                s1, s2 = _digests(tokens, n)
+                cols = [batch.column(0).slice(row, len(n)), pa.array(n.astype(np.int32)), pa.array(s1), pa.array(s2), lists[0], pa.array(common.astype(np.int32)), lists[1], _sketches(tokens, n)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "s1", "s2", "bands", "least", "tokens", "sketch"])
+
+    out = texts.mapInArrow(of, f"doc_id {dict(texts.dtypes)['doc_id']}, n int, s1 long, s2 long, bands array<long>, least int, tokens array<long>, sketch binary")
+    return out.withColumn("row", F.monotonically_increasing_id())
+
+
+class _Join:
+    """One run of the join: its texts, parameters and written tables."""
+
+    def __init__(self, texts: DataFrame, k: int, percent: int):
+        self.texts, self.k, self.percent = texts, k, percent
+        self.tables = Tables(texts.sparkSession)
+        self.classes = None
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Of pairs(a, b: classes) those whose sets link. Sketches part most that don't; the sets of the others are made
+        anew from the texts of the classes' first rows and meet by their hashes."""
+        k, percent, t = self.k, self.percent, self.tables
+        of = lambda side: self.classes.select(*(F.col(c).alias(f"{side}_{c}") for c in ("rep", "n", "sketch", "s1", "s2")), F.xxhash64("rep_doc").alias(f"{side}_doc"))
+        both = pairs.select("a", "b").distinct().join(of("a"), F.col("a") == F.col("a_rep")).join(of("b"), F.col("b") == F.col("b_rep"))
+        keys = ["a", "b", "a_s1", "a_s2", "a_doc", "b_s1", "b_s2", "b_doc"]
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                most = (100 - percent) * (batch.column(8).to_numpy().astype(np.int64) + batch.column(9).to_numpy())
+                least = [differences(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(batch.column(10), batch.column(11), strict=True)]
+                yield batch.select(range(8)).filter(pa.array((100 + percent) * np.array(least, np.int64) <= most))
+
+        near_pairs = t.cut(both.select(*keys, "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(near, ", ".join(f"{c} long" for c in keys)), "near")
+        shared = shared_bloom(near_pairs.select(F.explode(F.array("a_doc", "b_doc"))), FILTER_BITS)
+
+        def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = set()  # a task gives an equal set once
+            for batch in batches:
+                batch = batch.filter(pa.array(maybe_in(shared.value, batch.column(0).to_numpy().view(np.uint64))))
+                for _, tokens, n in shingle_sets(batch.column(1), k):
+                    s1, s2 = _digests(tokens, n)
+                    items = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, 8 * np.cumsum(n)).astype(np.int32)), pa.py_buffer(tokens)])
+                    fresh = [not (x in seen or seen.add(x)) for x in zip(s1.tolist(), s2.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), items], ["s1", "s2", "items"]).filter(pa.array(fresh, pa.bool_()))
+
+        sets = self.texts.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(sets_of, "s1 long, s2 long, items binary")
+        x, y = (sets.select(F.col("s1").alias(f"{side}_s1"), F.col("s2").alias(f"{side}_s2"), F.col("items").alias(f"{side}_items")) for side in "ab")
+        meet = near_pairs.select("a", "b", "a_s1", "a_s2", "b_s1", "b_s2").join(x, ["a_s1", "a_s2"]).join(y, ["b_s1", "b_s2"])
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    small, large = (x, y) if len(x) < len(y) else (y, x)
+                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                    both = int((large[at] == small).sum())
+                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        links = t.cut(meet.select("a", "b", "a_items", "b_items").mapInArrow(compare, "a long, b long"), name)
+        shared.destroy()
+        t.drop(near_pairs)
+        return links
+
+    def sizes_fit(self, n: Column, low: Column, high: Column) -> Column:
+        return (100 * high >= self.percent * n) & (100 * n >= self.percent * low)
+
+    def reaches(self, reach: Column, n_x: Column, n_y: Column) -> Column:
+        """Whether sets of n_x and n_y link with an overlap of reach."""
+        return (100 + self.percent) * reach >= self.percent * (n_x + n_y)
+
+    def grouped(self) -> DataFrame:
+        """Verified links of classes with the least class of each of their minhash pairs."""
+        banded = self.classes.select("rep", "n", F.explode("bands").alias("band"))
+        hubs = banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("c")).filter("c > 1").select("band", F.col("hub.rep").alias("a"), F.col("hub.n").alias("hub_n"))
+        pairs = banded.join(hubs, "band").filter((F.col("rep") != F.col("a")) & self.sizes_fit(F.col("n"), F.col("hub_n"), F.col("hub_n")))
+        return self.verified(pairs.select("a", F.col("rep").alias("b")), "grouped")
+
+    def indexed(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows(rep, n, least, group, alone, token, pos, size) of tokens that more than one group has, as queries: with own
+        (tokens of the class's index that no other group has), reach and seen, without the rows that can link with nobody.
+
+        seen holds hashes of threes of the class's tokens before the row's: the first, the second and the last three. Two
+        classes with an equal one have three earlier tokens in common, so that token need not bring them together."""
+        of = Window.partitionBy("rep")
+        by = of.orderBy("pos")
+        whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.withColumns({"own": F.col("size") - F.count("*").over(of), "before": F.row_number().over(by) - 1})
+        rows = rows.withColumn("reach", F.col("n") - F.col("pos") + F.least(F.col("before"), F.lit(LEAST_COMMON - 1)))
+        for i, (fewest, three) in enumerate(((3, [F.nth_value("token", j).over(whole) for j in (1, 2, 3)]), (6, [F.nth_value("token", j).over(whole) for j in (4, 5, 6)]), (4, [F.lag("token", j).over(by) for j in (1, 2, 3)]))):
+            rows = rows.withColumn(f"seen{i}", F.when(F.col("before") >= fewest, F.xxhash64(*three)))
+        rows = rows.drop("before").filter(F.col("reach") >= needed(F.col("n"), self.percent)).withColumn("left", F.count("*").over(of))
+        fewest = F.least(F.lit(LEAST_COMMON), needed(needed(F.col("n"), self.percent), self.percent))
+        return self.tables.cut(rows.filter(F.col("left") >= fewest).drop("left"), name)
+
+    def between(self, groups: DataFrame) -> DataFrame:
+        """Queries (see indexed) of the classes' index tokens. An approximate set of the tokens of more than one group
+        thins the index before it is moved again."""
+        rows = self.classes.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "n", "least", F.coalesce("label", "rep").alias("group"), F.col("label").isNull().alias("alone"), "tokens")
+        between = rows.select("group", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 <> g1").select("token")
+        between = self.tables.cut(between, "between")
+        shared = shared_bloom(between, FILTER_BITS)
+
+        def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column(5)
+                token, size = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(size)), size)
+                pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                at = np.flatnonzero(maybe_in(shared.value, token.view(np.uint64)))
+                take = pa.array(row[at])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(5)), pa.array(token[at]), pa.array(pos[at].astype(np.int32)), pa.array(size[row[at]].astype(np.int32))], ["rep", "n", "least", "group", "alone", "token", "pos", "size"])
+
+        queries = rows.mapInArrow(thinned, "rep long, n int, least int, group long, alone boolean, token long, pos int, size int").join(between, "token", "left_semi")
+        out = self.indexed(queries, "queries")
+        shared.destroy()
+        self.tables.drop(between)
+        return out
+
+    def regrouped(self, queries: DataFrame, groups: DataFrame) -> DataFrame:
+        """queries with the groups as they are now, without tokens that are inside one group."""
+        rows = queries.select("rep", "n", "least", "token", "pos", "size").join(groups, F.col("rep") == F.col("node"), "left")
+        rows = rows.withColumns({"group": F.coalesce("label", "rep"), "alone": F.col("label").isNull()}).drop("node", "label")
+        between = rows.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 <> g1").select("token")
+        return self.indexed(rows.join(between, "token", "left_semi"), "regrouped")
+
+    def starred(self, queries: DataFrame) -> DataFrame:
+        """Verified links of classes with one class of another group for each of their tokens: one with the fewest tokens
+        of its own, as the original of a group of copies has. Large clusters grow together here."""
+        # sets link only within one size class (a factor of 100 / percent) or with the next
+        level = F.floor(F.log("n") / F.log(F.lit(100 / self.percent)) + 1e-9).cast("int")
+        hubs = queries.groupBy("token", level.alias("level")).agg(F.min(F.struct("own", "n", "rep", "group", "reach", "least")).alias("hub"))
+        asked = queries.withColumn("level", F.explode(F.array(level, level - 1)))
+        fits = self.sizes_fit(F.col("n"), F.col("hub.n"), F.col("hub.n")) & self.reaches(F.least("reach", "hub.reach"), F.col("n"), F.col("hub.n"))
+        both = asked.join(hubs, ["token", "level"]).filter((F.col("group") != F.col("hub.group")) & fits)
+        pairs = both.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.least("least", "hub.least").alias("least"))
+        return self.verified(possible(pairs), "starred")
+
+    def opened(self, queries: DataFrame) -> DataFrame:
+        """Verified links between classes of different groups, found through the token-group matrix."""
+        q = self.percent
+        spare = (100 + q) * F.col("reach") - q * F.col("n")  # q times the largest set that the class can link with
+        seen = [F.when(F.min("alone"), F.min(f"seen{i}")).alias(f"its{i}") for i in range(3)]
+        matrix = queries.groupBy("token", F.col("group").alias("other")).agg(F.min("alone").alias("single"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("most"), F.max(spare).alias("spare"), F.min("least").alias("l"), *seen)
+        # token-group rows in which a member could still link
+        near = (F.col("group") < F.col("other")) & self.sizes_fit(F.col("n"), F.col("low"), F.col("high")) & self.reaches(F.least("reach", "most"), F.col("n"), F.col("low")) & (F.col("spare") >= q * F.col("n")) & self.unseen("its")
+        meets = queries.join(matrix, "token").filter(near)
+        opened = meets.groupBy("rep", "other", "single").agg(F.count("*").alias("common"), F.min(F.least("least", "l")).alias("least")).filter(F.col("common") >= F.col("least")).select("rep", "other", "single")
+        opened = self.tables.cut(opened, "opened")
+        # members of an opened group must share as many index tokens themselves
+        held = [F.col(f"seen{i}").alias(f"its{i}") for i in range(3)]
+        members = queries.filter("not alone").select(F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("reach").alias("b_reach"), F.col("least").alias("b_least"), F.col("group").alias("other"), "token", *held)
+        fits = self.sizes_fit(F.col("n"), F.col("b_n"), F.col("b_n")) & self.reaches(F.least("reach", "b_reach"), F.col("n"), F.col("b_n")) & self.unseen("its")
+        asks = opened.filter("not single").select("rep", "other").join(queries.select("rep", "n", "least", "token", "reach", "seen0", "seen1", "seen2"), "rep")
+        pairs = asks.join(members, ["other", "token"]).filter(fits).select(F.col("rep").alias("a"), "b", F.least("least", "b_least").alias("least"))
+        pairs = possible(pairs).unionByName(opened.filter("single").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+        links = self.verified(pairs, "opened")
+        self.tables.drop(opened)
+        return links
+
+    def unseen(self, its: str) -> Column:
+        """Whether no three earlier tokens are known to be in common."""
+        return ~F.coalesce(*[F.when(F.col(f"seen{i}") == F.col(f"{its}{i}"), F.lit(True)) for i in range(3)], F.lit(False))
+
+
+def possible(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b), of a row for each common index token, that have enough of them."""
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("least").alias("least")).filter(F.col("common") >= F.col("least")).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
-    n_shingles is the size of the row's set of distinct k-word shingles (see shingle_set); component_id the least
+    n_shingles is the size of the row's set of distinct k-word shingles (see shingle_sets); component_id the least
     doc_id reachable by links of 100 * intersection >= percent * union, the row's own included. Null, empty and
     wordless texts have empty sets and link with nothing. Repeated rows are one class. A null doc_id is carried
     and is never the least where another is there; extra columns are ignored; an empty table gives none.
     """
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    n_docs = texts.count()
-    found = features(texts, k, percent, frequent_tokens(texts.select("text"), k, n_docs))
-    classes = cut(found.filter("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("rep"), F.min_by("doc_id", "row").alias("rep_doc")), "classes")
-    reps = found.join(classes.select("rep"), F.col("row") == F.col("rep")).select("rep", "n", "least", "bands", "tokens")
-    links = _grouped(reps, classes, texts, k, percent)
-    queries = _between(reps, components(links))
-    links = cut(links.unionByName(_starred(queries, classes, texts, k, percent)), "links")
-    links = cut(links.unionByName(_opened(_regrouped(queries, components(links)), classes, texts, k, percent)), "links")
-    ends = components(links)
-    nodes = found.select("row", "doc_id", "n", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left")
+    run = _Join(texts, k, percent)
+    t = run.tables
+    frequent = frequent_tokens(texts.select("text"), k, texts.count())
+    found = t.cut(features(texts, k, percent, frequent), "features")
+    frequent.destroy()
+    firsts = t.cut(found.filter("n > 0").groupBy("s1", "s2").agg(F.min("row").alias("rep")), "firsts")
+    run.classes = t.cut(found.withColumnRenamed("doc_id", "rep_doc").join(firsts.select("rep"), F.col("row") == F.col("rep")).drop("row"), "classes")
+    nodes = t.cut(found.select("row", "doc_id", "n", "s1", "s2").join(firsts, ["s1", "s2"], "left").select("row", "doc_id", "n", "rep"), "nodes")
+    t.drop(found, firsts)
+    links = run.grouped()
+    first = run.between(components(links, t))
+    links = links.unionByName(run.starred(first))
+    second = run.regrouped(first, components(links, t))
+    t.drop(first)
+    links = links.unionByName(run.opened(second))
+    t.drop(second, run.classes)
+    ends = components(links, t)
     nodes = nodes.join(ends, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("row")).alias("label"))
-    nodes = cut(nodes, "nodes")
     least = nodes.groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("component_id"))
     return nodes.join(least, F.col("label") == F.col("of")).select("doc_id", "n_shingles", "component_id")
 
@@ -197,91 +339,13 @@ def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
 
     Rows that are equal in key and text are one document and leave one row; of different texts under one key in a
     component the one with the smaller hash stays. Rows without words link with nothing and stay, as do all
-    columns. Null keys count as the greatest.
+    columns, whatever their names. Null keys count as the greatest.
     """
-    mark = {"_id": F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("th"))}
-    ids = docs.select(mark["_id"].alias("_id"), F.col(text).alias("_text"))
-    ends = jaccard_components(ids, k, percent, "_id", "_text")
-    winners = cut(ends.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c")), "winners")
-    left = docs.withColumns(mark).join(winners.select(F.col("doc_id.none").alias("_n"), F.col("doc_id.id").alias("_i"), F.col("doc_id.th").alias("_t")), F.col("_id.id").eqNullSafe(F.col("_i")) & F.col("_id.th").eqNullSafe(F.col("_t")), "left_semi")
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("th")).alias("doc_id"), F.col(text).alias("text"))
+    ends = jaccard_components(held.select("doc_id", "text"), k, percent)
+    winners = ends.filter("doc_id = component_id").groupBy(F.col("doc_id.id").alias("i"), F.col("doc_id.th").alias("t")).agg(F.count("*").alias("c"))
+    winners = Tables(docs.sparkSession).cut(winners, "winners")
+    left = held.join(winners.select("i", "t"), F.col("doc_id.id").eqNullSafe(F.col("i")) & F.col("doc_id.th").eqNullSafe(F.col("t")), "left_semi")
     if winners.filter("c > 1").limit(1).count():
-        left = left.dropDuplicates(["_id"])
-    return left.select(*docs.columns)
-
-
-def _grouped(reps: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links of classes with the least class of each of their minhash pairs."""
-    banded = reps.select("rep", "n", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("c")).filter("c > 1").select("band", F.col("hub.rep").alias("a"), F.col("hub.n").alias("hub_n"))
-    pairs = banded.join(hubs, "band").filter((F.col("rep") != F.col("a")) & _sizes_fit(F.col("n"), F.col("hub_n"), F.col("hub_n"), percent))
-    return verified(pairs.select("a", F.col("rep").alias("b")), classes, texts, k, percent)
-
-
-def _reachable(rest_x: Column, rest_y: Column, n_x: Column, n_y: Column, percent: int) -> Column:
-    """Whether a pair can link that meets in a token with rest_x and rest_y tokens from it on in either order: an
-    overlap is at most the common tokens before it and the lesser rest, and among the first LEAST_COMMON common
-    tokens at most LEAST_COMMON - 1 stand before."""
-    return (100 + percent) * (F.least(rest_x, rest_y) + LEAST_COMMON - 1) >= percent * (n_x + n_y)
-
-
-def _between(reps: DataFrame, groups: DataFrame) -> DataFrame:
-    """rep, n, least, group, token, rest, own: index tokens that classes of more than one group have; own is the number
-    of a class's index tokens that no other group has. An approximate set of those tokens thins the index before it
-    is moved again."""
-    rows = reps.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "n", "least", F.coalesce("label", "rep").alias("group"), "tokens")
-    between = rows.select("group", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 <> g1").select("token")
-    between = cut(between, "between")
-    shared = reps.sparkSession.sparkContext.broadcast(bit_filter(between))
-
-    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(4)
-            token, size = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(size)), size)
-            pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            at = np.flatnonzero(maybe_in(shared.value, token.view(np.uint64)))
-            take = pa.array(row[at])
-            rest = batch.column(1).to_numpy()[row[at]] - pos[at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(4)), pa.array(token[at]), pa.array(rest.astype(np.int32)), pa.array(size[row[at]].astype(np.int32))], ["rep", "n", "least", "group", "token", "rest", "size"])
-
-    queries = rows.mapInArrow(thinned, "rep long, n int, least int, group long, token long, rest int, size int").join(between, "token", "left_semi")
-    return cut(queries.withColumn("own", F.col("size") - F.count("*").over(Window.partitionBy("rep"))).drop("size"), "queries")
-
-
-def _regrouped(queries: DataFrame, groups: DataFrame) -> DataFrame:
-    """queries with the groups as they are now, without tokens that are inside one group."""
-    rows = queries.drop("group").join(groups, F.col("rep") == F.col("node"), "left").withColumn("group", F.coalesce("label", "rep")).drop("node", "label")
-    between = rows.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 <> g1").select("token")
-    return cut(rows.join(between, "token", "left_semi"), "queries")
-
-
-def _starred(queries: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links of classes with one class of another group for each of their tokens: one with the
-    fewest tokens of its own, as the original of a group of copies has. Large clusters grow together here, so that their members need not meet each other."""
-    # sets link only within one size class (a factor of 100 / percent) or with the next
-    level = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
-    hubs = queries.groupBy("token", level.alias("level")).agg(F.min(F.struct("own", "n", "rep", "group", "rest")).alias("hub"))
-    asked = queries.withColumn("level", F.explode(F.array(level, level - 1)))
-    both = asked.join(hubs, ["token", "level"]).filter((F.col("group") != F.col("hub.group")) & _sizes_fit(F.col("n"), F.col("hub.n"), F.col("hub.n"), percent) & _reachable(F.col("rest"), F.col("hub.rest"), F.col("n"), F.col("hub.n"), percent))
-    pairs = both.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), "n", F.col("hub.n").alias("b_n"), "rest", F.col("hub.rest").alias("b_rest"), "least")
-    return verified(_possible(pairs, percent), classes, texts, k, percent)
-
-
-def _possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), of a row for each common index token, with enough of them, whose first one leaves enough tokens."""
-    both = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("least").alias("least"), F.max(F.least("rest", "b_rest")).alias("rest"), F.first("n").alias("n"), F.first("b_n").alias("b_n"))
-    return both.filter((F.col("common") >= F.col("least")) & ((100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("b_n")))).select("a", "b")
-
-
-def _opened(queries: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links between classes of different groups, found through the token-group matrix."""
-    matrix = queries.groupBy("token", F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("most"))
-    # token-group rows in which a member could still link
-    near = (F.col("group") < F.col("other")) & _sizes_fit(F.col("n"), F.col("low"), F.col("high"), percent) & _reachable(F.col("rest"), F.col("most"), F.col("n"), F.col("low"), percent)
-    meets = queries.join(matrix, "token").filter(near)
-    opened = meets.groupBy("rep", "other").agg(F.count("*").alias("common"), F.first("least").alias("least"), F.first("n").alias("n")).filter(F.col("common") >= F.col("least"))
-    # members of an opened group must share as many index tokens themselves
-    members = queries.select(F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("rest").alias("b_rest"), F.col("group").alias("other"), "token")
-    fits = _sizes_fit(F.col("n"), F.col("b_n"), F.col("b_n"), percent) & _reachable(F.col("rest"), F.col("b_rest"), F.col("n"), F.col("b_n"), percent)
-    pairs = opened.select("rep", "n", "least", "other").join(queries.select("rep", "token", "rest"), "rep").join(members, ["other", "token"]).filter(fits)
-    return verified(_possible(pairs.withColumnRenamed("rep", "a"), percent), classes, texts, k, percent)
+        left = left.dropDuplicates(["doc_id"])
+    return left.select("row.*")

@@ -11,15 +11,37 @@ _own: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; a local temporary folder only where that is unset."""
+    """A new path under spark.checkpoint.dir. Where that is unset, a session on one machine (master local[...]), as in
+    tests, gets a temporary folder; any other raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _own.setdefault("dir", tempfile.mkdtemp(prefix="cuesmith-"))
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+class Tables:
+    """Written tables of one job. drop() deletes those that no later plan reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top, self.paths = spark, scratch_dir(spark), {}
+
+    def cut(self, df: DataFrame, name: str = "table") -> DataFrame:
+        """Write df to the shared folder and read it back: ends the lineage, computes once, survives lost executors."""
+        path = f"{self.top}/{len(self.paths)}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm = self.spark._jvm
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths[id(table)][0])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df to the shared folder and read it back: ends the lineage, computes once, survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """One written table that stays."""
+    return Tables(df.sparkSession).cut(df, name)
