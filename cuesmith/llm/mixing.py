@@ -89,13 +89,14 @@ def source_targets(rows: DataFrame, weights: list[float], share: float, most: fl
 
 
 def mix(rows: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(spans, targets) for rows(row long unique, source, size long; other columns are ignored).
+    """(spans, targets) for rows(row unique and orderable, source, size long; other columns are ignored).
 
     spans: shard, slot, place (of the source), turn (pass over the source), block, row, start, words: a run of
     `words` words of a row from its word `start` (0-based). Each source's words sum to the floor of its target;
     whole passes take every word once, the last takes blocks in permuted order and ends within one, so no row is
     taken more often than `most` rounded up, and no word more often than ceil(target / size). Rows of size 0 have
-    no span; an empty table gives none. Reruns agree: order within a source comes from a hash of the row number.
+    no span; an empty table gives none. Reruns agree, however the
+    rows lie in files and partitions: order within a source comes from a hash of `row` alone.
 
     Source streams are laid out by hash buckets (about 4,096 rows each) whose totals are summed by a window of a
     row a bucket, so one source with most rows is spread over all tasks; blocks and slots meet on (source, block).
@@ -182,29 +183,38 @@ def words_at(text: pa.Array, start: pa.Array, words: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def mix_documents(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, text: str = "text", **how) -> DataFrame:
+def named_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """row, source, size, doc (all columns) of docs: a row is named by hash, key, hash of its text and its number among
+    rows that are equal in these, so its name doesn't depend on where it lies."""
+    th = F.xxhash64(F.col(text))
+    out = docs.select(F.struct(*docs.columns).alias("doc"), F.col("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(key), th, F.col("source")).alias("h"), F.col(key).alias("key"), th.alias("th"))
+    n = F.row_number().over(Window.partitionBy("h", "key", "th", "source").orderBy(F.lit(0)))
+    return out.withColumn("n", n).select(F.struct("h", "key", "th", "n").alias("row"), "source", "size", "doc")
+
+
+def mix_documents(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs as the mix takes them: a row for each document and pass, its text cut to the words taken in that pass
     (whole texts stay as they are, with their white space); n_chars follows the text where docs have it.
 
-    Documents whose words are not taken, and those without words, go. Rows stand in no order; the shards of the
-    mix are in spans of mix().
+    Documents whose words are not taken, and those without words (null, empty, white space), go; an empty table gives
+    none. All columns stay, whatever their names. Rows stand in no order; the shards of the mix are in spans of mix().
     """
-    rows = cut(docs.withColumns({"_row": F.monotonically_increasing_id(), "_size": word_count(F.col(text))}), "rows")
-    spans, _ = mix(rows.select(F.col("_row").alias("row"), "source", F.col("_size").alias("size")), weights, share, most, **how)
-    taken = spans.groupBy(F.col("row").alias("_of"), F.col("turn").alias("_turn")).agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("_spans"), F.sum("words").alias("_n"))
-    out = rows.join(taken, F.col("_row") == F.col("_of"))
-    part = F.col("_n") != F.col("_size")
-    some = F.arrow_udf(words_at, "string")(F.when(part, F.col(text)), F.col("_spans.start"), F.col("_spans.words"))
-    out = out.withColumn("_some", some).withColumn(text, F.when(part, F.col("_some")).otherwise(F.col(text)))
+    rows = cut(named_rows(docs, key, text), "rows")
+    spans, _ = mix(rows, weights, share, most, **how)
+    taken = spans.groupBy(F.col("row").alias("of"), "turn").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("spans"), F.sum("words").alias("words"))
+    out = rows.join(taken, F.col("row") == F.col("of")).select("doc", "spans", F.col(f"doc.{text}").alias("whole"), (F.col("words") != F.col("size")).alias("part"))
+    some = F.arrow_udf(words_at, "string")(F.when(F.col("part"), F.col("whole")), F.col("spans.start"), F.col("spans.words"))
+    out = out.withColumn("some", some).withColumn("kept", F.when(F.col("part"), F.col("some")).otherwise(F.col("whole")))
+    own = {text: F.col("kept")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+        own["n_chars"] = F.length("kept").cast(dict(docs.dtypes)["n_chars"])
+    return out.select(*(own.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))
 
 
 def taken_by_document(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """key, size, source_size, target and taken (words of the row in the mix, repeats counted) for every row of docs."""
-    rows = cut(docs.select(F.col(key), "source", word_count(F.col(text)).alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
+    rows = cut(named_rows(docs.select(key, "source", text), key, text).drop("doc"), "sizes")
     spans, targets = mix(rows, weights, share, most, **how)
     taken = spans.groupBy(F.col("row").alias("r")).agg(F.sum("words").alias("taken"))
     out = rows.join(taken, F.col("row") == F.col("r"), "left").join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    return out.select(key, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    return out.select(F.col("row.key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
