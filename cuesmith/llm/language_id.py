@@ -8,6 +8,7 @@ temperature fitted on a part of the sample that the weights did not see calibrat
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -129,45 +130,49 @@ def held_out(key: Column) -> Column:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Learn from the rows that are not held out and have key, text and language.
 
-    Two passes: thresholds of a hash order over (key, lang) choose per_lang rows of each language; then one scan
+    Two passes: thresholds of a hash order over (key, text) choose per_lang rows of each language; then one scan
     counts every labelled row's document frequencies and brings the features (not the texts) of the chosen rows
-    to the driver: at most per_lang * MAX_LANGS rows of at most 2**15 buckets.
+    to the driver: at most per_lang * MAX_LANGS rows of at most 2**15 buckets. Rows equal in key, text and language
+    are one row of the sample.
     """
     rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(F.col(key)))
-    order = F.xxhash64(F.col(key).cast("string"))
-    ranked = rows.select(F.col(lang).alias("l"), order.alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).filter(F.col("r") <= per_lang)
-    chosen = ranked.groupBy("l").agg(F.max("h").alias("h"), F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGS).collect()
+    order, th = F.xxhash64(F.col(key).cast("string")), F.xxhash64(F.col(text))
+    one = rows.select(F.col(lang).alias("l"), order.alias("h"), th.alias("th"))
+    ranked = one.withColumn("r", F.dense_rank().over(Window.partitionBy("l").orderBy("h", "th"))).filter(F.col("r") <= per_lang)
+    # rows equal in key, text and language share a rank: they count once
+    chosen = ranked.distinct().groupBy("l").agg(F.max(F.struct("h", "th")).alias("last"), F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGS).collect()
     langs = sorted(x.l for x in chosen)
     if not langs:
         return Model([], np.ones(SIZE), np.zeros((SIZE, 0)), np.zeros(0), 1.0)
-    upto = {x.l: x.h for x in chosen}
+    upto = {x.l: (x.last.h, x.last.th) for x in chosen}
+    none = (-(1 << 63), -(1 << 63) - 1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, taken = np.zeros(SIZE, np.int64), 0, []
         for batch in batches:
-            for t, l, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for t, l, *h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at, count = grams(t)
                 df[at] += 1
                 n += 1
-                if h <= upto.get(l, -(1 << 63) - 1):
-                    taken.append((h, l, at.astype("<u2").tobytes(), count.astype("<u4").tobytes()))
+                if tuple(h) <= upto.get(l, none):
+                    taken.append((*h, l, at.astype("<u2").tobytes(), count.astype("<u4").tobytes()))
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"bucket": [*at.tolist(), -1], "n": [*df[at].tolist(), n], "h": [None] * (len(at) + 1), "l": [None] * (len(at) + 1), "at": [None] * (len(at) + 1), "count": [None] * (len(at) + 1)}, schema=SCHEMA)
+        yield pa.RecordBatch.from_pydict({"bucket": [*at.tolist(), -1], "n": [*df[at].tolist(), n], "h": [None] * (len(at) + 1), "th": [None] * (len(at) + 1), "l": [None] * (len(at) + 1), "at": [None] * (len(at) + 1), "count": [None] * (len(at) + 1)}, schema=SCHEMA)
         for k in range(0, len(taken), 256):
-            h, l, at, count = zip(*taken[k : k + 256], strict=True)
-            yield pa.RecordBatch.from_pydict({"bucket": [-2] * len(h), "n": [0] * len(h), "h": h, "l": l, "at": at, "count": count}, schema=SCHEMA)
+            h, th, l, at, count = zip(*taken[k : k + 256], strict=True)
+            yield pa.RecordBatch.from_pydict({"bucket": [-2] * len(h), "n": [0] * len(h), "h": h, "th": th, "l": l, "at": at, "count": count}, schema=SCHEMA)
 
-    out = rows.select(text, lang, order.alias("h")).mapInArrow(scan, "bucket int, n long, h long, l string, at binary, count binary")
+    out = rows.select(text, lang, order.alias("h"), th.alias("th")).mapInArrow(scan, "bucket int, n long, h long, th long, l string, at binary, count binary")
     out = cut(out, "features")
     total = {x.bucket: x.n for x in out.filter("bucket >= -1").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # at most 2**15 + 1 rows
     idf = np.ones(SIZE)
     for b in range(SIZE):
         idf[b] = np.log((1 + total[-1]) / (1 + total.get(b, 0))) + 1
-    sample = out.filter("bucket = -2").select("h", "l", "at", "count").toPandas().sort_values(["h", "l", "at"], kind="stable")
+    sample = out.filter("bucket = -2").dropDuplicates(["h", "th", "l"]).select("h", "th", "l", "at", "count").toPandas().sort_values(["h", "th", "l"], kind="stable")
     return fit(sample, langs, idf)
 
 
-SCHEMA = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("h", pa.int64()), ("l", pa.string()), ("at", pa.binary()), ("count", pa.binary())])
+SCHEMA = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("h", pa.int64()), ("th", pa.int64()), ("l", pa.string()), ("at", pa.binary()), ("count", pa.binary())])
 
 
 def fit(sample: pd.DataFrame, langs: list[str], idf: np.ndarray) -> Model:
@@ -198,5 +203,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             langs, scores = shared.value.predict(column.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    out = docs.drop("lang_pred", "score", "_predicted").withColumn("_predicted", predict(F.col(text)))
-    return out.withColumn("lang_pred", F.col("_predicted.lang_pred")).withColumn("score", F.col("_predicted.score")).drop("_predicted")
+    made = f"predicted_{uuid.uuid4().hex}"  # no column of docs has this name
+    out = docs.drop("lang_pred", "score").withColumn(made, predict(F.col(text)))
+    return out.withColumn("lang_pred", F.col(f"{made}.lang_pred")).withColumn("score", F.col(f"{made}.score")).drop(made)
