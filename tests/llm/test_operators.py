@@ -1,11 +1,13 @@
 """The numbered operators against brute force, and their edge cases."""
 
 import hashlib
+import os
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -87,8 +89,8 @@ def test_mix(spark, docs):
         assert abs(r.target - want[r.source]) < 1e-6 * max(1, want[r.source]) and r.source_size == sizes[r.source] and 0 <= r.taken <= 2 * r["size"]
         taken[r.source] = taken.get(r.source, 0) + r.taken
     assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
-    again = mixing.taken_by_document(docs.repartition(7), queries.WEIGHTS, block_words=16, shard_blocks=64).groupBy("source").agg(F.sum("taken").alias("t")).collect()
-    assert {r.source: r.t for r in again} == taken
+    again = mixing.taken_by_document(docs.repartition(7), queries.WEIGHTS, block_words=16, shard_blocks=64).collect()
+    assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in rows)
 
 
 def test_mix_spans(spark, docs):
@@ -117,6 +119,9 @@ def test_mixed_documents(spark, docs):
 def test_mix_edges(spark, odd):
     rows = mixing.taken_by_document(odd, queries.WEIGHTS).collect()
     assert len(rows) == odd.count() and all(r.taken <= 2 * r["size"] for r in rows)
+    clash = odd.selectExpr("*", "1 as _row", "2 as _size", "3 as _of", "4 as spans", "5 as size", "6 as part")
+    mixed = mixing.mix_documents(clash, queries.WEIGHTS).collect()
+    assert mixed and all((r._row, r._size, r._of, r.spans, r["size"], r.part, r.row, r.words) == (1, 2, 3, 4, 5, 6, "r", "x") and r.text and r.n_chars == len(r.text) for r in mixed)
     assert mixing.taken_by_document(odd.limit(0), queries.WEIGHTS).count() == 0 and mixing.mix_documents(odd.limit(0), queries.WEIGHTS).count() == 0
 
 
@@ -138,9 +143,9 @@ def test_counts_by_hypothesis():
     t, w = Tokenizer.from_file(BYTES), Tokenizer.from_file(WORDS)
 
     @settings(max_examples=150, deadline=None)
-    @given(st.text(st.sampled_from(list("ab Zé'.,!\n\t12\x85　\x1c中<|endoftext|>s")), max_size=40))
+    @given(st.text(st.sampled_from(list("ab Zé'.,!\n\t\r\x0b\x0c12\x85　\x1c中<|endoftext|>s")), max_size=40))
     def check(x):
-        assert token_counts.count_batch([x], BYTES) == [len(t.encode(x, add_special_tokens=False))]
+        assert token_counts.count_column(pa.array([x], pa.string()), BYTES) == [len(t.encode(x, add_special_tokens=False))]
         assert token_store.encode_batch([x], WORDS)[0].tolist() == w.encode(x, add_special_tokens=False).ids
 
     check()
@@ -251,14 +256,15 @@ def brute_bytes(rows, n):
 
 def test_suffix_order():
     rng = np.random.default_rng(0)
-    for _ in range(40):
-        sizes = np.sort(rng.integers(1, 12, rng.integers(1, 8)))[::-1]
+    for _ in range(60):
+        sizes = np.sort(rng.integers(1, 14, rng.integers(1, 9)))[::-1]
         x = np.zeros((len(sizes), sizes[0]), np.uint8)
         for i, n in enumerate(sizes):
             x[i, sizes[0] - n :] = rng.integers(97, 100, n)
-        place = substring_dedup.suffix_order(x, sizes)
+        place, common = substring_dedup.suffix_order(x, sizes, 5)
         every = sorted((place[i, j], bytes(x[i, sizes[0] - j :]) if j else b"") for i, n in enumerate(sizes) for j in range(n + 1))
         assert [p for p, _ in every] == list(range(len(every))) and all(a[1] <= b[1] for a, b in zip(every, every[1:]))
+        assert common.tolist() == [0, *(min(5, len(os.path.commonprefix((a[1], b[1])))) for a, b in zip(every, every[1:]))]
 
 
 def test_repeats(spark, texts, monkeypatch):
@@ -288,13 +294,15 @@ def test_repeats_edges(spark, odd):
 # 7
 
 
-def test_search(spark):
+def test_search(spark, monkeypatch):
+    for name, size in (("SHARD_ROWS", 40), ("LEAF_ROWS", 8), ("BLOCK_ROWS", 3)):
+        monkeypatch.setattr(topk_search, name, size)
     rng = np.random.default_rng(2)
     v = [(i, [float(x) for x in rng.normal(0, 0.3, 6).round(1)]) for i in range(300)]
     v += [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (450, [0.5, 0.5]), (451, [0.1, 0.2]), (None, [0.1] * 6), (500, []), (501, []), (50, v[50][1])]
     df = spark.createDataFrame(v, "id long, e array<double>").select("id", topk_search.quantised(F.col("e")).alias("v"))
     got = {}
-    for r in topk_search.top_k(df, df.filter("id % 50 = 0"), 5, lanes=3).orderBy("query_id", "rank").collect():
+    for r in topk_search.top_k(df, df.filter("id % 50 = 0"), 5, first=1).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.score, r.vec_id))
     good = {i: np.floor(256 * np.array(e)) for i, e in v if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)}
     rows = [(i, good[i]) for i, e in v if i in good]
@@ -307,8 +315,7 @@ def test_tree_prunes():
     rng = np.random.default_rng(0)
     x = (np.repeat(rng.normal(0, 300, (20, 8)), 100, axis=0) + rng.normal(0, 5, (2000, 8))).astype(np.int64)
     tree = topk_search.Tree(np.arange(2000), x, 64)
-    best = [[]]
-    tree.search(x[:1].astype(float), np.array([0]), 5, best)
+    best = tree.search(x[:1].astype(float), np.array([0]), 5, np.array([-np.inf]))
     assert [i for _, i in best[0]] == sorted(range(1, 2000), key=lambda i: (-int(x[i] @ x[0]), i))[:5]
 
 
@@ -323,6 +330,8 @@ def test_language(spark, docs, odd):
     assert sum(r.lang == r.lang_pred for r in apart) >= 0.95 * len(apart) and all(0 <= r.score <= 1 for r in rows)
     got = language_id.identify(odd, model).collect()
     assert all((r.lang_pred == "und") == (not any(map(str.isalpha, r.text or ""))) for r in got) and len(got) == odd.count()
+    named = language_id.identify(odd.withColumn("_predicted", F.lit(7)), model)
+    assert {r._predicted for r in named.collect()} == {7}
     empty = language_id.train(docs.limit(0))
     assert {r.lang_pred for r in language_id.identify(odd, empty).collect()} == {"und"}
 
@@ -333,6 +342,49 @@ def test_language_learns_only_from_its_rows(spark, docs):
     assert a.langs == b.langs and np.allclose(a.weights, b.weights) and a.temperature == b.temperature
 
 
+def plain_ftrl(rows, labels, n_langs, alpha=0.5, beta=1.0, l1=0.02, l2=0.5, passes=3):
+    """One number at a time, with dictionaries."""
+    z, n = {}, {}
+
+    def weight(f, k):
+        x, pen = z.get((f, k), 0.0), 0.0 if f == "bias" else l1
+        return 0.0 if abs(x) <= pen else -(x - (pen if x > 0 else -pen)) / ((beta + n.get((f, k), 0.0) ** 0.5) / alpha + l2)
+
+    for _ in range(passes):
+        for (at, v), y in zip(rows, labels):
+            feats = [*zip(at.tolist(), v.tolist()), ("bias", 1.0)]
+            w = {(f, k): weight(f, k) for f, _ in feats for k in range(n_langs)}
+            s = [sum(x * w[f, k] for f, x in feats) for k in range(n_langs)]
+            e = [np.exp(x - max(s)) for x in s]
+            for k in range(n_langs):
+                for f, x in feats:
+                    g = x * (e[k] / sum(e) - (k == y))
+                    old = n.get((f, k), 0.0)
+                    z[f, k] = z.get((f, k), 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / alpha * w[f, k]
+                    n[f, k] = old + g * g
+    return {(f, k): weight(f, k) for f, k in z}
+
+
+def test_language_model_brute(texts):
+    some = [t[:300] for t in list(texts.values())[:50]]
+    labels = np.arange(50) % 3
+    idf = np.ones(language_id.SIZE)
+    rows = [language_id.vector(t, idf) for t in some]
+    w, b = language_id.ftrl(rows, labels, 3)
+    want = plain_ftrl(rows, labels, 3)
+    assert all(abs((b[k] if f == "bias" else w[f, k]) - x) < 1e-9 for (f, k), x in want.items()) and sum(x != 0 for x in want.values()) > 20
+    logits = np.array([v @ w[at] + b for at, v in rows])
+    loss = lambda t: float(np.mean([np.log(np.exp(x / t - (x / t).max()).sum()) + (x / t).max() - (x / t)[y] for x, y in zip(logits, labels)]))
+    best = min(np.exp(np.linspace(-3, 3, 2001)), key=loss)
+    assert loss(language_id.temperature(logits, labels)) <= loss(best) + 1e-9
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(1, "la casa roja", "es")] * 300 + [(i, f"the red house {i}", "en") for i in range(2, 60)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=20)
+    assert model.langs == ["en", "es"] and model.predict(["the red house"])[0] == ["en"]
+
+
 # 9
 
 
@@ -384,6 +436,37 @@ def test_jaccard(spark):
 
 def test_jaccard_edges(spark, odd):
     assert jaccard_join.jaccard_components(odd).count() == odd.count()
+    clash = odd.selectExpr("*", "1 as _id", "2 as _n", "3 as id", "4 as _t")
+    kept = jaccard_join.one_of_each_group(clash).collect()
+    assert kept and all((r._id, r._n, r.id, r._t, r.row) == (1, 2, 3, 4, "r") for r in kept)
+
+
+def test_sketches_bound_differences():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        base = rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64) * np.uint64(2)
+        x = np.unique(base[rng.random(len(base)) < 0.9])
+        y = np.unique(np.concatenate([base[rng.random(len(base)) < 0.9], rng.integers(0, 2**63, rng.integers(0, 40)).astype(np.uint64)]))
+        a, b = (np.frombuffer(s.as_buffer(), np.uint8) for s in jaccard_join._sketches(np.concatenate([x, y]), np.array([len(x), len(y)])))
+        assert jaccard_join.differences(a, b) <= len(np.setxor1d(x, y))
+
+
+def test_near_copies_of_one_text(spark):
+    """A large cluster with many members on both sides of the threshold, and a passage in many other texts."""
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(250):
+        t = list(base)
+        for j in rng.integers(0, len(t), rng.integers(0, 7)):
+            t[j] = f"x{rng.integers(0, 40)}"
+        if i % 3 == 0:
+            del t[: rng.integers(0, 12)]
+        rows.append((i, " ".join(t)))
+    rows += [(1000 + i, " ".join([f"r{j}" for j in rng.integers(0, 9999, rng.integers(2, 30))] + base[:60])) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, 4, 85).collect()}
+    assert got == brute_components(rows, 4, 85)
 
 
 def test_components(spark):
@@ -428,3 +511,24 @@ def test_pipeline(spark):
             dirty = {r.doc_id for r in benchmark_clean.contamination(before, spark.read.parquet(f"{SF}/benchmark.parquet")).filter("contaminated").collect()}
             assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in before.collect()} - dirty
     assert sorted(corpus_pipeline.run(spark, SF).columns) == ["doc_id", "ids_crc32", "n_tokens", "start"]
+
+
+def test_pipeline_odd_rows(spark, docs, odd, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing names through all stages, and an empty table."""
+    import corpus_pipeline
+
+    named = docs.limit(60).select(F.col("doc_id") + 1000, "text", "lang", "source", "n_chars", *(F.lit(c).alias(c) for c in ("n_words", "row", "hits", "words", "label", "score"))).toDF(*odd.columns)
+    both = odd.unionByName(named)
+    for start in (both, both.limit(0)):
+        kept = start
+        for name, stage in corpus_pipeline.STAGES:
+            path = f"{tmp_path}/{name}-{start is both}"
+            stage(spark, kept, SF).write.parquet(path)
+            kept = spark.read.parquet(path)
+            if name == "language_id":
+                assert all(r.text and any(map(str.isalpha, r.text)) for r in kept.collect())
+            if name == "source_mix":
+                assert all(r.text.strip() for r in kept.collect())
+            if name != "token_output":
+                assert kept.columns == odd.columns
+        assert (kept.count() > 0) == (start is both)
