@@ -114,6 +114,12 @@ def sentence_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[\s\p{Z}\p{P}]+", "")
 
 
+def script_key(text: Column, variants: dict[str, str]) -> Column:
+    """sentence_key() with characters that are variants of another (traditional forms, say) as that one; without a
+    mapping nothing changes."""
+    return F.translate(sentence_key(text), "".join(variants), "".join(variants.values())) if variants else sentence_key(text)
+
+
 # Units that belong to the number before them.
 UNITS = "[%％元块塊秒年月日个個台倍万萬亿億]|美元|日元|人民币|人民幣|分钟|分鐘|小时|小時|公里|公斤|毫秒|원|달러|초|분|시간|개"
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 FRAME = 320
 VOICED_RMS = 0.002
+#: Bytes of audio that are squared at a time.
+HELD_BYTES = 4 << 20
 
 
 def checked_packets(packets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,23 +50,30 @@ def frame_energy(packets: DataFrame) -> DataFrame:
     """stream_id, frame_idx, rms, voiced for every whole frame of 320 samples, at absolute sample positions.
 
     A packet gives each frame it touches the sum of squares of its part; parts meet by (stream, frame), so frames
-    that cross packets need no carry and packets may come in any order. Frames with missing samples are left out.
+    that cross packets need no carry and packets may come in any order. Frames with missing samples are left out, as are
+    empty packets and those that end inside a sample.
     """
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for stream, start, pcm in zip(b["stream_id"], b["start_sample"], b["pcm"], strict=True):
-                x = np.frombuffer(pcm, "<i2").astype(np.int64)
-                if not len(x):
-                    continue
-                frames = np.arange(start // FRAME, (start + len(x) - 1) // FRAME + 1)
-                at = np.maximum(frames * FRAME - start, 0)
-                out.append(pd.DataFrame({"stream_id": stream, "frame_idx": frames, "squares": np.add.reduceat(x * x, at), "n": np.diff(np.append(at, len(x)))}))
-            yield pd.concat(out) if out else pd.DataFrame({"stream_id": [], "frame_idx": [], "squares": [], "n": []})
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            groups = np.cumsum(size) // HELD_BYTES
+            cuts = np.flatnonzero(np.diff(groups, prepend=-1)).tolist()
+            for a, z in zip(cuts, [*cuts[1:], len(size)]):  # packets of about HELD_BYTES at a time
+                part, n = batch.slice(a, z - a), size[a:z] // 2
+                x = np.frombuffer(b"".join(part.column(2).to_pylist()), "<i2").astype(np.int64)
+                start = part.column(1).to_numpy()
+                first = start // FRAME
+                frames = (start + n - 1) // FRAME - first + 1
+                packet = np.repeat(np.arange(len(n)), frames)
+                frame = first[packet] + np.arange(len(packet)) - np.repeat(np.cumsum(frames) - frames, frames)
+                begin = (np.cumsum(n) - n)[packet] + np.maximum(frame * FRAME - start[packet], 0)
+                sums = [np.add.reduceat(x * x, begin), np.diff(np.append(begin, len(x)))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(packet)), pa.array(frame), *map(pa.array, sums)], ["stream_id", "frame_idx", "squares", "n"])
 
     kind = dict(packets.dtypes)["stream_id"]
-    rows = packets.select("stream_id", "start_sample", "pcm").mapInPandas(parts, f"stream_id {kind}, frame_idx long, squares long, n long")
+    some = packets.filter((F.length("pcm") > 0) & (F.length("pcm") % 2 == 0)).select("stream_id", F.col("start_sample").cast("long"), "pcm")
+    rows = some.mapInArrow(parts, f"stream_id {kind}, frame_idx long, squares long, n long")
     whole = rows.groupBy("stream_id", "frame_idx").agg(F.sum("squares").alias("squares"), F.sum("n").alias("n")).filter(F.col("n") == FRAME)
     rms = F.sqrt(F.col("squares") / FRAME) / 32768
     return whole.select("stream_id", "frame_idx", rms.alias("rms"), (rms >= VOICED_RMS).alias("voiced"))
@@ -221,3 +232,93 @@ def short_utterances(frames: DataFrame, stream: str, index: str = "frame_idx", v
     last = F.col("z") + cut.silence
     first = F.greatest(F.lit(0), F.col("a") - cut.prefix)
     return runs.filter((last <= F.col("_end")) & (F.col("n_voiced") >= cut.voiced) & (last - first + 1 <= cut.most)).select(stream, first.cast("long").alias("first_frame"), last.cast("long").alias("last_frame"), "n_voiced")
+
+
+#: Recheck windows: forced after 4 s, once more after a second more.
+RECHECK, EXTRA = Cutting(), 50
+CHECKED = "first_frame long, last_frame long, n_voiced long, probe boolean, rechecked boolean, forced boolean, overlaps_previous boolean"
+
+
+def checked_windows(voiced: list[bool], use: Callable[[int, int], bool], cut: Cutting = RECHECK, extra: int = EXTRA) -> list[tuple]:
+    """Recognition requests over the frames of one stretch of a stream. A window that reaches `most` frames is first asked
+    for as a probe and again (rechecked) with up to `extra` frames more; use(first, last) tells whether the longer one
+    counts. If not, the window ends at the probe and the frames behind it are heard again."""
+    out: list[tuple] = []
+    at, begin, floor, overlap = 0, -1, 0, False
+    heard, silent, probed = 0, 0, 0  # voiced frames, unvoiced ones at the end, frames up to the probe
+    while at < len(voiced):
+        if begin < 0:
+            if not voiced[at]:
+                at += 1
+                continue
+            begin = max(floor, at - cut.prefix)
+        heard, silent = heard + voiced[at], 0 if voiced[at] else silent + 1
+        at += 1
+        natural = silent >= cut.silence
+        if not natural and at - begin < cut.most + (extra if probed else 0):
+            continue
+        asked, forced = heard >= cut.voiced, not natural
+        probe = asked and forced and not probed
+        if asked:
+            out.append((begin, at - 1, heard, probe, bool(probed), forced, overlap))
+        if probe:
+            probed = at
+            continue
+        if asked and probed and not use(begin, at - 1):
+            at, forced = probed, True
+        begin, floor, overlap = (at - cut.carry, floor, True) if forced else (-1, at - cut.prefix, False)
+        heard = silent = probed = 0
+    return out
+
+
+def rechecked_utterances(frames: DataFrame, stream: str, use: Callable[[int, int], bool], index: str = "frame_idx", voiced: str = "voiced", cut: Cutting = RECHECK, extra: int = EXTRA) -> DataFrame:
+    """Requests of checked_windows() for every stream, folded by islands as utterances() does: 2 * silence - 1 unvoiced
+    frames end every window, whatever was given back before them."""
+    apart = 2 * cut.silence - 1
+    w = Window.partitionBy(stream).orderBy(index)
+    rows = frames.filter(F.col(voiced)).withColumn("_new", F.coalesce((F.col(index) - F.lag(index).over(w) - 1 >= apart).cast("long"), F.lit(0)))
+    rows = rows.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = frames.groupBy(F.col(stream).alias("_s")).agg(F.max(index).alias("_end"))
+    rows = rows.join(ends, F.col(stream) == F.col("_s")).select(stream, "island", F.col(index).alias("i"), "_end")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        i = np.sort(pdf["i"].to_numpy())
+        start = max(0, int(i[0]) - cut.prefix)
+        bits = np.zeros(min(int(pdf["_end"].iloc[0]), int(i[-1]) + apart) - start + 1, bool)
+        bits[i - start] = True
+        out = checked_windows(bits.tolist(), lambda a, z: use(a + start, z + start), cut, extra)
+        return pd.DataFrame([(pdf[stream].iloc[0], a + start, z + start, *r) for a, z, *r in out], columns=[stream, *(c.split(" ")[0] for c in CHECKED.split(", "))])
+
+    return rows.groupBy(stream, "island").applyInPandas(fold, f"{stream} {dict(frames.dtypes)[stream]}, {CHECKED}")
+
+
+def voice_probability(frames: DataFrame, detector: Callable[[list[bytes]], list[float]], pcm: str = "pcm", name: str = "p") -> DataFrame:
+    """frames with the probability of voice that a pluggable detector gives each frame's PCM, in Arrow batches; see
+    hysteresis() for what makes speech of it. A null frame has none."""
+
+    @F.pandas_udf("double")
+    def call(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            some = s.notna()
+            out = pd.Series(np.nan, index=s.index, dtype=object).where(some, None)
+            out[some] = detector([bytes(x) for x in s[some]])
+            yield out.astype("Float64")
+
+    return frames.withColumn(name, call(F.col(pcm)))
+
+
+def recognized(windows: DataFrame, recognizer: Callable[[list[bytes], list[str]], list[tuple[str, str]]], pcm: str = "pcm", language: str = "language") -> DataFrame:
+    """windows with text and heard_language: a pluggable recognizer called on Arrow batches of PCM and languages. Windows
+    without audio have an empty text in the language asked for and are not sent."""
+
+    @F.pandas_udf("text string, heard_language string")
+    def call(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for audio, asked in parts:
+            rows: list[tuple] = [("", x) for x in asked]
+            some = [i for i, x in enumerate(audio) if x is not None and len(x)]
+            for i, x in zip(some, recognizer([bytes(audio.iloc[i]) for i in some], [asked.iloc[i] for i in some]) if some else [], strict=True):
+                rows[i] = x
+            yield pd.DataFrame(rows, columns=["text", "heard_language"])
+
+    out = windows.withColumn("_heard", call(F.col(pcm), F.col(language)))
+    return out.select(*windows.columns, "_heard.text", "_heard.heard_language")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -36,12 +37,18 @@ def prior_context(rows: DataFrame, keys: list[str], order: list[str], text: str,
 def rolling_prompt(rows: DataFrame, keys: list[str], order: list[str], text: str, size: int = 500, reset: Column | None = None) -> DataFrame:
     """rows with prompt: the last `size` characters of the texts before (joined by blanks) since the last reset.
 
-    A text adds at least a character and a blank, so at most `size` earlier rows are looked at.
+    Each row gathers the texts that end within `size` characters before its own end, cut to `size` each (so about twice
+    that at most), and hands them to the next row.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    out = rows.withColumn("_part", F.sum(F.coalesce(reset, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) if reset is not None else F.lit(0))
-    back = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(-size, -1)
-    return out.withColumn("prompt", F.right(F.array_join(F.collect_list(F.when(F.trim(text) != "", F.trim(text))).over(back), " "), F.lit(size))).drop("_part")
+    part = F.sum(F.coalesce(reset, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) if reset is not None else F.lit(0)
+    own = F.right(F.nullif(F.trim(text), F.lit("")), F.lit(size))
+    out = rows.withColumns({"_part": part, "_own": own})
+    by = Window.partitionBy(*keys, "_part")
+    out = out.withColumn("_end", F.sum(F.coalesce(F.length("_own") + 1, F.lit(0)).cast("long")).over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    near = F.collect_list("_own").over(by.orderBy("_end").rangeBetween(-size, 0))
+    out = out.withColumn("_held", F.right(F.array_join(near, " "), F.lit(size)))
+    return out.withColumn("prompt", F.coalesce(F.lag("_held").over(by.orderBy(*order)), F.lit(""))).drop("_part", "_own", "_end", "_held")
 
 
 def glossary(entries: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
@@ -54,19 +61,26 @@ def glossary(entries: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]
     return kept.select("pos", "source", "target"), issues
 
 
-def match_glossary(texts: DataFrame, terms: DataFrame, key: str, text: str = "text", most: int = 20) -> DataFrame:
+def match_glossary(texts: DataFrame, terms: DataFrame, key: str, text: str = "text", most: int = 20, catalog: int = 200) -> DataFrame:
     """key, source, target, place: the terms found in each text, longest first, then by catalog order, at most `most`.
 
     Matches are exact; an edge of a term that is an ASCII letter, digit or _ must stand at a word boundary. terms
-    comes from glossary(), so it has at most 200 rows and is broadcast; the cheap instr runs before the pattern.
+    comes from glossary() and has at most `catalog` rows (more raise): they stand in the expression in the order of
+    their places, each with a pattern of its own, so a text is matched in one narrow scan.
     """
-    word = "[A-Za-z0-9_]"
-    left = F.when(F.col("source").rlike(f"^{word}"), F.lit(f"(?<!{word})")).otherwise("")
-    right = F.when(F.col("source").rlike(f"{word}$"), F.lit(f"(?!{word})")).otherwise("")
-    terms = terms.withColumn("pattern", F.concat(left, F.lit(r"\Q"), "source", F.lit(r"\E"), right))
-    hits = texts.select(key, text).join(F.broadcast(terms), (F.instr(F.col(text), F.col("source")) > 0) & F.rlike(F.col(text), F.col("pattern")))
-    w = Window.partitionBy(key).orderBy(F.desc(F.length("source")), "pos")
-    return hits.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select(key, "source", "target", "place")
+    rows = terms.select("pos", "source", "target").limit(catalog + 1).collect()
+    if len(rows) > catalog:
+        raise ValueError(f"a glossary has at most {catalog} terms")
+    word = re.compile("[A-Za-z0-9_]", re.A)
+    found = []
+    for r in sorted(rows, key=lambda r: (-len(r.source), r.pos)):
+        edges = ("(?<![A-Za-z0-9_])" if word.match(r.source[0]) else "", "(?![A-Za-z0-9_])" if word.match(r.source[-1]) else "")
+        hit = F.col(text).contains(r.source)
+        if any(edges):
+            hit &= F.col(text).rlike(edges[0] + r"\Q" + r.source.replace(r"\E", r"\E\\E\Q") + r"\E" + edges[1])
+        found.append(F.when(hit, F.struct(F.lit(r.source).alias("source"), F.lit(r.target).alias("target"))))
+    kept = F.slice(F.filter(F.array(*found), lambda x: x.isNotNull()), 1, most) if found else F.array().cast("array<struct<source:string,target:string>>")
+    return texts.select(key, F.posexplode(kept).alias("place", "hit")).select(key, "hit.source", "hit.target", (F.col("place") + 1).alias("place"))
 
 
 def memoized(work: DataFrame, keys: list[str], run: Callable[[DataFrame], DataFrame], result: str = "result") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,15 +46,30 @@ def within_bytes(rows: DataFrame, group: str, order: str, size: Column, budget:
     return rows.withColumn("bytes_kept", F.sum(size.cast("long")).over(w)).filter(F.col("bytes_kept") <= budget)
 
 
+# Fixed value: what models read as control sequences.
+MODEL_TOKENS = r"(?i)<\||\|>|\[/?INST\]|<</?SYS>>|</?(?:asr_text|think|start_of_turn|end_of_turn)>"
+
+
+def _nfc(terms: pd.Series) -> pd.Series:
+    return terms.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+
+
 def hint_lists(terms: DataFrame, owner: str = "owner", most: int = 32, each: int = 48, total: int = 512) -> DataFrame:
-    """owner, terms, ok: trimmed terms in order without blanks and repeats; a list that breaks a limit is rejected
-    whole (terms null)."""
-    rows = terms.withColumn("term", F.trim("term")).filter("term <> ''")
-    rows = rows.groupBy(owner, "term").agg(F.min("pos").alias("pos"))
-    out = rows.groupBy(owner).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("terms"))
+    """owner, terms, ok: terms in order (NFC, without space around them), without blanks and repeats.
+
+    A list is rejected whole (terms null) if it comes with more than `most` entries, repeats and blanks counted, if a
+    term is longer than `each` or holds control characters or model tokens, or if the terms kept are longer than
+    `total`. No more than the first `most` + 1 entries of an owner are gathered.
+    """
+    first = terms.withColumn("_r", F.row_number().over(Window.partitionBy(owner).orderBy("pos"))).filter(F.col("_r") <= most + 1)
+    term = F.when(F.col("term").rlike(r"[^\x00-\x7f]"), F.pandas_udf(_nfc, "string")("term")).otherwise(F.col("term"))
+    rows = first.select(owner, "_r", F.regexp_replace(F.coalesce(term, F.lit("")), r"^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$", "").alias("term"))
+    bad = (F.length("term") > each) | F.col("term").rlike(r"[\p{Cc}\p{Cf}\p{Cs}\p{Zl}\p{Zp}]") | F.col("term").rlike(MODEL_TOKENS)
+    lists = rows.groupBy(owner).agg(F.max("_r").alias("n"), F.bool_or(bad).alias("bad"), F.sort_array(F.collect_list(F.struct("_r", "term"))).alias("all"))
+    kept = F.array_distinct(F.filter(F.transform("all", lambda x: x["term"]), lambda t: t != ""))
     size = F.aggregate("terms", F.lit(0), lambda a, t: a + F.length(t))
-    ok = (F.size("terms") <= most) & F.forall("terms", lambda t: F.length(t) <= each) & (size <= total)
-    return out.withColumn("ok", ok).withColumn("terms", F.when(F.col("ok"), F.col("terms")))
+    out = lists.withColumn("terms", kept).withColumn("ok", (F.col("n") <= most) & ~F.col("bad") & (size <= total))
+    return out.select(owner, F.when(F.col("ok"), F.col("terms")).alias("terms"), "ok")
 
 
 def scrubbed(text: Column, secrets: list[str], mark: str = "[REDACTED]") -> Column:

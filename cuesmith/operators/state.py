@@ -35,45 +35,71 @@ def latest_k(state: DataFrame, k: int = 100, per: list[str] | None = None, order
     return state.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
 
 
+class Rotation:
+    """A list of captions, newest first, cut to `limit`; keys that were evicted or removed are remembered (the last
+    `memory` of them) and stay out while remembered. Rows are tuples that begin with session, segment, revision, final."""
+
+    def __init__(self, limit: int, memory: int):
+        self.limit, self.memory, self.rows, self.seen = limit, memory, {}, {}
+
+    def take(self, row: tuple, removed: bool, seq: int) -> None:
+        key = row[:2]
+        if removed:
+            self.rows.pop(key, None)
+        elif key in self.rows:
+            old = self.rows[key]
+            if row[2:4] < old[0][2:4]:
+                return
+            self.rows[key] = (row, old[1])  # keeps its place
+        elif key in self.seen:
+            return
+        else:
+            self.rows[key] = (row, seq)
+            if len(self.rows) > self.limit:
+                del self.rows[next(iter(self.rows))]
+        self.seen.pop(key, None)
+        self.seen[key] = None
+        if len(self.seen) > self.memory:
+            del self.seen[next(iter(self.seen))]
+
+    def newest_first(self) -> list[tuple]:
+        """(row, arrived)."""
+        return list(self.rows.values())[::-1]
+
+
 def bounded_history(events: DataFrame, owner: str, schema: str, limit: int = 100, memory: int = 1000) -> DataFrame:
-    """Sequential rotation per owner: a new caption enters first and the list is cut to `limit`; keys evicted or
-    removed are remembered (the last `memory` of them) and stay out while remembered. Owners are folded apart."""
-
-    def fold(pdf):
-        import pandas as pd
-
-        rows: dict = {}
-        order: list = []
-        seen: dict = {}
-        for e in pdf.sort_values("seq", kind="stable").to_dict("records"):
-            key = (e["session_id"], e["segment_id"])
-            if e["removed"]:
-                if key in rows:
-                    del rows[key]
-                    order.remove(key)
-            elif key in rows:
-                old = rows[key]
-                if (e["revision"], e["is_final"]) < (old["revision"], old["is_final"]):
-                    continue
-                rows[key] = {**e, "arrived": old["arrived"]}
-            elif key in seen:
-                continue
-            else:
-                rows[key] = {**e, "arrived": e["seq"]}
-                order.insert(0, key)
-                for gone in order[limit:]:
-                    del rows[gone]
-                del order[limit:]
-            seen.pop(key, None)
-            seen[key] = None
-            while len(seen) > memory:
-                seen.pop(next(iter(seen)))
-        return pd.DataFrame([{**rows[k], "position": i + 1} for i, k in enumerate(order)], columns=names)
+    """Sequential rotation per owner (see Rotation), with arrived and position; schema names the columns to return.
 
+    Rows are sorted within partitions by owner and read in Arrow batches; the state is one owner's list and memory.
+    """
+    import pandas as pd
     from pyspark.sql.types import StructType
 
     names = StructType.fromDDL(schema).fieldNames()
-    return events.groupBy(owner).applyInPandas(fold, schema)
+    keys = ["session_id", "segment_id", "revision", "is_final"]
+    carried = [*keys, *(c for c in names if c not in (*keys, "arrived", "position"))]
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = events.select(*dict.fromkeys([*carried, owner, "removed", "seq"])).repartition(n, owner).sortWithinPartitions(owner, "seq")
+
+    def run(parts):
+        now, state = None, None
+
+        def out():
+            rows = [dict(zip(carried, row)) | {"arrived": at, "position": i} for i, (row, at) in enumerate(state.newest_first(), 1)]
+            return pd.DataFrame(rows, columns=names)
+
+        for p in parts:
+            rows = zip(*(p[c].tolist() for c in carried), strict=True)
+            for who, row, removed, seq in zip(p[owner].tolist(), rows, p["removed"].tolist(), p["seq"].tolist(), strict=True):
+                if state is None or who != now:
+                    if state is not None:
+                        yield out()
+                    now, state = who, Rotation(limit, memory)
+                state.take(row, removed, seq)
+        if state is not None:
+            yield out()
+
+    return ordered.mapInPandas(run, schema)
 
 
 def drop_repeats(transcripts: DataFrame, session: str, order: str, same: list[str], resets: Column, keep: Column) -> DataFrame:
@@ -119,3 +145,8 @@ def gap_restart(captions: DataFrame, gaps: DataFrame, session: str = "session_id
     both = both.withColumn("epoch", F.sum("gap").over(w.orderBy("seq", F.desc("gap")).rowsBetween(Window.unboundedPreceding, 0))).withColumn("current", F.sum("gap").over(w))
     own = both.filter("gap = 0").groupBy(session, "segment_id").agg(F.max_by(F.struct("epoch", "current", "is_final"), "seq").alias("last"))
     return own.filter(~F.col("last.is_final") & (F.col("last.epoch") < F.col("last.current"))).select(session, "segment_id", F.col("last.epoch").alias("epoch"), F.lit(True).alias("removed"))
+
+
+def in_scope(events: DataFrame, active: DataFrame, session: str = "session_id") -> DataFrame:
+    """Events of active sessions only."""
+    return events.join(active.select(session).distinct(), session, "left_semi")

@@ -120,8 +120,7 @@ def sentence_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reading_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = turns(spark, sf_dir).filter(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return t.select("conv_id", "turn", X.reading_ms(F.col("text"), F.col("turn")).alias("ms"))
+    return turns(spark, sf_dir).select("conv_id", "turn", X.reading_ms(F.col("text"), F.col("turn")).alias("ms"))
 
 
 def short_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,8 +211,8 @@ WITH k AS (SELECT doc_id, md5(regexp_replace(lower(text), '[\s\p{Z}\p{P}]+', '',
 SELECT k, count(*) AS copies, min(doc_id) AS first_doc FROM k GROUP BY k HAVING count(*) > 1""",
     "sentence_conservation": r"SELECT doc_id, length(regexp_replace(text, '[\s\p{Z}]+', '', 'g')) AS n_visible FROM documents WHERE length(regexp_replace(text, '[\s\p{Z}]+', '', 'g')) > 0",
     "reading_time": r"""
-SELECT conv_id, turn, greatest(650.0, least(3500.0, 500 + 75.0 * length(regexp_replace(text, '\s+', '', 'g'))))::DOUBLE * CASE WHEN turn >= 6 THEN 0.8::DOUBLE WHEN turn >= 3 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS ms
-FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7f]')""",
+SELECT conv_id, turn, greatest(650.0, least(3500.0, 500 + 75.0 * length_grapheme(regexp_replace(text, '\s+', '', 'g'))))::DOUBLE * CASE WHEN turn >= 6 THEN 0.8::DOUBLE WHEN turn >= 3 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS ms
+FROM conversations""",
     "short_turns": r"""
 WITH t AS (SELECT conv_id, turn, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS n, len(list_filter(regexp_split_to_array(trim(text), '[\s\p{Z}]+'), lambda w: w <> '')) AS words FROM conversations)
 SELECT conv_id, turn, words <= 2 AND n <= 24 AS short, words >= 4 AS clause FROM t""",

@@ -39,23 +39,40 @@ def phrase_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "pos", "p.start", "p.end", "p.text")
 
 
+#: Words of a window of audio (13 s with their pauses), and places kept for its observations.
+WINDOW_WORDS, PLACES = 35, 16
+
+
 def commit_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn heard second by second: words that began so far, the last one in doubt at odd seconds, then a final."""
+    """Growing timed words of every turn, in windows of 35 words: an observation a second with the words heard so far, the
+    last one doubtful at odd seconds, and a final of each window. Every word is in one window, so a turn costs as much as
+    it has words. seq counts windows by 16."""
     # dealt by turn before the seconds multiply the words: the fold then needs no other shuffle
     t = timed_words(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
+    t = t.withColumn("window", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.size("words") - 1) / WINDOW_WORDS))))
+    begin = F.col("window") * (WINDOW_WORDS * 0.3 + WINDOW_WORDS // 7 * 0.5)
+    own = F.slice("words", (F.col("window") * WINDOW_WORDS + 1).cast("int"), F.lit(WINDOW_WORDS))
+    t = t.withColumn("words", F.transform(own, lambda w: F.struct(F.greatest(F.lit(0.0), w["s"] - begin).alias("s"), (w["e"] - begin).alias("e"), w["w"].alias("w"))))
     end = F.element_at("words", -1)["e"]
-    obs = t.withColumn("seq", F.explode(F.sequence(F.lit(1), F.ceil(end).cast("int") + 1))).withColumn("last", F.col("seq") == F.ceil(end) + 1)
-    heard = F.filter("words", lambda w: w["e"] <= F.col("seq") - 0.1)
-    doubt = F.transform(heard, lambda w, i: F.struct(w["s"].alias("s"), w["e"].alias("e"), F.when((i == F.size(heard) - 1) & (F.col("seq") % 2 == 1) & ~F.col("last"), F.concat(w["w"], F.lit("x"))).otherwise(w["w"]).alias("w")))
-    rows = obs.select("conv_id", "turn", "seq", "last", doubt.alias("words"))
+    obs = t.withColumn("at", F.explode(F.sequence(F.lit(1), F.ceil(end).cast("int") + 1))).withColumn("last", F.col("at") == F.ceil(end) + 1)
+    heard = F.filter("words", lambda w: w["e"] <= F.col("at") - 0.1)
+    doubt = F.transform(heard, lambda w, i: F.struct(w["s"].alias("s"), w["e"].alias("e"), F.when((i == F.size(heard) - 1) & (F.col("at") % 2 == 1) & ~F.col("last"), F.concat(w["w"], F.lit("x"))).otherwise(w["w"]).alias("w")))
+    rows = obs.select("conv_id", "turn", (F.col("window") * PLACES + F.col("at")).alias("seq"), "at", "last", doubt.alias("words"))
+
+    class Fold:
+        """A fold for each window of a turn."""
+
+        def __init__(self) -> None:
+            self.window, self.fold = None, None
 
-    class Fold(K.WordCommit):
         def row(self, r: dict) -> dict:
+            if self.window != r["seq"] // PLACES:
+                self.window, self.fold = r["seq"] // PLACES, K.WordCommit()
             words = [(w["s"], w["e"], w["w"]) for w in r["words"]]
-            return super().row({"audio_end": float(r["seq"]), "is_final": r["last"], "speculative": False, "voiced": len(words), "words": words})
+            return self.fold.row({"audio_end": float(r["at"]), "is_final": r["last"], "speculative": False, "voiced": len(words), "words": words})
 
-    schema = "seq int, segments array<string>, committed string, pending string, warnings array<string>"
-    return K.folded_rows(rows, ["conv_id", "turn"], "seq", Fold, schema, lambda r, o: [(r["seq"], o["segments"], o["committed"], o["pending"], o["warnings"])])
+    schema = "seq long, is_final boolean, segments array<string>, committed string, pending string, warnings array<string>"
+    return K.folded_rows(rows, ["conv_id", "turn"], "seq", Fold, schema, lambda r, o: [(r["seq"], r["last"], o["segments"], o["committed"], o["pending"], o["warnings"])])
 
 
 def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,19 +103,19 @@ def revised_publisher(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preview_publisher(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Previews over what the timed-word fold leaves pending; a conversation is a session, a turn a window."""
-    rows = commit_hypotheses(spark, sf_dir)
-    last = F.size("warnings") < 0
-    rows = rows.select("conv_id", F.col("turn").alias("window_id"), (F.col("turn").cast("long") * 1_000_000 + F.col("seq")).alias("seq"), F.col("seq").cast("double").alias("audio"), (F.col("turn") * 1_000_000.0 + F.col("seq")).alias("t"), "pending", "segments", last.alias("is_final"))
+    """Previews over what the timed-word fold leaves pending, and its finals; a conversation is a session."""
+    at = F.col("turn").cast("long") * 1_000_000 + F.col("seq")
+    rows = commit_hypotheses(spark, sf_dir).select("conv_id", F.floor(at / PLACES).alias("window_id"), at.alias("seq"), (F.col("seq") % PLACES).cast("double").alias("audio"), at.cast("double").alias("t"), "pending", "segments", "is_final")
     return K.folded_rows(rows, ["conv_id"], "seq", K.PreviewPublisher, UPDATES, updates_of)
 
 
 def result_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs in order, each with a result three events later."""
-    e = table(spark, sf_dir, "events").select((F.col("user_id")).alias("session_id"), (F.col("event_id") % 5).alias("segment_id"), F.col("event_id").alias("revision"), (F.col("event_type") == "purchase").alias("is_final"), F.concat(F.lit("text "), F.repeat(F.lit("a"), F.floor(F.col("value") / 20).cast("int"))).alias("source"))
+    """Jobs in order, each with a result 750 events later, if its source still may be shown; the language changes now and
+    then."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id")).alias("session_id"), (F.col("event_id") % 5).alias("segment_id"), F.col("event_id").alias("revision"), (F.col("event_type") == "purchase").alias("is_final"), F.concat(F.lit("text "), F.repeat(F.lit("a"), F.floor(F.col("value") / 20).cast("int"))).alias("source"), F.when(F.col("event_id") % 97 == 0, "en").otherwise("ko").alias("language"))
     jobs = e.withColumns({"kind": F.lit("job"), "seq": F.col("revision") * 2})
     results = e.withColumns({"kind": F.lit("result"), "seq": F.col("revision") * 2 + 1501})
-    return B.accepted_results(jobs.unionByName(results))
+    return B.accepted_results(jobs.unionByName(results), same=("language",))
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,9 +126,16 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def draft_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(200)).alias("text"))
-    cut = d.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(60))).alias("n"))
-    return cut.select("doc_id", "n", X.extends_draft(F.left("text", F.col("n")), F.col("text")).alias("extends"), X.numeric_split(F.left("text", F.col("n")), F.substr("text", F.col("n") + 1)).alias("number"))
+    """Two cuts for each word of every text, in its middle and behind it: doc_id, n (2 * word + cut). Both rules look no
+    further than the words next to the space around a cut, so three words before and two after it decide."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"\s*\S+"), F.lit(0)).alias("w"))
+    at = lambda i: F.coalesce(F.get("w", i), F.lit(""))
+    near = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(i.alias("i"), F.concat(at(i - 2), at(i - 1)).alias("before"), at(i).alias("word"), F.concat(at(i + 1), at(i + 2)).alias("after")))
+    rows = d.filter(F.size("w") > 0).select("doc_id", F.explode(near).alias("c")).select("doc_id", "c.*")
+    half = F.floor(F.length("word") / 2).cast("int")
+    cuts = F.array(F.struct(F.lit(0).alias("k"), half.alias("m")), F.struct(F.lit(1).alias("k"), F.length("word").alias("m")))
+    rows = rows.withColumn("cut", F.explode(cuts)).select("doc_id", (F.col("i").cast("long") * 2 + F.col("cut.k")).alias("n"), F.concat("before", F.left("word", F.col("cut.m"))).alias("older"), F.concat(F.substr("word", F.col("cut.m") + 1), "after").alias("rest"))
+    return rows.select("doc_id", "n", X.extends_draft(F.col("older"), F.concat("older", "rest")).alias("extends"), X.numeric_split(F.col("older"), F.col("rest")).alias("number"))
 
 
 def recheck_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,8 +164,12 @@ _CLEAN = r"regexp_replace(trim(text), '<(\|?[A-Za-z_][A-Za-z0-9_./:|+-]*\|?)>',
 
 ORACLES = {
     "draft_extension": rf"""
-WITH d AS (SELECT doc_id, left(text, 200) AS t, unnest(generate_series(1, 60)) AS n FROM documents),
-e AS (SELECT doc_id, n, t, left(t, n) AS a, substr(t, n + 1, 1) AS b, substr(t, n + 2, 1) AS c, rtrim(left(t, n), ' ') AS l, ltrim(substr(t, n + 1), ' ') AS r FROM d),
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d),
+h AS (SELECT doc_id, i, concat(CASE WHEN i > 2 THEN w[i - 2] END, CASE WHEN i > 1 THEN w[i - 1] END) AS before, w[i] AS word, concat(w[i + 1], w[i + 2]) AS after FROM i),
+k AS (SELECT doc_id, (i - 1) * 2 + c AS n, before || left(word, m) AS a, substr(word, m + 1) || after AS z
+  FROM (SELECT *, CASE WHEN c = 0 THEN length(word) // 2 ELSE length(word) END AS m FROM h, (VALUES (0), (1)) v(c))),
+e AS (SELECT doc_id, n, a || z AS t, a, substr(z, 1, 1) AS b, substr(z, 2, 1) AS c, rtrim(a, ' ') AS l, ltrim(z, ' ') AS r FROM k),
 m AS (
   SELECT *, regexp_matches(a, '[''’_\-‐‑]\z') AS tied, regexp_matches(b, '[\s\p{{Z}}]') AS space,
     regexp_matches(b, '^[''’_\-‐‑\p{{M}}]') AS tie_next, regexp_matches(a, '^\p{{M}}*\z') AS bare,
@@ -149,7 +177,7 @@ m AS (
     regexp_matches(a, '[\p{{L}}\p{{N}}]\p{{M}}*\z') AND regexp_matches(b, '^[\p{{L}}\p{{N}}]') AS inside,
     regexp_extract(l, '[A-Za-z0-9]+\z') AS ends, regexp_extract(r, '^[A-Za-z0-9]+') AS starts
   FROM e)
-SELECT doc_id, n, coalesce(length(a) < length(t) AND ((space AND NOT tied) OR (NOT space AND NOT tied AND NOT tie_next AND NOT bare AND NOT num AND NOT inside)), false) AS extends,
+SELECT doc_id, n, coalesce(a <> '' AND length(a) < length(t) AND ((space AND NOT tied) OR (NOT space AND NOT tied AND NOT tie_next AND NOT bare AND NOT num AND NOT inside)), false) AS extends,
   coalesce((regexp_matches(l, '\d[.,:，]\z') AND regexp_matches(r, '^\d')) OR (ends <> '' AND starts <> '' AND regexp_matches(ends || starts, '[0-9]')) OR (regexp_matches(l, '\d\z') AND regexp_matches(r, '^(?:{X.UNITS})')), false) AS number
 FROM m""",
     "prompts": rf"""

@@ -72,6 +72,22 @@ def utterances_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.utterances(_frames(spark, sf_dir), "stream_id", cut=A.FAST)
 
 
+def utterances_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 12 s without overlap, which an endpoint may close and never opens; what is open at the end closes too."""
+    frames = _frames(spark, sf_dir).withColumn("endpoint", F.col("frame_idx") % 97 == 0)
+    return A.utterances(frames, "stream_id", cut=A.LONG, endpoint="endpoint")
+
+
+def _longer(first: int, last: int) -> bool:
+    """Whether the recheck of a window counts, as a recognizer would tell."""
+    return (first + last) % 3 != 0
+
+
+def utterances_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 4 s that are looked at once more with a second more, a third of which is given back."""
+    return A.rechecked_utterances(_frames(spark, sf_dir), "stream_id", _longer)
+
+
 def frame_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of 480 samples, each of one amplitude from the event's value."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.floor(F.col("value") * 10).cast("int").alias("a"))
@@ -124,26 +140,24 @@ def stable_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stable_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rule over conversations: turn t shows words 1 .. 4t of the first turn as one-word sentences."""
-    c = table(spark, sf_dir, "conversations")
-    words = c.filter("turn = 0").select(F.col("conv_id").alias("turn"), F.posexplode(F.slice(F.split("text", " "), 1, 12)).alias("pos", "text"))
-    grown = words.withColumn("obs", F.explode(F.sequence(F.floor(F.col("pos") / 3) + 1, F.lit(5).cast("long")))).withColumn("t", F.col("obs") * 0.4)
-    odd = (F.col("pos") % 5 == 3) & (F.col("obs") % 2 == 1)
-    grown = grown.withColumn("text", F.when(odd, F.upper("text")).otherwise(F.col("text"))).withColumn("pos", F.col("pos").cast("long"))
-    return B.stable_prefixes(grown)
+    """The same rule over conversations: whole turns as sentences, one more each time up to 6, then twice as many; every
+    fourth turn is in doubt (upper case) at odd observations."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("turn"), F.col("turn").cast("long").alias("pos"), "text")
+    grown = c.withColumn("obs", F.explode(F.sequence(first_shown(F.col("pos")), first_shown(F.col("pos")) + 5))).withColumn("t", F.col("obs") * 0.4)
+    odd = (F.col("pos") % 4 == 3) & (F.col("obs") % 2 == 1)
+    return B.stable_prefixes(grown.withColumn("text", F.when(odd, F.upper("text")).otherwise(F.col("text"))))
 
 
 def stable_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule of stable_turns over all turns and all words: conv_id, turn, pos, obs, t, text. Observation o shows
-    words 1 .. 3o up to 18, then twice as many each time; as in observations(), three follow the last word."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("words"))
-    c = c.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
+    """The rule over all words of all turns: turn (conv_id * 1000 + turn), pos, obs, t, text. Observation o shows words
+    1 .. 3o up to 18, then twice as many each time; as in observations(), three follow the last word."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn"), F.split("text", " ").alias("words"))
+    c = c.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "turn")
     first = lambda pos: first_shown(F.floor(pos / 3))
-    words = c.select(F.struct("conv_id", "turn").alias("turn"), F.size("words").cast("long").alias("n"), F.posexplode("words").alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
+    words = c.select("turn", F.size("words").cast("long").alias("n"), F.posexplode("words").alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
     grown = words.withColumn("obs", F.explode(F.sequence(first(F.col("pos")), F.greatest(F.lit(5).cast("long"), first(F.col("n") - 1) + 3)))).withColumn("t", F.col("obs") * 0.4)
     odd = (F.col("pos") % 5 == 3) & (F.col("obs") % 2 == 1) & (F.col("obs") <= first(F.col("n") - 1))
-    out = B.stable_prefixes(grown.withColumn("text", F.when(odd, F.upper("text")).otherwise(F.col("text"))))
-    return out.select("turn.conv_id", "turn.turn", "pos", "obs", "t", "text")
+    return B.stable_prefixes(grown.withColumn("text", F.when(odd, F.upper("text")).otherwise(F.col("text"))))
 
 
 def local_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,11 +167,11 @@ def local_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlap_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with the last 20 characters of the turn before put in front, on every second turn marked as a cut."""
-    c = table(spark, sf_dir, "conversations").filter(F.col("text").rlike(r"^[\x20-\x7e]+$"))
+    c = table(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     tail = F.right(F.trim(F.lag("text").over(w)), F.lit(20))
     rows = c.select("conv_id", "turn", F.when((F.col("turn") % 2 == 1) & F.lag("text").over(w).isNotNull(), F.concat(tail, F.lit(" "), "text")).otherwise(F.col("text")).alias("text"))
-    return B.overlap_trimmed(rows, ["conv_id"], ["turn"], "text", F.col("turn") % 2 == 1).select("conv_id", "turn", F.md5("trimmed").alias("trimmed_md5"), F.length("trimmed").cast("long").alias("n"))
+    return B.with_cjk(rows, ["conv_id"], ["turn"], "text", F.col("turn") % 2 == 1).select("conv_id", "turn", F.md5("trimmed").alias("trimmed_md5"), F.length("trimmed").cast("long").alias("n"))
 
 
 def reconcile_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +198,7 @@ def endpoint_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").filter(F.col("text").rlike(r"^[\x00-\x7f]*$")).withColumn("clip", F.col("item_id") % 4)
+    b = table(spark, sf_dir, "benchmark").withColumn("clip", F.col("item_id") % 4)
     return M.error_rate(b, F.lower("text"), F.lower(F.regexp_replace("text", "th", "t")), ["clip"])
 
 
@@ -221,7 +235,7 @@ def hint_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("owner", "ok", F.coalesce(F.array_join("terms", "|"), F.lit("")).alias("terms"))
 
 
-QUERIES = {f.__name__: f for f in (packet_gaps, gap_totals, interval_coverage, lost_samples, vad_hysteresis, utterances_short, utterances, utterances_fast, frame_energy, stable_prefix, stable_turns, stable_words, local_agreement, overlap_trim, reconcile_ids, throttle, overload_rollup, endpoint_counters, cer_rollup, adequacy_rollup, retention_bytes, log_scrub, log_scrub_chunks, first_entries, hint_lists)}
+QUERIES = {f.__name__: f for f in (packet_gaps, gap_totals, interval_coverage, lost_samples, vad_hysteresis, utterances_short, utterances, utterances_fast, utterances_long, utterances_recheck, frame_energy, stable_prefix, stable_turns, stable_words, local_agreement, overlap_trim, reconcile_ids, throttle, overload_rollup, endpoint_counters, cer_rollup, adequacy_rollup, retention_bytes, log_scrub, log_scrub_chunks, first_entries, hint_lists)}
 
 GAPS = """
 p AS (SELECT user_id AS stream_id, event_id, event_id * 10 + CAST(floor(value) AS BIGINT) AS a FROM events),
@@ -229,8 +243,10 @@ g AS (SELECT *, greatest(0, coalesce(a - lag(a + 320) OVER (PARTITION BY stream_
 e AS (SELECT *, CAST(sum(CASE WHEN missing > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY event_id) AS BIGINT) AS epoch FROM g)
 """
 SPANS = "s AS (SELECT user_id AS stream_id, event_type, event_id * 10 AS a, event_id * 10 + CAST(floor(value * 40) AS BIGINT) AS z FROM events)"
+#: SQL of first_shown().
+FIRST = "CASE WHEN {0} < 6 THEN {0} + 1 ELSE 6 + length(bin({0} // 6)) END"
 STABLE = """
-p AS (SELECT *, string_agg(text, chr(31)) OVER (PARTITION BY turn, obs ORDER BY pos) AS pre FROM o),
+p AS (SELECT *, sum(hash(text, pos)::HUGEINT) OVER (PARTITION BY turn, obs ORDER BY pos) AS pre FROM o),
 n AS (SELECT *, CASE WHEN lag(pre) OVER w = pre AND lag(obs) OVER w = obs - 1 THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY turn, pos ORDER BY obs)),
 i AS (SELECT *, sum(new) OVER (PARTITION BY turn, pos ORDER BY obs) AS isl FROM n),
 r AS (SELECT *, row_number() OVER (PARTITION BY turn, pos, isl ORDER BY obs) AS k, min(t) OVER (PARTITION BY turn, pos, isl) AS since FROM i),
@@ -270,20 +286,24 @@ o AS (SELECT s, i, r, a, least(320 * i + 320, 480 * r + 480) - greatest(320 * i,
 e AS (SELECT s, i, sum(n * a * a)::DOUBLE AS e, sum(n) AS n FROM o GROUP BY 1, 2)
 SELECT s AS stream_id, i AS frame_idx, sqrt(e / 320) / 32768 AS rms, sqrt(e / 320) / 32768 >= 0.002 AS voiced FROM e WHERE n = 320""",
     "stable_turns": f"""
-WITH c AS (SELECT conv_id AS turn, string_split(text, ' ')[1:12] AS w FROM conversations WHERE turn = 0),
-x AS (SELECT turn, w[j + 1] AS text, j AS pos FROM (SELECT turn, w, unnest(generate_series(0, len(w) - 1)) AS j FROM c)),
-o AS (SELECT turn, pos, obs, obs * 0.4::DOUBLE AS t, CASE WHEN pos % 5 = 3 AND obs % 2 = 1 THEN upper(text) ELSE text END AS text
-  FROM (SELECT turn, pos, text, unnest(generate_series(pos // 3 + 1, 5)) AS obs FROM x)),
+WITH o AS (SELECT turn, pos, obs, obs * 0.4::DOUBLE AS t, CASE WHEN pos % 4 = 3 AND obs % 2 = 1 THEN upper(text) ELSE text END AS text
+  FROM (SELECT conv_id AS turn, turn::BIGINT AS pos, text, unnest(generate_series({FIRST.format("turn")}, {FIRST.format("turn")} + 5))::BIGINT AS obs FROM conversations)),
+{STABLE}""",
+    "stable_words": f"""
+WITH c AS (SELECT conv_id * 1000 + turn AS turn, string_split(text, ' ') AS w FROM conversations),
+x AS (SELECT turn, w[j + 1] AS text, j::BIGINT AS pos, (len(w) - 1) // 3 AS top FROM (SELECT turn, w, unnest(generate_series(0, len(w) - 1)) AS j FROM c)),
+g AS (SELECT turn, pos, text, top, unnest(generate_series({FIRST.format("(pos // 3)")}, greatest(5, ({FIRST.format("top")}) + 3)))::BIGINT AS obs FROM x),
+o AS (SELECT turn, pos, obs, obs * 0.4::DOUBLE AS t, CASE WHEN pos % 5 = 3 AND obs % 2 = 1 AND obs <= {FIRST.format("top")} THEN upper(text) ELSE text END AS text FROM g),
 {STABLE}""",
     "local_agreement": """
 WITH k AS (SELECT conv_id, turn, lower(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS k, coalesce(lag(lower(regexp_replace(text, '[^A-Za-z]+', '', 'g'))) OVER (PARTITION BY conv_id ORDER BY turn), '') AS b FROM conversations)
 SELECT conv_id, turn, coalesce(list_max(list_filter(generate_series(0, least(length(k), length(b))), lambda n: left(k, n) = left(b, n))), 0) AS agreed FROM k""",
     "overlap_trim": r"""
-WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE regexp_full_match(text, '[\x20-\x7e]+')),
+WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
 r AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 AND before IS NOT NULL THEN right(trim(before), 20) || ' ' || text ELSE text END AS text FROM c),
 p AS (SELECT conv_id, turn, trim(text) AS cur, trim(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '')) AS prev FROM r),
 n AS (SELECT *, list_max(list_filter(generate_series(4, least(length(cur), length(prev), 100)), lambda n: lower(right(prev, n)) = lower(left(cur, n)) AND (n = length(cur) OR n = length(prev)
-    OR NOT (regexp_matches(cur[n + 1], '[A-Za-z0-9]') OR regexp_matches(prev[length(prev) - n], '[A-Za-z0-9]'))))) AS n FROM p),
+    OR regexp_matches(left(cur, n), '[^\x00-\x7f]') OR NOT (regexp_matches(cur[n + 1], '[\p{L}\p{N}]') OR regexp_matches(prev[length(prev) - n], '[\p{L}\p{N}]'))))) AS n FROM p),
 t AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 AND n IS NOT NULL AND n <> length(cur) AND n <> length(prev) THEN regexp_replace(substr(cur, n + 1), '^[ ,.!?]+', '') ELSE cur END AS t FROM n)
 SELECT conv_id, turn, md5(t) AS trimmed_md5, length(t) AS n FROM t""",
     "throttle": """
@@ -297,7 +317,7 @@ SELECT user_id, event_type, CAST(sum(greatest(0, CAST(floor(value) AS BIGINT) -
 FROM events GROUP BY 1, 2""",
     "endpoint_counters": "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS n_{k}" for k in ("click", "error", "purchase", "view")) + " FROM events GROUP BY 1",
     "cer_rollup": r"""
-WITH b AS (SELECT item_id % 4 AS clip, lower(text) AS r, lower(replace(text, 'th', 't')) AS h FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7f]'))
+WITH b AS (SELECT item_id % 4 AS clip, translate(lower(text), 'àáâäæçèéêëìíîïñòóôöœùúûüß', 'ABCDEFGHIJKLMNOPQRSTUVWXY') AS r, translate(lower(replace(text, 'th', 't')), 'àáâäæçèéêëìíîïñòóôöœùúûüß', 'ABCDEFGHIJKLMNOPQRSTUVWXY') AS h FROM benchmark)
 SELECT clip, CAST(sum(levenshtein(r, h)) AS BIGINT) AS edits, CAST(sum(length(r)) AS BIGINT) AS chars, round(sum(levenshtein(r, h)) * 100.0 / sum(length(r)), 2)::DOUBLE AS percent FROM b GROUP BY ROLLUP (clip)""",
     "adequacy_rollup": """
 SELECT doc_id % 4 AS clip, CAST(sum(quality + 1 - toxic) AS BIGINT) AS points, count(quality + toxic) AS cues, round(sum(quality + 1 - toxic) * 100.0 / (count(quality + toxic) * 2), 1)::DOUBLE AS adequacy
@@ -308,7 +328,8 @@ SELECT user_id, event_id, CAST(b AS BIGINT) AS bytes_kept FROM (SELECT user_id,
     "log_scrub_chunks": "SELECT conv_id, md5(replace(replace(string_agg(text, '' ORDER BY turn), 'tion', '[REDACTED]'), 'the', '[REDACTED]')) AS text_md5 FROM conversations GROUP BY 1",
     "first_entries": "SELECT user_id, arg_min(event_type, event_id) AS event_type, min(event_id) AS event_id FROM events GROUP BY 1",
     "hint_lists": """
-WITH t AS (SELECT user_id % 200 AS owner, event_type || ' ' || CAST(floor(value / 8) AS BIGINT) AS term, min(event_id) AS pos FROM events GROUP BY 1, 2),
-l AS (SELECT owner, string_agg(term, '|' ORDER BY pos) AS terms, count(*) <= 32 AND max(length(term)) <= 48 AND sum(length(term)) <= 512 AS ok FROM t GROUP BY 1)
+WITH e AS (SELECT user_id % 200 AS owner, event_id AS pos, trim(event_type || ' ' || CAST(floor(value / 8) AS BIGINT)) AS term FROM events),
+t AS (SELECT owner, term, min(pos) AS pos, count(*) AS n FROM e GROUP BY 1, 2),
+l AS (SELECT owner, string_agg(term, '|' ORDER BY pos) AS terms, sum(n) <= 32 AND max(length(term)) <= 48 AND sum(length(term)) <= 512 AS ok FROM t GROUP BY 1)
 SELECT owner, ok, CASE WHEN ok THEN terms ELSE '' END AS terms FROM l""",
 }

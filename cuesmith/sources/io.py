@@ -26,6 +26,11 @@ def read_events(spark: SparkSession, path: str, streaming: bool = False) -> Data
     return reader.json(path)
 
 
+def parsed_events(lines: DataFrame, json: str = "json") -> DataFrame:
+    """The same rows from a column of messages; a line that is no JSON has nulls."""
+    return lines.select(F.from_json(F.col(json), EVENT).alias("m")).select("m.*")
+
+
 def integer(c: Column) -> Column:
     """Digits (at most 19) as a long within 0 .. 2**63 - 1, else null."""
     return F.when(c.rlike(r"^[0-9]{1,19}$"), c.try_cast("long"))

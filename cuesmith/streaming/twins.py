@@ -95,16 +95,61 @@ def overload_windows(events: DataFrame, at: str, keys: list[str], seconds: str,
     return rows.groupBy(F.window("at", width), *keys).agg(F.sum(F.greatest(F.lit(0), F.col(seconds))).alias("dropped_seconds"), F.count("*").alias("reports"))
 
 
-def drafts(rows: DataFrame, turn: str = "turn") -> DataFrame:
-    """Draft updates of a turn's hypotheses (seq, t, kind, text) as they earn them; a tick row only passes time."""
-    from cuesmith.operators.commit import DraftPublisher
+class _Drafts(StatefulProcessor):
+    """DraftPublisher with a timer: after each batch of a turn, and each time the timer fires, time passes for what is
+    still waiting. A timer is no observation. Rows carry their own clock (t, seconds); a timer's time is the last row's
+    and what has passed since it was handled."""
 
-    def step(state: dict | None, batch: pd.DataFrame) -> tuple[list[tuple], dict]:
-        p = DraftPublisher()
-        if state:
-            p.next_id, p.parts, p.tail = state["next_id"], [tuple(x) for x in state["parts"]], tuple(state["tail"]) if state["tail"] else None
-            p.shown = {int(k): tuple(v) for k, v in state["shown"].items()}
-        out = [(r["seq"], *u) for r in batch.to_dict("records") for u in p.row(r)["updates"]]
-        return out, {"next_id": p.next_id, "parts": p.parts, "tail": p.tail, "shown": p.shown}
-
-    return _stateful(rows, turn, step, "seq long, segment_id long, text string, is_final boolean, removed boolean", ["seq"])
+    WAIT_MS = 600
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("state", "state string")
+
+    def _load(self):
+        from cuesmith.operators.commit import DraftPublisher
+
+        p, old = DraftPublisher(), json.loads(self.state.get()[0]) if self.state.exists() else {}
+        if old:
+            p.next_id, p.parts, p.tail = old["next_id"], [tuple(x) for x in old["parts"]], tuple(old["tail"]) if old["tail"] else None
+            p.shown = {int(k): tuple(v) for k, v in old["shown"].items()}
+        return p, old
+
+    def _keep(self, p, seq: int, t: float, at: int, now: int) -> None:
+        waiting = any(n >= 2 and (i not in p.shown or p.shown[i][1] != text) for i, (text, _, n) in enumerate(p.parts))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if waiting:
+            self.handle.registerTimer(now + self.WAIT_MS)
+        self.state.update((json.dumps({"next_id": p.next_id, "parts": p.parts, "tail": p.tail, "shown": p.shown, "seq": seq, "t": t, "at": at}),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        p, _ = self._load()
+        batch, out = pd.concat(list(rows)).sort_values("seq", kind="stable").to_dict("records"), []
+        for r in batch:
+            out += [(key[0], r["seq"], *u) for u in p.row(r)["updates"]]
+        now = timerValues.getCurrentProcessingTimeInMs()
+        self._keep(p, int(batch[-1]["seq"]), float(batch[-1]["t"]), now, now)
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        p, old = self._load()
+        now = timerValues.getCurrentProcessingTimeInMs()
+        out = [(key[0], old["seq"], *u) for u in p.row({"kind": "tick", "t": old["t"] + (now - old["at"]) / 1000, "text": ""})["updates"]]
+        self._keep(p, old["seq"], old["t"], old["at"], now)
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def drafts(rows: DataFrame, turn: str = "turn") -> DataFrame:
+    """Draft updates of a turn's hypotheses (seq, t, kind, text) as they earn them. A processing-time timer publishes what
+    became stable without new rows; a tick row passes time too."""
+    schema = f"{turn} {dict(rows.dtypes)[turn]}, seq long, segment_id long, text string, is_final boolean, removed boolean"
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return rows.groupBy(turn).transformWithStateInPandas(_Drafts([turn, "seq", "segment_id", "text", "is_final", "removed"]), schema, "append", "processingTime")

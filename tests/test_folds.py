@@ -54,6 +54,59 @@ def test_utterances_in_islands(spark):
     assert got == want and any(w[4] for w in want)
 
 
+def plain_requests(bits, use):
+    """The rule of rechecks over lists of frames, one frame at a time from a queue."""
+    queue, prefix, frames, out, silent, voiced, probed, overlap = list(enumerate(bits)), [], [], [], 0, 0, 0, False
+    while queue:
+        i, v = queue.pop(0)
+        if not frames:
+            if not v:
+                prefix = [*prefix, (i, v)][-20:]
+                continue
+            frames, prefix = prefix, []
+        frames = [*frames, (i, v)]
+        voiced, silent = voiced + v, 0 if v else silent + 1
+        natural = silent >= 25
+        if not natural and len(frames) < (250 if probed else 200):
+            continue
+        forced = not natural
+        if voiced >= 10:
+            out.append((frames[0][0], i, voiced, forced and not probed, bool(probed), forced, overlap))
+            if forced and not probed:
+                probed = len(frames)
+                continue
+            if probed and not use(frames[0][0], i):
+                queue, frames, forced = frames[probed:] + queue, frames[:probed], True
+        frames, prefix, overlap = (frames[-10:], prefix, True) if forced else ([], frames[-20:], False)
+        silent = voiced = probed = 0
+    return out
+
+
+def test_rechecks(spark):
+    rng = random.Random(7)
+    use = lambda a, z: (a + z) % 3 != 0
+    rows, want = [], set()
+    for s in range(12):
+        bits = []
+        while len(bits) < 1200:
+            bits += [rng.random() < rng.choice((0.3, 0.9))] * rng.randint(1, 6) if rng.random() < 0.97 else [False] * rng.randint(15, 70)
+        rows += [(s, i, v) for i, v in enumerate(bits)]
+        want |= {(s, *w) for w in plain_requests(bits, use)}
+    df = spark.createDataFrame(rows, "s int, frame_idx long, voiced boolean")
+    got = {tuple(r) for r in A.rechecked_utterances(df, "s", use).collect()}
+    assert got == want and len({w[4:6] for w in want}) == 3
+    assert [(a, z, p, r) for a, z, _, p, r, _, _ in A.checked_windows([True] * 250, use)][:2] == [(0, 199, True, False), (0, 249, False, True)]
+
+
+def test_long_windows(spark):
+    """12 s windows without overlap, an endpoint that closes and never opens, and the end of the stream."""
+    bits = [True] * 700 + [False] * 60 + [True] * 15 + [False] * 5 + [True] * 12
+    ends = [i in (705, 740, 777) for i in range(len(bits))]
+    df = spark.createDataFrame([(1, i, v, e) for i, (v, e) in enumerate(zip(bits, ends))], "s int, frame_idx long, voiced boolean, endpoint boolean")
+    got = [(r.first_frame, r.last_frame, r.reason, r.overlaps_previous) for r in A.utterances(df, "s", cut=A.LONG, endpoint="endpoint").orderBy("first_frame").collect()]
+    assert got == [(0, 599, "maximum", False), (600, 705, "endpoint", False), (740, 777, "endpoint", False), (760, 791, "end", False)]
+
+
 def test_frame_energy_across_packets(spark):
     x = (np.sin(np.arange(2000)) * 3000).astype("<i2")
     cuts = [0, 100, 700, 701, 1500, 2000]
@@ -122,6 +175,9 @@ def test_hints(spark):
     rows = [("a", i, f"t{i}") for i in range(33)] + [("b", 0, " x "), ("b", 1, "x"), ("b", 2, ""), ("b", 3, "y")] + [("c", 0, "z" * 49)]
     got = {r.owner: (r.ok, r.terms) for r in M.hint_lists(spark.createDataFrame(rows, "owner string, pos int, term string")).collect()}
     assert got == {"a": (False, None), "b": (True, ["x", "y"]), "c": (False, None)}
+    rows = [("n", 0, "e\u0301"), ("n", 1, "\u00e9"), ("m", 0, "a <|end|>"), ("k", 0, "a\tb"), *(("r", i, f"t{i % 5}") for i in range(40)), *(("s", i, "x" * 47 + str(i)) for i in range(11)), ("e", 0, " ")]
+    got = {r.owner: (r.ok, r.terms) for r in M.hint_lists(spark.createDataFrame(rows, "owner string, pos int, term string")).collect()}
+    assert got == {"n": (True, ["\u00e9"]), "m": (False, None), "k": (False, None), "r": (False, None), "s": (False, None), "e": (True, [])}
 
 
 def test_recovery_rows(spark):
@@ -149,3 +205,64 @@ def test_state_versions(spark, tmp_path):
     io.write_state(spark.range(5), str(tmp_path), 2)
     io.write_state(spark.range(5), str(tmp_path), 2)
     assert io.read_state(spark, str(tmp_path)).count() == 5
+
+
+def plain_accepted(rows):
+    """Indices of the results of one segment that may be shown, from the whole list each time."""
+    out, visible, done = [], -1, False
+    for i, r in enumerate(rows):
+        if r[0] != "result" or done:
+            continue
+        jobs = [x for x in rows[:i] if x[0] == "job"]
+        own = next((n for n, x in enumerate(jobs) if x[1] == r[1]), None)
+        if own is None or any(x[0] == "result" and x[1] == r[1] for x in rows[:i]):
+            continue
+        extended = all(x[4] == jobs[own][4] and (x[2] == jobs[own][2] or K.extends(jobs[own][2], x[2])) for x in jobs[own + 1 :])
+        if own == len(jobs) - 1 or (extended and not r[3] and not jobs[-1][3] and r[1] > visible):
+            out.append(i)
+            visible, done = r[1], r[3]
+    return out
+
+
+def test_accepted_results(spark):
+    from cuesmith.operators import stability as B
+
+    rng = random.Random(8)
+    rows, want = [], set()
+    for s in range(150):
+        events, jobs, text = [], [], "hello"
+        for rev in range(1, rng.randint(2, 7)):
+            text = rng.choice([text + " you", text + "x", text, "other"])
+            job = ("job", rev, text, rng.random() < 0.15, rng.choice(["ko"] * 8 + ["en"]))
+            events.append(job)
+            jobs.append(job)
+            while jobs and rng.random() < 0.5:
+                j = jobs.pop(rng.randrange(len(jobs)))
+                events.append(("result", *j[1:]))
+        rows += [(s, 0, i, *e) for i, e in enumerate(events)]
+        want |= {(s, i) for i in plain_accepted(events)}
+    df = spark.createDataFrame(rows, "session_id int, segment_id int, seq int, kind string, revision int, source string, is_final boolean, language string")
+    got = {(r.session_id, r.seq) for r in B.accepted_results(df, same=("language",)).collect()}
+    assert got == want and len(want) > 100
+    late = [(0, 0, 0, "job", 1, "hello wor", False), (0, 0, 1, "job", 2, "hello world", False), (0, 0, 2, "result", 1, "hello wor", False)]
+    assert B.accepted_results(spark.createDataFrame(late, "session_id int, segment_id int, seq int, kind string, revision int, source string, is_final boolean")).count() == 0
+
+
+def test_deadline_and_final_pieces():
+    row = lambda f, end, words, final=False: f.row({"audio_end": end, "is_final": final, "speculative": False, "voiced": len(words), "words": words})
+    f = K.WordCommit()
+    words = [(i * 0.5, i * 0.5 + 0.4, f" w{chr(97 + i)}") for i in range(24)]
+    assert row(f, 12.2, words, True)["segments"] and all(len(p.split()) <= 7 for p in K.WordCommit().row({"audio_end": 12.2, "is_final": True, "speculative": False, "voiced": 1, "words": words})["segments"])
+    g = K.WordCommit()
+    for end in range(1, 8):
+        assert row(g, end, [(0.1, end - 0.6, f" changing{end}")])["segments"] == []
+    late = row(g, 9, [(0.1, 8.0, " changing9")])
+    assert late["segments"] == ["changing9"] and late["warnings"] == ["deadline"]
+
+
+def test_reconcile_counts(spark):
+    from cuesmith.operators import stability as B
+
+    base = spark.createDataFrame([(1, i, f"s{i}.") for i in range(5)], "k int, place int, text string")
+    out = B.reconcile(base.filter("place <> 2").withColumn("segment_id", F.col("place").cast("long") + 1), base, ["k"])
+    assert out.count() == len(out.collect()) == 5

@@ -1,11 +1,11 @@
 import pytest
 
 import __spark_entry__ as entry
-from cuesmith.plans import captions, folds, streams
+from cuesmith.plans import captions, folds, records, streams
 from oracle import compare
 from conftest import SF
 
-OWN = {**captions.ORACLES, **streams.ORACLES, **folds.ORACLES}
+OWN = {**captions.ORACLES, **streams.ORACLES, **folds.ORACLES, **records.ORACLES}
 ROWS = sorted(k for p in entry.PARTS for k in p.QUERIES if k not in OWN)
 
 

@@ -49,3 +49,22 @@ def test_caption_changes(spark, tmp_path):
         last[r.session_id, r.segment_id] = None if r.removed else (r.revision, r.is_final, r.text)
     want = {(r.session_id, r.segment_id): (r.revision, r.is_final, r.text) for r in T.caption_state(log, ["text"]).collect()}
     assert {k: v for k, v in last.items() if v} == want
+
+
+def test_drafts_by_timer(spark, tmp_path):
+    """A sentence seen twice is published by the timer, without another row; one seen once is not."""
+    import time
+
+    rows = spark.createDataFrame([("a", 1, 0.0, "observation", "Hello."), ("a", 2, 0.1, "observation", "Hello."), ("b", 1, 0.0, "observation", "Once.")], "turn string, seq long, t double, kind string, text string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = twins.drafts(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"))
+    q = out.writeStream.outputMode("append").format("memory").queryName("drafts_by_timer").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="500 milliseconds").start()
+    try:
+        until = time.time() + 60
+        while time.time() < until and not (got := spark.table("drafts_by_timer").collect()):
+            time.sleep(0.5)
+        time.sleep(2)
+        got = spark.table("drafts_by_timer").collect()
+    finally:
+        q.stop()
+    assert [(r.turn, r.segment_id, r.text, r.is_final) for r in got] == [("a", 1, "Hello.", False)]

@@ -52,6 +52,38 @@ def test_overlap(spark):
     assert got == {1: "again", 2: "test again", 3: "one two three", 4: "x", 5: "我们出发吧。"}
 
 
+def test_seams_join(spark):
+    cuts = spark.createDataFrame([(1, "我们今天天气", "天气很好然后"), (2, "我们今天天气", "天气很好然后"), (3, "我们今天天气", "天气很好然后"), (4, None, "x")], "k int, previous string, current string")
+    heard = spark.createDataFrame([(1, "我们今天天气很好然后"), (2, "我们今天天气天气很好然后")], "k int, seam string")
+    got = {r.k: (r.decision, r.joined) for r in B.seams(cuts, heard, ["k"]).collect()}
+    assert got == {1: ("single", "很好然后"), 2: ("repeated", "天气很好然后"), 3: ("ambiguous", "天气很好然后"), 4: ("ambiguous", "x")}
+
+
+def test_short_cjk_overlaps_stay(spark):
+    rows = [(1, 0, "abc 天气"), (1, 1, "天气 more"), (2, 0, "说 好的，对"), (2, 1, "好的，对吗")]
+    df = spark.createDataFrame(rows, "s int, i int, text string")
+    got = {r.s: r.trimmed for r in B.with_cjk(df, ["s"], ["i"], "text", F.col("i") == 1).filter("i = 1").collect()}
+    assert got == {1: "天气 more", 2: "好的，对吗"}
+
+
+def test_keys():
+    assert B.folded("Don't stop, 3.5 m!")[0] == "dont stop 3.5 m" and B.folded("今天 是 好")[0] == "今天是好" and B.folded(" ")[0] == ""
+
+
+def test_borders():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(500):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in range(2))
+        assert B.borders(a, b) == [n for n in range(min(len(a), len(b)), 0, -1) if b.endswith(a[:n])]
+
+
+def test_addresses():
+    for text, found in {"See https://a.b/c?d=1! Now": ["https://a.b/c?d=1!"], "at example.com. Then": ["example.com"], "mail a.b@c-d.org, or www.x": ["a.b@c-d.org", "www.x"], "v1.2.3 and U.S. and e.g. no": [], "x.y/z": [], "shop.co.uk:80/p?q": ["shop.co.uk:80/p?q"], "-bad-.com": []}.items():
+        assert [text[a:z] for a, z in S.addresses(text)] == found, text
+
+
 def test_seam():
     assert B.seam_decision("我们今天天气很好", "天气很好然后出发", "我们今天天气很好然后出发") == "single"
     assert B.seam_decision("abc", "def", "abcdef") == "ambiguous"

@@ -85,16 +85,17 @@ def test_turns_to_their_last_word(spark, tmp_path):
 
 
 def test_words_of_all_turns(spark, tmp_path):
-    """stable_words: every word of every turn; stable_turns keeps the cuts of its SQL."""
+    """stable_words: every word of every turn; stable_turns: every turn."""
     texts = {t: " ".join(f"w{i}" for i in range(n)) for t, n in enumerate((3, 70, 13, 1))}
     folder = saved(spark, tmp_path, "conversations", [(7, t, "user", x) for t, x in texts.items()], "conv_id long, turn int, role string, text string")
     got = streams.stable_words(spark, folder).orderBy("obs").collect()
     last = {(r.turn, r.pos): r.text for r in got}
-    assert last == {(t, i): w for t, x in texts.items() for i, w in enumerate(x.split(" "))}
+    assert last == {(7000 + t, i): w for t, x in texts.items() for i, w in enumerate(x.split(" "))}
     again = {}
     for r in got:
         again.setdefault((r.turn, r.pos), []).append(r.text)
     assert all(a != b for texts in again.values() for a, b in zip(texts, texts[1:]))
+    assert {r.pos: r.text for r in streams.stable_turns(spark, folder).orderBy("obs").collect() if r.pos != 3} == {t: x for t, x in texts.items() if t != 3}
 
 
 def test_ids_of_all_sentences(spark, tmp_path):
