@@ -27,6 +27,16 @@ def checked_packets(packets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
 
 
+#: Samples that a client may report missing at once.
+GAP = (1, 57_600_000)
+
+
+def checked_gaps(gaps: DataFrame, samples: str = "samples") -> tuple[DataFrame, DataFrame]:
+    """(good, bad) reports of missing samples: 1 .. 57,600,000 at once."""
+    good = F.coalesce(F.col(samples).between(*GAP), F.lit(False))
+    return gaps.filter(good), gaps.filter(~good)
+
+
 def packet_positions(packets: DataFrame) -> DataFrame:
     """packets with start_sample: the samples before them in their stream, by seq."""
     w = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -322,3 +332,11 @@ def recognized(windows: DataFrame, recognizer: Callable[[list[bytes], list[str]]
 
     out = windows.withColumn("_heard", call(F.col(pcm), F.col(language)))
     return out.select(*windows.columns, "_heard.text", "_heard.heard_language")
+
+
+def window_packets(windows: DataFrame, frames: int = 50, first: str = "first_frame", last: str = "last_frame") -> DataFrame:
+    """windows as packets of so many frames (50 are 1 s, 16 are 0.32 s), from_frame .. to_frame; the last may be shorter
+    and is marked final."""
+    out = windows.withColumn("from_frame", F.explode(F.sequence(F.col(first), F.col(last), F.lit(frames).cast("long"))))
+    out = out.withColumn("to_frame", F.least(F.col("from_frame") + (frames - 1), F.col(last)))
+    return out.withColumn("final", F.col("to_frame") == F.col(last))

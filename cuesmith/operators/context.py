@@ -118,6 +118,21 @@ def infer_checked(work: DataFrame, fn: Callable[[list[str]], list[str]], prompt:
     return out
 
 
+def promoted(finals: DataFrame, provisional: DataFrame, session: str, segment: str, order: str) -> DataFrame:
+    """finals with result: that of the provisional work of the same segment, source, language, epoch and context, which then
+    isn't done again; null where there is none, or where an earlier final of the session's epoch is not done and may
+    still change the context. finals has done; provisional has one row a work, good results only."""
+    before = Window.partitionBy(session, "epoch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    free = ~F.coalesce(F.bool_or(~F.col("done")).over(before), F.lit(False))
+    keys = [session, segment, "source", "language", "epoch", "context"]
+    p = provisional.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("result").alias("_result"))
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = finals.withColumn("_free", free).join(p, on, "left")
+    return out.withColumn("result", F.when(F.col("_free"), F.col("_result"))).drop("_free", "_result", *(f"_{k}" for k in keys))
+
+
 def failure_policy(results: DataFrame, session: str, order: list[str]) -> DataFrame:
     """results(segment_id, is_final, status, result) with shown, warning and context_ok: a failed draft keeps the
     last good text of its segment; a failed final shows a placeholder and warns; only good finals become context."""

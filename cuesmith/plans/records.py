@@ -134,6 +134,13 @@ def retried_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", F.md5("result").alias("result_md5"), "status")
 
 
+def promoted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finals that take over the result of provisional work, two sources in five having changed since."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("segment_id"), "event_id", F.col("event_type").alias("source"), F.when(F.col("event_id") % 7 > 0, "ko").alias("language"), F.floor(F.col("event_id") / 100).alias("epoch"), (F.col("event_id") % 2).cast("string").alias("context"), (F.col("event_id") % 9 > 0).alias("done"))
+    early = e.filter("event_id % 3 < 2").withColumn("source", F.when(F.col("event_id") % 5 < 2, F.upper("source")).otherwise(F.col("source"))).withColumn("result", F.concat(F.lit("r"), F.col("event_id").cast("string")))
+    return C.promoted(e, early, "session_id", "segment_id", "event_id").select("session_id", "segment_id", "result")
+
+
 def session_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Caption updates of the sessions that had an error."""
     log = changelog(spark, sf_dir)
@@ -179,7 +186,7 @@ def recognized_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.recognized(rows, _named).select("conv_id", "turn", "text", "heard_language")
 
 
-QUERIES = {f.__name__: f for f in (caption_messages, caption_records, recovery_records, provider_texts, recognized_words, packet_checks, language_codes, envelope_leaks, early_results, shown_list, caption_retractions, failure_policy, retried_work, session_scope, variant_keys, seam_choice, voice_detector, recognized_windows)}
+QUERIES = {f.__name__: f for f in (caption_messages, caption_records, recovery_records, provider_texts, recognized_words, packet_checks, language_codes, envelope_leaks, early_results, shown_list, caption_retractions, failure_policy, retried_work, promoted_results, session_scope, variant_keys, seam_choice, voice_detector, recognized_windows)}
 
 LOG = "l AS (SELECT user_id AS session_id, event_id % 20 AS segment_id, event_id % 7 AS revision, event_type = 'click' AS is_final, event_type = 'error' AND event_id % 5 = 0 AS removed, event_id AS seq, event_type AS text FROM events)"
 LIVE = f"{LOG}, a AS (SELECT *, bool_or(is_final) OVER (PARTITION BY session_id, segment_id) AS settled FROM l WHERE NOT removed AND (session_id, segment_id) NOT IN (SELECT (session_id, segment_id) FROM l WHERE removed))"
@@ -217,6 +224,10 @@ SELECT session_id, segment_id, seq, CASE WHEN ok THEN result WHEN f THEN '[unava
     "retried_work": """
 WITH t AS (SELECT conv_id, turn, lower(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g')) AS x FROM conversations)
 SELECT conv_id, turn, md5(CASE WHEN length(x) > 200 THEN '' ELSE upper(x) END) AS result_md5, CASE WHEN length(x) > 200 OR x = '' THEN 'translation_empty' ELSE 'ok' END AS status FROM t""",
+    "promoted_results": """
+WITH e AS (SELECT user_id, event_id, event_id // 100 AS epoch, event_id % 9 > 0 AS done FROM events),
+f AS (SELECT *, coalesce(bool_or(NOT done) OVER (PARTITION BY user_id, epoch ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS held FROM e)
+SELECT user_id AS session_id, event_id AS segment_id, CASE WHEN NOT held AND event_id % 3 < 2 AND event_id % 5 >= 2 THEN 'r' || event_id END AS result FROM f""",
     "session_scope": f"WITH {LOG} SELECT session_id, segment_id, seq FROM l WHERE session_id IN (SELECT session_id FROM l WHERE text = 'error')",
     "variant_keys": """
 WITH d AS (SELECT doc_id, md5(translate(regexp_replace(lower(text), '[\\s\\p{Z}\\p{P}]+', '', 'g'), 'éüñ', 'eun')) AS k FROM documents)

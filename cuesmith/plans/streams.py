@@ -88,6 +88,18 @@ def utterances_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.rechecked_utterances(_frames(spark, sf_dir), "stream_id", _longer)
 
 
+def window_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows cut into packets of 0.32 s."""
+    return A.window_packets(utterances_short(spark, sf_dir), 16).select("stream_id", "first_frame", "from_frame", "to_frame", "final")
+
+
+def gap_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of missing samples by stream, good and bad."""
+    e = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_id") % 3 > 0, (F.floor("value") - 5) * 1_000_000).alias("samples"))
+    good, bad = A.checked_gaps(e)
+    return good.groupBy("user_id").agg(F.count("*").alias("n"), F.lit(True).alias("good")).unionByName(bad.groupBy("user_id").agg(F.count("*").alias("n"), F.lit(False).alias("good")))
+
+
 def frame_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of 480 samples, each of one amplitude from the event's value."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.floor(F.col("value") * 10).cast("int").alias("a"))
@@ -235,8 +247,17 @@ def hint_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("owner", "ok", F.coalesce(F.array_join("terms", "|"), F.lit("")).alias("terms"))
 
 
-QUERIES = {f.__name__: f for f in (packet_gaps, gap_totals, interval_coverage, lost_samples, vad_hysteresis, utterances_short, utterances, utterances_fast, utterances_long, utterances_recheck, frame_energy, stable_prefix, stable_turns, stable_words, local_agreement, overlap_trim, reconcile_ids, throttle, overload_rollup, endpoint_counters, cer_rollup, adequacy_rollup, retention_bytes, log_scrub, log_scrub_chunks, first_entries, hint_lists)}
+QUERIES = {f.__name__: f for f in (packet_gaps, gap_totals, interval_coverage, lost_samples, vad_hysteresis, utterances_short, utterances, utterances_fast, utterances_long, utterances_recheck, window_packets, gap_reports, frame_energy, stable_prefix, stable_turns, stable_words, local_agreement, overlap_trim, reconcile_ids, throttle, overload_rollup, endpoint_counters, cer_rollup, adequacy_rollup, retention_bytes, log_scrub, log_scrub_chunks, first_entries, hint_lists)}
 
+SHORT = """
+WITH e AS (SELECT user_id % 50 AS stream_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) - 1 AS i, value >= 60 AS loud FROM events),
+f AS (SELECT stream_id, i, loud AND (i // 60) % 3 = 0 AS v FROM e),
+s AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY stream_id ORDER BY i) - 1 >= 25 THEN 1 ELSE 0 END AS new FROM f WHERE v),
+g AS (SELECT *, sum(new) OVER (PARTITION BY stream_id ORDER BY i) AS k FROM s),
+r AS (SELECT stream_id, min(i) AS a, max(i) AS z, count(*) AS n_voiced FROM g GROUP BY stream_id, k)
+SELECT r.stream_id, greatest(0, a - 20) AS first_frame, z + 25 AS last_frame, n_voiced
+FROM r JOIN (SELECT stream_id, max(i) AS e FROM f GROUP BY 1) m ON m.stream_id = r.stream_id
+WHERE z + 25 <= e AND n_voiced >= 10 AND z + 25 - greatest(0, a - 20) + 1 <= 200"""
 GAPS = """
 p AS (SELECT user_id AS stream_id, event_id, event_id * 10 + CAST(floor(value) AS BIGINT) AS a FROM events),
 g AS (SELECT *, greatest(0, coalesce(a - lag(a + 320) OVER (PARTITION BY stream_id ORDER BY event_id), 0)) AS missing FROM p),
@@ -270,15 +291,13 @@ SELECT stream_id, CAST(sum(CASE WHEN l > 0 AND k = 0 THEN nxt - pt ELSE 0 END) A
 WHERE stream_id IN (SELECT stream_id FROM s WHERE event_type <> 'click' AND z > a) GROUP BY 1""",
     "vad_hysteresis": """
 SELECT user_id, event_id, coalesce(last_value(CASE WHEN value >= 50 THEN 1 WHEN value < 35 THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) = 1 AS active FROM events""",
-    "utterances_short": """
-WITH e AS (SELECT user_id % 50 AS stream_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) - 1 AS i, value >= 60 AS loud FROM events),
-f AS (SELECT stream_id, i, loud AND (i // 60) % 3 = 0 AS v FROM e),
-s AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY stream_id ORDER BY i) - 1 >= 25 THEN 1 ELSE 0 END AS new FROM f WHERE v),
-g AS (SELECT *, sum(new) OVER (PARTITION BY stream_id ORDER BY i) AS k FROM s),
-r AS (SELECT stream_id, min(i) AS a, max(i) AS z, count(*) AS n_voiced FROM g GROUP BY stream_id, k)
-SELECT r.stream_id, greatest(0, a - 20) AS first_frame, z + 25 AS last_frame, n_voiced
-FROM r JOIN (SELECT stream_id, max(i) AS e FROM f GROUP BY 1) m ON m.stream_id = r.stream_id
-WHERE z + 25 <= e AND n_voiced >= 10 AND z + 25 - greatest(0, a - 20) + 1 <= 200""",
+    "utterances_short": SHORT,
+    "window_packets": f"""
+SELECT stream_id, first_frame, from_frame, least(from_frame + 15, last_frame) AS to_frame, from_frame + 15 >= last_frame AS final
+FROM (SELECT stream_id, first_frame, last_frame, unnest(generate_series(first_frame, last_frame, 16)) AS from_frame FROM ({SHORT}))""",
+    "gap_reports": """
+WITH r AS (SELECT user_id, CASE WHEN event_id % 3 > 0 THEN (CAST(floor(value) AS BIGINT) - 5) * 1000000 END AS samples FROM events)
+SELECT user_id, count(*) AS n, coalesce(samples BETWEEN 1 AND 57600000, false) AS good FROM r GROUP BY 1, 3""",
     "frame_energy": """
 WITH p AS (SELECT user_id AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS r, CAST(floor(value * 10) AS BIGINT) AS a FROM events),
 f AS (SELECT s, r, a, unnest(generate_series(480 * r // 320, (480 * r + 479) // 320)) AS i FROM p),

@@ -266,3 +266,12 @@ def test_reconcile_counts(spark):
     base = spark.createDataFrame([(1, i, f"s{i}.") for i in range(5)], "k int, place int, text string")
     out = B.reconcile(base.filter("place <> 2").withColumn("segment_id", F.col("place").cast("long") + 1), base, ["k"])
     assert out.count() == len(out.collect()) == 5
+
+
+def test_rejected_preview_is_offered_again():
+    p = K.PreviewPublisher()
+    row = lambda t, text, rejected=None, segments=(), final=False: p.row({"window_id": 0, "audio": t, "t": t, "pending": text, "segments": list(segments), "is_final": final, "rejected": rejected})["updates"]
+    text = "a longer pending text, and"
+    assert row(1.3, text) == [(1, "a longer pending text,", False, False)] and row(3.0, text) == []
+    assert row(3.2, text, 1) == [(1, "a longer pending text,", False, False)] and row(3.4, text, 1) == [] and row(4.1, text) == [(1, "a longer pending text,", False, False)]
+    assert row(5.0, "", 9, ["done."]) == [(1, "done.", True, False)] and row(5.1, "", 1, (), True) == []
