@@ -1,6 +1,7 @@
 """A corpus pipeline: language ID, near duplicates, benchmark decontamination, source mix, token store.
 
-Each stage takes what its predecessor kept, as a table written and read again.
+Each stage takes what its predecessor kept, as a table written and read again. An empty table passes through all stages
+as an empty table. Extra columns stay up to the mix, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,29 +18,31 @@ LEAST_SCORE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter whose language is found with a probability of LEAST_SCORE and more."""
+    """Documents with a letter whose language is found with a probability of LEAST_SCORE and more; null and empty texts go."""
     judged = language_id.identify(docs.withColumnsRenamed({c: f"__{c}" for c in ("lang_pred", "score") if c in docs.columns}), language_id.train(docs))
     kept = judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
     return kept.withColumnsRenamed({f"__{c}": c for c in ("lang_pred", "score")}).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 0.8 of their five-word shingles."""
+    """One document of each group linked by 0.8 of their five-word shingles: the one with the least id. Rows equal in id and
+    text are one document."""
     return jaccard_join.one_of_each_group(docs, 5, 80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; with no items, all."""
     return benchmark_clean.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the source mix takes them, a row for each pass over them."""
+    """Documents as the source mix takes them, a row for each pass over them, cut to the words taken. A null source is a
+    source; texts without words go."""
     return mixing.mix_documents(docs, WEIGHTS)
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the written token shards hold for each document."""
+    """What the written token shards hold for each document, by ascending id (a null id first; rows of one id each)."""
     return token_store.read_store(token_store.write_store(docs, tokenizer("word_bpe_49k.json"), END_ID))
 
 
@@ -56,6 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir: doc_id, start, n_tokens and ids_crc32 of every row that the mix takes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

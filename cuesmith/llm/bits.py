@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from cuesmith.llm.memory import tidy
 from cuesmith.llm.shingles import spread
 
 #: Bits of one piece of a filter; pieces are put together by different tasks.
@@ -43,7 +44,7 @@ def bloom(hashes: DataFrame, bits: int) -> np.ndarray:
                 pieces.setdefault(i, np.zeros(1 << PIECE, bool))[np.frombuffer(x.as_buffer(), "<u4")] = True
         yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([np.packbits(p, bitorder="little").tobytes() for p in pieces.values()], pa.binary())], ["piece", "data"])
 
-    made = hashes.mapInArrow(mark, "piece int, data binary").repartition(8, "piece").mapInArrow(put, "piece int, data binary")
+    made = hashes.mapInArrow(tidy(mark), "piece int, data binary").repartition(8, "piece").mapInArrow(tidy(put), "piece int, data binary")
     out = np.zeros(1 << (bits - 3), np.uint8)
     size = 1 << (PIECE - 3)
     for r in made.collect():

@@ -33,7 +33,8 @@ from pyspark.sql.window import Window
 
 from cuesmith.llm.bits import maybe_in, shared_bloom
 from cuesmith.llm.components import components
-from cuesmith.llm.scratch import Tables
+from cuesmith.llm.memory import tidy
+from cuesmith.llm.scratch import Tables, small_batches
 from cuesmith.llm.shingles import shingle_sets, spread
 
 #: Common index tokens that a link must have (fewer for sets that small).
@@ -73,8 +74,9 @@ def frequent_tokens(texts: DataFrame, k: int, n_docs: int) -> Broadcast:
                     held, size = [], 0
         if held:
             yield out()
+            held.clear()
 
-    many = texts.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(16, n_docs // FREQUENT_SHARE))
+    many = texts.mapInArrow(tidy(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(16, n_docs // FREQUENT_SHARE))
     return shared_bloom(many.select("token"), FILTER_BITS)
 
 
@@ -138,7 +140,7 @@ def features(texts: DataFrame, k: int, percent: int, frequent: Broadcast) -> Dat
                 cols = [batch.column(0).slice(row, len(n)), pa.array(n.astype(np.int32)), pa.array(s1), pa.array(s2), lists[0], pa.array(common.astype(np.int32)), lists[1], _sketches(tokens, n)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "s1", "s2", "bands", "least", "tokens", "sketch"])
 
-    out = texts.mapInArrow(of, f"doc_id {dict(texts.dtypes)['doc_id']}, n int, s1 long, s2 long, bands array<long>, least int, tokens array<long>, sketch binary")
+    out = texts.mapInArrow(tidy(of), f"doc_id {dict(texts.dtypes)['doc_id']}, n int, s1 long, s2 long, bands array<long>, least int, tokens array<long>, sketch binary")
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -164,7 +166,7 @@ class _Join:
                 least = [differences(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(batch.column(10), batch.column(11), strict=True)]
                 yield batch.select(range(8)).filter(pa.array((100 + percent) * np.array(least, np.int64) <= most))
 
-        near_pairs = t.cut(both.select(*keys, "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(near, ", ".join(f"{c} long" for c in keys)), "near")
+        near_pairs = t.cut(both.select(*keys, "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(tidy(near), ", ".join(f"{c} long" for c in keys)), "near")
         shared = shared_bloom(near_pairs.select(F.explode(F.array("a_doc", "b_doc"))), FILTER_BITS)
 
         def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +179,7 @@ class _Join:
                     fresh = [not (x in seen or seen.add(x)) for x in zip(s1.tolist(), s2.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), items], ["s1", "s2", "items"]).filter(pa.array(fresh, pa.bool_()))
 
-        sets = self.texts.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(sets_of, "s1 long, s2 long, items binary")
+        sets = self.texts.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(tidy(sets_of), "s1 long, s2 long, items binary")
         x, y = (sets.select(F.col("s1").alias(f"{side}_s1"), F.col("s2").alias(f"{side}_s2"), F.col("items").alias(f"{side}_items")) for side in "ab")
         meet = near_pairs.select("a", "b", "a_s1", "a_s2", "b_s1", "b_s2").join(x, ["a_s1", "a_s2"]).join(y, ["b_s1", "b_s2"])
 
@@ -192,7 +194,7 @@ class _Join:
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-        links = t.cut(meet.select("a", "b", "a_items", "b_items").mapInArrow(compare, "a long, b long"), name)
+        links = t.cut(meet.select("a", "b", "a_items", "b_items").mapInArrow(tidy(compare), "a long, b long"), name)
         shared.destroy()
         t.drop(near_pairs)
         return links
@@ -246,7 +248,7 @@ class _Join:
                 take = pa.array(row[at])
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(5)), pa.array(token[at]), pa.array(pos[at].astype(np.int32)), pa.array(size[row[at]].astype(np.int32))], ["rep", "n", "least", "group", "alone", "token", "pos", "size"])
 
-        queries = rows.mapInArrow(thinned, "rep long, n int, least int, group long, alone boolean, token long, pos int, size int").join(between, "token", "left_semi")
+        queries = rows.mapInArrow(tidy(thinned), "rep long, n int, least int, group long, alone boolean, token long, pos int, size int").join(between, "token", "left_semi")
         out = self.indexed(queries, "queries")
         shared.destroy()
         self.tables.drop(between)
@@ -311,6 +313,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, key: str
     wordless texts have empty sets and link with nothing. Repeated rows are one class. A null doc_id is carried
     and is never the least where another is there; extra columns are ignored; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     run = _Join(texts, k, percent)
     t = run.tables

@@ -19,15 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cuesmith.llm.scratch import cut
+from cuesmith.llm.memory import give_back, tidy
+from cuesmith.llm.scratch import cut, small_batches
+from cuesmith.llm.textbatches import by_bytes
 
 BITS = 15
 SIZE = 1 << BITS
 #: Rows for each language that the weights and the temperature are fitted on, and languages at most (the most frequent).
 SAMPLE_PER_LANG, MAX_LANGS = 800, 256
 UNKNOWN = "und"
-#: Code points taken at a time, so that long texts need bounded memory.
-STEP = 1 << 20
+#: Code points of a text, and bytes of texts, taken at a time, so that long texts and batches need bounded memory.
+STEP, HELD = 1 << 20, 4 << 20
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +137,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     to the driver: at most per_lang * MAX_LANGS rows of at most 2**15 buckets. Rows equal in key, text and language
     are one row of the sample.
     """
+    small_batches(docs.sparkSession)
     rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(F.col(key)))
     order, th = F.xxhash64(F.col(key).cast("string")), F.xxhash64(F.col(text))
     one = rows.select(F.col(lang).alias("l"), order.alias("h"), th.alias("th"))
@@ -150,7 +153,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, taken = np.zeros(SIZE, np.int64), 0, []
         for batch in batches:
-            for t, l, *h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = (r for a, b in by_bytes(batch.column(0), HELD) for r in zip(*(c.slice(a, b - a).to_pylist() for c in batch.columns), strict=True))
+            for t, l, *h in rows:
                 at, count = grams(t)
                 df[at] += 1
                 n += 1
@@ -162,7 +166,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             h, th, l, at, count = zip(*taken[k : k + 256], strict=True)
             yield pa.RecordBatch.from_pydict({"bucket": [-2] * len(h), "n": [0] * len(h), "h": h, "th": th, "l": l, "at": at, "count": count}, schema=SCHEMA)
 
-    out = rows.select(text, lang, order.alias("h"), th.alias("th")).mapInArrow(scan, "bucket int, n long, h long, th long, l string, at binary, count binary")
+    out = rows.select(text, lang, order.alias("h"), th.alias("th")).mapInArrow(tidy(scan), "bucket int, n long, h long, th long, l string, at binary, count binary")
     out = cut(out, "features")
     total = {x.bucket: x.n for x in out.filter("bucket >= -1").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # at most 2**15 + 1 rows
     idf = np.ones(SIZE)
@@ -195,13 +199,20 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A null text, or one without a letter, is `und` with score 0. One narrow stage over whole texts; the model
     (2**15 weights a language, MAX_LANGS languages at most) goes to the executors with the function.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            langs, scores = shared.value.predict(column.to_pylist())
+            langs: list[str] = []
+            scores: list[float] = []
+            for a, b in by_bytes(column, HELD):
+                some = shared.value.predict(column.slice(a, b - a).to_pylist())
+                langs += some[0]
+                scores += some[1]
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        give_back()
 
     made = f"predicted_{uuid.uuid4().hex}"  # no column of docs has this name
     out = docs.drop("lang_pred", "score").withColumn(made, predict(F.col(text)))

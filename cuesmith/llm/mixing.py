@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cuesmith.llm.scratch import cut
+from cuesmith.llm.scratch import cut, small_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
@@ -199,6 +199,7 @@ def mix_documents(docs: DataFrame, weights: list[float], share: float = 1.5, mos
     Documents whose words are not taken, and those without words (null, empty, white space), go; an empty table gives
     none. All columns stay, whatever their names. Rows stand in no order; the shards of the mix are in spans of mix().
     """
+    small_batches(docs.sparkSession)
     rows = cut(named_rows(docs, key, text), "rows")
     spans, _ = mix(rows, weights, share, most, **how)
     taken = spans.groupBy(F.col("row").alias("of"), "turn").agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("spans"), F.sum("words").alias("words"))

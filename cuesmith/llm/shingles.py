@@ -12,7 +12,7 @@ import pyarrow as pa
 
 PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 #: Bytes of text that are hashed at a time (a longer text is cut at white space), and the multiplier of word hashes with its inverse.
-RUN = 1 << 20
+RUN = 1 << 18
 STEP = 0x9FB21C651E98DF25
 BACK = pow(STEP, -1, 1 << 64)
 

@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuesmith.llm.bits import bloom, maybe_in
-from cuesmith.llm.scratch import Tables
+from cuesmith.llm.memory import tidy
+from cuesmith.llm.scratch import Tables, small_batches
 from cuesmith.llm.shingles import spread, texts_of
 from cuesmith.llm.textbatches import by_bytes
 
@@ -152,7 +153,7 @@ def repeated_anchors(texts: DataFrame, length: int) -> DataFrame:
         h, k = h[first], np.add.reduceat(k, first) if len(first) else k
         yield pa.RecordBatch.from_arrays([pa.array(h[k > 1].view(np.int64)), pa.array(k[k > 1])], ["h", "n"])
 
-    return texts.mapInArrow(count, "bucket int, once binary, many binary, times binary").repartition(n, "bucket").mapInArrow(total, "h long, n long")
+    return texts.mapInArrow(tidy(count), "bucket int, once binary, many binary, times binary").repartition(n, "bucket").mapInArrow(tidy(total), "h long, n long")
 
 
 def suffix_order(x: np.ndarray, sizes: np.ndarray, most: int = 254) -> tuple[np.ndarray, np.ndarray]:
@@ -345,8 +346,8 @@ def marked_starts(texts: DataFrame, length: int, tables: Tables) -> DataFrame:
         if held:
             yield _sorted_bucket(held, length)
 
-    filed = texts.mapInArrow(file, ROWS).withColumn("place", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("doc")))
-    return filed.repartition(n, "place").select("bucket", "doc", "th", "data").sortWithinPartitions("bucket").mapInArrow(sort, ROWS).select("doc", "th", "data")
+    filed = texts.mapInArrow(tidy(file), ROWS).withColumn("place", F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("doc")))
+    return filed.repartition(n, "place").select("bucket", "doc", "th", "data").sortWithinPartitions("bucket").mapInArrow(tidy(sort), ROWS).select("doc", "th", "data")
 
 
 def _sorted_bucket(blobs: list[bytes], length: int) -> pa.RecordBatch:
@@ -384,6 +385,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
     are treated alike; of different texts under one key the one with the smaller hash is first; a null key comes
     last. An empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(key).alias("id"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     marks = marked_starts(plain.select("doc", "th", "text"), length, Tables(docs.sparkSession)).groupBy(F.col("doc").alias("of_doc"), F.col("th").alias("of_th")).agg(F.collect_list("data").alias("runs"))
     both = plain.join(marks, (F.col("doc") == F.col("of_doc")) & (F.col("th") == F.col("of_th")), "left").select("id", "text", "runs")
@@ -410,4 +412,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
             yield pa.RecordBatch.from_arrays(arrays[: 5 + rebuild], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 + rebuild])
 
     kind = dict(docs.dtypes)[key]
-    return both.mapInArrow(apply, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * rebuild).withColumnRenamed("id", key)
+    return both.mapInArrow(tidy(apply), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * rebuild).withColumnRenamed("id", key)

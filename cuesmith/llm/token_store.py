@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cuesmith.llm.scratch import cut, scratch_dir
+from cuesmith.llm.memory import give_back, tidy
+from cuesmith.llm.scratch import cut, scratch_dir, small_batches
 from cuesmith.llm.textbatches import by_bytes
 
 MAGIC = b"CUESST01"
@@ -40,7 +41,7 @@ FOOTER = struct.Struct("<QQQQQQB7x8s")
 BLOCK_BYTES = 1 << 17
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 #: Words of a generation of those whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 100_000
 _encoders: dict[str, _Encoder] = {}
 
 
@@ -207,6 +208,11 @@ class _Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Let go of what a task has gathered: workers live on after it."""
+        self.young, self.old = {}, {}
+        give_back()
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -275,7 +281,7 @@ def _lists(lists: pa.ListArray, words: pa.DictionaryArray, of: np.ndarray) -> pa
     return pa.ListArray.from_arrays(pa.array(each.offsets.to_numpy()[of]), each.values)
 
 
-def encode_column(texts: pa.Array, path: str, run_bytes: int = 16 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def encode_column(texts: pa.Array, path: str, run_bytes: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, ids a text) of runs of whole texts.
 
     Where the tokenizer drops white space, Arrow finds the distinct words of a run and the distinct pieces of these
@@ -325,6 +331,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int | None = None,
     and the manifest names the one that counts. Only key and text are moved. A null text is empty (just the end
     id); a null key sorts first; repeated rows are written each; an empty table gives an empty manifest.
     """
+    small_batches(docs.sparkSession)
     folder = folder or f"{scratch_dir(docs.sparkSession)}/tokens"
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
     rows = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h").select("k", "t")
@@ -352,12 +359,13 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int | None = None,
         if writer is not None:
             writer.close()
             sink.close()
+            _encoder(tokenizer_path).forget()
             where.move(f"{top}/.{name}", f"{top}/{name}")
             row = [[shard], [f"{folder}/{name}"], [writer.docs], [writer.ids], [least], [most], [writer.at]]
             kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["shard", "path", "n_docs", "n_tokens", "min_id", "max_id", "file_bytes"])
 
-    return cut(rows.mapInArrow(write, MANIFEST), "manifest")
+    return cut(rows.mapInArrow(tidy(write), MANIFEST), "manifest")
 
 
 def read_store(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -382,14 +390,18 @@ def read_store(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     arrays = [pa.array(c, pa.int64()) for c in cols[:4]] + ([pa.array([x.tolist() for x in cols[4]], pa.list_(pa.int64()))] if with_ids else [])
                     yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
 
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return files.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+
+
+#: Keys that a lookup broadcasts at most; more are joined.
+LOOKUP_KEYS = 100_000
 
 
 def lookup(manifest: DataFrame, keys: list[int]) -> DataFrame:
-    """doc_id, ids of the caller's few keys: shards whose key range holds a key are opened and searched."""
-    spark = manifest.sparkSession
-    wanted = spark.createDataFrame([(int(k),) for k in keys], "k long")
-    pairs = manifest.join(F.broadcast(wanted), (F.col("k") >= F.col("min_id")) & (F.col("k") <= F.col("max_id"))).select("path", "k")
+    """doc_id, ids of the caller's keys: shards whose key range holds a key are opened and searched."""
+    wanted = manifest.sparkSession.createDataFrame([(int(k),) for k in keys], "k long")
+    wanted = F.broadcast(wanted) if len(keys) <= LOOKUP_KEYS else wanted
+    pairs = manifest.join(wanted, (F.col("k") >= F.col("min_id")) & (F.col("k") <= F.col("max_id"))).select("path", "k")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
