@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesmith.llm import benchmark_clean, jaccard_join, language_id, language_model, line_dedup, mixing, substring_dedup, token_counts, token_store, topk_search, url_filter
+from cuesmith.llm import benchmark_clean, jaccard_join, language_id, language_model, line_dedup, mixing, substring_dedup, token_counts, token_store, topk_search, url_filter, whitening
 
 #: (action, host, path) of the URL query.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -72,12 +72,17 @@ def op10_benchmark_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", whitening.quantised(F.col("embedding")).alias("vector"))
+    return whitening.whiten(rows, "vector", 4).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
     return language_model.score_texts(table(spark, sf_dir, "documents"), held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_token_counts, op3_line_dedup, op4_url_filter, op5_token_store, op6_substring_dedup, op7_topk_search, op8_language_id, op9_jaccard_join, op10_benchmark_clean, op13_lm_scores)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_token_counts, op3_line_dedup, op4_url_filter, op5_token_store, op6_substring_dedup, op7_topk_search, op8_language_id, op9_jaccard_join, op10_benchmark_clean, op12_whitening, op13_lm_scores)}
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": r"""
