@@ -137,6 +137,10 @@ def packed(keys: np.ndarray) -> bytes:
     return zstandard.compress(np.diff(keys, prepend=np.uint64(0)).tobytes(), 1)
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    return zstandard.compress(counts.astype("<i8").tobytes(), 1)
+
+
 def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.decompress(data), np.uint64), dtype=np.uint64)
 
@@ -173,7 +177,7 @@ class _Chunk:
         lists = lambda values: pa.ListArray.from_arrays(pa.array(np.append(ends[used], len(values)) if len(used) else ends[:1], pa.int32()), values)
         return pa.table({
             "chunk": pa.array(np.full(len(used), chunk), pa.int64()), "bucket": pa.array(used, pa.int32()),
-            "grams": pa.array([packed(keys[cuts[i] : cuts[i + 1]]) for i in used], pa.binary()), "seen": pa.array([zstandard.compress(seen[cuts[i] : cuts[i + 1]].astype("<i8").tobytes(), 1) for i in used], pa.binary()),
+            "grams": pa.array([packed(keys[cuts[i] : cuts[i + 1]]) for i in used], pa.binary()), "seen": pa.array([packed_counts(seen[cuts[i] : cuts[i + 1]]) for i in used], pa.binary()),
             "words": lists(words.take(pa.array(order))), "times": lists(pa.array(times[order])),
         })
 

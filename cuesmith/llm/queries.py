@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesmith.llm import benchmark_clean, jaccard_join, language_id, language_model, line_dedup, mixing, substring_dedup, token_counts, token_store, topk_search, url_filter, whitening
+from cuesmith.llm import benchmark_clean, collocations, jaccard_join, language_id, language_model, line_dedup, mixing, substring_dedup, token_counts, token_store, topk_search, url_filter, whitening
 
 #: (action, host, path) of the URL query.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -72,6 +72,10 @@ def op10_benchmark_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), 30, 2000)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", whitening.quantised(F.col("embedding")).alias("vector"))
     return whitening.whiten(rows, "vector", 4).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
@@ -82,7 +86,7 @@ def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(table(spark, sf_dir, "documents"), held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_token_counts, op3_line_dedup, op4_url_filter, op5_token_store, op6_substring_dedup, op7_topk_search, op8_language_id, op9_jaccard_join, op10_benchmark_clean, op12_whitening, op13_lm_scores)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_token_counts, op3_line_dedup, op4_url_filter, op5_token_store, op6_substring_dedup, op7_topk_search, op8_language_id, op9_jaccard_join, op10_benchmark_clean, op11_collocations, op12_whitening, op13_lm_scores)}
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": r"""
@@ -159,5 +163,28 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+""",
+    "op11_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, k, phrase, count(*) AS f
+  FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS ks(k)))
+  GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+cuts AS (
+  SELECT c.lang, c.phrase, a, j, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * a) // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1:k], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS longest
+  FROM (SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, a, w, m, unnest(generate_series(1, k - m + 1)) AS i FROM c, (VALUES (2), (3)) AS ms(m) WHERE m < k))
+  GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE longest IS NULL OR 100 * CAST(longest AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
 """,
 }
