@@ -177,7 +177,7 @@ c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHER
 cuts AS (
   SELECT c.lang, c.phrase, a, j, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * a) // (x.f + y.f) AS score
   FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c) c
-  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1:k], ' ')),
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1:c.k], ' ')),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 inside AS (
   SELECT lang, phrase, max(a) AS longest
