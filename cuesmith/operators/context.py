@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cuesmith.sources.written import written
+
 
 def prior_context(rows: DataFrame, keys: list[str], order: list[str], text: str, ok: Column, n: int = 3, budget: int = 900) -> DataFrame:
     """rows with context: the last n texts of rows with `ok` strictly before, oldest first, whole texts within a
@@ -51,14 +53,30 @@ def rolling_prompt(rows: DataFrame, keys: list[str], order: list[str], text: str
     return out.withColumn("prompt", F.coalesce(F.lag("_held").over(by.orderBy(*order)), F.lit(""))).drop("_part", "_own", "_end", "_held")
 
 
-def glossary(entries: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(entries, issues): one-line terms of 1 to 64 characters, the first of equal sources, at most `most` of them."""
-    bad = [F.col(c).isNull() | (F.trim(c) == "") | (F.length(c) > 64) | F.col(c).rlike(r"[\x00-\x1f]") for c in ("source", "target")]
-    marked = entries.withColumn("reason", F.when(bad[0], "source").when(bad[1], "target"))
-    good = marked.filter("reason is null").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("pos")))
-    issues = marked.filter("reason is not null").unionByName(good.filter("n > 1").withColumn("reason", F.lit("repeated")).drop("n"))
-    kept = good.filter("n = 1").orderBy("pos").limit(most)
-    return kept.select("pos", "source", "target"), issues
+#: White space of Unicode, around a text.
+AROUND = r"^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$"
+
+
+def glossary(entries: DataFrame, most: int = 200, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(terms, issues with reason) of lists of entries (pos, source, target; `by` names the list, default: one).
+
+    Of each list the first `most` entries by pos count; those behind are issues (`beyond`), as are entries whose source or target is null, blank,
+    longer than 64 characters or not on one line, and all but the first of equal sources (`repeated`). Space around a term is cut.
+    """
+    keys = by or []
+    if keys:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("pos"))
+        marked = entries.withColumn("_beyond", place > most)
+    else:  # one list: the place of the last entry that counts, without a window over all of it
+        last = entries.select("pos").orderBy("pos").limit(most).agg(F.max("pos").alias("_last"))
+        marked = entries.join(F.broadcast(last)).withColumn("_beyond", F.col("pos") > F.col("_last")).drop("_last")
+    marked = marked.withColumns({c: F.regexp_replace(c, AROUND, "") for c in ("source", "target")})
+    bad = [F.col(c).isNull() | (F.col(c) == "") | (F.length(c) > 64) | F.col(c).rlike(r"[\p{Cc}\p{Cs}\p{Zl}\p{Zp}]") for c in ("source", "target")]
+    marked = marked.withColumn("reason", F.when(F.col("_beyond"), "beyond").when(bad[0], "source").when(bad[1], "target"))
+    good = marked.filter("reason is null").withColumn("n", F.row_number().over(Window.partitionBy(*keys, "source").orderBy("pos")))
+    columns = [*keys, "pos", "source", "target"]
+    issues = marked.filter("reason is not null").select(*columns, "reason").unionByName(good.filter("n > 1").select(*columns, F.lit("repeated").alias("reason")))
+    return good.filter("n = 1").select(*columns), issues
 
 
 def match_glossary(texts: DataFrame, terms: DataFrame, key: str, text: str = "text", most: int = 20, catalog: int = 200) -> DataFrame:
@@ -109,12 +127,23 @@ def infer(work: DataFrame, fn: Callable[[list[str]], list[str]], prompt: str, re
     return work.withColumn(result, call(F.col(prompt)))
 
 
-def infer_checked(work: DataFrame, fn: Callable[[list[str]], list[str]], prompt: str, status: Callable[[Column], Column], attempts: int = 2) -> DataFrame:
-    """infer(), then again for the rows whose result fails the check (status not 'ok'), without the failed answer."""
-    out = infer(work, fn, prompt).withColumn("status", status(F.col("result")))
-    for _ in range(attempts - 1):
-        good, bad = out.filter("status = 'ok'"), out.filter("status <> 'ok' or status is null").drop("result", "status")
-        out = good.unionByName(infer(bad, fn, prompt).withColumn("status", status(F.col("result"))))
+def infer_checked(work: DataFrame, fn: Callable[[list[str]], list[str]], prompt: str, status: Callable[[Column], Column], attempts: int = 2, retry_prompt: str | None = None) -> DataFrame:
+    """work with result and status ('ok' or the reason of the check): the model is asked again, at most `attempts` times, for
+    the rows whose answer fails the check, and is not shown that answer. retry_prompt names the column that later attempts
+    ask with (without context, say); columns named result and status are replaced.
+
+    Runs when called: every attempt is written before it is judged, so each row is asked once an attempt and comes out
+    once, whatever the model answers another time.
+    """
+    todo, parts = work.drop("result", "status"), []
+    for i in range(attempts):
+        asked = prompt if i == 0 else retry_prompt or prompt
+        out = written(infer(todo, fn, asked).withColumn("status", F.coalesce(status(F.col("result")), F.lit("failed"))))
+        parts.append(out if i + 1 == attempts else out.filter("status = 'ok'"))
+        todo = out.filter("status <> 'ok'").drop("result", "status")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 

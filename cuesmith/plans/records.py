@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesmith.functions import text as X
@@ -122,16 +124,50 @@ def failure_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.failure_policy(rows, "session_id", ["seq"]).select("session_id", "segment_id", "seq", "shown", "warning", "context_ok")
 
 
-def _first_try(texts: list[str]) -> list[str]:
-    """A model that answers short texts only."""
-    return ["" if len(t) > 200 else t.upper() for t in texts]
+def _brief(prompts: list[str]) -> list[str]:
+    """A model that gives no answer to long prompts with context; else a digest stands for the answer."""
+    return ["" if not p or (p.startswith("context:") and len(p) > 200) else hashlib.md5(p.encode()).hexdigest() for p in prompts]
 
 
 def retried_work(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Work that is asked for twice where the answer fails its check."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower(F.regexp_replace("text", r"[^\x00-\x7f]", "")).alias("text"))
-    out = C.infer_checked(t, _first_try, "text", lambda c: F.when(c == "", "translation_empty").otherwise("ok"))
-    return out.select("conv_id", "turn", F.md5("result").alias("result_md5"), "status")
+    """Work that is asked for again, without its context, where the answer fails its check."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.concat(F.lit("context: "), "role", F.lit(" "), "text").alias("prompt"))
+    out = C.infer_checked(t, _brief, "prompt", lambda c: F.when(c == "", "translation_empty").otherwise("ok"), retry_prompt="text")
+    return out.select("conv_id", "turn", F.col("result").alias("answer"), "status")
+
+
+def _lists(spark: SparkSession, sf_dir: str, entry: Column, broken: Column) -> DataFrame:
+    """file, value: JSON arrays of an entry for each of a user's events, 50 event numbers a file; broken ones are cut off."""
+    e = table(spark, sf_dir, "events").withColumns({"file": F.concat("user_id", F.lit("/"), F.floor(F.col("event_id") / 50)), "entry": entry})
+    files = e.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("event_id", "entry"))).alias("l"), F.first(broken).alias("broken"))
+    value = F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["entry"]), ","), F.when(F.col("broken"), "").otherwise("]"))
+    return files.select("file", value.alias("value"))
+
+
+def history_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caption histories with junk, fields of a wrong kind and broken files among them: captions by place, and a row for each fault."""
+    k = F.col("event_id") % 11
+    parts = [
+        F.when(k == 7, "").otherwise('"timestamp":"2024-01-01T00:00:00+09:00",'), F.lit('"session_id":"'), F.col("user_id"), F.lit('","segment_id":'), F.when(k == 8, F.concat(F.lit('"'), F.col("event_id") % 5, F.lit('"'))).otherwise((F.col("event_id") % 5).cast("string")),
+        F.when(k == 3, ',"is_final":"yes"').when(k == 5, ',"is_final":false').otherwise(""), F.when(k == 6, ',"revision":1.5').otherwise(F.concat(F.lit(',"revision":'), "event_id")), F.lit(',"text":'), F.when(k == 4, "5").otherwise(F.concat(F.lit('"'), "event_type", F.lit('"'))),
+    ]
+    entry = F.when(k == 0, '"junk"').when(k == 1, "null").otherwise(F.concat(F.lit("{"), *parts, F.lit("}")))
+    good, bad = io.history_rows(_lists(spark, sf_dir, entry, F.col("user_id") % 7 == 6))
+    captions = good.select("file", "segment_id", "revision", "is_final", "text", F.col("place").cast("long").alias("place"))
+    return captions.unionByName(bad.select("file", F.col("pos").cast("long").alias("pos"), "reason"), allowMissingColumns=True)
+
+
+def glossary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glossaries with junk among the terms: terms, and the reason why an entry is left out."""
+    k = F.col("event_id") % 7
+    pair = lambda source, target: F.concat(F.lit('{"source":'), source, F.lit(',"target":'), target, F.lit("}"))
+    quoted = lambda *c: F.concat(F.lit('"'), *c, F.lit('"'))
+    name = quoted(F.lit(" "), F.col("event_type"), F.col("event_id") % 3, F.lit(" "))
+    entry = F.when(k == 0, "17").when(k == 1, pair(F.lit("5"), name)).when(k == 2, pair(name, F.lit('" "'))).when(k == 3, pair(F.lit('"a\\nb"'), name)).otherwise(pair(name, quoted("event_type")))
+    entries, broken = io.glossary_entries(_lists(spark, sf_dir, entry, F.col("user_id") % 7 == 6))
+    terms, issues = C.glossary(entries, 5, ["file"])
+    out = terms.unionByName(issues.select("file", "pos", "reason"), allowMissingColumns=True).unionByName(broken, allowMissingColumns=True)
+    return out.withColumn("pos", F.col("pos").cast("long"))
 
 
 def promoted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,9 +222,10 @@ def recognized_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.recognized(rows, _named).select("conv_id", "turn", "text", "heard_language")
 
 
-QUERIES = {f.__name__: f for f in (caption_messages, caption_records, recovery_records, provider_texts, recognized_words, packet_checks, language_codes, envelope_leaks, early_results, shown_list, caption_retractions, failure_policy, retried_work, promoted_results, session_scope, variant_keys, seam_choice, voice_detector, recognized_windows)}
+QUERIES = {f.__name__: f for f in (caption_messages, caption_records, recovery_records, provider_texts, recognized_words, packet_checks, language_codes, envelope_leaks, early_results, shown_list, caption_retractions, failure_policy, retried_work, history_files, glossary_files, promoted_results, session_scope, variant_keys, seam_choice, voice_detector, recognized_windows)}
 
 LOG = "l AS (SELECT user_id AS session_id, event_id % 20 AS segment_id, event_id % 7 AS revision, event_type = 'click' AS is_final, event_type = 'error' AND event_id % 5 = 0 AS removed, event_id AS seq, event_type AS text FROM events)"
+LISTS = "e AS (SELECT event_id, user_id, event_type, user_id || '/' || (event_id // 50) AS file, row_number() OVER (PARTITION BY user_id, event_id // 50 ORDER BY event_id) - 1 AS pos, user_id % 7 = 6 AS broken FROM events)"
 LIVE = f"{LOG}, a AS (SELECT *, bool_or(is_final) OVER (PARTITION BY session_id, segment_id) AS settled FROM l WHERE NOT removed AND (session_id, segment_id) NOT IN (SELECT (session_id, segment_id) FROM l WHERE removed))"
 
 ORACLES = {
@@ -222,8 +259,20 @@ WITH r AS (SELECT user_id AS session_id, event_id % 10 AS segment_id, event_id A
 SELECT session_id, segment_id, seq, CASE WHEN ok THEN result WHEN f THEN '[unavailable]' ELSE last_value(CASE WHEN ok THEN result END IGNORE NULLS) OVER (PARTITION BY session_id, segment_id ORDER BY seq) END AS shown,
   CASE WHEN NOT ok AND f THEN 'translation_empty' END AS warning, ok AND f AS context_ok FROM r""",
     "retried_work": """
-WITH t AS (SELECT conv_id, turn, lower(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g')) AS x FROM conversations)
-SELECT conv_id, turn, md5(CASE WHEN length(x) > 200 THEN '' ELSE upper(x) END) AS result_md5, CASE WHEN length(x) > 200 OR x = '' THEN 'translation_empty' ELSE 'ok' END AS status FROM t""",
+SELECT conv_id, turn, CASE WHEN length('context: ' || role || ' ' || text) <= 200 THEN md5('context: ' || role || ' ' || text) WHEN text = '' THEN '' ELSE md5(text) END AS answer,
+  CASE WHEN text = '' AND length('context: ' || role || ' ' || text) > 200 THEN 'translation_empty' ELSE 'ok' END AS status FROM conversations""",
+    "history_files": f"""
+WITH {LISTS}, k AS (SELECT *, event_id % 11 AS k FROM e),
+g AS (SELECT * FROM k WHERE NOT broken AND k NOT IN (0, 1, 3, 4, 6, 7) QUALIFY row_number() OVER (PARTITION BY file, event_id % 5 ORDER BY event_id) = 1)
+SELECT file, event_id % 5 AS segment_id, event_id AS revision, k <> 5 AS is_final, event_type AS text, row_number() OVER (PARTITION BY file ORDER BY event_id) AS place, NULL::BIGINT AS pos, NULL AS reason FROM g
+UNION ALL SELECT file, NULL, NULL, NULL, NULL, NULL, pos, CASE k WHEN 0 THEN 'object' WHEN 1 THEN 'object' WHEN 3 THEN 'is_final' WHEN 4 THEN 'text' WHEN 6 THEN 'revision' ELSE 'timestamp' END FROM k WHERE NOT broken AND k IN (0, 1, 3, 4, 6, 7)
+UNION ALL SELECT DISTINCT file, NULL::BIGINT, NULL::BIGINT, NULL::BOOLEAN, NULL, NULL::BIGINT, NULL::BIGINT, 'file' FROM k WHERE broken""",
+    "glossary_files": f"""
+WITH {LISTS}, r AS (SELECT *, event_id % 7 AS k, event_type || (event_id % 3) AS source FROM e WHERE NOT broken),
+m AS (SELECT *, CASE WHEN pos >= 5 THEN 'beyond' WHEN k IN (0, 1, 3) THEN 'source' WHEN k = 2 THEN 'target' END AS reason FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY file, source, reason IS NULL ORDER BY pos) AS n FROM m)
+SELECT file, pos, CASE WHEN reason IS NULL AND n = 1 THEN source END AS source, CASE WHEN reason IS NULL AND n = 1 THEN event_type END AS target, CASE WHEN reason IS NULL AND n > 1 THEN 'repeated' ELSE reason END AS reason FROM n
+UNION ALL SELECT DISTINCT file, NULL::BIGINT, NULL, NULL, 'file' FROM e WHERE broken""",
     "promoted_results": """
 WITH e AS (SELECT user_id, event_id, event_id // 100 AS epoch, event_id % 9 > 0 AS done FROM events),
 f AS (SELECT *, coalesce(bool_or(NOT done) OVER (PARTITION BY user_id, epoch ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS held FROM e)

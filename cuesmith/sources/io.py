@@ -56,20 +56,70 @@ def canonical_captions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("reason is null").drop("reason", "raw_timestamp"), marked.filter("reason is not null")
 
 
-def read_history(spark: SparkSession, path: str, limit: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(captions newest first, bad rows) from files that hold a JSON array: the first of equal keys, at most limit rows a file."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", f"array<struct<{_struct(HISTORY)}>>").alias("rows"))
-    rows = raw.select("file", F.posexplode("rows").alias("pos", "r")).select("file", "pos", "r.*")
-    good, bad = canonical_captions(rows.filter("timestamp is not null").withColumn("pos", F.struct("file", "pos")))
-    missing = rows.filter("timestamp is null").select(F.struct("file", "pos").alias("pos"), F.lit("timestamp").alias("reason"))
+#: Bytes of a history and of a glossary file.
+HISTORY_BYTES, GLOSSARY_BYTES = 4 << 20, 64 << 10
+
+
+def list_entries(files: DataFrame, most_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(file, pos, e as a VARIANT; file, reason): the entries of files (file, value) that hold a JSON array, each on its own.
+
+    A file that is too large, no JSON or no array is one bad row with reason `file` and has no entries.
+    """
+    text = F.regexp_replace("value", "^\ufeff", "")
+    parsed = files.select("file", F.when(F.octet_length("value") <= most_bytes, F.try_parse_json(text)).alias("v"))
+    array = F.coalesce(F.schema_of_variant("v").startswith("ARRAY<"), F.lit(False))  # null: no JSON
+    entries = parsed.filter(array).select("file", F.posexplode(F.col("v").cast("array<variant>")).alias("pos", "e"))
+    return entries, parsed.filter(~array).select("file", F.lit("file").alias("reason"))
+
+
+def field(e: str, name: str, kinds: tuple[str, ...] = ("STRING",)) -> tuple[Column, Column]:
+    """(value as a string or null, whether the entry has a value of another kind) of an object's field."""
+    v = F.variant_get(F.col(e), f"$.{name}", "variant")
+    kind = F.schema_of_variant(v)
+    right = kind.isin(*kinds)
+    return F.when(right, v.cast("string")), v.isNotNull() & ~F.coalesce(right, F.lit(False))
+
+
+# Fields of a caption in a history file and what they hold.
+HISTORY_KINDS = {"timestamp": ("STRING",), "source_text": ("STRING",), "text": ("STRING",), "language": ("STRING",), "target_language": ("STRING",), "status": ("STRING",), "translation_status": ("STRING",), "is_final": ("BOOLEAN",), "revision": ("BIGINT", "STRING"), "session_id": ("STRING",), "segment_id": ("BIGINT", "STRING")}
+
+
+def history_rows(files: DataFrame, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(captions newest first with file and place, bad rows with file, pos, reason) of files (file, value) with a JSON array each:
+    the first of equal keys, at most `limit` captions a file.
+
+    Entries are judged one by one: an entry that is no object (`object`), a field of another kind (an is_final that is no
+    boolean, a number as a text, a null) or a value out of bounds is one bad row and costs no other.
+    """
+    entries, broken = list_entries(files, HISTORY_BYTES)
+    object_ = F.coalesce(F.schema_of_variant("e").startswith("OBJECT<"), F.lit(False))
+    values = {n: field("e", n, kinds) for n, kinds in HISTORY_KINDS.items()}
+    # a translation_status counts only where there is no status
+    values["translation_status"] = (values["translation_status"][0], values["translation_status"][1] & F.variant_get(F.col("e"), "$.status", "variant").isNull())
+    wrong = F.when(~object_, "object")
+    for n, (_, other) in values.items():
+        wrong = wrong.when(other, n)
+    wrong = wrong.when(values["timestamp"][0].isNull() | (F.length(values["timestamp"][0]) > 48), "timestamp")
+    typed = {n: v.cast("boolean") if n == "is_final" else v for n, (v, _) in values.items()}
+    rows = entries.select(F.struct("file", "pos", wrong.alias("wrong")).alias("pos"), *(v.alias(n) for n, v in typed.items()))
+    good, bad = canonical_captions(rows.filter("pos.wrong is null"))
+    place = lambda df, reason: df.select(F.col("pos.file").alias("file"), F.col("pos.pos").alias("pos"), reason.alias("reason"))
+    issues = place(rows.filter("pos.wrong is not null"), F.col("pos.wrong")).unionByName(place(bad, F.col("reason")))
     first = Window.partitionBy("pos.file", "session_id", "segment_id").orderBy("pos.pos")
     good = good.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     good = good.withColumn("place", F.row_number().over(Window.partitionBy("pos.file").orderBy("pos.pos"))).filter(F.col("place") <= limit)
-    return good.withColumn("file", F.col("pos.file")).drop("pos"), bad.unionByName(missing, allowMissingColumns=True)
+    return good.withColumn("file", F.col("pos.file")).drop("pos"), issues.unionByName(broken, allowMissingColumns=True)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """Whole files (file, value); null for one that is not UTF-8. Spark's readers pass over files without a byte."""
+    read = spark.read.format("binaryFile").load(path)
+    return read.select(F.col("path").alias("file"), F.try_validate_utf8(F.col("content").cast("string")).alias("value"))
 
 
-def _struct(ddl: str) -> str:
-    return ", ".join(f"{p.strip().split(' ', 1)[0]}: {p.strip().split(' ', 1)[1]}" for p in ddl.split(","))
+def read_history(spark: SparkSession, path: str, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+    """history_rows() of the files of a path."""
+    return history_rows(_files(spark, path), limit)
 
 
 def write_state(state: DataFrame, folder: str, version: int) -> str:
@@ -111,10 +161,16 @@ def append_recovery(rows: DataFrame, folder: str) -> None:
     rows.withColumn("day", F.current_date()).write.mode("append").partitionBy("day").json(folder)
 
 
+def glossary_entries(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file, pos, source, target; file, reason of files that can't be used) of files with a JSON array of terms each. An entry
+    that is no object, or a field that is no text, has nulls, which glossary() in operators.context reports."""
+    entries, broken = list_entries(files, GLOSSARY_BYTES)
+    return entries.select("file", "pos", *(field("e", n)[0].alias(n) for n in ("source", "target"))), broken
+
+
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
-    """pos, source, target of a JSON list; glossary() in operators.context checks the entries."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<struct<source:string,target:string>>").alias("e"))
-    return raw.select(F.posexplode("e").alias("pos", "e")).select("pos", "e.source", "e.target")
+    """file, pos, source, target of the files of a path, see glossary_entries()."""
+    return glossary_entries(_files(spark, path))[0]
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
