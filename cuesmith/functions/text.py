@@ -46,7 +46,7 @@ def punctuation_only(text: Column) -> Column:
 
 
 def profile(path: Column) -> Column:
-    """Prompt profile of a model file by its base name."""
+    """Prompt profile of a model file by its base name. The four patterns and their labels are fixed values."""
     name = F.lower(F.regexp_extract(F.translate(path, "\\", "/"), r"([^/]*)$", 1))
     return (
         F.when(name.rlike(r"(^|[^a-z0-9])ja[-_]ko[-_]vn[-_]12b[-_]v2($|[^a-z0-9])"), "jakovn")

@@ -89,8 +89,8 @@ def cumulative_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
         def row(self, r: dict) -> dict:
             return super().row({"audio_end": r["t"], "is_final": r["is_final"], "text": r["text"]})
 
-    schema = "seq long, segments array<string>, replacement array<string>, pending string, warnings array<string>"
-    return K.folded_rows(hypotheses(spark, sf_dir), ["turn"], "seq", Fold, schema, lambda r, o: [(r["seq"], o["segments"], o["replacement"], o["pending"], o["warnings"])])
+    schema = "seq long, segments array<string>, replacement array<string>, pending string, agreed string, warnings array<string>"
+    return K.folded_rows(hypotheses(spark, sf_dir), ["turn"], "seq", Fold, schema, lambda r, o: [(r["seq"], o["segments"], o["replacement"], o["pending"], o["agreed"], o["warnings"])])
 
 
 def draft_publisher(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,7 +196,7 @@ def test_history_file(spark, tmp_path):
 def test_envelopes_and_words(spark):
     df = spark.createDataFrame([('{"serverContent":{"inputTranscription":{"text":"a"},"interim_input_transcription":{"text":"b"}}}',), ('{"server_content":{"interimInputTranscription":{"text":"c"}}}',), ("x",)], "json string")
     assert sorted((r.part, r.text) for r in io.provider_envelopes(df).collect()) == [(0, "a"), (1, "b"), (1, "c")]
-    seg = spark.createDataFrame([(1, [(0.0, 1.0, "hi", 0.1, -0.2, 1.0, [(0.0, 0.4, "h"), (0.4, 1.0, "i")]), (1.0, 2.0, "yo", 0.1, -0.2, 1.0, None)])], f"id int, segments array<struct<{io._struct(io.SEGMENT.replace('words array<struct<start:double,`end`:double,text:string>>', 'words array<struct<start:double!`end`:double!text:string>>')).replace('!', ',')}>>")
+    seg = spark.createDataFrame([(1, [(0.0, 1.0, "hi", 0.1, -0.2, 1.0, [(0.0, 0.4, "h"), (0.4, 1.0, "i")]), (1.0, 2.0, "yo", 0.1, -0.2, 1.0, None)])], "id int, segments array<struct<" + io.SEGMENT + ">>")
     assert [r.text for r in io.recognizer_words(seg, "id").orderBy("seg", "start").collect()] == ["h", "i", "yo"]
 
 
