@@ -5,6 +5,9 @@ Schemas are fixed. Rows that break a rule go to a second DataFrame with a reason
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -122,18 +125,80 @@ def read_history(spark: SparkSession, path: str, limit: int = 100) -> tuple[Data
     return history_rows(_files(spark, path), limit)
 
 
-def write_state(state: DataFrame, folder: str, version: int) -> str:
-    """Replace the current state: a whole new version beside the old one, then a pointer to it. Writing a version again
-    (a replayed batch) gives the same result."""
-    path = f"{folder}/version={version:012d}"
-    state.write.mode("overwrite").parquet(path)
-    state.sparkSession.createDataFrame([(version, path)], "version long, path string").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
+def _fs(spark: SparkSession, path: str):
+    """(file system, path) of the session's Hadoop client; a classic session is needed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _versions(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    fs, at = _fs(spark, folder)
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    return sorted((int(n[8:]), f"{folder}/{n}") for n in names if n.startswith("version="))
+
+
+def write_state(state: DataFrame, folder: str, version: int, keep: int = 3) -> str:
+    """Make state the current version. It is written beside the others under a hidden name and renamed when it is whole: a reader sees a
+    version or none of it. A version that is there already (a replayed batch) stays as it is. The last `keep` versions are
+    kept, for readers that began before. The rename is atomic on HDFS and local disks; on an object store it is a copy.
+    """
+    spark, path = state.sparkSession, f"{folder}/version={version:012d}"
+    fs, at = _fs(spark, path)
+    if fs.exists(at):
+        return path
+    made = f"{folder}/.made-{uuid.uuid4().hex}"
+    state.write.parquet(made)
+    if not fs.rename(_fs(spark, made)[1], at):
+        fs.delete(_fs(spark, made)[1], True)
+        if not fs.exists(at):  # else another writer of the same batch was first
+            raise OSError(f"{made} can't be renamed to {path}")
+    for _, old in _versions(spark, folder)[: -max(1, keep)]:
+        fs.delete(_fs(spark, old)[1], True)
     return path
 
 
-def read_state(spark: SparkSession, folder: str) -> DataFrame:
-    path = spark.read.schema("version long, path string").json(f"{folder}/current").first().path
-    return spark.read.parquet(path)
+def read_state(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The newest version, or None where there is none yet."""
+    found = _versions(spark, folder)
+    return spark.read.parquet(found[-1][1]) if found else None
+
+
+def state_sink(folder: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], keep: int = 3) -> Callable[[DataFrame, int], None]:
+    """A function for foreachBatch: merge(current state or None, batch) becomes the version of the batch's id. A batch that comes again
+    changes nothing."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if all(n < batch_id for n, _ in _versions(spark, folder)):
+            write_state(merge(read_state(spark, folder), batch), folder, batch_id, keep)
+
+    return write
+
+
+def write_history(captions: DataFrame, file: str, faulty: bool = False, limit: int = 100) -> None:
+    """Replace a history file by a JSON array of the captions of lowest `place`, at most `limit`. The new file is written beside the old one
+    and renamed. With faulty (the old one had bad rows) that one is kept as file.corrupt, once: a later call without it leaves it alone."""
+    spark = captions.sparkSession
+    names = [n for n in HISTORY_KINDS if n in captions.columns]
+    stamp = {"timestamp": F.date_format(F.col("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")}
+    row = F.to_json(F.struct(*(stamp.get(n, F.col(n)).alias(n) for n in names)), {"ignoreNullFields": "false"})
+    lines = captions.orderBy("place").limit(limit).agg(F.sort_array(F.collect_list(F.struct("place", row.alias("r")))).alias("l"))
+    text = lines.select(F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["r"]), ",\n"), F.lit("]")).alias("value"))
+    made = f"{file}.made-{uuid.uuid4().hex}"
+    text.coalesce(1).write.text(made)
+    fs, at = _fs(spark, file)
+    part = next(s.getPath() for s in fs.listStatus(_fs(spark, made)[1]) if s.getPath().getName().startswith("part-"))
+    if fs.exists(at):
+        kept = _fs(spark, f"{file}.corrupt")[1]
+        if faulty:
+            fs.delete(kept, False)
+            fs.rename(at, kept)
+        else:
+            fs.delete(at, False)
+    fs.rename(part, at)
+    fs.delete(_fs(spark, made)[1], True)
 
 
 def read_recovery(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -68,25 +68,47 @@ def throttled(rows: DataFrame, key: str, at: str, gap: float) -> DataFrame:
     return _stateful(rows, key, step, f"{at} {dict(rows.dtypes)[at]}", [at])
 
 
-def caption_changes(events: DataFrame) -> DataFrame:
-    """Accepted caption rows by session as they change: a removed segment never returns, a draft never follows the
-    final of its revision. The state holds revision, finality and removal of a session's segments."""
+class _Captions(StatefulProcessor):
+    """Revision, finality and removal of each segment of a session, an entry of its own: a batch reads and writes the entries of
+    its own segments only."""
 
-    def step(state: dict | None, batch: pd.DataFrame) -> tuple[list[tuple], dict]:
-        seen, out = dict(state or {}), []
-        for r in batch.to_dict("records"):
-            key, old = str(r["segment_id"]), seen.get(str(r["segment_id"]))
-            if old == "removed":
+    def __init__(self, columns: list[str], ttl_ms: int | None):
+        self.columns, self.ttl_ms = columns, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "segment_id long", "revision long, is_final boolean, removed boolean", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        now, out = {}, []
+        for values in zip(*(batch[c].tolist() for c in self.columns[1:]), strict=True):
+            segment, revision, final, _, removed, _ = values
+            if segment not in now:
+                now[segment] = self.seen.getValue((segment,)) if self.seen.containsKey((segment,)) else None
+            old = now[segment]
+            if old is not None and (old[2] or not removed and (revision, final) < (old[0], old[1])):
                 continue
-            if r["removed"]:
-                seen[key] = "removed"
-                out.append((r["segment_id"], r["revision"], bool(r["is_final"]), r["text"], True, r["seq"]))
-            elif old is None or (r["revision"], bool(r["is_final"])) >= tuple(old):
-                seen[key] = [int(r["revision"]), bool(r["is_final"])]
-                out.append((r["segment_id"], r["revision"], bool(r["is_final"]), r["text"], False, r["seq"]))
-        return out, seen
-
-    return _stateful(events, "session_id", step, "segment_id long, revision long, is_final boolean, text string, removed boolean, seq long", ["seq"])
+            now[segment] = (int(revision), bool(final), bool(removed))
+            out.append((key[0], *values))
+        for segment in {r[1] for r in out}:
+            self.seen.updateValue((segment,), now[segment])
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def caption_changes(events: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Accepted caption rows by session as they change: a removed segment never returns, a draft never follows the
+    final of its revision. What a session remembers of a segment goes ttl_ms after its last accepted row (None: never); a
+    segment that comes again after that is new. Rows with a null key are left out. With ttl_ms Spark runs batches as long as
+    the query does, so a trigger that waits for the end (availableNow) has none."""
+    names = ["session_id", "segment_id", "revision", "is_final", "text", "removed", "seq"]
+    rows = events.filter(F.col("session_id").isNotNull() & F.col("segment_id").isNotNull()).withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("is_final", "removed")})
+    schema = f"session_id {dict(events.dtypes)['session_id']}, segment_id long, revision long, is_final boolean, text string, removed boolean, seq long"
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return rows.groupBy("session_id").transformWithStateInPandas(_Captions(names, ttl_ms), schema, "append", "none" if ttl_ms is None else "processingTime")
 
 
 def overload_windows(events: DataFrame, at: str, keys: list[str], seconds: str, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:

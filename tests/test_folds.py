@@ -201,9 +201,10 @@ def test_envelopes_and_words(spark):
 
 
 def test_state_versions(spark, tmp_path):
+    assert io.read_state(spark, str(tmp_path)) is None
     io.write_state(spark.range(3), str(tmp_path), 1)
     io.write_state(spark.range(5), str(tmp_path), 2)
-    io.write_state(spark.range(5), str(tmp_path), 2)
+    io.write_state(spark.range(9), str(tmp_path), 2)
     assert io.read_state(spark, str(tmp_path)).count() == 5
 
 

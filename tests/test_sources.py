@@ -62,3 +62,57 @@ def test_retries_ask_once(spark, tmp_path):
     bad = sum(r.status != "ok" for r in rows)
     late = sum(r.result.startswith("retry") for r in rows)
     assert 2000 + again.value == first and 100 < bad < 400 and again.value >= late + bad and all((r.result == "") == (r.status == "empty") for r in rows)
+
+
+def test_state_is_there_in_every_batch(spark, tmp_path):
+    """A reader beside 50 batches always finds a whole version; a batch that comes again changes nothing."""
+    import threading
+
+    folder, stop, seen, faults = str(tmp_path / "state"), threading.Event(), [], []
+    merge = lambda old, batch: (batch if old is None else old.unionByName(batch))
+    sink = io.state_sink(folder, merge, keep=4)
+
+    def read():
+        while not stop.is_set():
+            try:
+                state = io.read_state(spark, folder)
+                seen.append(state.count() if state is not None else 0)
+            except Exception as e:  # noqa: BLE001
+                faults.append(e)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    try:
+        for i in range(50):
+            sink(spark.range(i * 4, i * 4 + 4, numPartitions=1), i)
+            if i % 10 == 3:
+                sink(spark.range(1000, 1004, numPartitions=1), i)
+                sink(spark.range(1000, 1004, numPartitions=1), i - 2)
+    finally:
+        stop.set()
+        reader.join(60)
+    assert not faults and seen and all(n % 4 == 0 for n in seen) and seen == sorted(seen)
+    assert sorted(r.id for r in io.read_state(spark, folder).collect()) == list(range(200))
+    assert sum(p.name.startswith("version=") for p in (tmp_path / "state").iterdir()) == 4
+
+
+def test_state_of_a_stream(spark, tmp_path):
+    for i in range(3):
+        spark.range(i * 5, i * 5 + 5, numPartitions=1).write.mode("append").parquet(f"{tmp_path}/in")
+    rows = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    sink = io.state_sink(f"{tmp_path}/state", lambda old, batch: batch if old is None else old.unionByName(batch))
+    for _ in range(2):
+        rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(r.id for r in io.read_state(spark, f"{tmp_path}/state").collect()) == list(range(15))
+
+
+def test_history_file_is_replaced_and_kept_once(spark, tmp_path):
+    file = tmp_path / "h.json"
+    file.write_text(json.dumps(["junk", caption(3), caption(4, text='quo"te\n한')]))
+    good, bad = io.read_history(spark, str(file))
+    io.write_history(good, str(file), faulty=bad.count() > 0)
+    assert json.loads((tmp_path / "h.json.corrupt").read_text())[0] == "junk"
+    again, none = io.read_history(spark, str(file))
+    assert none.count() == 0 and [(r.segment_id, r.text) for r in again.orderBy("place").collect()] == [(3, "t3"), (4, 'quo"te\n한')]
+    io.write_history(again.filter("segment_id = 4"), str(file))
+    assert [x["segment_id"] for x in json.loads(file.read_text())] == [4] and json.loads((tmp_path / "h.json.corrupt").read_text())[0] == "junk"

@@ -68,3 +68,52 @@ def test_drafts_by_timer(spark, tmp_path):
     finally:
         q.stop()
     assert [(r.turn, r.segment_id, r.text, r.is_final) for r in got] == [("a", 1, "Hello.", False)]
+
+
+def test_caption_entries_are_those_of_the_batch(spark, tmp_path):
+    """Random logs: the last accepted rows are the batch state, and a batch writes the entries of its own segments only."""
+    import random
+
+    rng = random.Random(11)
+    rows, many = [], 400
+    for seq in range(1200):  # first all segments of one session once, then rows of a few
+        segment = seq if seq < many else rng.randrange(6)
+        rows.append((1, segment, rng.randrange(4) if seq >= many else 0, rng.random() < 0.3, rng.random() < 0.02, seq, f"t{seq}"))
+    rows += [(None, 1, 1, True, False, 1201, "x"), (1, None, 1, True, False, 1202, "x")]
+    log = spark.createDataFrame(rows, "session_id long, segment_id long, revision long, is_final boolean, removed boolean, seq long, text string")
+    changes = twins.caption_changes(stream(spark, log, tmp_path, "seq", 3))
+    q = changes.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert q.exception() is None
+    last = {}
+    for r in sorted(spark.read.schema(changes.schema).parquet(f"{tmp_path}/out").collect(), key=lambda r: r.seq):
+        last[r.session_id, r.segment_id] = None if r.removed else (r.revision, r.is_final, r.text)
+    want = {(r.session_id, r.segment_id): (r.revision, r.is_final, r.text) for r in T.caption_state(log, ["text"]).collect()}
+    assert {k: v for k, v in last.items() if v} == want and len(want) > 300
+    wrote = [p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["numInputRows"]]
+    assert len(wrote) == 3 and wrote[0] >= many and max(wrote[1:]) < 60
+
+
+def test_caption_entries_go_after_their_time(spark, tmp_path):
+    """A removed segment that comes back once its entry is gone is new."""
+    import time
+
+    kind = "session_id long, segment_id long, revision long, is_final boolean, removed boolean, seq long, text string"
+    add = lambda rows: spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    add([(1, 1, 1, False, True, 1, "gone"), (1, 2, 5, True, False, 2, "two")])
+    out = twins.caption_changes(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), 1_000)
+    q = out.writeStream.format("memory").queryName("entries").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="500 milliseconds").start()
+
+    def wait(n):
+        until = time.time() + 60
+        while time.time() < until and spark.table("entries").count() < n:
+            time.sleep(0.3)
+        return sorted(r.seq for r in spark.table("entries").collect())
+
+    try:
+        assert wait(2) == [1, 2]
+        time.sleep(2)
+        add([(1, 1, 1, False, False, 3, "new"), (1, 2, 1, False, False, 4, "two")])
+        assert wait(4) == [1, 2, 3, 4]
+    finally:
+        q.stop()
