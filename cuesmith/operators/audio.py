@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cuesmith.operators.scans import WIDTH, gaps, last_known, running_sum
+
 FRAME = 320
 VOICED_RMS = 0.002
 #: Bytes of audio that are squared at a time.
@@ -37,18 +39,16 @@ def checked_gaps(gaps: DataFrame, samples: str = "samples") -> tuple[DataFrame,
     return gaps.filter(good), gaps.filter(~good)
 
 
-def packet_positions(packets: DataFrame) -> DataFrame:
-    """packets with start_sample: the samples before them in their stream, by seq."""
-    w = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return packets.withColumn("start_sample", F.coalesce(F.sum(F.length("pcm") / 2).over(w), F.lit(0)).cast("long"))
+def packet_positions(packets: DataFrame, width: int = WIDTH) -> DataFrame:
+    """packets with start_sample: the samples before them in their stream, by seq. A stream is summed block by block of `width` seqs."""
+    out = running_sum(packets, ["stream_id"], ["seq"], F.length("pcm") / 2, "start_sample", width)
+    return out.withColumn("start_sample", F.col("start_sample").cast("long"))
 
 
-def packet_gaps(packets: DataFrame, stream: str, order: list[str], start: str, end: str) -> DataFrame:
-    """packets with missing (samples between the furthest end so far and start) and epoch (gaps so far)."""
-    w = Window.partitionBy(stream).orderBy(*order)
-    before = F.lag(end).over(w)
-    out = packets.withColumn("missing", F.greatest(F.lit(0), F.coalesce(F.col(start) - before, F.lit(0))))
-    return out.withColumn("epoch", F.sum((F.col("missing") > 0).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def packet_gaps(packets: DataFrame, stream: str, order: list[str], start: str, end: str, width: float = WIDTH) -> DataFrame:
+    """packets with missing (samples between the end of the packet before and start) and epoch (gaps so far); block by
+    block of `width` of the first order column, which is a number."""
+    return gaps(packets, [stream], order, start, end, width)
 
 
 def gap_totals(gaps: DataFrame, stream: str) -> DataFrame:
@@ -89,13 +89,13 @@ def frame_energy(packets: DataFrame) -> DataFrame:
     return whole.select("stream_id", "frame_idx", rms.alias("rms"), (rms >= VOICED_RMS).alias("voiced"))
 
 
-def hysteresis(rows: DataFrame, stream: str, order: list[str], p: Column, on: float = 0.5, off: float = 0.35, rms: Column | None = None) -> DataFrame:
-    """rows with active: on from p >= on, off below off, held between; off where rms is below the voiced level."""
+def hysteresis(rows: DataFrame, stream: str, order: list[str], p: Column, on: float = 0.5, off: float = 0.35, rms: Column | None = None, width: float = WIDTH) -> DataFrame:
+    """rows with active: on from p >= on, off below off, held between; off where rms is below the voiced level. The state is
+    carried block by block of `width` of the first order column, which is a number."""
     state = F.when(p >= on, 1).when(p < off, 0)
     if rms is not None:
         state = F.when(rms < VOICED_RMS, 0).otherwise(state)
-    w = Window.partitionBy(stream).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("active", F.coalesce(F.last(state, ignorenulls=True).over(w), F.lit(0)) == 1)
+    return last_known(rows, [stream], order, state, "active", width).withColumn("active", F.coalesce("active", F.lit(0)) == 1)
 
 
 def covered_length(spans: DataFrame, stream: str, start: str, end: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from cuesmith.functions import sentences as S
 from cuesmith.operators import audio as A
 from cuesmith.operators import metrics as M
+from cuesmith.operators import scans as S
 from cuesmith.operators import stability as B
 
 
@@ -25,7 +26,7 @@ def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packet_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.packet_gaps(_packets(spark, sf_dir), "stream_id", ["event_id"], "start", "end").select("stream_id", "event_id", "missing", "epoch")
+    return A.packet_gaps(_packets(spark, sf_dir), "stream_id", ["event_id"], "start", "end", 2000).select("stream_id", "event_id", "missing", "epoch")
 
 
 def gap_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def lost_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vad_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    return A.hysteresis(e, "user_id", ["event_id"], F.col("value"), 50.0, 35.0).select("user_id", "event_id", "active")
+    return A.hysteresis(e, "user_id", ["event_id"], F.col("value"), 50.0, 35.0, width=2000).select("user_id", "event_id", "active")
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,6 +201,18 @@ def throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.throttled(e, "user_id", "event_id", 500)
 
 
+def throttle_by_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same times by pointers that double, no task with a whole user."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id")
+    return S.throttled_by_jumps(e, "user_id", "event_id", 500)
+
+
+def packet_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of a user in order of event, some empty or missing, by the samples before them."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 7 > 0, F.repeat(F.lit("ab"), (F.col("event_id") % 11).cast("int")).cast("binary")).alias("pcm"))
+    return A.packet_positions(e, 1000).select("stream_id", "seq", "start_sample")
+
+
 def overload_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("seconds", F.floor("value") - 20).withColumn("items", F.col("event_id") % 7 - 2)
     return M.overload_rollup(e, ["user_id", "event_type"], "seconds", "items", "value", "value", "event_id")
@@ -247,7 +260,7 @@ def hint_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("owner", "ok", F.coalesce(F.array_join("terms", "|"), F.lit("")).alias("terms"))
 
 
-QUERIES = {f.__name__: f for f in (packet_gaps, gap_totals, interval_coverage, lost_samples, vad_hysteresis, utterances_short, utterances, utterances_fast, utterances_long, utterances_recheck, window_packets, gap_reports, frame_energy, stable_prefix, stable_turns, stable_words, local_agreement, overlap_trim, reconcile_ids, throttle, overload_rollup, endpoint_counters, cer_rollup, adequacy_rollup, retention_bytes, log_scrub, log_scrub_chunks, first_entries, hint_lists)}
+QUERIES = {f.__name__: f for f in (packet_gaps, gap_totals, interval_coverage, lost_samples, vad_hysteresis, utterances_short, utterances, utterances_fast, utterances_long, utterances_recheck, window_packets, gap_reports, frame_energy, stable_prefix, stable_turns, stable_words, local_agreement, overlap_trim, reconcile_ids, throttle, throttle_by_jumps, packet_positions, overload_rollup, endpoint_counters, cer_rollup, adequacy_rollup, retention_bytes, log_scrub, log_scrub_chunks, first_entries, hint_lists)}
 
 SHORT = """
 WITH e AS (SELECT user_id % 50 AS stream_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) - 1 AS i, value >= 60 AS loud FROM events),
@@ -331,6 +344,8 @@ WITH RECURSIVE k(user_id, event_id) AS (
   UNION ALL
   SELECT user_id, nxt FROM (SELECT k.user_id, (SELECT min(e.event_id) FROM events e WHERE e.user_id = k.user_id AND e.event_id >= k.event_id + 500) AS nxt FROM k) WHERE nxt IS NOT NULL)
 SELECT user_id, event_id FROM k""",
+    "packet_positions": """
+SELECT user_id AS stream_id, event_id AS seq, CAST(coalesce(sum(CASE WHEN event_id % 7 > 0 THEN event_id % 11 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_sample FROM events""",
     "overload_rollup": """
 SELECT user_id, event_type, CAST(sum(greatest(0, CAST(floor(value) AS BIGINT) - 20)) AS BIGINT) AS dropped_seconds, CAST(sum(greatest(0, event_id % 7 - 2)) AS BIGINT) AS dropped_items, max(value) AS max_buffer, arg_max(value, event_id) AS last_timing, count(*) AS reports
 FROM events GROUP BY 1, 2""",
@@ -352,3 +367,4 @@ t AS (SELECT owner, term, min(pos) AS pos, count(*) AS n FROM e GROUP BY 1, 2),
 l AS (SELECT owner, string_agg(term, '|' ORDER BY pos) AS terms, sum(n) <= 32 AND max(length(term)) <= 48 AND sum(length(term)) <= 512 AS ok FROM t GROUP BY 1)
 SELECT owner, ok, CASE WHEN ok THEN terms ELSE '' END AS terms FROM l""",
 }
+ORACLES["throttle_by_jumps"] = ORACLES["throttle"]
