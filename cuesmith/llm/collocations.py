@@ -4,10 +4,10 @@ Nodes are runs of three words, an edge is a run of four between the two nodes th
 Each word of a text gives one run, from it on: of four words, or of those that are left in its piece (a piece-end correction). The occurrences of a
 shorter phrase are the sum of what leaves the nodes that it begins (their flow) and of the corrections that it begins.
 
-1. Words and pairs are counted by 64-bit hashes; those with `least` occurrences go into an approximate set of a fixed size. A phrase
-   with `least` occurrences has only such words and pairs, so a run is cut before the first word or pair that is not in the set, and
-   what is left is one more correction. A full set, or two hashes that are alike, cut less; results stay exact.
-2. Runs are summed by language, node and next word in one shuffle; flows of nodes, pairs and words follow from each other.
+1. Words, pairs and triples are counted by 64-bit hashes; those with `least` occurrences go into an approximate set of a fixed size. A
+   phrase with `least` occurrences has only such parts, so a run is cut before the first word that makes a part that is not in the
+   set, and what is left is one more correction. A full set, or two hashes that are alike, cut less; results stay exact.
+2. Runs are summed by language, node and next word, in lists by bucket of the node; flows of nodes, pairs and words follow from each other.
 3. Edges of `least` occurrences are a small graph. Paths through nodes with one edge in and one out are compacted: in each of
    ROUNDS rounds, two paths join at a node whose hash is below those of the paths' other ends. A path has 2**ROUNDS edges at most, so no row
    grows with the corpus. Phrases of four words are the windows of the paths.
@@ -34,14 +34,18 @@ from cuesmith.llm.scratch import Tables, small_batches
 from cuesmith.llm.shingles import spread
 
 ROUNDS = 6
-#: Bits of the set of frequent words and pairs: 4 MB.
+#: Bits of the set of frequent words, pairs and triples: 4 MB.
 FILTER_BITS = 25
 #: Bytes of text that are counted at once.
-UNIT = 24 << 20
+UNIT = 16 << 20
 #: ASCII capitals lowered, marks that end a piece as a point, tabs as blanks.
 PLAIN = bytes(ord(".") if chr(c) in ".,;:!?\n\v\f\r" else 32 if c == 9 else c for c in range(256)).lower()
 
 
+#: Tasks that add up hashes, times the session's shuffle partitions: a task holds all its distinct ones.
+FINER = 4
+
+
 class Unit:
     """Words of texts of one language, one behind the other with a mark between pieces."""
 
@@ -55,35 +59,50 @@ class Unit:
         mark = spoken.index(b".") if b"." in spoken else -1
         self.ids, self.real = ids, ids != mark
         self.pair = self.real & np.append(self.real[1:], False)
-        h = own[ids]
+        h, self.own = own[ids], own
         self.word_keys = spread(own)
-        self.pair_keys = spread(spread(h) * np.uint64(3) + np.append(h[1:], h[:1]))
-        self.mark = mark
+        self.pair_keys = spread(self.word_keys[ids] * np.uint64(3) + np.append(h[1:], h[:1]))
+        self.triple_keys = spread(self.pair_keys * np.uint64(5) + np.append(h[2:], h[:2])[: len(h)])
+        self.triple = self.pair & np.append(self.pair[1:], False)
 
     def keys(self) -> np.ndarray:
-        """Hashes of all occurrences of words and of pairs."""
-        return np.concatenate([self.word_keys[self.ids[self.real]], self.pair_keys[self.pair]])
+        """Hashes of all occurrences of words, pairs and triples."""
+        return np.concatenate([self.word_keys[self.ids[self.real]], self.pair_keys[self.pair], self.triple_keys[self.triple]])
 
-    def runs(self, frequent: np.ndarray) -> pa.Table:
-        """Distinct runs of one to four frequent words and their occurrences; a word that isn't frequent is a run of none."""
+    def runs(self, frequent: np.ndarray, buckets: int) -> pa.Table:
+        """Distinct runs of one to four words and their occurrences, a row of lists for each bucket of nodes; a run ends before a word
+        with which it is not frequent. A word that isn't frequent is a run of none."""
         word = maybe_in(frequent, self.word_keys)[self.ids] & self.real
-        follows = np.zeros(len(word), bool)
-        follows[self.pair] = maybe_in(frequent, self.pair_keys[self.pair])
-        follows &= word & np.append(word[1:], False)
+        second, third = np.zeros(len(word), bool), np.zeros(len(word), bool)
+        second[self.pair] = maybe_in(frequent, self.pair_keys[self.pair])
+        second &= word & np.append(word[1:], False)
+        third[self.triple] = maybe_in(frequent, self.triple_keys[self.triple])
+        third &= second & np.append(second[1:], False)
+        fourth = third & np.append(third[1:], False)
         none = len(self.words)
-        first = np.where(word, self.ids, none)
-        second = np.where(follows, np.append(self.ids[1:], none), none)
-        pairs = pa.array(first * (none + 1) + second).dictionary_encode()
-        pair, kinds = pairs.indices.to_numpy().astype(np.int64), len(pairs.dictionary)
-        third = follows & np.append(follows[1:], False)
-        keys, counts = np.unique((pair * (kinds + 1) + np.where(third, np.append(pair[2:], [kinds] * 2)[: len(pair)], kinds))[self.real], return_counts=True)
-        pair, then = np.divmod(keys, kinds + 1)
-        made = np.append(pairs.dictionary.to_numpy(), none * (none + 1) + none)
+        at = [np.where(has, np.append(self.ids[k:], np.full(k, none))[: len(word)], none) for k, has in enumerate((word, second, third, fourth))]
+        pairs = [pa.array(a * (none + 1) + b).dictionary_encode() for a, b in (at[:2], at[2:])]
+        left, right = (p.indices.to_numpy().astype(np.int64) for p in pairs)
+        kinds = max(1, len(pairs[1].dictionary))
+        keys, counts = np.unique((left * kinds + right)[self.real], return_counts=True)
+        made = [p.dictionary.to_numpy()[k] for p, k in zip(pairs, np.divmod(keys, kinds), strict=True)]
+        at = [x for m in made for x in np.divmod(m, none + 1)]
+        own = np.append(self.own, np.uint64(0))
+        key = spread(spread(spread(own[at[0]]) * np.uint64(3) + own[at[1]]) * np.uint64(5) + own[at[2]])
+        place = bucket_of(key, buckets)
+        order = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[order], np.arange(buckets + 1))
         text = self.words.cast(pa.string())
-        at = [made[pair] // (none + 1), made[pair] % (none + 1), made[then] // (none + 1), made[then] % (none + 1)]
-        w = [text.take(pa.array(i, mask=i == none)) for i in at]
+        w = [text.take(pa.array(i[order], mask=i[order] == none)) for i in at]
         node = pc.binary_join_element_wise(pc.fill_null(w[0], ""), w[1], w[2], " ", null_handling="skip")  # a row of nulls alone would vanish
-        return pa.table({"lang": pa.array([self.lang] * len(counts), pa.string()), "node": node, "next": w[3], "weight": counts})
+        used = np.flatnonzero(np.diff(cuts))
+        ends = pa.array(np.append(cuts[used], len(counts)), pa.int32())
+        lists = {n: pa.ListArray.from_arrays(ends, v) for n, v in (("node", node), ("next", w[3]), ("weight", pa.array(counts[order], pa.int64())))}
+        return pa.table({"bucket": pa.array(used, pa.int32()), "lang": pa.array([self.lang] * len(used), pa.string()), **lists})
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def units(batches: Iterator[pa.RecordBatch]) -> Iterator[Unit]:
@@ -105,14 +124,13 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[Unit]:
 
 
 def frequent_keys(docs: DataFrame, least: int) -> DataFrame:
-    """Hashes of words and pairs with `least` occurrences and more, each one row (gram). docs has lang and text."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Hashes of words, pairs and triples with `least` occurrences and more, each one row (gram). docs has lang and text."""
+    buckets = FINER * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in units(batches):
             keys, counts = np.unique(unit.keys(), return_counts=True)
-            place = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-            cuts = np.searchsorted(place, np.arange(buckets + 1, dtype=np.uint64))
+            cuts = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
             parts = [(i, a, z) for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
             yield pa.RecordBatch.from_arrays([
                 pa.array([i for i, _, _ in parts], pa.int32()), pa.array([packed(keys[a:z]) for _, a, z in parts], pa.binary()),
@@ -128,12 +146,28 @@ def phrase_runs(docs: DataFrame, least: int, tables: Tables) -> DataFrame:
     small_batches(docs.sparkSession)
     frequent = shared_bloom(frequent_keys(docs, least), FILTER_BITS)
 
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in units(batches):
-            yield from unit.runs(frequent.value).to_batches(1 << 16)
+            yield from unit.runs(frequent.value, buckets).to_batches()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        by = lambda: pa.concat_tables(held).group_by(["lang", "node", "next"]).aggregate([("weight", "sum")]).rename_columns(["lang", "node", "next", "weight"])
+        for batch in batches:
+            lang, *lists = batch.columns
+            sizes = pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False)
+            held.append(pa.table({"lang": lang.take(pa.array(np.repeat(np.arange(len(lang)), sizes))), **{n: x.flatten() for n, x in zip(("node", "next", "weight"), lists, strict=True)}}))
+            size += len(held[-1])
+            if size > 1 << 20:
+                held, size = [by()], 0
+        if held:
+            yield from by().to_batches(1 << 16)
 
     by = Window.partitionBy("lang", "node")
-    made = docs.mapInArrow(tidy(run), "lang string, node string, next string, weight long").repartition("lang", "node")
+    listed = docs.mapInArrow(tidy(run), "bucket int, lang string, node array<string>, next array<string>, weight array<long>").repartition(buckets, "bucket")
+    made = listed.drop("bucket").mapInArrow(tidy(total), "lang string, node string, next string, weight long").repartition("lang", "node")
     summed_ = made.groupBy("lang", "node", "next").agg(F.sum("weight").alias("weight"))
     flows = summed_.withColumns({"flow": F.sum("weight").over(by), "first": F.row_number().over(by.orderBy(F.col("next").asc_nulls_first())) == 1})
     out = tables.cut(flows.filter(F.col("first") | ((F.col("weight") >= least) & F.col("next").isNotNull())), "runs")

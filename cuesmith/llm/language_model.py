@@ -46,7 +46,7 @@ LOWER = bytes(range(248)).lower() + b"\xf7" * 8
 #: The lowest order of the tries that are built apart; orders below are in every task.
 LOW = 3
 #: Bytes of text of a chunk and of a block.
-CHUNK, BLOCK = 64 << 20, 4 << 20
+CHUNK, BLOCK = 64 << 20, 2 << 20
 
 
 def mask(symbols: int) -> np.uint64:
@@ -215,6 +215,10 @@ def chunked(docs: DataFrame, key: str, buckets: int) -> DataFrame:
     return docs.mapInArrow(tidy(cut), schema)
 
 
+#: New grams that a task holds before it adds them up.
+MERGED = 1 << 20
+
+
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 2: distinct grams of the buckets of a task and their counts in training texts. Batches have grams and seen."""
     keys, seen, held = [], [], 0
@@ -223,7 +227,7 @@ def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(unpacked(g))
             seen.append(np.frombuffer(zstandard.decompress(s), np.int64))
             held += len(keys[-1])
-            if held > (8 << 20):
+            if held > MERGED:
                 k, s = summed(np.concatenate(keys), np.concatenate(seen))
                 keys, seen, held = [k], [s], 0
     if keys:
