@@ -101,6 +101,59 @@ def match_glossary(texts: DataFrame, terms: DataFrame, key: str, text: str = "te
     return texts.select(key, F.posexplode(kept).alias("place", "hit")).select(key, "hit.source", "hit.target", (F.col("place") + 1).alias("place"))
 
 
+#: Lengths of the pieces by which terms of a large catalog are found: a term is filed under one piece of the greatest that fits.
+PIECES = (1, 2, 4, 8)
+
+
+def _characters(c: Column) -> Column:
+    """Code points of a text; split by an empty pattern would part those beyond the first plane."""
+    return F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+
+
+def _pieces(chars: str, sizes: tuple[int, ...]) -> Column:
+    """All pieces of a text of the given lengths, by slices of its column of characters."""
+
+    def runs_of(q: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(chars) - q + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(q)), ""))
+        return F.when(F.size(chars) >= q, made).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*(runs_of(q) for q in sizes)))
+
+
+def catalog_index(terms: DataFrame) -> DataFrame:
+    """pos, source, target, piece, pattern: each term under that piece of its own which the fewest terms have, and the pattern
+    it must match."""
+    n = F.length("source")
+    size = F.lit(PIECES[0])
+    for q in PIECES[1:]:
+        size = F.when(n >= q, q).otherwise(size)
+    pieces = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(F.col("source"), i, size))  # terms are short
+    rows = terms.filter(n > 0).select("pos", "source", "target", F.posexplode(pieces).alias("at", "piece"))
+    shared = rows.select("pos", "piece").distinct().groupBy("piece").agg(F.count("*").alias("terms"))
+    best = Window.partitionBy("pos", "source").orderBy("terms", "at")
+    chosen = rows.join(shared, "piece").withColumn("n", F.row_number().over(best)).filter("n = 1")
+    edge = lambda place, pattern: F.when(F.col("source").rlike(place), pattern).otherwise("")
+    quoted = F.concat(F.lit("\\Q"), F.replace(F.col("source"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pattern = F.concat(edge("^[A-Za-z0-9_]", "(?<![A-Za-z0-9_])"), quoted, edge("[A-Za-z0-9_]$", "(?![A-Za-z0-9_])"))
+    return chosen.select("pos", "source", "target", "piece", pattern.alias("pattern"))
+
+
+def match_catalog(texts: DataFrame, terms: DataFrame, key: str, text: str = "text", most: int = 20) -> DataFrame:
+    """What match_glossary() gives, for catalogs of any size: key, source, target, place.
+
+    Texts and terms meet by pieces of up to 8 characters (an equi-join; Spark sends a small index to all tasks), and only pairs that
+    share one are matched. key names a text; a null text has no terms.
+    """
+    index = catalog_index(terms)
+    spelled = texts.select(F.col(key).alias("_key"), _characters(F.col(text)).alias("_chars"))  # a column: made once, not for each piece
+    rows = spelled.select("_key", F.explode(_pieces("_chars", PIECES)).alias("piece"))
+    met = rows.join(index, "piece").select("_key", "pos", "source", "target", "pattern").distinct()
+    found = met.join(texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key").filter(F.contains("_text", "source")).filter(F.expr("rlike(_text, pattern)"))
+    order = Window.partitionBy("_key").orderBy(F.length("source").desc(), "pos")
+    placed = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    return placed.select(F.col("_key").alias(key), "source", "target", "place")
+
+
 def memoized(work: DataFrame, keys: list[str], run: Callable[[DataFrame], DataFrame], result: str = "result") -> DataFrame:
     """work with a result made once for each distinct combination of keys and joined back (null-safe).
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cuesmith.functions.text import script_key
+
 
 def overload_rollup(events: DataFrame, keys: list[str], seconds: str, items: str, buffer: str, timing: str, order: str) -> DataFrame:
     """Sums of dropped seconds and items (negative counts as 0), the largest buffer and the latest timing."""
@@ -21,10 +25,53 @@ def counters(rows: DataFrame, session: str, reasons: dict[str, Column]) -> DataF
     return rows.groupBy(session).agg(*[F.count_if(c).alias(n) for n, c in reasons.items()])
 
 
-def error_rate(cues: DataFrame, ref: Column, hyp: Column, by: list[str]) -> DataFrame:
+def edit_distance(a: str, b: str) -> int:
+    """Fewest insertions, deletions and replacements of characters that make b of a.
+
+    A column of the table of distances is held as two numbers with a bit a character of a (where the distance rises and where it falls),
+    so a character of b costs a few operations on them and memory is linear.
+    """
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[head:], b[head:]
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    a, b = sorted((a[: len(a) - tail], b[: len(b) - tail]), key=len)
+    if not a:
+        return len(b)
+    places: dict[str, bytearray] = {}
+    for i, c in enumerate(a):
+        places.setdefault(c, bytearray(len(a) // 8 + 1))[i >> 3] |= 1 << (i & 7)
+    where = {c: int.from_bytes(x, "little") for c, x in places.items()}
+    full, end, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    rises, falls = full, 0
+    for c in b:
+        match = where.get(c, 0)
+        level = match | falls
+        diagonal = (((match & rises) + rises) ^ rises) | match
+        up, down = falls | (full & ~(diagonal | rises)), rises & diagonal
+        distance += bool(up & end) - bool(down & end)
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        rises, falls = down | (full & ~(level | up)), up & level
+    return distance
+
+
+def _edits(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    return pa.array([None if a is None or b is None else edit_distance(a, b) for a, b in zip(ref.to_pylist(), hyp.to_pylist(), strict=True)], pa.int64())
+
+
+def edits(ref: Column, hyp: Column) -> Column:
+    """edit_distance() of two columns of texts of any length; null where one is."""
+    return F.arrow_udf(_edits, "long")(ref, hyp)
+
+
+def subtitle_key(text: Column, variants: dict[str, str] | None = None) -> Column:
+    """A cue as error rates compare it: without tags and override codes, case, space and marks, variants of letters as one."""
+    return script_key(F.regexp_replace(text, r"<[^<>]*>|\{[^{}]*\}", ""), variants or {})
+
+
+def error_rate(cues: DataFrame, ref: Column, hyp: Column, by: list[str], distance: Callable[[Column, Column], Column] = F.levenshtein) -> DataFrame:
     """Edits, reference characters and their quotient in percent for each group of a rollup of `by`: sums first, so
-    totals are weighted by length. Edit distance is quadratic in a cue's length: score cues, not documents."""
-    rows = cues.select(*by, F.levenshtein(ref, hyp).cast("long").alias("e"), F.length(ref).cast("long").alias("n"))
+    totals are weighted by length. F.levenshtein is quadratic in a cue's length; `edits` is for whole documents."""
+    rows = cues.select(*by, distance(ref, hyp).cast("long").alias("e"), F.length(ref).cast("long").alias("n"))
     out = rows.rollup(*by).agg(F.sum("e").alias("edits"), F.sum("n").alias("chars"))
     return out.withColumn("percent", F.round(F.col("edits") * 100.0 / F.nullif(F.col("chars"), F.lit(0)), 2))
 

@@ -87,6 +87,13 @@ def glossary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.match_glossary(table(spark, sf_dir, "documents"), C.glossary(entries)[0], "doc_id")
 
 
+def glossary_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog of all words of the benchmark, as many as there are, against all texts."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("source")).distinct()
+    terms = words.select(F.col("source").alias("pos"), "source", F.upper("source").alias("target"))
+    return C.match_catalog(table(spark, sf_dir, "documents"), terms, "doc_id").select("doc_id", "source", "target", F.col("place").cast("long").alias("place"))
+
+
 def work_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     code = F.when(F.col("doc_id") % 3 == 0, "auto").otherwise(F.col("lang"))
@@ -127,7 +134,7 @@ def short_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("conv_id", "turn", X.short_fragment(F.col("text")).alias("short"), X.meaningful_clause(F.col("text")).alias("clause"))
 
 
-QUERIES = {f.__name__: f for f in (caption_state, caption_latest_k, caption_latest_100, caption_history_bounded, transcript_dedup, latest_work, live_captions, gap_retractions, context_asof, rolling_prompt, segment_ids, glossary_match, work_routing, memo_infer, output_qa, key_duplicates, sentence_corpus, sentence_conservation, reading_time, short_turns)}
+QUERIES = {f.__name__: f for f in (caption_state, caption_latest_k, caption_latest_100, caption_history_bounded, transcript_dedup, latest_work, live_captions, gap_retractions, context_asof, rolling_prompt, segment_ids, glossary_match, glossary_catalog, work_routing, memo_infer, output_qa, key_duplicates, sentence_corpus, sentence_conservation, reading_time, short_turns)}
 
 LOG = """
 log AS (
@@ -190,6 +197,10 @@ h AS (
   SELECT doc_id, g.source, upper(g.source) AS target, pos FROM documents, g
   WHERE contains(text, g.source) AND regexp_matches(text, '(^|[^A-Za-z0-9_])\Q' || g.source || '\E($|[^A-Za-z0-9_])'))
 SELECT doc_id, source, target, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY length(source) DESC, pos) AS INTEGER) AS place FROM h QUALIFY place <= 20""",
+    "glossary_catalog": """
+WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS source FROM benchmark),
+w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS source FROM documents)
+SELECT doc_id, source, upper(source) AS target, row_number() OVER (PARTITION BY doc_id ORDER BY length(source) DESC, source) AS place FROM w JOIN t USING (source) QUALIFY place <= 20""",
     "work_routing": r"""
 WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'auto' ELSE lang END AS code FROM documents),
 s AS (SELECT *, CASE WHEN code <> 'auto' THEN code WHEN regexp_matches(text, '[\x{3040}-\x{30ff}]') THEN 'ja' WHEN regexp_matches(text, '[\x{4e00}-\x{9fff}]') THEN 'zh' WHEN regexp_matches(text, '[\x{ac00}-\x{d7af}]') THEN 'ko' ELSE 'en' END AS src FROM d)

@@ -227,6 +227,12 @@ def cer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.error_rate(b, F.lower("text"), F.lower(F.regexp_replace("text", "th", "t")), ["clip"])
 
 
+def cer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rates of whole documents of every language, by subtitle keys."""
+    d = table(spark, sf_dir, "documents")
+    return M.error_rate(d, M.subtitle_key(F.col("text")), M.subtitle_key(F.regexp_replace("text", "th|qu", "t")), ["lang"], M.edits)
+
+
 def adequacy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = table(spark, sf_dir, "labels").withColumn("clip", F.col("doc_id") % 4)
     return M.adequacy(cues.withColumn("score", F.col("quality") + (1 - F.col("toxic"))), "score", ["clip"])
@@ -260,7 +266,7 @@ def hint_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("owner", "ok", F.coalesce(F.array_join("terms", "|"), F.lit("")).alias("terms"))
 
 
-QUERIES = {f.__name__: f for f in (packet_gaps, gap_totals, interval_coverage, lost_samples, vad_hysteresis, utterances_short, utterances, utterances_fast, utterances_long, utterances_recheck, window_packets, gap_reports, frame_energy, stable_prefix, stable_turns, stable_words, local_agreement, overlap_trim, reconcile_ids, throttle, throttle_by_jumps, packet_positions, overload_rollup, endpoint_counters, cer_rollup, adequacy_rollup, retention_bytes, log_scrub, log_scrub_chunks, first_entries, hint_lists)}
+QUERIES = {f.__name__: f for f in (packet_gaps, gap_totals, interval_coverage, lost_samples, vad_hysteresis, utterances_short, utterances, utterances_fast, utterances_long, utterances_recheck, window_packets, gap_reports, frame_energy, stable_prefix, stable_turns, stable_words, local_agreement, overlap_trim, reconcile_ids, throttle, throttle_by_jumps, packet_positions, overload_rollup, endpoint_counters, cer_rollup, cer_documents, adequacy_rollup, retention_bytes, log_scrub, log_scrub_chunks, first_entries, hint_lists)}
 
 SHORT = """
 WITH e AS (SELECT user_id % 50 AS stream_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) - 1 AS i, value >= 60 AS loud FROM events),
