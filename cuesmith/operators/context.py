@@ -105,19 +105,9 @@ def match_glossary(texts: DataFrame, terms: DataFrame, key: str, text: str = "te
 PIECES = (1, 2, 4, 8)
 
 
-def _characters(c: Column) -> Column:
-    """Code points of a text; split by an empty pattern would part those beyond the first plane."""
-    return F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
-
-
-def _pieces(chars: str, sizes: tuple[int, ...]) -> Column:
-    """All pieces of a text of the given lengths, by slices of its column of characters."""
-
-    def runs_of(q: int) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.size(chars) - q + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(q)), ""))
-        return F.when(F.size(chars) >= q, made).otherwise(F.array().cast("array<string>"))
-
-    return F.flatten(F.array(*(runs_of(q) for q in sizes)))
+def _pieces(text: Column) -> Column:
+    """All pieces of a text of the lengths of PIECES, one pass over the text for each length."""
+    return F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)) for q in PIECES)))
 
 
 def catalog_index(terms: DataFrame) -> DataFrame:
@@ -145,8 +135,7 @@ def match_catalog(texts: DataFrame, terms: DataFrame, key: str, text: str = "tex
     share one are matched. key names a text; a null text has no terms.
     """
     index = catalog_index(terms)
-    spelled = texts.select(F.col(key).alias("_key"), _characters(F.col(text)).alias("_chars"))  # a column: made once, not for each piece
-    rows = spelled.select("_key", F.explode(_pieces("_chars", PIECES)).alias("piece"))
+    rows = texts.select(F.col(key).alias("_key"), F.explode(_pieces(F.col(text))).alias("piece"))
     met = rows.join(index, "piece").select("_key", "pos", "source", "target", "pattern").distinct()
     found = met.join(texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key").filter(F.contains("_text", "source")).filter(F.expr("rlike(_text, pattern)"))
     order = Window.partitionBy("_key").orderBy(F.length("source").desc(), "pos")
