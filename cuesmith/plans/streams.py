@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from cuesmith.functions import sentences as S
 from cuesmith.operators import audio as A
 from cuesmith.operators import metrics as M
-from cuesmith.operators import scans as S
+from cuesmith.operators import scans
 from cuesmith.operators import stability as B
 
 
@@ -204,7 +204,7 @@ def throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def throttle_by_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same times by pointers that double, no task with a whole user."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id")
-    return S.throttled_by_jumps(e, "user_id", "event_id", 500)
+    return scans.throttled_by_jumps(e, "user_id", "event_id", 500)
 
 
 def packet_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
