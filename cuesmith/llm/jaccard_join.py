@@ -17,6 +17,10 @@ each of their first l common tokens, the overlap is at most what stands from the
 tokens before it, l - 1 at most (`reach`). A set whose reach at a token is under ceil(t n) links through it with
 nobody: the row goes before any join. So a near copy with too many words of its own meets nobody, however large
 the group around it is.
+
+The matrix also holds a box of parities for each token and group: the parities of a set's tokens in BOX buckets, as far
+as all members with the token agree on them. Buckets in which a query differs from the box are tokens that it does not
+share with any of these members, so sets of a large cluster that are below the threshold are parted before they meet.
 """
 
 from __future__ import annotations
@@ -41,6 +45,8 @@ from cuesmith.llm.shingles import shingle_sets, spread
 LEAST_COMMON = 3
 BANDS = 4
 SEEDS = spread(np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Longs of the parities in the token-group matrix: 64 buckets each, a power of two of them.
+BOX = 16
 #: Bits of the approximate sets that executors get: a fixed size, whatever they hold.
 FILTER_BITS = 25
 #: A token is frequent from 16 sets or one in so many on; at most this many times the mean set size can be.
@@ -111,6 +117,15 @@ def _sketches(tokens: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def _boxes(tokens: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """For each set the parities of its tokens in 64 * BOX buckets, as a list of BOX longs."""
+    buckets = 64 * BOX
+    of = np.repeat(np.arange(len(sizes)) * buckets, sizes)
+    odd = np.bincount(of + (tokens >> np.uint64(65 - buckets.bit_length())).astype(np.int64), minlength=len(sizes) * buckets) & 1
+    longs = np.packbits(odd.astype(bool)).view("<i8")
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * BOX), pa.array(longs))
+
+
 def differences(x: np.ndarray, y: np.ndarray) -> int:
     """Tokens at least that are in one of two sets only, from their sketches (arrays of bytes): buckets whose parities
     differ, of the coarser sketch (neighbouring buckets of the finer one fall together there)."""
@@ -123,7 +138,7 @@ def differences(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def features(texts: DataFrame, k: int, percent: int, frequent: Broadcast) -> DataFrame:
-    """texts(doc_id, text) as row, doc_id, n, s1, s2 (hash of the set), bands, least, tokens (index tokens), sketch."""
+    """texts(doc_id, text) as row, doc_id, n, s1, s2 (hash of the set), bands, least, tokens (index tokens), sketch, box."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,10 +152,10 @@ def features(texts: DataFrame, k: int, percent: int, frequent: Broadcast) -> Dat
                 index = _index(tokens, n, take, maybe_in(frequent.value, tokens))
                 lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(flat)) for size, flat in ((BANDS * some, bands.ravel().view(np.int64)), (take, index))]
                 s1, s2 = _digests(tokens, n)
-                cols = [batch.column(0).slice(row, len(n)), pa.array(n.astype(np.int32)), pa.array(s1), pa.array(s2), lists[0], pa.array(common.astype(np.int32)), lists[1], _sketches(tokens, n)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "s1", "s2", "bands", "least", "tokens", "sketch"])
+                cols = [batch.column(0).slice(row, len(n)), pa.array(n.astype(np.int32)), pa.array(s1), pa.array(s2), lists[0], pa.array(common.astype(np.int32)), lists[1], _sketches(tokens, n), _boxes(tokens, n)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "s1", "s2", "bands", "least", "tokens", "sketch", "box"])
 
-    out = texts.mapInArrow(tidy(of), f"doc_id {dict(texts.dtypes)['doc_id']}, n int, s1 long, s2 long, bands array<long>, least int, tokens array<long>, sketch binary")
+    out = texts.mapInArrow(tidy(of), f"doc_id {dict(texts.dtypes)['doc_id']}, n int, s1 long, s2 long, bands array<long>, least int, tokens array<long>, sketch binary, box array<long>")
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -202,6 +217,11 @@ class _Join:
     def sizes_fit(self, n: Column, low: Column, high: Column) -> Column:
         return (100 * high >= self.percent * n) & (100 * n >= self.percent * low)
 
+    def parted(self, differ: list[Column], n_x: Column, n_y: Column) -> Column:
+        """Whether sets of n_x and n_y are below the threshold by the buckets in which they differ (bits of longs)."""
+        least = sum((F.bit_count(x) for x in differ[1:]), F.bit_count(differ[0]))
+        return (100 + self.percent) * least > (100 - self.percent) * (n_x + n_y)
+
     def reaches(self, reach: Column, n_x: Column, n_y: Column) -> Column:
         """Whether sets of n_x and n_y link with an overlap of reach."""
         return (100 + self.percent) * reach >= self.percent * (n_x + n_y)
@@ -213,7 +233,7 @@ class _Join:
         pairs = banded.join(hubs, "band").filter((F.col("rep") != F.col("a")) & self.sizes_fit(F.col("n"), F.col("hub_n"), F.col("hub_n")))
         return self.verified(pairs.select("a", F.col("rep").alias("b")), "grouped")
 
-    def indexed(self, rows: DataFrame, name: str) -> DataFrame:
+    def indexed(self, rows: DataFrame, name: str, boxes: bool = False) -> DataFrame:
         """rows(rep, n, least, group, alone, token, pos, size) of tokens that more than one group has, as queries: with own
         (tokens of the class's index that no other group has), reach and seen, without the rows that can link with nobody.
 
@@ -228,7 +248,10 @@ class _Join:
             rows = rows.withColumn(f"seen{i}", F.when(F.col("before") >= fewest, F.xxhash64(*three)))
         rows = rows.drop("before").filter(F.col("reach") >= needed(F.col("n"), self.percent)).withColumn("left", F.count("*").over(of))
         fewest = F.least(F.lit(LEAST_COMMON), needed(needed(F.col("n"), self.percent), self.percent))
-        return self.tables.cut(rows.filter(F.col("left") >= fewest).drop("left"), name)
+        rows = rows.filter(F.col("left") >= fewest).drop("left")
+        if boxes:  # b0, b1 ..: the longs of the class's box
+            rows = rows.join(self.classes.select("rep", *(F.col("box")[i].alias(f"b{i}") for i in range(BOX))), "rep")
+        return self.tables.cut(rows, name)
 
     def between(self, groups: DataFrame) -> DataFrame:
         """Queries (see indexed) of the classes' index tokens. An approximate set of the tokens of more than one group
@@ -259,7 +282,7 @@ class _Join:
         rows = queries.select("rep", "n", "least", "token", "pos", "size").join(groups, F.col("rep") == F.col("node"), "left")
         rows = rows.withColumns({"group": F.coalesce("label", "rep"), "alone": F.col("label").isNull()}).drop("node", "label")
         between = rows.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 <> g1").select("token")
-        return self.indexed(rows.join(between, "token", "left_semi"), "regrouped")
+        return self.indexed(rows.join(between, "token", "left_semi"), "regrouped", boxes=True)
 
     def starred(self, queries: DataFrame) -> DataFrame:
         """Verified links of classes with one class of another group for each of their tokens: one with the fewest tokens
@@ -278,17 +301,21 @@ class _Join:
         q = self.percent
         spare = (100 + q) * F.col("reach") - q * F.col("n")  # q times the largest set that the class can link with
         seen = [F.when(F.min("alone"), F.min(f"seen{i}")).alias(f"its{i}") for i in range(3)]
-        matrix = queries.groupBy("token", F.col("group").alias("other")).agg(F.min("alone").alias("single"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("most"), F.max(spare).alias("spare"), F.min("least").alias("l"), *seen)
+        matrix = queries.groupBy("token", F.col("group").alias("other")).agg(F.min("alone").alias("single"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("most"), F.max(spare).alias("spare"), F.min("least").alias("l"), *seen, *(f(f"b{i}").alias(f"{name}{i}") for i in range(BOX) for name, f in (("all", F.bit_and), ("any", F.bit_or))))
         # token-group rows in which a member could still link
         near = (F.col("group") < F.col("other")) & self.sizes_fit(F.col("n"), F.col("low"), F.col("high")) & self.reaches(F.least("reach", "most"), F.col("n"), F.col("low")) & (F.col("spare") >= q * F.col("n")) & self.unseen("its")
+        # buckets in which the class differs from all members of the group with the token
+        apart = [F.col(f"b{i}").bitwiseXOR(F.col(f"all{i}")).bitwiseAND(F.bitwise_not(F.col(f"all{i}").bitwiseXOR(F.col(f"any{i}")))) for i in range(BOX)]
+        near = near & ~self.parted(apart, F.col("n"), F.col("high"))
         meets = queries.join(matrix, "token").filter(near)
         opened = meets.groupBy("rep", "other", "single").agg(F.count("*").alias("common"), F.min(F.least("least", "l")).alias("least")).filter(F.col("common") >= F.col("least")).select("rep", "other", "single")
         opened = self.tables.cut(opened, "opened")
         # members of an opened group must share as many index tokens themselves
         held = [F.col(f"seen{i}").alias(f"its{i}") for i in range(3)]
-        members = queries.filter("not alone").select(F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("reach").alias("b_reach"), F.col("least").alias("b_least"), F.col("group").alias("other"), "token", *held)
+        members = queries.filter("not alone").select(F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("reach").alias("b_reach"), F.col("least").alias("b_least"), F.col("group").alias("other"), "token", *held, *(F.col(f"b{i}").alias(f"its_b{i}") for i in range(BOX)))
         fits = self.sizes_fit(F.col("n"), F.col("b_n"), F.col("b_n")) & self.reaches(F.least("reach", "b_reach"), F.col("n"), F.col("b_n")) & self.unseen("its")
-        asks = opened.filter("not single").select("rep", "other").join(queries.select("rep", "n", "least", "token", "reach", "seen0", "seen1", "seen2"), "rep")
+        fits = fits & ~self.parted([F.col(f"b{i}").bitwiseXOR(F.col(f"its_b{i}")) for i in range(BOX)], F.col("n"), F.col("b_n"))
+        asks = opened.filter("not single").select("rep", "other").join(queries.select("rep", "n", "least", "token", "reach", "seen0", "seen1", "seen2", *(f"b{i}" for i in range(BOX))), "rep")
         pairs = asks.join(members, ["other", "token"]).filter(fits).select(F.col("rep").alias("a"), "b", F.least("least", "b_least").alias("least"))
         pairs = possible(pairs).unionByName(opened.filter("single").select(F.col("rep").alias("a"), F.col("other").alias("b")))
         links = self.verified(pairs, "opened")

@@ -449,6 +449,11 @@ def test_sketches_bound_differences():
         y = np.unique(np.concatenate([base[rng.random(len(base)) < 0.9], rng.integers(0, 2**63, rng.integers(0, 40)).astype(np.uint64)]))
         a, b = (np.frombuffer(s.as_buffer(), np.uint8) for s in jaccard_join._sketches(np.concatenate([x, y]), np.array([len(x), len(y)])))
         assert jaccard_join.differences(a, b) <= len(np.setxor1d(x, y))
+        # a query and the box of two members: no more buckets apart than from either
+        both = np.array(jaccard_join._boxes(np.concatenate([x, y, base := np.unique(base)]), np.array([len(x), len(y), len(base)])).to_pylist())
+        q, every, some = both[0], both[1] & both[2], both[1] | both[2]
+        apart = int(np.bitwise_count((q ^ every) & ~(every ^ some)).sum())
+        assert apart <= min(len(np.setxor1d(x, y)), len(np.setxor1d(x, base))) and both.shape == (3, jaccard_join.BOX)
 
 
 def test_near_copies_of_one_text(spark):
@@ -465,8 +470,9 @@ def test_near_copies_of_one_text(spark):
         rows.append((i, " ".join(t)))
     rows += [(1000 + i, " ".join([f"r{j}" for j in rng.integers(0, 9999, rng.integers(2, 30))] + base[:60])) for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, 4, 85).collect()}
-    assert got == brute_components(rows, 4, 85)
+    for k, percent in ((4, 85), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, k, percent).collect()}
+        assert got == brute_components(rows, k, percent)
 
 
 def test_components(spark):
