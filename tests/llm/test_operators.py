@@ -452,7 +452,7 @@ def test_sketches_bound_differences():
         # a query and the box of two members: no more buckets apart than from either
         both = np.array(jaccard_join._boxes(np.concatenate([x, y, base := np.unique(base)]), np.array([len(x), len(y), len(base)])).to_pylist())
         q, every, some = both[0], both[1] & both[2], both[1] | both[2]
-        apart = int(np.bitwise_count((q ^ every) & ~(every ^ some)).sum())
+        apart = int(np.bitwise_count(((q ^ every) & ~(every ^ some)).view(np.uint64)).sum())
         assert apart <= min(len(np.setxor1d(x, y)), len(np.setxor1d(x, base))) and both.shape == (3, jaccard_join.BOX)
 
 
