@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuesmith.llm.scratch import cut
+from cuesmith.llm.scratch import cut, fresh
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What parts words in a text whose A-Z still stand.
@@ -85,18 +85,26 @@ def covered(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), first, step, lambda a: a["n"])
 
 
-RESULTS = ("n_words", "n_hit", "n_items", "item_ids", "contaminated", "words", "hits", "row", "of_row")
+RESULTS = ("n_words", "n_hit", "n_items", "item_ids", "contaminated")
+INNER = ("words", "hits", "row", "of_row")
+
+
+def _hidden(docs: DataFrame, names: tuple[str, ...], text: str) -> dict[str, str]:
+    """New names for the columns of docs that are named as those made inside."""
+    return {c: fresh(docs, f"__{c}") for c in docs.columns if c.lower() in names and c != text}
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", carry: list[str] | None = None, inline_limit: int = INLINE) -> DataFrame:
     """The columns `carry` of docs (default: all) with n_words, n_hit, n_items, item_ids (sorted as strings) and contaminated.
 
     Null or wordless texts have no words and no hits. Repeated rows are judged each; repeated item ids count
-    once. An empty benchmark hits nothing. Columns of docs named as the results are replaced. What is found is
-    written once, without the words; only rows with hits are then joined with the items.
+    once. An empty benchmark hits nothing. Columns of docs named as the results are replaced, all others are
+    carried, whatever their names. What is found is written once, without the words; only rows with hits are then
+    joined with the items.
     """
-    found, windows = find_hits(docs.drop(*[c for c in RESULTS if c != text]), benchmark, size, text, inline_limit)
-    keep = [c for c in (carry or docs.columns) if c not in RESULTS or c == text]
+    hide = _hidden(docs, INNER, text)
+    found, windows = find_hits(docs.drop(*[c for c in RESULTS if c != text]).withColumnsRenamed(hide), benchmark, size, text, inline_limit)
+    keep = [hide.get(c, c) for c in (carry or docs.columns) if c not in RESULTS or c == text]
     none = F.array().cast("array<string>")
     found = cut(found.select(*keep, F.size("words").cast("long").alias("n_words"), F.when(F.size("hits") > 0, F.col("hits")).alias("hits"), "row"), "found")
     clean = found.filter(F.col("hits").isNull()).select(*keep, "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("item_ids"), F.lit(False).alias("contaminated"))
@@ -105,7 +113,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: s
     seen = dirty.select("row", F.explode(F.array_distinct(F.transform("hits", lambda h: h["window"]))).alias("window")).join(items, "window")
     seen = seen.select(F.col("row").alias("of_row"), F.explode("items").alias("item")).groupBy("of_row").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
     dirty = dirty.join(seen, F.col("row") == F.col("of_row"), "left").withColumn("item_ids", F.coalesce("item_ids", none))
-    return clean.unionByName(dirty.select(*keep, "n_words", covered(F.col("hits")).cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", F.lit(True).alias("contaminated")))
+    out = clean.unionByName(dirty.select(*keep, "n_words", covered(F.col("hits")).cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", F.lit(True).alias("contaminated")))
+    return out.withColumnsRenamed({v: k for k, v in hide.items()})
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", remove: str = "documents", inline_limit: int = INLINE) -> DataFrame:
@@ -113,7 +122,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, text:
 
     With spans, a removed word takes the separators before it along; documents stay, if only as an empty text.
     """
-    hide = {c: f"__{c}" for c in docs.columns if c in RESULTS and c != text}
+    hide = _hidden(docs, INNER, text)
     found, _ = find_hits(docs.withColumnsRenamed(hide), benchmark, size, text, inline_limit)
     if remove == "documents":
         found = found.filter(F.size("hits") == 0)

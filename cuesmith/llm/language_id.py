@@ -25,8 +25,9 @@ from cuesmith.llm.textbatches import by_bytes
 
 BITS = 15
 SIZE = 1 << BITS
-#: Rows for each language that the weights and the temperature are fitted on, and languages at most (the most frequent).
-SAMPLE_PER_LANG, MAX_LANGS = 800, 256
+#: Rows for each language that the weights and the temperature are fitted on, and rows of all languages together: with
+#: more than 256 languages each has fewer, but no language goes.
+SAMPLE_PER_LANG, SAMPLE_ROWS = 800, 800 * 256
 UNKNOWN = "und"
 #: Code points of a text, and bytes of texts, taken at a time, so that long texts and batches need bounded memory.
 STEP, HELD = 1 << 20, 4 << 20
@@ -129,13 +130,14 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = SAMPLE_PER_LANG, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the rows that are not held out and have key, text and language.
 
     Two passes: thresholds of a hash order over (key, text) choose per_lang rows of each language; then one scan
     counts every labelled row's document frequencies and brings the features (not the texts) of the chosen rows
-    to the driver: at most per_lang * MAX_LANGS rows of at most 2**15 buckets. Rows equal in key, text and language
-    are one row of the sample.
+    to the driver: at most sample_rows rows (or one a language, if there are more languages) of at most 2**15 buckets.
+    With more than sample_rows / per_lang languages, all of them get fewer rows alike. Rows equal in key, text and
+    language are one row of the sample. The driver holds two numbers for each bucket and language.
     """
     small_batches(docs.sparkSession)
     rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(F.col(key)))
@@ -143,7 +145,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     one = rows.select(F.col(lang).alias("l"), order.alias("h"), th.alias("th"))
     ranked = one.withColumn("r", F.dense_rank().over(Window.partitionBy("l").orderBy("h", "th"))).filter(F.col("r") <= per_lang)
     # rows equal in key, text and language share a rank: they count once
-    chosen = ranked.distinct().groupBy("l").agg(F.max(F.struct("h", "th")).alias("last"), F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGS).collect()
+    chosen = ranked.distinct().groupBy("l").agg(F.max(F.struct("h", "th")).alias("last"), F.count("*").alias("n")).collect()
+    if per_lang > 1 and len(chosen) * per_lang > sample_rows:
+        return train(docs, key, text, lang, min(per_lang - 1, max(1, sample_rows // len(chosen))), sample_rows)
     langs = sorted(x.l for x in chosen)
     if not langs:
         return Model([], np.ones(SIZE), np.zeros((SIZE, 0)), np.zeros(0), 1.0)
@@ -197,7 +201,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score (replaced if there): the text's language and its probability.
 
     A null text, or one without a letter, is `und` with score 0. One narrow stage over whole texts; the model
-    (2**15 weights a language, MAX_LANGS languages at most) goes to the executors with the function.
+    (2**15 weights a language) goes to the executors with the function.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cuesmith.llm.scratch import cut
+from cuesmith.llm.scratch import cut, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Parts of a group of equal first rank, so that one very common line is not ranked in one task.
@@ -88,14 +88,15 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50, key: s
     that also stands earlier: in a smaller key, or earlier in the same text. Lines end at \\n and count as they are,
     empty ones too; runs are judged on the input. A null text stays null and has one empty line. Rows equal in key
     and text are one document and treated alike; of different texts under one key the smaller hash is first; a
-    null key comes last. Other columns are carried.
+    null key comes last. Keys are integers (a text that is none raises). Other columns are carried, whatever their names.
     """
-    runs = repeated_runs(docs, min_lines, min_words, key, text).withColumnsRenamed({"doc": "_rd", "th": "_rt", "runs": "_runs"})
-    plain = docs.drop("n_lines", "n_removed", "n_runs").withColumns({"_doc": F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)), "_th": F.xxhash64(F.col(text))})
-    out = plain.join(runs, (F.col("_doc") == F.col("_rd")) & (F.col("_th") == F.col("_rt")), "left")
+    doc, th, of_doc, of_th, found = (fresh(docs, c) for c in ("_doc", "_th", "_rd", "_rt", "_runs"))
+    runs = repeated_runs(docs, min_lines, min_words, key, text).withColumnsRenamed({"doc": of_doc, "th": of_th, "runs": found})
+    plain = docs.drop("n_lines", "n_removed", "n_runs").withColumns({doc: F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)), th: F.xxhash64(F.col(text))})
+    out = plain.join(runs, (F.col(doc) == F.col(of_doc)) & (F.col(th) == F.col(of_th)), "left")
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    inside = lambda i: F.exists("_runs", lambda r: (i >= r["first"]) & (i <= r["last"]))
-    gone = F.coalesce(F.aggregate("_runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1), F.lit(0)).cast("long")
-    out = out.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": gone, "n_runs": F.when(F.col("_runs").isNull(), 0).otherwise(F.size("_runs")).cast("long")})
-    left = F.when(F.col("_runs").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda _, i: ~inside(i)), "\n"))
-    return out.withColumn(text, left).drop("_doc", "_th", "_rd", "_rt", "_runs")
+    inside = lambda i: F.exists(found, lambda r: (i >= r["first"]) & (i <= r["last"]))
+    gone = F.coalesce(F.aggregate(found, F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1), F.lit(0)).cast("long")
+    out = out.withColumns({"n_lines": F.size(lines).cast("long"), "n_removed": gone, "n_runs": F.when(F.col(found).isNull(), 0).otherwise(F.size(found)).cast("long")})
+    left = F.when(F.col(found).isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda _, i: ~inside(i)), "\n"))
+    return out.withColumn(text, left).drop(doc, th, of_doc, of_th, found)

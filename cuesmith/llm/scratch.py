@@ -56,3 +56,11 @@ class Tables:
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """One written table that stays."""
     return Tables(df.sparkSession).cut(df, name)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as keep it apart from df's columns (in any case of letters)."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name

@@ -383,8 +383,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
     A byte goes if a string of `length` bytes over it also starts earlier: in a smaller key, or earlier in the same
     text; strings are judged on the input. Null texts are empty. Rows equal in key and text are one document and
     are treated alike; of different texts under one key the one with the smaller hash is first; a null key comes
-    last. An empty table gives an empty table.
+    last. Keys are integers (a text that is none raises). An empty table gives an empty table. length is 32 to 255:
+    anchors are grams of 32 bytes, common prefixes are held in bytes.
     """
+    if not 32 <= length <= 255:
+        raise ValueError("length must be 32 to 255")
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(key).alias("id"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     marks = marked_starts(plain.select("doc", "th", "text"), length, Tables(docs.sparkSession)).groupBy(F.col("doc").alias("of_doc"), F.col("th").alias("of_th")).agg(F.collect_list("data").alias("runs"))

@@ -20,8 +20,8 @@ from cuesmith.llm.textbatches import by_bytes
 #: Python's \s holds every white space of the tokenizers' own patterns, so these cuts are a subset of theirs.
 ODD_SPACE = re.compile(r"\s |^ | \s| $")
 CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Pieces whose counts a worker keeps.
-CACHE = 600_000
+#: Pieces whose counts a worker keeps, and characters of the longest that it keeps: their product bounds its memory.
+CACHE, LONGEST = 600_000, 64
 _workers: dict[str, tuple] = {}
 
 
@@ -72,6 +72,9 @@ def count_column(texts: pa.Array, path: str, batch_bytes: int = 1 << 20) -> list
             known.update(zip(new[i : i + 4096], encode(new[i : i + 4096]), strict=True))
         get = known.__getitem__
         out += [sum(map(get, ps)) for ps in cut]
+        for p in new:
+            if len(p) > LONGEST:
+                del known[p]
     return out
 
 

@@ -40,8 +40,8 @@ MAGIC = b"CUESST01"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
 BLOCK_BYTES = 1 << 17
 BLOOM_BITS, BLOOM_PROBES = 10, 7
-#: Words of a generation of those whose ids a worker keeps.
-CACHE = 100_000
+#: Words of a generation of those whose ids a worker keeps, and characters of the longest: they bound its memory.
+CACHE, LONGEST = 100_000, 64
 _encoders: dict[str, _Encoder] = {}
 
 
@@ -231,9 +231,10 @@ class _Encoder:
             plain = pc.match_substring_regex(pieces.take(pa.array(need)), PLAIN).to_numpy(zero_copy_only=False) & self.ends.any()
             need = np.array(need)
             for i, x in zip(need[plain].tolist(), self._plain([words[i] for i in need[plain].tolist()]), strict=True):
-                got[i] = self.young[words[i]] = x
+                got[i] = x
             for i, x in zip(need[~plain].tolist(), self._apart([words[i] for i in need[~plain].tolist()]), strict=True):
-                got[i] = self.young[words[i]] = x
+                got[i] = x
+            self.young.update((words[i], got[i]) for i in need.tolist() if len(words[i]) <= LONGEST)
             if len(self.young) > CACHE:
                 self.old, self.young = self.young, {}
         return got
@@ -393,19 +394,23 @@ def read_store(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     return files.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
-#: Keys that a lookup broadcasts at most; more are joined.
-LOOKUP_KEYS = 100_000
-
-
 def lookup(manifest: DataFrame, keys: list[int]) -> DataFrame:
-    """doc_id, ids of the caller's keys: shards whose key range holds a key are opened and searched."""
-    wanted = manifest.sparkSession.createDataFrame([(int(k),) for k in keys], "k long")
-    wanted = F.broadcast(wanted) if len(keys) <= LOOKUP_KEYS else wanted
-    pairs = manifest.join(wanted, (F.col("k") >= F.col("min_id")) & (F.col("k") <= F.col("max_id"))).select("path", "k")
+    """doc_id, ids of the caller's keys: shards whose key range holds a key are opened and searched.
+
+    A key asked for twice is answered once. The keys are the caller's own list, so each shard gets its keys by binary
+    search in that list, sorted and sent to the executors once: no keys meet shards in a join."""
+    asked = np.unique(np.array([int(k) for k in keys], np.int64))
+    shared = manifest.sparkSession.sparkContext.broadcast(asked)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(k, ids.astype("<i8").tolist()) for path, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for ids in ShardReader(path).get(key_bytes(k))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["doc_id", "ids"])
-
-    return pairs.mapInArrow(find, "doc_id long, ids array<long>")
+            for path, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = shared.value[np.searchsorted(shared.value, low) : np.searchsorted(shared.value, high, "right")].tolist()
+                shard = ShardReader(path) if own else None
+                for i in range(0, len(own), 256):
+                    out = [(k, ids.astype("<i8").tolist()) for k in own[i : i + 256] for ids in shard.get(key_bytes(k))]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    # a shard without an id (its only key is null) answers no key
+    shards = manifest.filter("max_id is not null").select("path", F.coalesce("min_id", F.lit(-(1 << 63))).alias("min_id"), "max_id")
+    return shards.repartition(max(1, manifest.count())).mapInArrow(find, "doc_id long, ids array<long>")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuesmith.llm.scratch import fresh
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Hex digits of the digest that the join uses.
@@ -59,6 +61,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     wide = wide.withColumn("short", F.substring("digest", 1, SHORT)).select("host", "path", "digest", "short")
     hits = wide.join(rules, "short").filter(F.col("digest") == F.col("r_digest"))
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "r_action"), F.struct(F.col("r_len") + F.col("p_len"), F.col("r_len"))).alias("best"))
-    best = best.select(F.col("host").alias("_b_host"), F.col("path").alias("_b_path"), F.col("best.rule").alias("rule"), F.col("best.r_action").alias("verdict"))
-    out = plain.join(best, (F.col("host") == F.col("_b_host")) & (F.col("path") == F.col("_b_path")), "left").drop("_b_host", "_b_path")
+    b_host, b_path = fresh(pages, "_b_host"), fresh(pages, "_b_path")
+    best = best.select(F.col("host").alias(b_host), F.col("path").alias(b_path), F.col("best.rule").alias("rule"), F.col("best.r_action").alias("verdict"))
+    out = plain.join(best, (F.col("host") == F.col(b_host)) & (F.col("path") == F.col(b_path)), "left").drop(b_host, b_path)
     return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))

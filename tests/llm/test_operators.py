@@ -538,3 +538,49 @@ def test_pipeline_odd_rows(spark, docs, odd, tmp_path):
             if name != "token_output":
                 assert kept.columns == odd.columns
         assert (kept.count() > 0) == (start is both)
+
+
+# names and bounds
+
+
+def test_clashing_names(spark):
+    """Columns named as those made inside stay as they are."""
+    extra = ["_doc", "_th", "_rd", "_rt", "_runs", "_b_host", "_b_path", "row", "__row", "Words", "hits", "of_row"]
+    rows = [(1, "a\nb\nq", "http://x.org/a"), (2, "a\nb\nz", "http://a.com/de/"), (3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, url string").select("*", *(F.lit(c).alias(c) for c in extra))
+    bench = spark.createDataFrame([(1, "z")], "item_id long, text string")
+    rules = spark.createDataFrame(queries.RULES, "action string, host string, path string")
+    made = {
+        "lines": line_dedup.dedup_lines(df),
+        "urls": url_filter.filter_urls(df, rules),
+        "found": benchmark_clean.contamination(df, bench),
+        "joined": benchmark_clean.contamination(df, bench, inline_limit=0),
+        "clean": benchmark_clean.decontaminated(df, bench),
+    }
+    for name, out in made.items():
+        got = out.collect()
+        assert out.columns[: len(df.columns)] == df.columns, name
+        assert len(got) == 3 - (name == "clean") and all(r[c] == c for r in got for c in extra), name
+    assert {r.doc_id: r.text for r in made["lines"].collect()} == {1: "a\nb\nq", 2: "z", 3: None}
+
+
+def test_no_language_goes(spark):
+    rows = [(i, f"w{i % 9} some text {i % 9}", f"l{i % 9}") for i in range(1, 200)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=20, sample_rows=40)
+    assert model.langs == [f"l{i}" for i in range(9)]
+
+
+def test_long_pieces_are_not_kept():
+    texts = pa.array(["字" * 20_000, "ab " + "q" * 500 + " ab", None])
+    want = [len(Tokenizer.from_file(BYTES).encode(t or "", add_special_tokens=False).ids) for t in texts.to_pylist()]
+    assert token_counts.count_column(texts, BYTES) == want == token_counts.count_column(texts, BYTES)
+    assert max(map(len, token_counts._worker(BYTES)[1])) <= token_counts.LONGEST
+    list(token_store.encode_column(texts.fill_null(""), WORDS))
+    made = token_store._encoder(WORDS)
+    assert all(len(w) <= token_store.LONGEST for w in [*made.young, *made.old])
+
+
+def test_length_is_bounded(docs):
+    for n in (20, 300):
+        with pytest.raises(ValueError, match="length"):
+            substring_dedup.remove_repeats(docs, n)
