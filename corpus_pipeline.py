@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cuesmith.llm import benchmark_clean, jaccard_join, language_id, mixing, token_store
 from cuesmith.llm.queries import END_ID, WEIGHTS, tokenizer
-from cuesmith.llm.scratch import cut
+from cuesmith.llm.scratch import cut, fresh
 
 #: Documents whose language is less sure than this go, as do those without a letter.
 LEAST_SCORE = 0.5
@@ -19,9 +19,10 @@ LEAST_SCORE = 0.5
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter whose language is found with a probability of LEAST_SCORE and more; null and empty texts go."""
-    judged = language_id.identify(docs.withColumnsRenamed({c: f"__{c}" for c in ("lang_pred", "score") if c in docs.columns}), language_id.train(docs))
+    hide = {c: fresh(docs, f"__{c}") for c in docs.columns if c.lower() in ("lang_pred", "score")}
+    judged = language_id.identify(docs.withColumnsRenamed(hide), language_id.train(docs))
     kept = judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({f"__{c}": c for c in ("lang_pred", "score")}).select(*docs.columns)
+    return kept.withColumnsRenamed({v: k for k, v in hide.items()}).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
