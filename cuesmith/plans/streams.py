@@ -11,6 +11,7 @@ from cuesmith.functions import sentences as S
 from cuesmith.operators import audio as A
 from cuesmith.operators import metrics as M
 from cuesmith.operators import scans
+from cuesmith.operators import scrub
 from cuesmith.operators import stability as B
 
 
@@ -255,6 +256,22 @@ def log_scrub_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.scrubbed_chunks(c, "conv_id", "turn", "text", ["the", "tion"]).select("conv_id", F.md5("text").alias("text_md5"))
 
 
+#: Characters of a cell in the queries, below most conversations' length, so that secrets cross borders.
+LOG_CELL = 500
+
+
+def log_scrub_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as logs in chunks, scrubbed in cells: secrets that can't overlap themselves."""
+    cells = scrub.scrubbed_cells(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", ["the", "tion", "is a"], cell=LOG_CELL)
+    return cells.select("conv_id", "cell", F.md5("text").alias("text_md5"))
+
+
+def log_scrub_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with secrets that can overlap themselves."""
+    cells = scrub.scrubbed_cells(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", ["ss", "e ", "that"], cell=LOG_CELL)
+    return cells.select("conv_id", "cell", F.md5("text").alias("text_md5"))
+
+
 def first_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.first_entries(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), "user_id", "event_id")
 
@@ -266,7 +283,17 @@ def hint_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("owner", "ok", F.coalesce(F.array_join("terms", "|"), F.lit("")).alias("terms"))
 
 
-QUERIES = {f.__name__: f for f in (packet_gaps, gap_totals, interval_coverage, lost_samples, vad_hysteresis, utterances_short, utterances, utterances_fast, utterances_long, utterances_recheck, window_packets, gap_reports, frame_energy, stable_prefix, stable_turns, stable_words, local_agreement, overlap_trim, reconcile_ids, throttle, throttle_by_jumps, packet_positions, overload_rollup, endpoint_counters, cer_rollup, cer_documents, adequacy_rollup, retention_bytes, log_scrub, log_scrub_chunks, first_entries, hint_lists)}
+def _cells_sql(secrets: list[str]) -> str:
+    """Secrets of whole conversations become marks of equal length, so cells can be cut behind that."""
+    text = "string_agg(text, '' ORDER BY turn)"
+    for x in sorted(secrets, key=len, reverse=True):
+        text = f"replace({text}, '{x}', chr(64976) || repeat(chr(64977), {len(x) - 1}))"
+    j = f"SELECT conv_id, {text} AS t FROM conversations GROUP BY 1"
+    c = f"SELECT conv_id, t, unnest(range((length(t) + {LOG_CELL - 1}) // {LOG_CELL})) AS cell FROM j"
+    return f"WITH j AS ({j}), c AS ({c}) SELECT conv_id, cell, md5(replace(replace(substr(t, cell * {LOG_CELL} + 1, {LOG_CELL}), chr(64977), ''), chr(64976), '[REDACTED]')) AS text_md5 FROM c"
+
+
+QUERIES = {f.__name__: f for f in (packet_gaps, gap_totals, interval_coverage, lost_samples, vad_hysteresis, utterances_short, utterances, utterances_fast, utterances_long, utterances_recheck, window_packets, gap_reports, frame_energy, stable_prefix, stable_turns, stable_words, local_agreement, overlap_trim, reconcile_ids, throttle, throttle_by_jumps, packet_positions, overload_rollup, endpoint_counters, cer_rollup, cer_documents, adequacy_rollup, retention_bytes, log_scrub, log_scrub_chunks, log_scrub_cells, log_scrub_chains, first_entries, hint_lists)}
 
 SHORT = """
 WITH e AS (SELECT user_id % 50 AS stream_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) - 1 AS i, value >= 60 AS loud FROM events),
@@ -365,6 +392,8 @@ FROM labels GROUP BY ROLLUP (clip)""",
     "retention_bytes": """
 SELECT user_id, event_id, CAST(b AS BIGINT) AS bytes_kept FROM (SELECT user_id, event_id, sum(strlen(props)) OVER (PARTITION BY user_id ORDER BY event_id DESC) AS b FROM events) WHERE b <= 400""",
     "log_scrub": "SELECT doc_id, md5(replace(replace(replace(text, 'Released under the MIT License', '[REDACTED]'), 'token', '[REDACTED]'), 'key', '[REDACTED]')) AS text_md5 FROM documents",
+    "log_scrub_cells": _cells_sql(["the", "tion", "is a"]),
+    "log_scrub_chains": _cells_sql(["ss", "e ", "that"]),
     "log_scrub_chunks": "SELECT conv_id, md5(replace(replace(string_agg(text, '' ORDER BY turn), 'tion', '[REDACTED]'), 'the', '[REDACTED]')) AS text_md5 FROM conversations GROUP BY 1",
     "first_entries": "SELECT user_id, arg_min(event_type, event_id) AS event_type, min(event_id) AS event_id FROM events GROUP BY 1",
     "hint_lists": """
