@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cuesmith.operators.scans import WIDTH, gaps, last_known, running_sum
+from cuesmith.operators.scans import WIDTH, furthest, gaps, last_known, running_sum
 
 FRAME = 320
 VOICED_RMS = 0.002
@@ -98,19 +98,19 @@ def hysteresis(rows: DataFrame, stream: str, order: list[str], p: Column, on: fl
     return last_known(rows, [stream], order, state, "active", width).withColumn("active", F.coalesce("active", F.lit(0)) == 1)
 
 
-def covered_length(spans: DataFrame, stream: str, start: str, end: str) -> DataFrame:
-    """stream, covered: the length of the union of [start, end), by the running furthest end."""
-    w = Window.partitionBy(stream).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    new = spans.withColumn("_from", F.greatest(F.col(start), F.coalesce(F.max(end).over(w), F.col(start))))
+def covered_length(spans: DataFrame, stream: str, start: str, end: str, width: float = WIDTH) -> DataFrame:
+    """stream, covered: the length of the union of [start, end), by the running furthest end, carried block by block of `width`."""
+    rows = furthest(spans, [stream], [start, end], F.col(end), "_reach", width)
+    new = rows.withColumn("_from", F.greatest(F.col(start), F.coalesce("_reach", F.col(start))))
     return new.groupBy(stream).agg(F.sum(F.greatest(F.lit(0), F.col(end) - F.col("_from"))).cast("long").alias("covered"))
 
 
-def islands(spans: DataFrame, stream: str, start: str, end: str) -> DataFrame:
-    """stream, start, end: the maximal intervals of the union of spans that are not empty."""
-    w = Window.partitionBy(stream).orderBy(start, end)
-    rows = spans.filter(F.col(end) > F.col(start))
-    apart = F.coalesce(F.col(start) > F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    rows = rows.withColumn("_new", apart.cast("long")).withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def islands(spans: DataFrame, stream: str, start: str, end: str, width: float = WIDTH) -> DataFrame:
+    """stream, start, end: the maximal intervals of the union of spans that are not empty; block by block of `width`."""
+    some = spans.filter(F.col(end) > F.col(start)).select(stream, start, end).distinct()  # equal rows have no order
+    rows = furthest(some, [stream], [start, end], F.col(end), "_reach", width)
+    rows = rows.withColumn("_new", F.coalesce(F.col(start) > F.col("_reach"), F.lit(True)).cast("long"))
+    rows = running_sum(rows, [stream], [start, end], F.col("_new"), "_before", width).withColumn("_i", F.col("_before") + F.col("_new"))
     return rows.groupBy(stream, "_i").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_i")
 
 

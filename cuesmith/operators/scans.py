@@ -65,6 +65,14 @@ def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: Colum
     return b.done(out.withColumn(name, F.col("_scan_before") + own))
 
 
+def furthest(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str, width: float = WIDTH) -> DataFrame:
+    """rows with `name`: the greatest value of the rows before in the same stream (null for the first)."""
+    b = Blocks(rows, keys, order, width)
+    out = b.carried({"_scan_max": F.max(value)}, {"_scan_before": F.max("_scan_max").over(b.before)})
+    own = F.max(value).over(b.window.rowsBetween(Window.unboundedPreceding, -1))
+    return b.done(out.withColumn(name, F.greatest(own, F.col("_scan_before"))))
+
+
 def last_known(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str, width: float = WIDTH) -> DataFrame:
     """rows with `name`: the last value that is not null, of this row or one before in the same stream."""
     b = Blocks(rows, keys, order, width)

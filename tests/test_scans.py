@@ -50,3 +50,23 @@ def test_rounds_are_logarithmic(spark, monkeypatch):
     monkeypatch.setattr(S, "written", lambda df, real=S.written: rounds.append(1) or real(df))
     df = spark.range(0, 3000).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("t"))
     assert S.throttled_by_jumps(df, "k", "t", 3.0, width=50.0).count() == 1000 and len(rounds) <= 12
+
+
+@pytest.mark.parametrize("width", [3, 50, 10_000])
+def test_unions(spark, width):
+    rng = random.Random(width)
+    rows = [(s, a, a + rng.choice([-2, 0, 1, 5, 30])) for s in (None, "a", "b") for a in [rng.randrange(0, 300) for _ in range(40)]] + [("a", 10, 15)] * 3
+    df = spark.createDataFrame(rows, "stream string, start long, end long")
+    covered = {r.stream: r.covered for r in A.covered_length(df, "stream", "start", "end", width).collect()}
+    found = {}
+    for r in A.islands(df, "stream", "start", "end", width).collect():
+        found.setdefault(r.stream, []).append((r.start, r.end))
+    for s in (None, "a", "b"):
+        merged = []
+        for _, a, z in sorted(r for r in rows if r[0] == s and r[2] > r[1]):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(z, merged[-1][1])
+            else:
+                merged.append([a, z])
+        assert sorted(found[s]) == [tuple(m) for m in merged]
+        assert covered[s] == sum(z - a for a, z in merged)
