@@ -101,43 +101,52 @@ def match_glossary(texts: DataFrame, terms: DataFrame, key: str, text: str = "te
     return texts.select(key, F.posexplode(kept).alias("place", "hit")).select(key, "hit.source", "hit.target", (F.col("place") + 1).alias("place"))
 
 
-#: Lengths of the pieces by which terms of a large catalog are found: a term is filed under one piece of the greatest that fits.
+#: Lengths of the pieces by which terms without a letter, digit or _ of ASCII are found: such a term is filed under one piece of
+#: the greatest length that fits.
 PIECES = (1, 2, 4, 8)
-
-
-def _pieces(text: Column) -> Column:
-    """All pieces of a text of the lengths of PIECES, one pass over the text for each length."""
-    return F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)) for q in PIECES)))
+#: What is a word at whose edges terms must stand.
+WORD = "[A-Za-z0-9_]"
 
 
 def catalog_index(terms: DataFrame) -> DataFrame:
-    """pos, source, target, piece, pattern: each term under that piece of its own which the fewest terms have, and the pattern
-    it must match."""
+    """pos, source, target, piece, whole, pattern: each term under that word of its own, or piece if it has no word, which the
+    fewest terms have; whether the word is all of it; and the pattern it must match.
+
+    A word in a term has other characters of the term around it, or stands at the term's edge, which must be a word boundary: so
+    a text with the term has that word as a whole word.
+    """
     n = F.length("source")
     size = F.lit(PIECES[0])
     for q in PIECES[1:]:
         size = F.when(n >= q, q).otherwise(size)
     pieces = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(F.col("source"), i, size))  # terms are short
-    rows = terms.filter(n > 0).select("pos", "source", "target", F.posexplode(pieces).alias("at", "piece"))
+    words = F.regexp_extract_all("source", F.lit(f"{WORD}+"), F.lit(0))
+    rows = terms.filter(n > 0).select("pos", "source", "target", F.posexplode(F.when(F.size(words) > 0, words).otherwise(pieces)).alias("at", "piece"))
     shared = rows.select("pos", "piece").distinct().groupBy("piece").agg(F.count("*").alias("terms"))
     best = Window.partitionBy("pos", "source").orderBy("terms", "at")
     chosen = rows.join(shared, "piece").withColumn("n", F.row_number().over(best)).filter("n = 1")
     edge = lambda place, pattern: F.when(F.col("source").rlike(place), pattern).otherwise("")
     quoted = F.concat(F.lit("\\Q"), F.replace(F.col("source"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    pattern = F.concat(edge("^[A-Za-z0-9_]", "(?<![A-Za-z0-9_])"), quoted, edge("[A-Za-z0-9_]$", "(?![A-Za-z0-9_])"))
-    return chosen.select("pos", "source", "target", "piece", pattern.alias("pattern"))
+    pattern = F.concat(edge(f"^{WORD}", f"(?<!{WORD})"), quoted, edge(f"{WORD}$", f"(?!{WORD})"))
+    return chosen.select("pos", "source", "target", "piece", (F.col("piece").rlike(WORD) & (F.col("piece") == F.col("source"))).alias("whole"), pattern.alias("pattern"))
 
 
 def match_catalog(texts: DataFrame, terms: DataFrame, key: str, text: str = "text", most: int = 20) -> DataFrame:
     """What match_glossary() gives, for catalogs of any size: key, source, target, place.
 
-    Texts and terms meet by pieces of up to 8 characters (an equi-join; Spark sends a small index to all tasks), and only pairs that
-    share one are matched. key names a text; a null text has no terms.
+    Texts and terms meet by the distinct words of a text, and by pieces of up to 8 characters between its words in those
+    lengths that the catalog asks for (an equi-join; Spark sends a small index to all tasks). A term that is one word is
+    found by that; pairs with other terms are matched. key names a text; a null text has no terms.
     """
     index = catalog_index(terms)
-    rows = texts.select(F.col(key).alias("_key"), F.explode(_pieces(F.col(text))).alias("piece"))
-    met = rows.join(index, "piece").select("_key", "pos", "source", "target", "pattern").distinct()
-    found = met.join(texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key").filter(F.contains("_text", "source")).filter(F.expr("rlike(_text, pattern)"))
+    lengths = index.filter(~F.col("piece").rlike(WORD)).agg(F.collect_set(F.length("piece"))).scalar()
+    between = [F.when(F.array_contains(lengths, q), F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=([^A-Za-z0-9_]{{{q}}}))"), F.lit(1))).otherwise(F.array().cast("array<string>")) for q in PIECES]
+    pieces = F.array_distinct(F.concat(F.regexp_extract_all(F.col(text), F.lit(f"{WORD}+"), F.lit(0)), *between))
+    rows = texts.select(F.col(key).alias("_key"), F.explode(pieces).alias("piece")).filter("_key is not null")
+    met = rows.join(index, "piece").select("_key", "pos", "source", "target", "pattern", "whole")
+    other = met.filter("not whole").drop("whole").distinct().join(texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key").filter(F.contains("_text", "source")).filter(F.expr("rlike(_text, pattern)"))
+    columns = ["_key", "pos", "source", "target"]
+    found = met.filter("whole").select(*columns).unionByName(other.select(*columns))
     order = Window.partitionBy("_key").orderBy(F.length("source").desc(), "pos")
     placed = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
     return placed.select(F.col("_key").alias(key), "source", "target", "place")

@@ -87,3 +87,17 @@ def test_catalog_of_many_terms(spark):
     plan = out._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert [(r.id, r.source) for r in out.orderBy("place").collect()] == [(1, "name99999"), (1, "name7")]
+
+
+def test_texts_meet_a_catalog_by_words(spark):
+    """A text costs its distinct words, not its characters: what is joined has no row for each of them."""
+    terms = spark.createDataFrame([(0, "needle"), (1, "a hay"), (2, "天气")], "pos int, source string").withColumn("target", F.upper("source"))
+    texts = spark.createDataFrame([(1, "hay " * 20_000 + "needle"), (2, "a hay, 天气."), (3, "needles haya hay")], "id int, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    from unittest.mock import patch
+
+    explode = F.explode
+    with patch.object(C.F, "explode", lambda c: explode(F.udf(lambda x: seen.add(len(x)) or x, "array<string>")(c))):
+        got = C.match_catalog(texts, terms, "id").select("id", "source").collect()
+    assert sorted(map(tuple, got)) == [(1, "needle"), (2, "a hay"), (2, "天气")] and 0 < seen.value < 40_000
