@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -120,16 +119,10 @@ def first_shown(pos: Column) -> Column:
     return F.when(pos < 6, pos + 1).otherwise(6 + F.length(F.bin(F.floor(pos / 6)))).cast("long")
 
 
-def _sentence_texts(texts: pd.Series) -> pd.Series:
-    return pd.Series([[s for s, _ in S.split(t)] for t in texts], dtype=object)
-
-
 def heard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """turn, sentences, n, whole (the first observation with all sentences) and observed (the last one: three later,
     so that the last sentences can become stable too). All of a turn stays in one partition."""
-    # not deterministic for the planner, which would split every text once more in a filter below the shuffle
-    split = F.pandas_udf(_sentence_texts, "array<string>").asNondeterministic()
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("turn"), split("text").alias("sentences"))
+    d = S.split_documents(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("turn"), F.col("sentences.text").alias("sentences"))
     d = d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "turn").withColumn("n", F.size("sentences").cast("long")).filter("n > 0")
     d = d.withColumn("whole", first_shown(F.col("n") - 1))
     return d.withColumn("observed", F.greatest(F.lit(6).cast("long"), F.col("whole") + 3))
@@ -191,9 +184,13 @@ def overlap_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reconcile_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sentences of a document, in turns of 40 that are aligned each for itself; a turn has 100 ids of its own."""
     s = S.sentence_corpus(table(spark, sf_dir, "documents"), "doc_id")
-    finals = s.select("doc_id", F.floor(F.col("pos") / 40).alias("block"), (F.col("pos") % 40).alias("place"), F.col("sentence").alias("text"))
-    drafts = finals.filter(F.col("place") % 4 != 2).select("doc_id", "block", (F.col("block") * 100 + F.col("place") + 1).alias("segment_id"), "place", F.when(F.col("place") % 5 == 3, F.concat("text", F.lit(" x"))).otherwise(F.col("text")).alias("text"))
-    out = B.reconcile(drafts, finals, ["doc_id", "block"])
+    place, text = F.col("pos") % 40, F.col("sentence")
+    final = F.struct(F.lit(None).cast("long").alias("segment_id"), text.alias("text"), F.lit(True).alias("final"))
+    draft = F.struct((F.col("block") * 100 + F.col("place") + 1).alias("segment_id"), F.when(F.col("place") % 5 == 3, F.concat(text, F.lit(" x"))).otherwise(text).alias("text"), F.lit(False).alias("final"))
+    # drafts and finals from one pass over the texts
+    both = F.explode(F.when(F.col("place") % 4 != 2, F.array(final, draft)).otherwise(F.array(final)))
+    rows = s.withColumns({"block": F.floor(F.col("pos") / 40), "place": place}).select("doc_id", "block", "place", both.alias("x")).select("doc_id", "block", "place", "x.*")
+    out = B.reconciled(rows, ["doc_id", "block"])
     return out.select("doc_id", F.when(F.col("removed"), F.col("place")).otherwise(F.col("block") * 40 + F.col("place")).cast("int").alias("place"), "segment_id", "text", "removed")
 
 
