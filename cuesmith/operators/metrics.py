@@ -25,11 +25,53 @@ def counters(rows: DataFrame, session: str, reasons: dict[str, Column]) -> DataF
     return rows.groupBy(session).agg(*[F.count_if(c).alias(n) for n, c in reasons.items()])
 
 
+#: First bound of edits, and characters for which places in a text are taken at a time, at least.
+NEAR, BLOCK = 32, 1024
+
+
+def _near(a: str, b: str, most: int) -> int:
+    """Edit distance of a and b (not shorter, by `most` at most) if it is `most` or less, else a larger number.
+
+    Bit k of a column stands for the row of b that is k - `most` behind the column's place in a, so rows move along the diagonal:
+    a way that leaves them has more than `most` edits.
+    """
+    width = 2 * most + 1
+    full, edge, step = (1 << width) - 1, 1 << (width - 1), max(BLOCK, width)
+    part = (1 << (step + width)) - 1
+    rises, falls, distance, last = full >> most << most, 0, most, edge
+    rows = len(b) - most  # columns before the last row comes into reach
+    codes: dict[str, bytearray] = {}
+    for i, c in enumerate(b):
+        codes.setdefault(c, bytearray(len(b) // 8 + 1))[i >> 3] |= 1 << (i & 7)
+    where = {c: int.from_bytes(x, "little") for c, x in codes.items()}
+    for begin in range(0, len(a), step):
+        low, here = begin - most, {}
+        for i, c in enumerate(a[begin : begin + step], begin):
+            if c not in here:
+                x = where.get(c, 0)
+                here[c] = (x >> low if low >= 0 else x << -low) & part
+            match = here[c] >> (i - begin) & full
+            diagonal = (((match & rises) + rises) ^ rises) | match | falls
+            diagonal &= full
+            up, down = falls | (full & ~(diagonal | rises)), diagonal & rises
+            if i < rows:
+                distance += not diagonal & edge
+            else:
+                last >>= 1
+                distance += bool(up & last) - bool(down & last)
+            diagonal >>= 1
+            rises, falls = down | (full & ~(diagonal | up)), diagonal & up
+        if begin + step < rows and distance > 2 * most + len(a) - len(b):
+            return most + 1
+    return distance
+
+
 def edit_distance(a: str, b: str) -> int:
     """Fewest insertions, deletions and replacements of characters that make b of a.
 
     A column of the table of distances is held as two numbers with a bit a character of a (where the distance rises and where it falls),
-    so a character of b costs a few operations on them and memory is linear.
+    so a character of b costs a few operations on them and memory is linear. Where few edits do, only the rows near the
+    diagonal are held: as many as a bound asks for that is raised until the distance is within it.
     """
     head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     a, b = a[head:], b[head:]
@@ -37,6 +79,15 @@ def edit_distance(a: str, b: str) -> int:
     a, b = sorted((a[: len(a) - tail], b[: len(b) - tail]), key=len)
     if not a:
         return len(b)
+    rest = iter(b)
+    if all(c in rest for c in a):  # b with characters left out: no way is shorter
+        return len(b) - len(a)
+    most = max(NEAR, len(b) - len(a))
+    while 2 * most + 1 < len(a):
+        distance = _near(a, b, most)
+        if distance <= most:
+            return distance
+        most *= 4
     places: dict[str, bytearray] = {}
     for i, c in enumerate(a):
         places.setdefault(c, bytearray(len(a) // 8 + 1))[i >> 3] |= 1 << (i & 7)

@@ -101,3 +101,31 @@ def test_texts_meet_a_catalog_by_words(spark):
     with patch.object(C.F, "explode", lambda c: explode(F.udf(lambda x: seen.add(len(x)) or x, "array<string>")(c))):
         got = C.match_catalog(texts, terms, "id").select("id", "source").collect()
     assert sorted(map(tuple, got)) == [(1, "needle"), (2, "a hay"), (2, "天气")] and 0 < seen.value < 40_000
+
+
+def test_a_long_text_with_few_edits_is_fast():
+    """Rows near the diagonal are enough: what is done is no square of the length."""
+    import time
+
+    rng = random.Random(3)
+    b = "".join(rng.choice("abcdefgh") for _ in range(120_000))
+    a = "".join("xy" if i % 3000 == 7 else "" if i % 1000 == 9 else c for i, c in enumerate(b))
+    began = time.process_time()
+    near = M.edit_distance(a, b)
+    assert time.process_time() - began < 2 and 100 <= near <= 200
+
+
+def test_edit_distance_near_the_diagonal(monkeypatch):
+    rng = random.Random(8)
+    for k in range(1500):
+        b = [rng.choice("abcé") for _ in range(rng.randrange(70))]
+        a = list(b)
+        for _ in range(rng.randrange(9)):
+            i = rng.randrange(len(a) + 1)
+            a[i : i + rng.randrange(2)] = rng.choice(["", "a", "x"])
+        a, b = "".join(a), "".join(b)
+        monkeypatch.setattr(M, "NEAR", 10**9)
+        whole = M.edit_distance(a, b)
+        monkeypatch.setattr(M, "NEAR", 1 + k % 4)
+        monkeypatch.setattr(M, "BLOCK", 8)
+        assert M.edit_distance(a, b) == whole
