@@ -124,31 +124,36 @@ def script_key(text: Column, variants: dict[str, str]) -> Column:
 UNITS = "[%％元块塊秒年月日个個台倍万萬亿億]|美元|日元|人民币|人民幣|分钟|分鐘|小时|小時|公里|公斤|毫秒|원|달러|초|분|시간|개"
 
 
+# Patterns around a cut, which stands as NUL: one each, so that a row costs a few searches of a short text.
+_CJK = r"\x{3040}-\x{30ff}\x{3400}-\x{9fff}"
+_JOINT = r"'’_\-‐‑"
+_NUMBER = rf"\d[.,:，] *\x00 *\d|[0-9][A-Za-z0-9]* *\x00 *[A-Za-z0-9]|[A-Za-z0-9] *\x00 *[A-Za-z0-9]*[0-9]|\d *\x00 *(?:{UNITS})"
+# What the two characters beside a cut say alone, for most cuts: space after no joint, and inside a word.
+_SPACE, _WORD = rf"^[^{_JOINT}][\s\p{{Z}}]\z", rf"^[\p{{L}}\p{{N}}&&[^{_CJK}]]{{2}}\z"
+_OPEN = rf"[^{_JOINT}]\x00[^\s\p{{Z}}\p{{M}}{_JOINT}]"
+_PARTED = (
+    r"^\p{M}*\x00|\p{Nd}\x00(?:[\p{L}\p{N}]|[.,，．]\p{Nd})|\p{Nd}[.,，．]\x00\p{Nd}"
+    rf"|[\p{{L}}\p{{N}}&&[^{_CJK}]][\p{{M}}&&[^{_CJK}]]*\x00[\p{{L}}\p{{N}}&&[^{_CJK}]]"
+)
+
+
+def _cut(left: Column, right: Column) -> Column:
+    """left and right with NUL between them; a NUL of theirs is another control character."""
+    return F.concat(F.translate(left, "\0", "\1"), F.lit("\0"), F.translate(right, "\0", "\1"))
+
+
 def numeric_split(left: Column, right: Column) -> Column:
     """True where a cut between left and right would part a number, a name with digits, or a number and its unit."""
-    left, right = F.rtrim(left), F.ltrim(right)
-    number = left.rlike(r"\d[.,:，]\z") & right.rlike(r"^\d")
-    ends, starts = F.regexp_extract(left, r"[A-Za-z0-9]+\z", 0), F.regexp_extract(right, "^[A-Za-z0-9]+", 0)
-    name = (ends != "") & (starts != "") & F.concat(ends, starts).rlike("[0-9]")
-    unit = left.rlike(r"\d\z") & right.rlike(f"^(?:{UNITS})")
-    return F.coalesce(number | name | unit, F.lit(False))
+    return F.coalesce(_cut(left, right).rlike(_NUMBER), F.lit(False))
 
 
 def extends_draft(older: Column, newer: Column) -> Column:
     """older is a strict prefix of newer and ends at a boundary of words, of CJK characters or outside a number."""
-    head = newer.startswith(older) & (F.length(older) < F.length(newer)) & (older != "")
-    following = F.substr(newer, F.length(older) + 1, F.lit(1))
-    second = F.substr(newer, F.length(older) + 2, F.lit(1))
-    joint = r"['’_\-‐‑]"
-    space = following.rlike(SPACE) & ~older.rlike(joint + r"\z")
-    joined = older.rlike(joint + r"\z") | following.rlike("^" + joint) | following.rlike(r"^\p{M}")
-    number = older.rlike(r"\p{Nd}\z") & (following.rlike(r"^[\p{L}\p{N}]") | (following.rlike("^[.,，．]") & second.rlike(r"^\p{Nd}")))
-    number = number | (older.rlike(r"\p{Nd}[.,，．]\z") & following.rlike(r"^\p{Nd}"))
-    word = older.rlike(r"[\p{L}\p{N}]\p{M}*\z") & following.rlike(r"^[\p{L}\p{N}]")
-    cjk = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]"
-    inside = word & ~(older.rlike(cjk + r"\p{M}*\z") | following.rlike("^" + cjk))
-    marks_only = older.rlike(r"^\p{M}*\z")
-    return F.coalesce(head & (space | (~following.rlike(SPACE) & ~joined & ~marks_only & ~number & ~inside)), F.lit(False))
+    size = F.length(older)
+    head = newer.startswith(older) & (size < F.length(newer)) & (older != "")
+    beside = F.concat(F.right(older, F.lit(1)), F.substr(newer, size + 1, F.lit(1)))
+    cut = _cut(older, F.substr(newer, size + 1, F.lit(2)))
+    return F.coalesce(head & F.when(beside.rlike(_WORD), F.lit(False)).when(beside.rlike(_SPACE), F.lit(True)).otherwise(cut.rlike(_OPEN) & ~cut.rlike(_PARTED)), F.lit(False))
 
 
 def short_fragment(text: Column) -> Column:

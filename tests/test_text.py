@@ -128,3 +128,18 @@ def test_draft_extension_twice(spark):
 def test_sources_of_language(spark):
     df = spark.createDataFrame([("これ", "auto"), ("漢字", None), ("한글", " "), ("x", "zh-Hant"), ("x", "en_US")], "t string, c string")
     assert [r[0] for r in df.select(X.source_language(F.col("t"), F.col("c"))).collect()] == ["ja", "zh", "ko", "zh", "en"]
+
+
+def test_cuts_are_dealt_and_searched_once(spark):
+    """A file of one row group is the work of all tasks, and a rule is a few searches of a text around the cut."""
+    from conftest import SF
+    from cuesmith.plans import folds
+
+    plan = folds.draft_extension(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and plan.count("RLIKE") <= 6
+    pairs = [("a", "b", False), ("a", " b", True), ("a'", " b", False), ("́", " b", True), ("́", "b", False), ("é́", "x", False), ("か", "x", True), ("a.", "b", True), ("1", ".5", False), ("1", ". ", True), ("1.", "5", False), ("\0", "\0a", True), ("a", "", False), ("", "a", False)]
+    df = spark.createDataFrame([(i, a, a + b, b) for i, (a, b, _) in enumerate(pairs)], "i int, a string, n string, b string")
+    assert [r[0] for r in df.orderBy("i").select(X.extends_draft(F.col("a"), F.col("n"))).collect()] == [w for *_, w in pairs]
+    cuts = [("3.", " 5", True), ("a1b ", " c", True), ("a", "b1", True), ("a", "b", False), ("5", " 원", True), ("5\n", "원", False)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cuts)], "i int, a string, b string")
+    assert [r[0] for r in df.orderBy("i").select(X.numeric_split(F.col("a"), F.col("b"))).collect()] == [w for *_, w in cuts]
