@@ -152,9 +152,10 @@ def history_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 3, ',"is_final":"yes"').when(k == 5, ',"is_final":false').otherwise(""), F.when(k == 6, ',"revision":1.5').otherwise(F.concat(F.lit(',"revision":'), "event_id")), F.lit(',"text":'), F.when(k == 4, "5").otherwise(F.concat(F.lit('"'), "event_type", F.lit('"'))),
     ]
     entry = F.when(k == 0, '"junk"').when(k == 1, "null").otherwise(F.concat(F.lit("{"), *parts, F.lit("}")))
-    good, bad = io.history_rows(_lists(spark, sf_dir, entry, F.col("user_id") % 7 == 6))
-    captions = good.select("file", "segment_id", "revision", "is_final", "text", F.col("place").cast("long").alias("place"))
-    return captions.unionByName(bad.select("file", F.col("pos").cast("long").alias("pos"), "reason"), allowMissingColumns=True)
+    told = io.judged_history(_lists(spark, sf_dir, entry, F.col("user_id") % 7 == 6))
+    good = lambda c: F.when(F.col("reason").isNull(), c)
+    captions = (good(F.col(c)).alias(c) for c in ("segment_id", "revision", "is_final", "text"))
+    return told.select("file", *captions, good(F.col("place").cast("long")).alias("place"), F.when(F.col("reason").isNotNull(), F.col("pos").cast("long")).alias("pos"), "reason")
 
 
 def glossary_files(spark: SparkSession, sf_dir: str) -> DataFrame:

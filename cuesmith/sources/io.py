@@ -39,8 +39,8 @@ def integer(c: Column) -> Column:
     return F.when(c.rlike(r"^[0-9]{1,19}$"), c.try_cast("long"))
 
 
-def canonical_captions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(captions, bad with reason) from rows of HISTORY: enumerated fields, defaults, bounds, digit strings as
+def judged_captions(rows: DataFrame) -> DataFrame:
+    """Captions from rows of HISTORY, with the reason of bad ones or null: enumerated fields, defaults, bounds, digit strings as
     numbers, status from translation_status and then ok."""
     text = lambda c, default: F.coalesce(F.col(c), F.lit(default))
     limits = {"session_id": 128, "source_text": 6000, "text": 6000, "language": 32, "target_language": 32, "status": 64}
@@ -55,7 +55,12 @@ def canonical_captions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     for c, n in limits.items():
         reason = reason.when(F.length(c) > n, c)
     reason = reason.when(F.col("raw_timestamp").isNotNull() & F.col("timestamp").isNull(), "timestamp")
-    marked = out.withColumn("reason", reason)
+    return out.withColumn("reason", reason)
+
+
+def canonical_captions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(captions, bad with reason) of judged_captions()."""
+    marked = judged_captions(rows)
     return marked.filter("reason is null").drop("reason", "raw_timestamp"), marked.filter("reason is not null")
 
 
@@ -63,55 +68,58 @@ def canonical_captions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 HISTORY_BYTES, GLOSSARY_BYTES = 4 << 20, 64 << 10
 
 
-def list_entries(files: DataFrame, most_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(file, pos, e as a VARIANT; file, reason): the entries of files (file, value) that hold a JSON array, each on its own.
+def listed(files: DataFrame, most_bytes: int) -> DataFrame:
+    """file, broken, pos, e (a VARIANT): the entries of files (file, value) that hold a JSON array, each on its own.
 
-    A file that is too large, no JSON or no array is one bad row with reason `file` and has no entries.
+    A file that is too large, no JSON or no array is one row with `broken` and no entry.
     """
     text = F.regexp_replace("value", "^\ufeff", "")
     parsed = files.select("file", F.when(F.octet_length("value") <= most_bytes, F.try_parse_json(text)).alias("v"))
     array = F.coalesce(F.schema_of_variant("v").startswith("ARRAY<"), F.lit(False))  # null: no JSON
-    entries = parsed.filter(array).select("file", F.posexplode(F.col("v").cast("array<variant>")).alias("pos", "e"))
-    return entries, parsed.filter(~array).select("file", F.lit("file").alias("reason"))
+    told = parsed.select("file", (~array).alias("broken"), "v")
+    entries = F.when(~F.col("broken"), F.col("v")).cast("array<variant>")
+    return told.select("file", "broken", F.posexplode_outer(entries).alias("pos", "e")).filter("broken or pos is not null")
 
 
-def field(e: str, name: str, kinds: tuple[str, ...] = ("STRING",)) -> tuple[Column, Column]:
-    """(value as a string or null, whether the entry has a value of another kind) of an object's field."""
-    v = F.variant_get(F.col(e), f"$.{name}", "variant")
-    kind = F.schema_of_variant(v)
-    right = kind.isin(*kinds)
-    return F.when(right, v.cast("string")), v.isNotNull() & ~F.coalesce(right, F.lit(False))
+def with_fields(entries: DataFrame, kinds: dict[str, tuple[str, ...]]) -> DataFrame:
+    """entries (with a VARIANT e) with, for each name, its value as a string or null and `wrong_` name, whether the entry has a value of
+    another kind. A value is taken out once, its kind is told once: they stand in steps of their own."""
+    kept = [c for c in entries.columns if c != "e"]
+    raw = entries.select("*", *(F.variant_get(F.col("e"), f"$.{n}", "variant").alias(f"_{n}") for n in kinds))
+    told = raw.select("*", *(F.schema_of_variant(f"_{n}").alias(f"_kind_{n}") for n in kinds))
+    right = {n: F.coalesce(F.col(f"_kind_{n}").isin(*k), F.lit(False)) for n, k in kinds.items()}
+    return told.select(*kept, *(F.when(right[n], F.col(f"_{n}").cast("string")).alias(n) for n in kinds), *((F.col(f"_{n}").isNotNull() & ~right[n]).alias(f"wrong_{n}") for n in kinds), F.col("e"))
 
 
 # Fields of a caption in a history file and what they hold.
 HISTORY_KINDS = {"timestamp": ("STRING",), "source_text": ("STRING",), "text": ("STRING",), "language": ("STRING",), "target_language": ("STRING",), "status": ("STRING",), "translation_status": ("STRING",), "is_final": ("BOOLEAN",), "revision": ("BIGINT", "STRING"), "session_id": ("STRING",), "segment_id": ("BIGINT", "STRING")}
 
 
-def history_rows(files: DataFrame, limit: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(captions newest first with file and place, bad rows with file, pos, reason) of files (file, value) with a JSON array each:
-    the first of equal keys, at most `limit` captions a file.
+def judged_history(files: DataFrame, limit: int = 100) -> DataFrame:
+    """Captions newest first with file, pos and place of files (file, value) with a JSON array each, and rows with a reason for what is
+    bad: the first of equal keys, at most `limit` captions a file. Files are read once.
 
     Entries are judged one by one: an entry that is no object (`object`), a field of another kind (an is_final that is no
-    boolean, a number as a text, a null) or a value out of bounds is one bad row and costs no other.
+    boolean, a number as a text, a null) or a value out of bounds is one bad row and costs no other; a file that is no list is one (`file`).
     """
-    entries, broken = list_entries(files, HISTORY_BYTES)
-    object_ = F.coalesce(F.schema_of_variant("e").startswith("OBJECT<"), F.lit(False))
-    values = {n: field("e", n, kinds) for n, kinds in HISTORY_KINDS.items()}
-    # a translation_status counts only where there is no status
-    values["translation_status"] = (values["translation_status"][0], values["translation_status"][1] & F.variant_get(F.col("e"), "$.status", "variant").isNull())
-    wrong = F.when(~object_, "object")
-    for n, (_, other) in values.items():
-        wrong = wrong.when(other, n)
-    wrong = wrong.when(values["timestamp"][0].isNull() | (F.length(values["timestamp"][0]) > 48), "timestamp")
-    typed = {n: v.cast("boolean") if n == "is_final" else v for n, (v, _) in values.items()}
-    rows = entries.select(F.struct("file", "pos", wrong.alias("wrong")).alias("pos"), *(v.alias(n) for n, v in typed.items()))
-    good, bad = canonical_captions(rows.filter("pos.wrong is null"))
-    place = lambda df, reason: df.select(F.col("pos.file").alias("file"), F.col("pos.pos").alias("pos"), reason.alias("reason"))
-    issues = place(rows.filter("pos.wrong is not null"), F.col("pos.wrong")).unionByName(place(bad, F.col("reason")))
-    first = Window.partitionBy("pos.file", "session_id", "segment_id").orderBy("pos.pos")
-    good = good.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    good = good.withColumn("place", F.row_number().over(Window.partitionBy("pos.file").orderBy("pos.pos"))).filter(F.col("place") <= limit)
-    return good.withColumn("file", F.col("pos.file")).drop("pos"), issues.unionByName(broken, allowMissingColumns=True)
+    rows = with_fields(listed(files, HISTORY_BYTES), HISTORY_KINDS)
+    wrong = F.when(F.col("broken"), "file").when(~F.coalesce(F.schema_of_variant("e").startswith("OBJECT<"), F.lit(False)), "object")
+    for n in HISTORY_KINDS:
+        other = F.col(f"wrong_{n}")
+        # a translation_status counts only where there is no status
+        wrong = wrong.when(other & F.col("status").isNull() & ~F.col("wrong_status") if n == "translation_status" else other, n)
+    wrong = wrong.when(F.col("timestamp").isNull() | (F.length("timestamp") > 48), "timestamp")
+    rows = rows.select(F.struct("file", "pos", wrong.alias("wrong")).alias("pos"), *(F.col(n).cast("boolean") if n == "is_final" else F.col(n) for n in HISTORY_KINDS))
+    told = judged_captions(rows).withColumns({"reason": F.coalesce("pos.wrong", "reason"), "file": F.col("pos.file"), "pos": F.col("pos.pos")}).drop("raw_timestamp")
+    good = F.col("reason").isNull()
+    told = told.withColumn("_n", F.row_number().over(Window.partitionBy("file", "session_id", "segment_id", good).orderBy("pos"))).filter(~good | (F.col("_n") == 1)).drop("_n")
+    return told.withColumn("place", F.row_number().over(Window.partitionBy("file", good).orderBy("pos"))).filter(~good | (F.col("place") <= limit))
+
+
+def history_rows(files: DataFrame, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(captions with file and place, bad rows with file, pos, reason) of judged_history()."""
+    told = judged_history(files, limit)
+    return told.filter("reason is null").drop("reason", "pos"), told.filter("reason is not null").select("file", "pos", "reason")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -226,11 +234,16 @@ def append_recovery(rows: DataFrame, folder: str) -> None:
     rows.withColumn("day", F.current_date()).write.mode("append").partitionBy("day").json(folder)
 
 
+def listed_terms(files: DataFrame) -> DataFrame:
+    """file, broken, pos, source, target of files with a JSON array of terms each, see listed(). An entry that is no object, or a field
+    that is no text, has nulls, which glossary() in operators.context reports."""
+    return with_fields(listed(files, GLOSSARY_BYTES), {"source": ("STRING",), "target": ("STRING",)}).select("file", "broken", "pos", "source", "target")
+
+
 def glossary_entries(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(file, pos, source, target; file, reason of files that can't be used) of files with a JSON array of terms each. An entry
-    that is no object, or a field that is no text, has nulls, which glossary() in operators.context reports."""
-    entries, broken = list_entries(files, GLOSSARY_BYTES)
-    return entries.select("file", "pos", *(field("e", n)[0].alias(n) for n in ("source", "target"))), broken
+    """(file, pos, source, target; file, reason of files that can't be used) of listed_terms()."""
+    rows = listed_terms(files)
+    return rows.filter("not broken").drop("broken"), rows.filter("broken").select("file", F.lit("file").alias("reason"))
 
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:

@@ -116,3 +116,12 @@ def test_history_file_is_replaced_and_kept_once(spark, tmp_path):
     assert none.count() == 0 and [(r.segment_id, r.text) for r in again.orderBy("place").collect()] == [(3, "t3"), (4, 'quo"te\n한')]
     io.write_history(again.filter("segment_id = 4"), str(file))
     assert [x["segment_id"] for x in json.loads(file.read_text())] == [4] and json.loads((tmp_path / "h.json.corrupt").read_text())[0] == "junk"
+
+
+def test_files_are_read_once(spark):
+    """Captions and what is bad come from one pass over a history; a file that is no list is one row."""
+    from conftest import SF
+    from cuesmith.plans import records
+
+    plan = records.history_files(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1 and plan.count("try_parse_json") + plan.count("tryParseJson") <= 2
