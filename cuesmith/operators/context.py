@@ -57,8 +57,8 @@ def rolling_prompt(rows: DataFrame, keys: list[str], order: list[str], text: str
 AROUND = r"^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$"
 
 
-def glossary(entries: DataFrame, most: int = 200, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(terms, issues with reason) of lists of entries (pos, source, target; `by` names the list, default: one).
+def judged_terms(entries: DataFrame, most: int = 200, by: list[str] | None = None) -> DataFrame:
+    """Terms, with the reason of those that are left out or null, of lists of entries (pos, source, target; `by` names the list, default: one).
 
     Of each list the first `most` entries by pos count; those behind are issues (`beyond`), as are entries whose source or target is null, blank,
     longer than 64 characters or not on one line, and all but the first of equal sources (`repeated`). Space around a term is cut.
@@ -73,10 +73,17 @@ def glossary(entries: DataFrame, most: int = 200, by: list[str] | None = None) -
     marked = marked.withColumns({c: F.regexp_replace(c, AROUND, "") for c in ("source", "target")})
     bad = [F.col(c).isNull() | (F.col(c) == "") | (F.length(c) > 64) | F.col(c).rlike(r"[\p{Cc}\p{Cs}\p{Zl}\p{Zp}]") for c in ("source", "target")]
     marked = marked.withColumn("reason", F.when(F.col("_beyond"), "beyond").when(bad[0], "source").when(bad[1], "target"))
-    good = marked.filter("reason is null").withColumn("n", F.row_number().over(Window.partitionBy(*keys, "source").orderBy("pos")))
-    columns = [*keys, "pos", "source", "target"]
-    issues = marked.filter("reason is not null").select(*columns, "reason").unionByName(good.filter("n > 1").select(*columns, F.lit("repeated").alias("reason")))
-    return good.filter("n = 1").select(*columns), issues
+    good = F.col("reason").isNull()
+    # rows that are left out already are dealt by pos: they may be many with the same source
+    n = F.row_number().over(Window.partitionBy(*keys, "source", F.when(~good, F.col("pos"))).orderBy("pos"))
+    told = marked.withColumn("_n", n).withColumn("reason", F.when(good & (F.col("_n") > 1), "repeated").otherwise(F.col("reason")))
+    return told.select(*keys, "pos", "source", "target", "reason")
+
+
+def glossary(entries: DataFrame, most: int = 200, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(terms, issues with reason) of judged_terms()."""
+    told = judged_terms(entries, most, by)
+    return told.filter("reason is null").drop("reason"), told.filter("reason is not null")
 
 
 def match_glossary(texts: DataFrame, terms: DataFrame, key: str, text: str = "text", most: int = 20, catalog: int = 200) -> DataFrame:

@@ -165,10 +165,10 @@ def glossary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     quoted = lambda *c: F.concat(F.lit('"'), *c, F.lit('"'))
     name = quoted(F.lit(" "), F.col("event_type"), F.col("event_id") % 3, F.lit(" "))
     entry = F.when(k == 0, "17").when(k == 1, pair(F.lit("5"), name)).when(k == 2, pair(name, F.lit('" "'))).when(k == 3, pair(F.lit('"a\\nb"'), name)).otherwise(pair(name, quoted("event_type")))
-    entries, broken = io.glossary_entries(_lists(spark, sf_dir, entry, F.col("user_id") % 7 == 6))
-    terms, issues = C.glossary(entries, 5, ["file"])
-    out = terms.unionByName(issues.select("file", "pos", "reason"), allowMissingColumns=True).unionByName(broken, allowMissingColumns=True)
-    return out.withColumn("pos", F.col("pos").cast("long"))
+    told = C.judged_terms(io.listed_terms(_lists(spark, sf_dir, entry, F.col("user_id") % 7 == 6)), 5, ["file"])
+    term = lambda c: F.when(F.col("reason").isNull(), F.col(c)).alias(c)
+    reason = F.when(F.col("pos").isNull(), "file").otherwise(F.col("reason"))  # a file that is no list has no entry
+    return told.select("file", F.col("pos").cast("long").alias("pos"), term("source"), term("target"), reason.alias("reason"))
 
 
 def promoted_results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,3 +125,10 @@ def test_files_are_read_once(spark):
 
     plan = records.history_files(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") == 1 and plan.count("try_parse_json") + plan.count("tryParseJson") <= 2
+
+
+def test_glossaries_are_read_once(spark):
+    from conftest import SF
+    from cuesmith.plans import records
+
+    assert records.glossary_files(spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
