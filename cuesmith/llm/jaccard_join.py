@@ -164,7 +164,7 @@ class _Join:
 
     def __init__(self, texts: DataFrame, k: int, percent: int):
         self.texts, self.k, self.percent = texts, k, percent
-        self.tables = Tables(texts.sparkSession)
+        self.tables = Tables(texts.sparkSession, brief=True)
         self.classes = None
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -296,28 +296,41 @@ class _Join:
         pairs = both.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.least("least", "hub.least").alias("least"))
         return self.verified(possible(pairs), "starred")
 
-    def opened(self, queries: DataFrame) -> DataFrame:
-        """Verified links between classes of different groups, found through the token-group matrix."""
+    def met(self, queries: DataFrame) -> DataFrame:
+        """rep, other, only for the classes that meet a group in the token-group matrix; only is the class that alone holds
+        all tokens at which they meet, else null.
+
+        Boxes are wide, so rows are moved once: the matrix is made where the rows of a token lie, and the join reads the
+        same exchange. For that both sides take the same columns and filters."""
         q = self.percent
+        longs = [f"b{i}" for i in range(BOX)]
+        seen = [f"seen{i}" for i in range(3)]
+        sure = ["rep", "n", "least", "group", "token", "reach", *longs]  # never null; else one side alone would be filtered
+        rows = queries.select(*sure, *seen).filter(" AND ".join(f"`{c}` IS NOT NULL" for c in sure)).repartition("token")
         spare = (100 + q) * F.col("reach") - q * F.col("n")  # q times the largest set that the class can link with
-        seen = [F.when(F.min("alone"), F.min(f"seen{i}")).alias(f"its{i}") for i in range(3)]
-        matrix = queries.groupBy("token", F.col("group").alias("other")).agg(F.min("alone").alias("single"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("most"), F.max(spare).alias("spare"), F.min("least").alias("l"), *seen, *(f(f"b{i}").alias(f"{name}{i}") for i in range(BOX) for name, f in (("all", F.bit_and), ("any", F.bit_or))))
+        sole = F.min("rep") == F.max("rep")
+        matrix = rows.groupBy("token", F.col("group").alias("other")).agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("most"), F.max(spare).alias("spare"), F.min("least").alias("l"), *(F.when(sole, F.min(c)).alias(f"its{i}") for i, c in enumerate(seen)), *(f(c).alias(f"{name}{i}") for i, c in enumerate(longs) for name, f in (("all", F.bit_and), ("any", F.bit_or))))
         # token-group rows in which a member could still link
         near = (F.col("group") < F.col("other")) & self.sizes_fit(F.col("n"), F.col("low"), F.col("high")) & self.reaches(F.least("reach", "most"), F.col("n"), F.col("low")) & (F.col("spare") >= q * F.col("n")) & self.unseen("its")
         # buckets in which the class differs from all members of the group with the token
         apart = [F.col(f"b{i}").bitwiseXOR(F.col(f"all{i}")).bitwiseAND(F.bitwise_not(F.col(f"all{i}").bitwiseXOR(F.col(f"any{i}")))) for i in range(BOX)]
         near = near & ~self.parted(apart, F.col("n"), F.col("high"))
-        meets = queries.join(matrix, "token").filter(near)
-        opened = meets.groupBy("rep", "other", "single").agg(F.count("*").alias("common"), F.min(F.least("least", "l")).alias("least")).filter(F.col("common") >= F.col("least")).select("rep", "other", "single")
+        meets = rows.join(matrix, "token").filter(near)
+        met = meets.groupBy("rep", "other").agg(F.count("*").alias("common"), F.min(F.least("least", "l")).alias("least"), F.min("first").alias("first"), F.max("last").alias("last"))
+        return met.filter(F.col("common") >= F.col("least")).select("rep", "other", F.when(F.col("first") == F.col("last"), F.col("first")).alias("only"))
+
+    def opened(self, queries: DataFrame) -> DataFrame:
+        """Verified links between classes of different groups, found through the token-group matrix."""
+        opened = self.met(queries)
         opened = self.tables.cut(opened, "opened")
         # members of an opened group must share as many index tokens themselves
         held = [F.col(f"seen{i}").alias(f"its{i}") for i in range(3)]
         members = queries.filter("not alone").select(F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("reach").alias("b_reach"), F.col("least").alias("b_least"), F.col("group").alias("other"), "token", *held, *(F.col(f"b{i}").alias(f"its_b{i}") for i in range(BOX)))
         fits = self.sizes_fit(F.col("n"), F.col("b_n"), F.col("b_n")) & self.reaches(F.least("reach", "b_reach"), F.col("n"), F.col("b_n")) & self.unseen("its")
         fits = fits & ~self.parted([F.col(f"b{i}").bitwiseXOR(F.col(f"its_b{i}")) for i in range(BOX)], F.col("n"), F.col("b_n"))
-        asks = opened.filter("not single").select("rep", "other").join(queries.select("rep", "n", "least", "token", "reach", "seen0", "seen1", "seen2", *(f"b{i}" for i in range(BOX))), "rep")
+        asks = opened.filter("only IS NULL").select("rep", "other").join(queries.select("rep", "n", "least", "token", "reach", "seen0", "seen1", "seen2", *(f"b{i}" for i in range(BOX))), "rep")
         pairs = asks.join(members, ["other", "token"]).filter(fits).select(F.col("rep").alias("a"), "b", F.least("least", "b_least").alias("least"))
-        pairs = possible(pairs).unionByName(opened.filter("single").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+        pairs = possible(pairs).unionByName(opened.filter("only IS NOT NULL").select(F.col("rep").alias("a"), F.col("only").alias("b")))
         links = self.verified(pairs, "opened")
         self.tables.drop(opened)
         return links

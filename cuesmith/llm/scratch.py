@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,16 +34,31 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that run inside go when their query ends, not when the driver's JVM next collects garbage.
+    For queries that run once: a plan that ran again would make its files anew."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Tables:
-    """Written tables of one job. drop() deletes those that no later plan reads."""
+    """Written tables of one job. drop() deletes those that no later plan reads. With brief, shuffle files stay no longer
+    than it takes to write a table."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.top, self.paths = spark, scratch_dir(spark), {}
+    def __init__(self, spark: SparkSession, brief: bool = False):
+        self.spark, self.top, self.paths, self.brief = spark, scratch_dir(spark), {}, brief
 
     def cut(self, df: DataFrame, name: str = "table") -> DataFrame:
         """Write df to the shared folder and read it back: ends the lineage, computes once, survives lost executors."""
         path = f"{self.top}/{len(self.paths)}-{name}"
-        df.write.parquet(path)
+        with shuffles_removed(self.spark) if self.brief else nullcontext():
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out

@@ -3,7 +3,9 @@
 import hashlib
 import os
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -14,7 +16,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 from conftest import SF
-from cuesmith.llm import benchmark_clean, components, jaccard_join, language_id, line_dedup, mixing, queries, substring_dedup, token_counts, token_store, topk_search, url_filter
+from cuesmith.llm import benchmark_clean, components, jaccard_join, language_id, line_dedup, mixing, queries, scratch, substring_dedup, token_counts, token_store, topk_search, url_filter
 from oracle import compare
 
 BYTES, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
@@ -456,6 +458,41 @@ def test_sketches_bound_differences():
         assert apart <= min(len(np.setxor1d(x, y)), len(np.setxor1d(x, base))) and both.shape == (3, jaccard_join.BOX)
 
 
+def test_boxes_move_once(spark, monkeypatch):
+    """The matrix join moves the wide rows of a class and token in one exchange, which both sides read."""
+    plans, cut = [], scratch.Tables.cut
+
+    def seen(self, df, name="table"):
+        if name == "opened":
+            plans.append(df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+        return cut(self, df, name)
+
+    monkeypatch.setattr(scratch.Tables, "cut", seen)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(held, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        jaccard_join.jaccard_components(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g")], "doc_id long, text string"))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    wide = [int(n) for n in re.findall(r"\) Exchange\nInput \[(\d+)\]", plans[0])]
+    assert sum(n > jaccard_join.BOX for n in wide) == 1
+
+
+def test_brief_tables_leave_no_shuffle_files(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files = lambda: set(Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*"))
+    before, was = files(), spark.conf.get(name)
+    out = scratch.Tables(spark, brief=True).cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(name) == was
+    assert sum(r["count"] for r in out.collect()) == 1000
+
+
 def test_near_copies_of_one_text(spark):
     """A large cluster with many members on both sides of the threshold, and a passage in many other texts."""
     rng = np.random.default_rng(4)
