@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -45,8 +46,8 @@ BITS, START, END, SYMBOLS = 8, b"\xfe", b"\xff", 249
 LOWER = bytes(range(248)).lower() + b"\xf7" * 8
 #: The lowest order of the tries that are built apart; orders below are in every task.
 LOW = 3
-#: Bytes of text of a chunk and of a block.
-CHUNK, BLOCK = 64 << 20, 2 << 20
+#: Bytes of text of a chunk, of a block, and of a run of texts that are scored at once: each byte takes some 80 then.
+CHUNK, BLOCK, RUN = 64 << 20, 2 << 20, 256 << 10
 
 
 def mask(symbols: int) -> np.uint64:
@@ -57,7 +58,8 @@ def grams_of(texts: list[bytes], order: int = ORDER) -> np.ndarray:
     """The grams of all symbols of texts, one behind the other; a text has its bytes and END."""
     marked = START * order + (END + START * order).join(texts) + END + bytes(8)
     n = len(marked) - 8 - order
-    grams = np.ndarray((n,), ">u8", marked, strides=(1,)).astype(np.uint64) >> np.uint64(64 - BITS * (order + 1))
+    grams = np.ndarray((n,), ">u8", marked, strides=(1,)).astype(np.uint64)
+    grams >>= np.uint64(64 - BITS * (order + 1))
     return grams[np.frombuffer(marked, np.uint8, n, order) != START[0]] if texts else np.zeros(0, np.uint64)
 
 
@@ -69,6 +71,21 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
 
 
+def words_of(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of texts, one behind the other, and the number of words of each text. Arrow holds them: as Python objects
+    the distinct words of a chunk take ten times their bytes."""
+    cut = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+    filled = pc.greater(pc.binary_length(cut.values), 0)
+    upto = np.append(0, np.cumsum(filled.to_numpy(zero_copy_only=False)))[cut.offsets.to_numpy()]
+    return cut.values.filter(filled).view(pa.binary()).dictionary_encode(), np.diff(upto)
+
+
+def summed_words(words: list[pa.Array], counts: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words and the sums of their counts."""
+    met = pa.concat_arrays(words).dictionary_encode()
+    return met.dictionary, np.bincount(met.indices.to_numpy(), np.concatenate(counts), len(met.dictionary)).astype(np.int64)
+
+
 def at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, whether it is there) of keys in a sorted table."""
     i = np.searchsorted(table, keys)
@@ -145,11 +162,17 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.decompress(data), np.uint64), dtype=np.uint64)
 
 
+#: New grams or words that a task holds before it adds them up.
+MERGED = 1 << 20
+
+
 class _Chunk:
     """Distinct grams and words of the texts that come in, with their counts in training texts."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.bytes, self.keys, self.seen, self.trained, self.other = buckets, 0, [], [], Counter(), set()
+        self.buckets, self.bytes = buckets, 0
+        self.keys, self.seen, self.new_keys = [], [], 0
+        self.words, self.times, self.new_words = [], [], 0
 
     def add(self, texts: list[bytes], held: np.ndarray) -> None:
         for part, learns in ((held, False), (~held, True)):
@@ -157,20 +180,29 @@ class _Chunk:
             keys, counts = np.unique(grams_of(own), return_counts=True)
             self.keys.append(keys)
             self.seen.append(counts if learns else np.zeros_like(counts))
-            words = b" ".join(own).split()
-            self.trained.update(words) if learns else self.other.update(words)
+            words, _ = words_of(own)
+            self.words.append(words.dictionary)
+            self.times.append(np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary)) * learns)
+            self.new_keys, self.new_words = self.new_keys + len(keys), self.new_words + len(words.dictionary)
         self.bytes += sum(map(len, texts))
+        self.merge(MERGED)
+
+    def merge(self, limit: int) -> None:
+        """One table of grams and one of words, where more than limit new ones came."""
+        if self.new_keys > limit:
+            keys, seen = summed(np.concatenate(self.keys), np.concatenate(self.seen))
+            self.keys, self.seen, self.new_keys = [keys], [seen], 0
+        if self.new_words > limit:
+            words, times = summed_words(self.words, self.times)
+            self.words, self.times, self.new_words = [words], [times], 0
 
     def rows(self, chunk: int) -> pa.Table:
-        keys, seen = summed(np.concatenate(self.keys), np.concatenate(self.seen))
+        self.merge(-1)
+        (keys,), (seen,), (words,), (times,) = self.keys, self.seen, self.words, self.times
         place = (spread(keys) % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(place, kind="stable")
         keys, seen, cuts = keys[order], seen[order], np.searchsorted(place[order], np.arange(self.buckets + 1))
-        self.other.difference_update(self.trained)
-        words = pa.array([*self.trained, *self.other], pa.binary())
-        times = np.zeros(len(words), np.int64)
-        times[: len(self.trained)] = np.fromiter(self.trained.values(), np.int64, len(self.trained))
-        place = np.array([zlib.crc32(w) for c in (self.trained, self.other) for w in c], np.int64) % self.buckets
+        place = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(zlib.crc32, words.slice(i, 1 << 14).to_pylist()), np.int64) for i in range(0, len(words), 1 << 14))]) % self.buckets
         order = np.argsort(place, kind="stable")
         ends = np.searchsorted(place[order], np.arange(self.buckets + 1))
         used = np.flatnonzero((np.diff(cuts) > 0) | (np.diff(ends) > 0))
@@ -215,10 +247,6 @@ def chunked(docs: DataFrame, key: str, buckets: int) -> DataFrame:
     return docs.mapInArrow(tidy(cut), schema)
 
 
-#: New grams that a task holds before it adds them up.
-MERGED = 1 << 20
-
-
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 2: distinct grams of the buckets of a task and their counts in training texts. Batches have grams and seen."""
     keys, seen, held = [], [], 0
@@ -307,23 +335,24 @@ def _scores(rows: pa.Table, trained: int) -> pa.Table:
                 keys.append(unpacked(cols[0][i].as_py()))
                 ps.append(np.frombuffer(cols[1][i].as_py(), np.float64))
             else:
-                words += cols[2][i].values.to_pylist()
+                words.append(cols[2][i].values)
                 times.append(cols[3][i].values.to_numpy())
     keys, ps, times = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((keys, np.uint64), (ps, np.float64), (times, np.int64)))
     order = np.argsort(keys)
     keys, ps = keys[order], ps[order]
-    place = dict(zip(words, range(len(words)), strict=True))
+    words = pa.concat_arrays(words) if words else pa.array([], pa.binary())
     logs, known = np.log10(times + 0.5), times > 0
     out = []
     for ids, held, ends, data in blocks:
         data = zstandard.decompress(data)
         texts = [data[a:z] for a, z in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)]
-        met = pa.array(grams_of(texts).view(np.int64)).dictionary_encode()
-        p = ps[np.searchsorted(keys, met.dictionary.to_numpy().view(np.uint64))][met.indices.to_numpy()]
-        score = np.add.reduceat(p, np.append(0, np.cumsum(np.diff(ends, prepend=0) + 1)[:-1]))
-        spoken = [t.split() for t in texts]
-        sizes = np.array([len(w) for w in spoken])
-        at_ = np.fromiter((place[w] for ws in spoken for w in ws), np.int64, int(sizes.sum()))
+        score = np.zeros(len(texts))
+        for a, z in by_bytes(pa.array(texts, pa.binary()), RUN):
+            met = pa.array(grams_of(texts[a:z]).view(np.int64)).dictionary_encode()
+            p = ps[np.searchsorted(keys, met.dictionary.to_numpy().view(np.uint64))][met.indices.to_numpy()]
+            score[a:z] = np.add.reduceat(p, np.append(0, np.cumsum([len(t) + 1 for t in texts[a : z - 1]])).astype(np.int64))
+        spoken, sizes = words_of(texts)
+        at_ = pc.index_in(spoken.dictionary, words).to_numpy()[spoken.indices.to_numpy()]
         upto = np.append(0, np.cumsum(sizes))
         sums = lambda x: np.diff(np.append(0, np.cumsum(x))[upto])
         out.append(pa.table({"key": ids, "held_out": held, "n_tokens": sizes + 1, "n_known": sums(known[at_].astype(np.int64)) + (trained > 0), "weight": sums(logs[at_]) + np.log10(trained + 0.5), "score": score}))

@@ -2,11 +2,14 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from conftest import SF
@@ -242,6 +245,53 @@ def test_scores_without_training(spark):
     assert language_model.score_texts(docs.limit(0), F.lit(True)).collect() == []
 
 
+def traced(work):
+    """(result, bytes held after, most bytes meanwhile) of work: Python's and NumPy's, and what Arrow still holds."""
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        out = work()
+        held, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    return out, held + pa.total_allocated_bytes() - arrow, most
+
+
+def test_distinct_words_take_little_memory():
+    """A chunk of nothing but distinct words, 400,000 of them: no Python object for each."""
+
+    def fill():
+        chunk = language_model._Chunk(4)
+        for i in range(0, 400_000, 40_000):
+            chunk.add([f"{j:x}".encode() * 2 for j in range(i, i + 40_000)], np.arange(40_000) % 5 == 1)
+        return chunk
+
+    chunk, held, _ = traced(fill)
+    assert held < 50 << 20
+    rows = chunk.rows(7)
+    words = dict(zip(rows["words"].combine_chunks().flatten().to_pylist(), rows["times"].combine_chunks().flatten().to_pylist(), strict=True))
+    assert len(words) == 400_000 and all(words[f"{j:x}".encode() * 2] == (j % 5 != 1) for j in range(400_000))
+
+
+def test_scoring_a_block_takes_little_memory():
+    """A block of 2 MB: its grams are not held all at once, and scores are those of its texts one by one."""
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.choice(list(b"abc "), n)) for n in [10_000] * 200 + [0, 1, 300_000]]
+    keys = np.unique(language_model.grams_of(texts))
+    ps = -rng.random(len(keys))
+    words = sorted({w for t in texts for w in t.split()})
+    ends = np.cumsum([len(t) for t in texts])
+    block = {"keys": list(range(len(texts))), "held": [False] * len(texts), "ends": ends.tolist(), "data": zstandard.compress(b"".join(texts))}
+    answers = [{"grams": language_model.packed(keys), "ps": ps.tobytes()}, {"words": words, "times": [1] * len(words)}]
+    kinds = {"grams": pa.binary(), "ps": pa.binary(), "words": pa.list_(pa.binary()), "times": pa.list_(pa.int64()), "keys": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "ends": pa.list_(pa.int64()), "data": pa.binary()}
+    rows = pa.Table.from_pylist([*answers, block], pa.schema(list(kinds.items())))
+    got, _, most = traced(lambda: language_model._scores(rows, 10))
+    assert most < 120 << 20
+    for i, t in enumerate(texts):
+        assert abs(got["score"][i].as_py() - ps[np.searchsorted(keys, language_model.grams_of([t]))].sum()) < 1e-6
+    assert got["n_tokens"].to_pylist() == [len(t.split()) + 1 for t in texts]
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(3)
     texts = [bytes(rng.choice(list(b"abcd "), 60)) for _ in range(30)]
