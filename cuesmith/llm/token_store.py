@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cuesmith.llm.memory import give_back, tidy
+from cuesmith.llm.memory import tidy
 from cuesmith.llm.scratch import cut, scratch_dir, small_batches
 from cuesmith.llm.textbatches import by_bytes
 
@@ -40,8 +40,8 @@ MAGIC = b"CUESST01"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
 BLOCK_BYTES = 1 << 17
 BLOOM_BITS, BLOOM_PROBES = 10, 7
-#: Words of a generation of those whose ids a worker keeps, and characters of the longest: they bound its memory.
-CACHE, LONGEST = 100_000, 64
+#: Bytes of a generation of words whose ids a worker keeps, with their ids (some 300,000 words), and characters of the longest word.
+CACHE, LONGEST = 6 << 20, 64
 _encoders: dict[str, _Encoder] = {}
 
 
@@ -186,9 +186,30 @@ class ShardReader:
         return out
 
 
+class _Known:
+    """Words and their ids as Arrow arrays: some 20 bytes a word, where a dict takes 200."""
+
+    def __init__(self, words: pa.Array, ids: pa.ListArray):
+        self.words, self.ids = words, ids
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def __iter__(self) -> Iterator[str]:
+        return (w.as_py() for w in self.words)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each of words is, -1 for those that are not here."""
+        return pc.fill_null(pc.index_in(words, self.words), -1).to_numpy().astype(np.int64)
+
+    def with_more(self, words: pa.Array, ids: pa.ListArray) -> _Known:
+        return _Known(pa.concat_arrays([self.words, words]), pa.concat_arrays([self.ids, ids]))
+
+
 class _Encoder:
-    """A tokenizer and the ids of words that it was asked for, as bytes. Words live in two generations: when the young
-    one is full it becomes the old one, and a word that is met again moves over, so frequent words stay."""
+    """A tokenizer and the ids of words that it was asked for. Words live in two generations: when the young one is full
+    it becomes the old one, and a word that is met again moves over, so frequent words stay. A worker keeps them for its
+    next tasks."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -205,56 +226,45 @@ class _Encoder:
         self.ends[[i for w, i in t.get_vocab().items() if w.endswith("</w>")]] = True
         self.width = 2 if t.get_vocab_size() <= 1 << 16 else 4
         self.kind = "<u2" if self.width == 2 else "<u4"
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def forget(self) -> None:
-        """Let go of what a task has gathered: workers live on after it."""
-        self.young, self.old = {}, {}
-        give_back()
+        self.none = _Known(pa.array([], pa.string()), pa.array([], pa.list_(pa.from_numpy_dtype(self.kind))))
+        self.young = self.old = self.none
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids_of(self, pieces: pa.Array) -> list[bytes]:
+    def ids_of(self, pieces: pa.Array) -> pa.ListArray:
         """Ids of distinct pieces."""
-        words = pieces.to_pylist()
-        got = list(map(self.young.get, words))
-        need = []
-        for i in [i for i, x in enumerate(got) if x is None]:
-            x = got[i] = self.old.get(words[i])
-            if x is None:
-                need.append(i)
-            else:
-                self.young[words[i]] = x
-        if need:
-            plain = pc.match_substring_regex(pieces.take(pa.array(need)), PLAIN).to_numpy(zero_copy_only=False) & self.ends.any()
-            need = np.array(need)
-            for i, x in zip(need[plain].tolist(), self._plain([words[i] for i in need[plain].tolist()]), strict=True):
-                got[i] = x
-            for i, x in zip(need[~plain].tolist(), self._apart([words[i] for i in need[~plain].tolist()]), strict=True):
-                got[i] = x
-            self.young.update((words[i], got[i]) for i in need.tolist() if len(words[i]) <= LONGEST)
-            if len(self.young) > CACHE:
-                self.old, self.young = self.young, {}
-        return got
-
-    def _apart(self, words: list[str]) -> list[bytes]:
-        return [ids.tobytes() for i in range(0, len(words), 4096) for ids in self.batch(words[i : i + 4096])]
-
-    def _plain(self, words: list[str]) -> list[bytes]:
+        place = self.young.places(pieces)
+        new = np.flatnonzero(place < 0)
+        place[new] = self.old.places(pieces.take(pa.array(new)))
+        place[new] += np.where(place[new] < 0, 0, len(self.young))
+        need = np.flatnonzero(place < 0)
+        words = pieces.take(pa.array(need))
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False) & self.ends.any()
+        made = [*self._plain(words.filter(pa.array(plain))), *self._apart(words.filter(pa.array(~plain)))]
+        place[np.append(need[plain], need[~plain])] = len(self.young) + len(self.old) + np.arange(len(need))
+        out = pa.concat_arrays([self.young.ids, self.old.ids, *made]).take(pa.array(place))
+        new = pa.array(new).filter(pc.less_equal(pc.utf8_length(pieces.take(pa.array(new))), LONGEST))
+        self.young = self.young.with_more(pieces.take(new), out.take(new))
+        if self.young.words.nbytes + self.young.ids.nbytes > CACHE:
+            self.old, self.young = self.young, self.none
+        return out
+
+    def _apart(self, words: pa.Array) -> Iterator[pa.ListArray]:
+        for i in range(0, len(words), 4096):
+            each = self.batch(words.slice(i, 4096).to_pylist())
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), pa.array(np.concatenate(each)))
+
+    def _plain(self, words: pa.Array) -> Iterator[pa.ListArray]:
         """Many words in one text, told apart by their last tokens."""
-        out: list[bytes] = []
-        for i in range(0, len(words), 512):
-            chunk = words[i : i + 512]
-            ids = self.batch([" ".join(chunk)])[0]
-            at = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+        cuts = pa.array(np.append(np.arange(0, len(words), 512), len(words)), pa.int32())
+        for i, text in enumerate(pc.binary_join(pa.ListArray.from_arrays(cuts, words), " ").to_pylist() if len(words) else []):
+            chunk, ids = words.slice(i * 512, 512), self.batch([text])[0]
+            at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(chunk):
-                data, at = ids.tobytes(), at.tolist()
-                out += [data[a:z] for a, z in zip([0, *at], at)]
+                yield pa.ListArray.from_arrays(pa.array(np.append(0, at), pa.int32()), pa.array(ids))
             else:
-                out += self._apart(chunk)
-        return out
+                yield from self._apart(chunk)
 
 
 #: Letters below U+0130: no normal form or lower case changes their number or leaves a mark at an end. A plain word is one
@@ -282,7 +292,7 @@ def _lists(lists: pa.ListArray, words: pa.DictionaryArray, of: np.ndarray) -> pa
     return pa.ListArray.from_arrays(pa.array(each.offsets.to_numpy()[of]), each.values)
 
 
-def encode_column(texts: pa.Array, path: str, run_bytes: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def encode_column(texts: pa.Array, path: str, run_bytes: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, ids a text) of runs of whole texts.
 
     Where the tokenizer drops white space, Arrow finds the distinct words of a run and the distinct pieces of these
@@ -305,10 +315,7 @@ def encode_column(texts: pa.Array, path: str, run_bytes: int = 4 << 20) -> Itera
                 lower = pc.replace_substring_regex(lower, edge, r"\1 \2")
             parted = pc.if_else(special, parted, lower)
         pieces, of_word = _cut(parted)
-        made = encoder.ids_of(pieces.dictionary)
-        size = np.fromiter(map(len, made), np.int64, len(made)) // encoder.width
-        ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(np.frombuffer(b"".join(made), encoder.kind)))
-        out = _lists(_lists(ids, pieces, of_word), words, of_text)
+        out = _lists(_lists(encoder.ids_of(pieces.dictionary), pieces, of_word), words, of_text)
         yield out.values.to_numpy(), np.diff(out.offsets.to_numpy())
 
 
@@ -360,7 +367,6 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int | None = None,
         if writer is not None:
             writer.close()
             sink.close()
-            _encoder(tokenizer_path).forget()
             where.move(f"{top}/.{name}", f"{top}/{name}")
             row = [[shard], [f"{folder}/{name}"], [writer.docs], [writer.ids], [least], [most], [writer.at]]
             kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]

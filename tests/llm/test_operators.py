@@ -4,6 +4,7 @@ import hashlib
 import os
 import re
 import time
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -617,6 +618,28 @@ def test_long_pieces_are_not_kept():
     assert all(len(w) <= token_store.LONGEST for w in [*made.young, *made.old])
 
 
+def test_words_stay_known_in_little_memory(monkeypatch):
+    """220,000 words in short runs, twice: the second time none is encoded, and keeping them takes some 20 bytes a word."""
+    monkeypatch.setitem(token_store._encoders, WORDS, token_store._Encoder(WORDS))
+    made, asked = token_store._encoder(WORDS), []
+    batch = made.batch
+    monkeypatch.setattr(made, "batch", lambda texts: asked.append(len(texts)) or batch(texts))
+    letters = "abcdefghijklmnopqrst"
+    word = lambda i: "".join(letters[i // 20**k % 20] for k in range(5))
+    texts = pa.array([" ".join(map(word, range(i, i + 2_000))) for i in range(0, 220_000, 2_000)])
+    list(token_store.encode_column(pa.array(["warm"]), WORDS))
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    first = [x.tobytes() for x, _ in token_store.encode_column(texts, WORDS, 1 << 18)]
+    held = tracemalloc.get_traced_memory()[0] - sum(map(len, first)) + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert asked and held < 16 << 20
+    asked.clear()
+    assert [x.tobytes() for x, _ in token_store.encode_column(texts, WORDS, 1 << 18)] == first and not asked
+    want = Tokenizer.from_file(WORDS).encode(texts[7].as_py(), add_special_tokens=False).ids
+    assert token_store.encode_batch([texts[7].as_py()], WORDS)[0].tolist() == want
+
+
 def test_length_is_bounded(docs):
     for n in (20, 300):
         with pytest.raises(ValueError, match="length"):
