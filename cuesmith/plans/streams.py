@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from cuesmith.functions import sentences as S
 from cuesmith.operators import audio as A
+from cuesmith.operators import commit as K
 from cuesmith.operators import metrics as M
 from cuesmith.operators import scans
 from cuesmith.operators import scrub
@@ -134,16 +141,41 @@ def cut_short(last: Column, obs: Column, whole: Column) -> Column:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Growing hypotheses over all sentences of a document, 0.4 s apart; at odd observations the last one is cut
-    short. The steps grow, so a document of n sentences gives a number of rows in proportion to n."""
+    """What commit folds and publishers hear: growing hypotheses over all sentences of a document, 0.4 s apart; at odd
+    observations the last one is cut short. The steps grow, so a document of n sentences gives a number of rows in proportion to n."""
     d = heard_documents(spark, sf_dir).select("turn", "n", "whole", "observed", F.posexplode("sentences").alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
     grown = d.withColumn("obs", F.explode(F.sequence(first_shown(F.col("pos")), F.col("observed")))).withColumn("t", F.col("obs") * 0.4)
     last = F.col("pos") == F.least(shown(F.col("obs")), F.col("n")) - 1
     return grown.select("turn", "pos", F.when(last, cut_short(F.col("text"), F.col("obs"), F.col("whole"))).otherwise(F.col("text")).alias("text"), "obs", "t")
 
 
+def growing(sentences: list[str]) -> Iterator[tuple[int, float, list[tuple[int, str]]]]:
+    """Observations of a document, 0.4 s apart, as what changes from one to the next: observation o shows the first o
+    sentences, at odd ones with the last cut short. Three follow the last sentence, so that it can become stable too."""
+    n = len(sentences)
+    for obs in range(1, max(6, n + 3) + 1):
+        changes = [(obs - 2, sentences[obs - 2])] if 2 <= obs <= n + 1 else []
+        if obs <= n:
+            last = sentences[obs - 1]
+            changes.append((obs - 1, last[: max(1, len(last) - 3)] if obs % 2 else last))
+        yield obs, obs * 0.4, changes
+
+
 def stable_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.stable_prefixes(observations(spark, sf_dir))
+    """Drafts of all sentences of growing documents, an observation for each sentence. A document is moved once, before it is
+    split, and folded where it is split."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("turn"), "text")
+    schema = f"turn {dict(d.dtypes)['turn']}, pos long, obs long, t double, text string"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = ((turn.as_py(), growing([s for s, _ in S.split(text.as_py())])) for batch in batches for turn, text in zip(*batch.columns))
+        rows = ((turn, *x) for turn, heard in docs for x in B.stable_changes(heard))
+        while out := list(islice(rows, K.OUT_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+    # dealt by document: a file of few row groups would be a few tasks' work
+    return d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "turn").mapInArrow(run, schema)
 
 
 def stable_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

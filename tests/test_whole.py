@@ -72,6 +72,47 @@ def test_documents_to_their_last_sentence(spark, tmp_path):
         assert all(sorted(x for (t, _), x in final.items() if t == n) == sorted(d) for n, d in docs.items())
 
 
+def dense(sentences):
+    """{number: (t, {pos: text})}: an observation for each sentence, in full."""
+    obs = {}
+    for o in range(1, max(6, len(sentences) + 3) + 1):
+        texts = dict(enumerate(sentences[:o]))
+        if o % 2 and o <= len(sentences):
+            texts[o - 1] = texts[o - 1][: max(1, len(texts[o - 1]) - 3)]
+        obs[o] = (o * 0.4, texts)
+    return obs
+
+
+def test_stable_prefix_hears_every_sentence(spark, tmp_path):
+    """An observation for each sentence, whatever their number; sentences of one character are never cut short."""
+    docs = {n: [("?", "Is it?", f"Line number {i} of text {n} ends here.")[i % 7 % 3] for i in range(n)] for n in (1, 2, 5, 6, 7, 12, 13, 25, 90)}
+    rows = [(n, " ".join(s)) for n, s in docs.items()] + [(1000, None), (1001, ""), (1002, "  ")]
+    folder = saved(spark, tmp_path, "documents", rows, "doc_id long, text string")
+    got = [tuple(r) for r in streams.stable_prefix(spark, folder).collect()]
+    want = {(n, *x) for n, s in docs.items() for x in plain_stable(dense(s))}
+    assert {(n, p, o, x) for n, p, o, _, x in got} == want and len(got) == len(want)
+    assert all(t == o * 0.4 for _, _, o, t, _ in got)
+
+
+def test_stable_changes_brute():
+    """Sentences that come, go and change, and observations that are missing, against whole observations."""
+    rng, found = random.Random(6), 0
+    for _ in range(400):
+        obs, changes, texts, before = {}, [], {}, {}
+        for o in range(1, rng.randrange(3, 40)):
+            if rng.random() < 0.1:
+                continue
+            if rng.random() < 0.4:
+                texts = {p: x for p, x in texts.items() if rng.random() < 0.9} | {rng.randrange(6): rng.choice("ab")}
+            obs[o] = (o * 0.4, dict(texts))
+            changes.append((o, o * 0.4, [(p, texts.get(p)) for p in before | texts if before.get(p) != texts.get(p)]))
+            before = texts
+        got = [(p, o, x) for p, o, _, x in B.stable_changes(changes)]
+        assert set(got) == plain_stable(obs) and len(got) == len(set(got))
+        found += len(got)
+    assert found > 500
+
+
 def test_turns_to_their_last_word(spark, tmp_path):
     """phrase_islands, commit_hypotheses, preview_publisher."""
     texts = {0: " ".join(f"word{i}" for i in range(150)), 1: " ".join(f"late{i}" for i in range(400)), 2: "The end."}
